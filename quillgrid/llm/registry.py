@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash
+from . import ann, embed_dedup, langid, mixing, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.op1,
         "op3_mixing": mixing.op3,
         "op4_simhash": simhash.op4,
+        "op6_embed_dedup": embed_dedup.op6,
+        "op9_langid": langid.op9,
         "op10_packing": packing.op10,
     }
 
