@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embed_dedup, langid, mixing, packing, simhash
+from . import ann, embed_dedup, langid, mixing, packing, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3,
         "op4_simhash": simhash.op4,
         "op6_embed_dedup": embed_dedup.op6,
+        "op8_substrings": substrings.op8,
         "op9_langid": langid.op9,
         "op10_packing": packing.op10,
     }
