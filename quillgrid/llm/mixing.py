@@ -124,6 +124,31 @@ def mix(
     )
 
 
+def realise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed documents themselves: each row as often as the mix takes it, a part as its first words joined by spaces.
+
+    Columns are those of ``docs``.  Rows that agree in id, source and size are told apart by their
+    order of text.
+    """
+    plan, _ = save(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select("doc_id", "source", "size", "whole", "part"))
+    key = ["doc_id", "source", "size"]
+    repeated = bool(plan.groupBy(*key).count().where("count > 1").limit(1).count())
+    rows = docs.withColumn("_size", word_count(F.col(text_col)))
+    own = Window.partitionBy(id_col, source_col, "_size").orderBy(text_col)
+    rows = rows.withColumn("_nth", F.row_number().over(own) if repeated else F.lit(1))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("whole", "part")) if repeated else F.lit(1)
+    plan = plan.withColumn("_n", nth).where("whole > 0 or part > 0").select(*[F.col(c).alias(f"_p_{c}") for c in (*key, "whole", "part")], "_n")
+    joined = rows.join(
+        plan,
+        rows[id_col].eqNullSafe(plan["_p_doc_id"]) & rows[source_col].eqNullSafe(plan["_p_source"]) & (rows["_size"] == plan["_p_size"]) & (rows["_nth"] == plan["_n"]),
+    )
+    times = (F.col("_p_whole") + (F.col("_p_part") > 0).cast("long")).cast("int")
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
+    cut = (F.col("_copy") > F.col("_p_whole")) & (F.col("_p_part") < F.col("_size"))
+    first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_p_part").cast("int")), " ")
+    return joined.withColumn(text_col, F.when(cut, first).otherwise(F.col(text_col))).select(*docs.columns)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

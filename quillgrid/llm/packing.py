@@ -21,7 +21,7 @@ from .common import table
 
 WINDOW = 2048
 #: Documents per packing group: many groups run side by side, and each is large enough that the windows left open are few.
-GROUP_DOCS = 8192
+GROUP_DOCS = 65536
 END_ID = 1
 _ENCODERS: dict[str, object] = {}
 

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embed_dedup, langid, mixing, packing, simhash, substrings
+from . import ann, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": ann.op1,
+        "op2_pii": pii.op2,
         "op3_mixing": mixing.op3,
         "op4_simhash": simhash.op4,
+        "op5_licenses": licenses.op5,
         "op6_embed_dedup": embed_dedup.op6,
+        "op7_secrets": secrets.op7,
         "op8_substrings": substrings.op8,
         "op9_langid": langid.op9,
         "op10_packing": packing.op10,

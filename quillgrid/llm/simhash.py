@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, save, shuffle_parts, table
@@ -46,14 +46,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, bloc
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint as a signed long."""
+    """Rows (doc_id, th, fp): a hash of the text and the fingerprint, both as signed longs."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "fp": fp})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(each, "doc_id long, th long, fp long")
 
 
 def _syndrome(half: np.ndarray) -> np.ndarray:
@@ -195,6 +196,13 @@ def near_fingerprints(fps: DataFrame, most: int = MAX_DIFFERENCE) -> DataFrame:
     return dealt.mapInPandas(compare, "a long, b long").where("a <> b").distinct()
 
 
+def grouped(rows: DataFrame, most: int) -> DataFrame:
+    """(fp, component): the component of each distinct fingerprint, named by one of its fingerprints."""
+    fps = rows.select("fp").distinct()
+    comp = components(near_fingerprints(fps, most))
+    return fps.join(comp, fps["fp"] == comp["id"], "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, most: int = MAX_DIFFERENCE
 ) -> DataFrame:
@@ -202,18 +210,37 @@ def simhash(
 
     Documents with equal fingerprints are one class before anything is compared, so copies cost
     one row.  component_id is the smallest doc_id reachable over links.  Null and wordless texts
-    have fingerprint zero and link like any other.  A null doc_id gets the component of its
-    fingerprint (null where no document there has an id).  Repeated rows give repeated rows; an
-    empty table gives an empty result; other columns are ignored.
+    have fingerprint zero and link like any other.  A null doc_id gets its component's smallest id
+    (null where no document there has one).  Repeated rows give repeated rows; an empty table gives
+    an empty result; other columns are ignored.
     """
     rows, _ = save(fingerprints(docs, id_col, text_col, shingle, seed))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    comp = components(near_fingerprints(classes.select("fp"), most))
-    reach = classes.join(comp, classes["fp"] == comp["id"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = reach.groupBy("component").agg(F.min("first").alias("component_id"))
+    reach, _ = save(grouped(rows, most))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    lowest = reach.join(first, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = reach.join(lowest, "component").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, most: int = MAX_DIFFERENCE
+) -> DataFrame:
+    """``docs`` with one document of each component: that of smallest id (null last), then of smallest text hash.
+
+    Of rows that agree in id and text one stays.
+    """
+    rows, _ = save(fingerprints(docs, id_col, text_col, shingle, seed))
+    reach = grouped(rows, most)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(reach, "fp").groupBy("component").agg(F.min("best").alias("best")).select("best.*")
+    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
+    same = keyed[id_col].cast("long").eqNullSafe(best["_doc"]) & (keyed["_hash"] == best["_th"])
+    kept = keyed.join(best, same, "left_semi")
+    if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
+        one = Window.partitionBy(id_col, "_hash").orderBy(F.lit(1))
+        kept = kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
+    return kept.select(*docs.columns)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     return simhash(table(spark, sf_dir, "documents"))
