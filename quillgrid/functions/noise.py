@@ -69,22 +69,21 @@ def gradient_2d(h: Column, dx: Column, dy: Column) -> Column:
     return dx * F.sin(turn) + dy * F.cos(turn)
 
 
-def _edges() -> list[tuple[int, int, int]]:
-    """The 64 directions in space: the twelve cube edges in turn, and four that fill up (fixed order)."""
-    twelve = [(0, a, b) for b in (1, -1) for a in (1, -1)] + [(a, 0, b) for b in (1, -1) for a in (1, -1)] + [(a, b, 0) for b in (1, -1) for a in (1, -1)]
-    return twelve * 5 + [(1, 1, 0), (0, -1, 1), (-1, 1, 0), (0, -1, -1)]
-
-
 def gradient_3d(h: Column, dx: Column, dy: Column, dz: Column) -> Column:
-    k = _gradient_index(h, 63, 2).cast("int")
-    parts = [F.get(F.array(*[F.lit(float(e[axis])) for e in _edges()]), k) for axis in range(3)]
-    return dx * parts[0] + dy * parts[1] + dz * parts[2]
+    """Dot product with one of the twelve cube edges in turn; the last four of 64 indices are edges 8, 1, 9 and 3."""
+    k = _gradient_index(h, 63, 2)
+    edge = F.when(k < 60, k % 12).when(k == 60, 8).when(k == 61, 1).when(k == 62, 9).otherwise(3)
+    first = 1.0 - 2.0 * edge.bitwiseAND(F.lit(1).cast("long"))
+    second = 1.0 - edge.bitwiseAND(F.lit(2).cast("long"))
+    return first * F.when(edge < 4, dy).otherwise(dx) + second * F.when(edge >= 8, dy).otherwise(dz)
 
 
-def value_at(h: Column) -> Column:
-    """A value in [-1, 1) of a hash."""
-    square = wrap32(h * h)
-    return wrap32(square.bitwiseXOR(wrap32(square * F.lit(1 << 19).cast("long")))) / F.lit(2147483648.0)
+def add_values(df: DataFrame, seeds: dict[str, Column]) -> DataFrame:
+    """Columns with a value in [-1, 1) of each hash, in steps, so that no hash is computed twice."""
+    df = df.withColumns({f"{n}_h": h for n, h in seeds.items()})
+    df = df.withColumns({f"{n}_s": wrap32(F.col(f"{n}_h") * F.col(f"{n}_h")) for n in seeds})
+    shifted = {n: wrap32(F.col(f"{n}_s") * F.lit(1 << 19).cast("long")) for n in seeds}
+    return df.withColumns({n: wrap32(F.col(f"{n}_s").bitwiseXOR(x)) / F.lit(2147483648.0) for n, x in shifted.items()})
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
@@ -117,12 +116,10 @@ def _primed(k: int, step: int = 0) -> Column:
 def _perlin(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
     n = len(axes)
     df = _lattice(df, axes)
-    corners = {}
-    for bits in itertools.product((0, 1), repeat=n):
-        d = [F.col(f"_d{k}") - b for k, b in enumerate(bits)]
-        h = f"_h{''.join(map(str, bits))}"
-        df = df.withColumn(h, hashed(seed, *[_primed(k, b) for k, b in enumerate(bits)]))
-        corners[bits] = gradient_2d(F.col(h), *d) if n == 2 else gradient_3d(F.col(h), *d)
+    names = {b: f"_h{''.join(map(str, b))}" for b in itertools.product((0, 1), repeat=n)}
+    df = df.withColumns({h: hashed(seed, *[_primed(k, x) for k, x in enumerate(b)]) for b, h in names.items()})
+    dot = gradient_2d if n == 2 else gradient_3d
+    corners = {b: dot(F.col(h), *[F.col(f"_d{k}") - x for k, x in enumerate(b)]) for b, h in names.items()}
     df = df.withColumns({f"_g{''.join(map(str, b))}": g for b, g in corners.items()} | {f"_s{k}": quintic(F.col(f"_d{k}")) for k in range(n)})
     now = {b: F.col(f"_g{''.join(map(str, b))}") for b in corners}
     for k in range(n):
@@ -134,7 +131,7 @@ def _value(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
     n = len(axes)
     df = _lattice(df, axes)
     names = {b: f"_v{''.join(map(str, b))}" for b in itertools.product((0, 1), repeat=n)}
-    df = df.withColumns({v: value_at(hashed(seed, *[_primed(k, x) for k, x in enumerate(b)])) for b, v in names.items()})
+    df = add_values(df, {v: hashed(seed, *[_primed(k, x) for k, x in enumerate(b)]) for b, v in names.items()})
     now = {b: F.col(v) for b, v in names.items()}
     for k in range(n):
         now = {b: lerp(now[(0, *b)], now[(1, *b)], hermite(F.col(f"_d{k}"))) for b in itertools.product((0, 1), repeat=n - 1 - k)}
@@ -144,7 +141,7 @@ def _value(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
 def _cubic(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
     df = _lattice(df, axes)
     for y in range(-1, 3):
-        df = df.withColumns({f"_q{x + 1}": value_at(hashed(seed, _primed(0, x), _primed(1, y))) for x in range(-1, 3)})
+        df = add_values(df, {f"_q{x + 1}": hashed(seed, _primed(0, x), _primed(1, y)) for x in range(-1, 3)})
         df = df.withColumn(f"_r{y + 1}", cubic(*[F.col(f"_q{x}") for x in range(4)], F.col("_d0")))
     return df.withColumn(out, cubic(*[F.col(f"_r{y}") for y in range(4)], F.col("_d1")) * CUBIC_2D)
 
@@ -214,7 +211,9 @@ def warp(df: DataFrame, x: str, y: str, noise: Noise, amplitude: float, progress
         df = df.withColumns({"_a0": F.col("_ox" if progressive else "_bx") * freq, "_a1": F.col("_oy" if progressive else "_by") * freq})
         df = _lattice(df, ["_a0", "_a1"])
         for axis, salt in (("x", 0), ("y", 7919)):
-            corner = {(a, b): value_at(hashed(noise.seed + octave + salt, _primed(0, a), _primed(1, b))) for a in (0, 1) for b in (0, 1)}
+            names = {(a, b): f"_v{a}{b}" for a in (0, 1) for b in (0, 1)}
+            df = add_values(df, {v: hashed(noise.seed + octave + salt, _primed(0, a), _primed(1, b)) for (a, b), v in names.items()})
+            corner = {k: F.col(v) for k, v in names.items()}
             s, t = hermite(F.col("_d0")), hermite(F.col("_d1"))
             df = df.withColumn(f"_w{axis}", lerp(lerp(corner[0, 0], corner[1, 0], s), lerp(corner[0, 1], corner[1, 1], s), t))
         df = df.withColumns({"_ox": F.col("_ox") + F.col("_wx") * amp, "_oy": F.col("_oy") + F.col("_wy") * amp})
@@ -232,11 +231,14 @@ def cellular(points: DataFrame, x: str, y: str, seed: int = 1337, frequency: flo
     columns = points.columns
     df = points.withColumns({"_a0": F.col(x) * frequency, "_a1": F.col(y) * frequency})
     df = df.withColumns({f"_c{k}": F.floor(F.col(f"_a{k}") + 0.5).cast("long") for k in (0, 1)})
-    found = []
-    for a, b in itertools.product((-1, 0, 1), repeat=2):
-        turn = value_at(hashed(seed, _primed(0, a), _primed(1, b))) * math.pi
-        dx = F.col("_c0") + a - F.col("_a0") + F.cos(turn) * (0.43701595 * jitter)
-        dy = F.col("_c1") + b - F.col("_a1") + F.sin(turn) * (0.43701595 * jitter)
-        found.append(dx * dx + dy * dy)
+    cells = list(itertools.product((-1, 0, 1), repeat=2))
+    df = add_values(df, {f"_t{n}": hashed(seed, _primed(0, a), _primed(1, b)) for n, (a, b) in enumerate(cells)})
+    moves = {}
+    for n, (a, b) in enumerate(cells):
+        turn = F.col(f"_t{n}") * math.pi
+        moves[f"_x{n}"] = F.col("_c0") + a - F.col("_a0") + F.cos(turn) * (0.43701595 * jitter)
+        moves[f"_y{n}"] = F.col("_c1") + b - F.col("_a1") + F.sin(turn) * (0.43701595 * jitter)
+    df = df.withColumns(moves)
+    found = [F.col(f"_x{n}") * F.col(f"_x{n}") + F.col(f"_y{n}") * F.col(f"_y{n}") for n in range(len(cells))]
     df = df.withColumn("_d", F.array_sort(F.array(*found)))
     return df.select(*columns, F.get("_d", F.lit(0)).alias("f1"), F.get("_d", F.lit(1)).alias("f2"))

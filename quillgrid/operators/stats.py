@@ -163,4 +163,7 @@ def snr_mix(x: Column, noise: Column, snr: float) -> Column:
 def scaled_concat(parts: list[tuple[str, int]]) -> Column:
     """Array columns (name, length) joined so that each keeps its share of magnitude."""
     total, k = sum(n for _, n in parts), len(parts)
-    return F.concat(*[F.transform(name, lambda v, n=n: v * F.lit((total * k) ** 0.5 / n**0.5 / k)) for name, n in parts])
+    def scaled(name: str, n: int) -> Column:
+        return F.transform(name, lambda v: v * F.lit((total * k) ** 0.5 / n**0.5 / k))
+
+    return F.concat(*[scaled(name, n) for name, n in parts])
