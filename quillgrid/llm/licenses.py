@@ -103,6 +103,7 @@ FORMS = [
     (None, r"(?:licen[cs]e|licensing|licen[cs]ed)(?: is| under| type)? {name}(?: licen[cs]e)?", 60, 0.85),
     (None, r"{name}(?: public| software)? licen[cs]e", 50, 0.8),
     ("opensource", r"opensource org licenses {tag}", 80, 0.95),
+    (None, r"{name}", 45, 0.75),
 ]
 #: Sentences of the licenses themselves and generic notices: label, keyword, pattern, priority, score.
 CLAUSES = [
@@ -161,6 +162,8 @@ def rules() -> list[Rule]:
     found = []
     for label, keyword, name, tag in NAMES:
         for own, form, priority, score in FORMS:
+            if form == "{name}" and "licen" not in name:
+                continue  # a word like a product's name says nothing by itself
             pattern = form.format(name=f"(?:{name})", tag=f"(?:{tag})")
             found.append(Rule(label, (own or keyword).encode(), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
     for label, keyword, pattern, priority, score in CLAUSES:

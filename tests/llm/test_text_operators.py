@@ -1,0 +1,470 @@
+"""Text operators against brute force, round trips and held-out accuracy, with the edge cases of their contracts."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from quillgrid.llm import langid, licenses, mixing, packing, pii, secrets, simhash, substrings
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, size string, th string, i string, fp string, value string"
+
+
+def documents(spark, rows):
+    """Rows (doc_id, text, lang, source); further columns clash with names that operators use inside."""
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", "x", "x", "x", "x", "x") for r in rows], SCHEMA).repartition(3)
+
+
+WORDS = [f"w{k}" for k in range(60)] + ["the", "of", "Straße", "niño", "élan"]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near copies, empty, null and very long texts, repeated rows, null ids and sources."""
+    rng = random.Random(4)
+    base = [prose(rng, rng.randrange(1, 120)) for _ in range(40)]
+    out = [(k, t, rng.choice(["en", "de"]), rng.choice(["a", "b", "c"])) for k, t in enumerate(base)]
+    out += [(100 + k, base[k], "en", "a") for k in range(8)]
+    out += [(120 + k, base[k] + " tail", "en", "b") for k in range(8)]
+    out += [(200, None, None, None), (201, "", "en", "a"), (202, " \t\n", None, "b"), (203, "!!! 123", "en", None)]
+    out += [(204, "abcdefghij" * 40, "en", "a"), (205, "Ünïcödé " * 60, "de", "c"), (206, prose(rng, 6000), "en", "a")]
+    out += [(3, base[3], "en", "a")] * 2 + [(None, base[5], "en", "b"), (None, None, None, None)]
+    return out
+
+
+# -- mixing ---------------------------------------------------------------------------------------------------------
+
+
+def filled(sizes, weights, most):
+    """Targets by clamping and resharing until none is above."""
+    total, capped = sum(sizes), {}
+    while True:
+        free = [k for k in range(len(sizes)) if k not in capped]
+        if not free:
+            return [capped[k] for k in range(len(sizes))]
+        rest, w = total - sum(capped.values()), sum(weights[k] for k in free)
+        over = [k for k in free if rest * weights[k] / w >= most * sizes[k]]
+        if not over:
+            return [capped.get(k, rest * weights[k] / w) for k in range(len(sizes))]
+        capped |= {k: most * sizes[k] for k in over}
+
+
+def test_mix_matches_resharing(spark, rows):
+    got = mixing.mix(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"]) for r in got) == sorted((r[0] is not None, r[0] or 0, size(r[1])) for r in rows)
+    names = sorted({r[3] for r in rows if r[3] is not None}) + [None]
+    sizes = [sum(size(r[1]) for r in rows if r[3] == s) for s in names]
+    want = dict(zip(names, filled(sizes, [(5, 2, 1)[k % 3] for k in range(len(names))], 3), strict=True))
+    for s in names:
+        mine = [r for r in got if r["source"] == s]
+        assert all(abs(r["target"] - want[s]) < 1e-6 and r["source_size"] == sizes[names.index(s)] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - want[s]) <= 0.5
+        assert all(0 <= r["taken"] <= 3 * r["size"] for r in mine)
+    again = mixing.mix(documents(spark, rows[::-1])).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mix_realised_has_the_words(spark, rows):
+    docs = documents(spark, rows)
+    plan = mixing.mix(docs).collect()
+    out = mixing.realise(docs)
+    assert out.columns == docs.columns
+    words = lambda t: len((t or "").split())
+    by_source = {}
+    for r in out.collect():
+        by_source[r["source"]] = by_source.get(r["source"], 0) + words(r["text"])
+    for s, n in by_source.items():
+        assert n == sum(r["taken"] for r in plan if r["source"] == s)
+
+
+def test_mix_empty_and_wordless(spark):
+    assert mixing.mix(documents(spark, [(1, "a", "en", "s")]).where("false")).count() == 0
+    got = mixing.mix(documents(spark, [(1, None, "en", "s"), (2, "", "en", "t")])).collect()
+    assert [r["taken"] for r in got] == [0, 0] and [r["target"] for r in got] == [0.0, 0.0]
+
+
+# -- simhash --------------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def joined(ids, linked):
+    """Smallest id reachable for each index."""
+    root = list(range(len(ids)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(ids)):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    groups = {}
+    for k in range(len(ids)):
+        groups.setdefault(find(k), []).append(ids[k])
+    low = {g: min((i for i in m if i is not None), default=None) for g, m in groups.items()}
+    return [low[find(k)] for k in range(len(ids))]
+
+
+def test_simhash_matches_all_pairs(spark, rows):
+    got = simhash.simhash(documents(spark, rows)).collect()
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    comp = joined([r[0] for r in rows], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    want = sorted(str((r[0], f"{f:016x}", c)) for r, f, c in zip(rows, fps, comp, strict=True))
+    assert sorted(str(tuple(r)) for r in got) == want
+
+
+@pytest.mark.parametrize("crowd", [2048, 7])
+def test_anchors_find_every_close_pair(spark, monkeypatch, crowd):
+    """Fingerprints around common centres, so that anchors are crowded; the second size splits them by salt."""
+    monkeypatch.setattr(simhash, "HOMES_AT_ONCE", crowd)
+    rng = random.Random(7)
+    fps = {rng.getrandbits(64) for _ in range(50)}
+    for c in list(fps)[:5]:
+        for _ in range(60):
+            x = c
+            for b in rng.sample(range(64), rng.randrange(1, 5)):
+                x ^= 1 << b
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    edges = simhash.near_fingerprints(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    at = {f: k for k, f in enumerate(signed)}
+    pairs = {frozenset((at[e["a"]], at[e["b"]])) for e in edges}
+    near = joined(list(range(len(fps))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    assert joined(list(range(len(fps))), lambda a, b: frozenset((a, b)) in pairs) == near
+
+
+def test_keep_one_of_each_component(spark, rows):
+    docs = documents(spark, rows)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    comp = {r["component_id"] for r in simhash.simhash(docs).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(comp)
+    assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+# -- substrings -----------------------------------------------------------------------------------------------------
+
+
+def brute_removal(rows, n=100):
+    seen, out = set(), {}
+    keys = sorted({(r[0] is not None, r[0] or 0, r[1] or "") for r in rows}, key=lambda k: (k[0], k[1], xx(k[2])))
+    for known, i, text in keys:
+        b = text.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - n + 1):
+            s = b[p : p + n]
+            if s in seen:
+                gone[p : p + n] = b"\1" * n
+            seen.add(s)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[known, i, text] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def xx(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def passages(seed=1):
+    rng = random.Random(seed)
+    parts = [prose(rng, 45) for _ in range(6)]
+    rows = [(k, " ".join([prose(rng, 20), rng.choice(parts), prose(rng, 15), rng.choice(parts)]), "en", "s") for k in range(30)]
+    rows += [(40, "ab" * 200, "en", "s"), (41, "x" * 700, "en", "s"), (42, ("x" * 130) + "y" + ("x" * 130), "en", "s"), (43, "short", "en", "s")]
+    rows += [(44, None, "en", "s"), (45, "", "en", "s"), (46, rows[2][1], "en", "s"), (46, rows[2][1], "en", "s"), (None, rows[4][1], "en", "s"), (None, rows[6][1] + "!", "en", "s")]
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [4096, 2])
+def test_substrings_match_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(substrings, "CROWD", crowd)
+    rows = passages()
+    got = substrings.remove_repeats(documents(spark, rows)).collect()
+    want = brute_removal(rows)
+    expected = sorted(str((r[0], *want[r[0] is not None, r[0] or 0, r[1] or ""])) for r in rows)
+    assert sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == expected
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+
+
+def test_substrings_long_text_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 500)
+    rng = random.Random(3)
+    part = prose(rng, 200)
+    rows = [(1, part + prose(rng, 100), "en", "s"), (2, prose(rng, 90) + part + part, "en", "s")]
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(documents(spark, rows)).collect()}
+    for (_, i, _), w in brute_removal(rows).items():
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w
+    assert substrings.remove_repeats(documents(spark, rows).where("false")).count() == 0
+
+
+def test_blind_tries_group_equal_strings():
+    rng = np.random.default_rng(0)
+    buf = rng.integers(97, 99, 3000).astype(np.uint8)
+    buf[1500:2200] = buf[100:800]
+    starts = np.arange(0, 2900)
+    got = substrings.equal_groups(buf, starts, 100)
+    strings = [buf[s : s + 100].tobytes() for s in starts]
+    count = {}
+    for s in strings:
+        count[s] = count.get(s, 0) + 1
+    assert all((g >= 0) == (count[s] > 1) for g, s in zip(got, strings, strict=True))
+    assert len({(g, s) for g, s in zip(got, strings, strict=True) if g >= 0}) == len({g for g in got if g >= 0}) == sum(c > 1 for c in count.values())
+
+
+# -- licenses -------------------------------------------------------------------------------------------------------
+
+
+def brute_places(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places, labels = [], set()
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        hit = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+        places += hit
+        labels |= {label} if hit else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+LICENSED = [
+    "This is under the MIT License.\nmit-license MIT  license", "the GNU General Public License version 2 or later; see the Apache License, Version 2.0",
+    "permit license commit licenses", "SPDX-License-Identifier: BSD-3-Clause", "nothing here", None, "", "É mit license ß", "mit license " * 4000,
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+]
+
+
+def test_licenses_match_brute_force(spark):
+    got = {r["doc_id"]: r for r in licenses.license_scan(documents(spark, [(k, t, "en", "s") for k, t in enumerate(LICENSED)])).collect()}
+    for k, t in enumerate(LICENSED):
+        r = got[k]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_places(t)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert "bsd-3-clause" in got[3]["labels"] and "gpl-2.0" in got[1]["labels"] and "apache-2.0" in got[1]["labels"] and got[4]["labels"] == ""
+    assert licenses.license_scan(documents(spark, [(1, "a", "en", "s")]).where("false")).count() == 0
+
+
+def test_license_containment_is_suppressed():
+    d = licenses.scan("Licensed under the GNU Lesser General Public License, version 2.1.")["detections"]
+    assert [x[2] for x in d] == ["lgpl-2.1"]
+    # Accepted detections never lie within one of higher or equal priority; all rules hold their keyword.
+    assert len(licenses.RULES) > 200
+    d = licenses.scan(" ".join(t or "" for t in LICENSED[:-2]))["detections"]
+    assert len({x[:2] for x in d}) == len(d)
+
+
+# -- personal data --------------------------------------------------------------------------------------------------
+
+PERSONAL = [
+    "mail a.b+c@x-y.example.com, or a@b and @c.d; a@b.c@d.e", "10.0.0.1 999.1.1.1 1.2.3.4.5.6.7.8 01.002.3.255", "card 4111 1111 1111 1111 and 4111-1111-1111-1112",
+    "call +1 (523) 555-1055 now, +12, +999999999999999999", None, "", "no signs", "é" * 50 + " x@y.zz " + "ü" * 100 + " 192.168.1.77", "1" * 5000 + "@" * 50,
+]
+
+
+def brute_spans(text):
+    text = text or ""
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)] if len(text) < 4000 else []
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))] if len(text) < 4000 else []
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        s = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(digits[::-1]))
+        if 16 <= len(digits) <= 19 and s % 10 == 0:
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return ",".join(f"{k}:{s}:{e}" for k, s, e in out)
+
+
+@pytest.fixture(scope="module")
+def tagger(spark, sf):
+    return pii.train(pii.sample(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 0")))
+
+
+def test_personal_data_base_matches_patterns(spark, tagger):
+    got = {r["doc_id"]: r for r in pii.detect(documents(spark, [(k, t, "en", "s") for k, t in enumerate(PERSONAL)]), tagger).collect()}
+    for k, t in enumerate(PERSONAL):
+        want, r = brute_spans(t), got[k]
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r["spans"].split(","))
+        assert [r[f"n_{kind}"] for kind in pii.KINDS] == [sum(x.startswith(kind) for x in want.split(",")) for kind in pii.KINDS]
+    assert pii.detect(documents(spark, [(1, "a", "en", "s")]).where("false"), tagger).count() == 0
+
+
+def test_tagger_on_held_out_documents(spark, tagger):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 2 = 1 and text rlike '[0-9@]'").select("text").collect()]
+    right = found = true = 0
+    for text, spans in zip(texts, tagger.spans(texts), strict=True):
+        want = {(k, *x) for k, v in pii.base_spans(text).items() for x in v}
+        mine = {(k, *x) for k, v in spans.items() for x in v if pii.plausible(k, text[x[0] : x[1]])}
+        right, found, true = right + len(want & mine), found + len(mine), true + len(want)
+    assert right / found > 0.9 and right / true > 0.75
+
+
+def test_tagger_reads_a_text_alike_in_any_company(tagger):
+    text = "x" * 200 + " write to someone@mail.example.com or call +1 (523) 555-1055 " + "y" * 300 + " 4111111111111111 "
+    alone = tagger.spans([text])[0]
+    assert tagger.spans(["1", text, "a@b " * 40])[1] == alone
+
+
+def test_tagger_without_spans_adds_nothing():
+    model = pii.train(["year 1999", "room 12"])
+    assert pii.find(["call +1 (523) 555-1055 at 10.0.0.1"], model)[0][0] == pii.find(["call +1 (523) 555-1055 at 10.0.0.1"], model)[0][1]
+
+
+# -- secrets --------------------------------------------------------------------------------------------------------
+
+
+def secret_rows():
+    rng = random.Random(5)
+    key = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
+    rows, want = [], {}
+    for k in range(60):
+        secret = (key(40), "AKIA" + key(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), key(18))[k % 3]
+        lead = ('token = "', "", "password=")[k % 3]
+        text = prose(rng, 20) + " " + lead + secret + ('"' if k % 3 == 0 else "") + " unbelievablylongplainword 4805476200170562123 " + prose(rng, 10)
+        rows.append((k, text, "en", "s"))
+        want[k] = f"{text.index(secret)}:{text.index(secret) + len(secret)}"
+    rows += [(100 + k, prose(rng, 30) + f" commit {key(40)} incomprehensibilities", "en", "s") for k in range(40)]
+    rows += [(200, None, "en", "s"), (201, "", "en", "s"), (0, rows[0][1], "en", "s"), (None, rows[0][1], "en", "s"), (202, "a" * 50_000, "en", "s")]
+    return rows, want
+
+
+def test_secrets_found_and_checksums_left(spark):
+    rows, want = secret_rows()
+    got = secrets.secret_scan(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    assert sum(by[k]["spans"] == w for k, w in want.items()) >= 58
+    assert sum(by[k]["n_secrets"] for k in range(100, 140)) <= 1 and by[200]["n_candidates"] == 0 and by[None]["spans"] == want[0]
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_secrets_masked(spark):
+    rows, want = secret_rows()
+    docs = documents(spark, rows)
+    masked = secrets.redact(docs)
+    assert masked.columns == docs.columns and masked.count() == len(rows)
+    out = {r["doc_id"]: r["text"] for r in masked.collect()}
+    texts = {r[0]: r[1] for r in rows}
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secret_scan(docs).collect()}
+    for k, text in texts.items():
+        plain = text
+        for s, e in sorted((tuple(map(int, x.split(":"))) for x in filter(None, spans[k].split(","))), reverse=True):
+            plain = plain[:s] + secrets.MASK + plain[e:]
+        assert out[k] == plain
+
+
+def test_secrets_without_labelled_findings(spark):
+    docs = documents(spark, [(1, "nothing", "en", "s"), (2, None, "en", "s")])
+    assert [r["n_secrets"] for r in secrets.secret_scan(docs).collect()] == [0, 0]
+    assert secrets.secret_scan(docs.where("false")).count() == 0
+
+
+# -- language -------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def lang_model(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    return langid.train(langid.sample(docs.where(~langid.held_out("doc_id"))))
+
+
+def test_language_on_held_out_documents(spark, lang_model):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(langid.held_out("doc_id"))
+    got = langid.identify(docs, lang_model).select("lang", "lang_pred", "score", "rejected").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
+    assert sum(r["rejected"] for r in got) / len(got) < 0.02 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_language_edge_cases(spark, lang_model):
+    docs = documents(spark, [(1, None, "en", "s"), (2, "", "en", "s"), (3, "12 !?", "en", "s"), (4, "a", "en", "s"), (5, "the thing " * 60_000, "en", "s")])
+    docs = docs.withColumnRenamed("h", "score")
+    got = {r["doc_id"]: r for r in langid.identify(docs, lang_model).collect()}
+    assert all(got[k]["lang_pred"] == "und" and got[k]["rejected"] for k in (1, 2, 3)) and got[4]["lang_pred"] != "und" and got[5]["lang_pred"] == "en"
+    assert langid.train([]).langs == [] and langid.sample(docs.where("false").withColumnRenamed("score", "h")) == []
+    row = spark.createDataFrame([(k,) for k in range(40)] + [(None,)], "doc_id long")
+    for r in row.select("doc_id", langid.held_out("doc_id").alias("h")).collect():
+        assert r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_language_slices_agree(lang_model, monkeypatch):
+    points = langid.codes("Das ist ein Text mit Wörtern und noch mehr davon. " * 30)
+    whole = lang_model.mean_logits(points)
+    monkeypatch.setattr(langid, "SLICE", 37)
+    assert np.allclose(whole, lang_model.mean_logits(points))
+
+
+# -- packing --------------------------------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    extra = [(300, "<|endoftext|> is plain text here", "en", "s"), (301, "naïve \U0001f600  spaces\n\n\t" * 500, "en", "s")]
+    rows = rows + extra
+    got = packing.pack(documents(spark, rows), window=256, group_docs=20).collect()
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(r[1] or "")
+    by_doc = {}
+    for r in got:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+    assert set(by_doc) == set(texts)
+    for i, found in by_doc.items():
+        ids = [np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for x in texts[i]]
+        pieces = sorted((len(x), at, len(x[at : at + 256]), zlib.crc32(x[at : at + 256].tobytes())) for x in ids for at in range(0, len(x), 256))
+        assert sorted((r["doc_tokens"], r["start"], r["length"], r["ids_crc32"]) for r in found) == pieces
+    windows = {}
+    for r in got:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for w in windows.values():
+        w.sort()
+        assert w[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(w, w[1:], strict=False)) and sum(w[-1]) <= 256
+    assert packing.pack(documents(spark, rows).where("false")).count() == 0
+
+
+def test_packing_places_by_least_squares():
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 65, 400)
+    sequence, offset = packing.place(lengths, 64)
+    fill, count = {}, {}
+    for s, q, o in zip(lengths, sequence, offset, strict=True):
+        cost = {}
+        for level in {0, *count}:
+            if level + s <= 64 and (level == 0 or count[level]):
+                after = dict(count)
+                if level:
+                    after[level] -= 1
+                if level + s < 64:
+                    after[level + s] = after.get(level + s, 0) + 1
+                cost[level] = sum(c * c for c in after.values())
+        best = min(cost.values())
+        assert o == fill.get(q, 0) and cost[o] == best and o == max(k for k, c in cost.items() if c == best)
+        if o:
+            count[o] -= 1
+        fill[q] = o + s
+        if fill[q] < 64:
+            count[fill[q]] = count.get(fill[q], 0) + 1
