@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import clamp
+from .windows import clamp, floor_div
 
 
 def _line(axis: str):
@@ -143,8 +143,8 @@ def resize_nearest(grid: DataFrame, shape: tuple[int, int], to: tuple[int, int])
     """Each target cell takes the source at ``t * n_in // n_out``; each source writes its own targets."""
     out = grid
     for axis, n, m in (("i", shape[0], to[0]), ("j", shape[1], to[1])):
-        first = F.ceil(F.col(axis) * F.lit(m / n)).cast("long")
-        last = F.ceil((F.col(axis) + 1) * F.lit(m / n)).cast("long") - 1
+        first = floor_div(F.col(axis) * m + (n - 1), n)
+        last = floor_div((F.col(axis) + 1) * m + (n - 1), n) - 1
         targets = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
         out = out.withColumn(axis, F.explode(targets))
     return out

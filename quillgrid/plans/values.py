@@ -100,7 +100,7 @@ SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice <= lo THEN ylo
 def windowed_baseline(spark, d):
     grid = _line_grid(spark, d)
     out = stats.windowed_baseline(grid, 15)
-    return out.select("i", "j", F.round("beta", 7).alias("beta"), F.round("t_sea", 4).alias("t_sea"))
+    return out.select("i", "j", F.round("beta", 7).alias("beta"), F.round(F.col("t_sea") + 1e-9, 4).alias("t_sea"))
 
 
 def _line_grid(spark, d):
@@ -118,7 +118,7 @@ m AS (SELECT x.i, x.j, coalesce(sum(y.t) FILTER (y.e > 0), 0e0) AS st, coalesce(
   FROM g x JOIN g y ON y.i BETWEEN x.i AND x.i + 14 AND y.j BETWEEN x.j AND x.j + 14 WHERE x.i <= 45 AND x.j <= 36 GROUP BY x.i, x.j),
 n AS (SELECT *, see / (w + 1e-6) - (se / (w + 1e-6)) * (se / (w + 1e-6)) AS var, se_t / (w + 1e-6) - (se / (w + 1e-6)) * (st / (w + 1e-6)) AS cov FROM m),
 b AS (SELECT *, greatest(-0.012e0, least(0e0, CASE WHEN var < 1 OR w < 0.02e0 * 225 THEN -0.0065e0 ELSE cov / (var + 1e-6) END)) AS beta FROM n)
-SELECT i, j, round(beta, 7) AS beta, round(tc - beta * ec, 4) AS t_sea FROM b"""
+SELECT i, j, round(beta, 7) AS beta, round(tc - beta * ec + 1e-9, 4) AS t_sea FROM b"""
 
 
 def climate_correct(spark, d):
@@ -264,7 +264,7 @@ SELECT l_orderkey, l_linenumber, round(s, 6) AS sigma, round(atan(s / 5e-1), 6)
 def solver_steps(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 80.0).alias("x"))
     out = diffusion.solve(e, diffusion.linear_stub(), 6)
-    return out.select("vec_id", F.posexplode("x").alias("k", "v")).select("vec_id", "k", F.round("v", 5).alias("v"))
+    return out.select("vec_id", F.posexplode("x").alias("k", "v")).select("vec_id", "k", (F.round("v", 5) + 0.0).alias("v"))
 
 
 def _solver_sql(steps: int = 6) -> str:
@@ -282,7 +282,7 @@ def _solver_sql(steps: int = 6) -> str:
             ratio = math.log(now / then) / math.log(s[n - 1] / now)
             nxt = f"{r!r}::DOUBLE * x - {r - 1!r}::DOUBLE * c - {0.5 * (r - 1) * ratio!r}::DOUBLE * (c - b)"
         ctes.append(f"s{n + 1} AS (SELECT vec_id, k, {nxt} AS x, c AS b FROM (SELECT *, {clean} AS c FROM s{n}))")
-    return "WITH " + ", ".join(ctes) + f" SELECT vec_id, CAST(k AS INT) AS k, round(x, 5) AS v FROM s{steps}"
+    return "WITH " + ", ".join(ctes) + f" SELECT vec_id, CAST(k AS INT) AS k, round(x, 5) + 0e0 AS v FROM s{steps}"
 
 
 def tensor_unflatten(spark, d):
@@ -333,7 +333,7 @@ def human_bytes(spark, d):
 
 
 HUMAN = """WITH b AS (SELECT doc_id, n_chars * n_chars * 37 AS n FROM documents)
-SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024e0 < 1024 THEN printf('%.1f KiB', n / 1024e0) WHEN n / 1048576e0 < 1024 THEN printf('%.1f MiB', n / 1048576e0) ELSE printf('%.2f GiB', n / 1073741824e0) END AS shown FROM b"""
+SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n / 1024e0 < 1024 THEN printf('%.1f KiB', floor(n / 1024e0 * 10 + 5e-1) / 10) WHEN n / 1048576e0 < 1024 THEN printf('%.1f MiB', floor(n / 1048576e0 * 10 + 5e-1) / 10) ELSE printf('%.2f GiB', floor(n / 1073741824e0 * 100 + 5e-1) / 100) END AS shown FROM b"""
 
 
 def config_json(spark, d):
