@@ -45,9 +45,17 @@ def kernel_wide(sigma: float) -> list[float]:
 
 
 def convolve(grid: DataFrame, axis: str, taps: list[float], v: str = "v") -> DataFrame:
-    half = len(taps) // 2
-    total = sum((neighbour(v, axis, k - half) * F.lit(t) for k, t in enumerate(taps)), F.lit(0.0))
-    return grid.withColumn(v, total)
+    """Weighted sum along an axis; the edge values are looked up once, each other tap is one lag or lead."""
+    half, line = len(taps) // 2, _line(axis)
+    columns = grid.columns
+    edges = {"_lo": F.first(v).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_hi": F.last(v).over(line.rowsBetween(0, Window.unboundedFollowing))}
+    shifted = {f"_m{k}": (F.lag(v, half - k) if k < half else F.lead(v, k - half)).over(line) for k in range(len(taps)) if k != half}
+    at = grid.withColumns(edges | shifted)
+    parts = [(F.col(v) if k == half else F.coalesce(f"_m{k}", "_lo" if k < half else "_hi")) * F.lit(t) for k, t in enumerate(taps)]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return at.withColumn(v, total).select(*columns)
 
 
 def gaussian_blur(grid: DataFrame, sigma: float, wide: bool = False) -> DataFrame:
