@@ -18,15 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import hash_sample, save, table
 from .vectors import common_length, matrix, usable
 
-#: Rows of the sample that the lists are fitted on, and of its part that bounds each query's distance.
+#: Rows of the sample that the lists are fitted on (about, and twice so many at most), and of its part that bounds each query's distance.
 SAMPLE, BOUND_SAMPLE = 20_000, 4_000
 #: Mean rows a list, the most lists, and the recall that probing is set for on the sample.
 LIST_ROWS, MAX_LISTS, RECALL, TUNING_QUERIES = 256, 1024, 0.97, 200
 #: Columns of a scan block and the significance of the abandoning test.
 COLUMNS, EPSILON = 16, 2.1
+#: Share of living candidates above which a block is computed for all.
+DENSE = 0.05
 #: Vectors and queries that one task compares at a time.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 4096
 
@@ -91,6 +93,13 @@ def fit(ids: np.ndarray, x: np.ndarray, rows: int, radius: float, k: int, seed:
     return index
 
 
+def limits(bound: np.ndarray, seen: int, dim: int) -> np.ndarray:
+    """The partial distance over ``seen`` columns beyond which a candidate is abandoned; exact once all are seen."""
+    if seen >= dim:
+        return bound * (1 + 1e-9) + 1e-12
+    return bound * (seen / dim) * (1 + EPSILON / np.sqrt(seen)) ** 2
+
+
 def scan(q: np.ndarray, q_ids: np.ndarray, first: np.ndarray, x: np.ndarray, x_ids: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(query row, vector row) pairs of candidates that the adaptive scan kept, at most k a query beyond ties.
 
@@ -102,18 +111,20 @@ def scan(q: np.ndarray, q_ids: np.ndarray, first: np.ndarray, x: np.ndarray, x_i
     kept_q, kept_x, kept_d = [], [], []
     for at in range(0, len(x), 512):
         part = xr[at : at + 512]
-        head = slice(0, COLUMNS)
-        dist = (qr[:, head] ** 2).sum(1)[:, None] + (part[:, head] ** 2).sum(1)[None, :] - 2 * qr[:, head] @ part[:, head].T
-        seen = min(COLUMNS, dim)
-        limit = bound * (seen / dim) * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else bound
-        i, j = np.nonzero((dist <= limit[:, None]) & (q_ids[:, None] != x_ids[None, at : at + 512]))
+        dist, alive, seen = np.zeros((len(q), len(part))), q_ids[:, None] != x_ids[None, at : at + 512], 0
+        # While many candidates live, a block of columns is one matrix product for all; later it is read for the living only.
+        while seen < dim and (not seen or alive.mean() > DENSE):
+            more = slice(seen, seen + COLUMNS)
+            dist += (qr[:, more] ** 2).sum(1)[:, None] + (part[:, more] ** 2).sum(1)[None, :] - 2 * qr[:, more] @ part[:, more].T
+            seen = min(dim, seen + COLUMNS)
+            alive &= dist <= limits(bound, seen, dim)[:, None]
+        i, j = np.nonzero(alive)
         d = dist[i, j]
         while seen < dim and len(i):
             more = slice(seen, seen + COLUMNS)
             d = d + ((qr[i, more] - part[j, more]) ** 2).sum(1)
             seen = min(dim, seen + COLUMNS)
-            limit = bound * (seen / dim) * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < dim else bound * (1 + 1e-9) + 1e-12
-            stay = d <= limit[i]
+            stay = d <= limits(bound, seen, dim)[i]
             i, j, d = i[stay], j[stay], d[stay]
         kept_q.append(i)
         kept_x.append(j + at)
@@ -151,7 +162,8 @@ def nearest(
     total = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm2)).alias("radius")).first()
     if not total["n"]:
         return spark.createDataFrame([], schema)
-    picked = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    picked = hash_sample(rows, SAMPLE, str(seed), "vec_id", total["n"]).limit(2 * SAMPLE).toPandas()
+    picked = picked.sort_values("vec_id").sample(frac=1, random_state=seed)
     index = fit(picked["vec_id"].to_numpy(np.int64), matrix(picked["v"]), total["n"], total["radius"], k, seed)
     sent = spark.sparkContext.broadcast(index)
 

@@ -40,6 +40,16 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def hash_sample(df: DataFrame, n: int, salt: str, by: str, total: int | None = None) -> DataFrame:
+    """About ``n`` rows drawn by a hash of a column, so that reruns agree; rows travel only once they are drawn.
+
+    (A top-n would send n rows of every task; here all tasks together send about n.)
+    """
+    total = df.count() if total is None else total
+    most = 1 << 30
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), by), F.lit(most)) < F.lit(int(min(1.0, n / max(1, total)) * most)))
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
