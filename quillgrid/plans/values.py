@@ -264,7 +264,9 @@ SELECT l_orderkey, l_linenumber, round(s, 6) AS sigma, round(atan(s / 5e-1), 6)
 def solver_steps(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 80.0).alias("x"))
     out = diffusion.solve(e, diffusion.linear_stub(), 6)
-    return out.select("vec_id", F.posexplode("x").alias("k", "v")).select("vec_id", "k", (F.round("v", 5) + 0.0).alias("v"))
+    # Exploded through a transform: a filter that Spark infers on a plain array would repeat the whole chain.
+    each = F.explode(F.transform("x", lambda v, k: F.struct(k.alias("k"), v.alias("v"))))
+    return out.select("vec_id", each.alias("c")).select("vec_id", "c.k", (F.round("c.v", 5) + 0.0).alias("v"))
 
 
 def _solver_sql(steps: int = 6) -> str:
