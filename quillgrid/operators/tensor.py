@@ -41,7 +41,7 @@ class Store:
         self.spark, self.path = spark, path
         self.nodes: dict[str, Node] = {}
         self.tiles: dict[str, DataFrame] = {}
-        self.computed = 0
+        self._dropped = 0
 
     def get_or_create(self, node: Node) -> Node:
         return self.nodes.setdefault(node.id, node)
@@ -62,8 +62,14 @@ class Store:
 
     def drop(self, node_id: str) -> None:
         found = self.tiles.pop(node_id, None)
-        if found is not None and not self.path:
-            found.unpersist()
+        if found is not None:
+            self._dropped += found.count()
+            if not self.path:
+                found.unpersist()
+
+    def computed(self) -> int:
+        """Windows computed so far, dropped ones included."""
+        return self._dropped + sum(t.count() for t in self.tiles.values())
 
     def clear(self) -> None:
         for node_id in list(self.tiles):

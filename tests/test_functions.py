@@ -165,9 +165,10 @@ def test_tensor_graph(spark):
                 assert abs(got[i, j] - want) < 1e-9
     bad = tensor.Node("bad", calls, calls, lambda wi, wj: np.zeros((3, 4)))
     with pytest.raises(Exception, match="bad"):
-        tensor.slice_node(store, bad, 0, 2, 0, 2).collect()
+        tensor.slice_node(tensor.Store(spark), bad, 0, 2, 0, 2).collect()
+    made = store.computed()
     store.clear()
-    assert store.tiles == {} and tensor.strides((3, 4, 5)) == (20, 5, 1)
+    assert made > 0 and store.computed() == made and store.tiles == {} and tensor.strides((3, 4, 5)) == (20, 5, 1)
 
 
 def test_text(spark):

@@ -139,3 +139,18 @@ def test_quantiles_and_interpolation(spark):
     asked = [-9.0, *xp[:3], 0.1, 0.7, 9.0]
     got = spark.createDataFrame([(float(x),) for x in asked], "x double").crossJoin(knots).select(stats.interp(F.col("x"), F.col("xp"), F.col("fp"), 16).alias("y")).collect()
     assert np.allclose([r["y"] for r in got], np.interp(asked, xp, [k * k for k in range(16)]))
+
+
+def test_elevation_of_neighbouring_regions_agrees(spark):
+    """With a pad of seven low cells a region's heights do not depend on how far the request reaches."""
+    from quillgrid.plans.assembly import elevation
+
+    low, residual = RNG.normal(size=(24, 20)), RNG.normal(size=(48, 40))
+
+    def region(i0, i1, j0, j1):
+        a, b = low[i0:i1, j0:j1], residual[2 * i0 : 2 * i1, 2 * j0 : 2 * j1]
+        out = elevation(frame(spark, b), frame(spark, a), a.shape, 2, 7)
+        return array(out, (2 * (i1 - i0 - 14), 2 * (j1 - j0 - 14)))
+
+    big, small = region(0, 24, 0, 20), region(3, 20, 1, 17)
+    assert np.allclose(big[6 : 6 + small.shape[0], 2 : 2 + small.shape[1]], small)
