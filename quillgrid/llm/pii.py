@@ -21,12 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and between the starts of two windows.
 WINDOW, STRIDE = 64, 32
-#: Documents of the training sample at most, their longest text, and windows drawn from them at most.
+#: Documents of the training sample (about, and twice so many at most), their longest text, and windows drawn from them at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 20_000, 4000
 #: Sizes of the network, and the mean probability of its labels from which a span is added.
 EMBED, HIDDEN, CONFIDENCE = 16, 24, 0.95
@@ -289,7 +289,7 @@ def train(texts: list[str], steps: int = 350, batch: int = 48, rate: float = 0.0
     """A tagger of the texts' base spans: windows with a sign, spans in half of the batch if there are any."""
     rng = np.random.default_rng(seed)
     with_span, without = [], []
-    for text in texts:
+    for text in rng.permutation(np.array(texts, object)):
         labels, symbols = tags_of(text, base_spans(text)), encode(text)
         marks = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
         for s in np.unique(marks // STRIDE):
@@ -321,8 +321,7 @@ def train(texts: list[str], steps: int = 350, batch: int = 48, rate: float = 0.0
 def sample(docs: DataFrame, text_col: str = "text") -> list[str]:
     """Texts with a digit or an at sign, drawn by a hash, so reruns agree."""
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    picked = rows.withColumn("draw", F.xxhash64(F.lit("pii"), "text")).orderBy("draw", "text").limit(SAMPLE_DOCS).select("text").collect()
-    return [r["text"] for r in picked]
+    return sorted(r["text"] for r in hash_sample(rows, SAMPLE_DOCS, "pii", "text").limit(2 * SAMPLE_DOCS).collect())
 
 
 def find(texts: list[str | None], model: Tagger, block: int = 1 << 21) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
