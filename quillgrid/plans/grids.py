@@ -289,10 +289,10 @@ def stream_window_sums(spark, d):
 
     e = table(spark, d, "events").select("ts", F.col("user_id").cast("long").alias("i"), (F.dayofmonth("ts") - 1).cast("long").alias("j"), F.col("value").alias("v"))
     out = window_sums(e, HOP, HOP)
-    return out.select(F.to_date("at.start").alias("day"), "wi", "wj", F.round("total", 4).alias("total"), "n")
+    return out.select(F.date_format("at.start", "yyyy-MM-dd").alias("day"), "wi", "wj", F.round("total", 4).alias("total"), "n")
 
 
-STREAM = f"""WITH w AS {_W} SELECT CAST(ts AS DATE) AS day, a.w AS wi, b.w AS wj, round(sum(value), 4) AS total, count(*) AS n FROM events
+STREAM = f"""WITH w AS {_W} SELECT strftime(ts, '%Y-%m-%d') AS day, a.w AS wi, b.w AS wj, round(sum(value), 4) AS total, count(*) AS n FROM events
 JOIN w a ON user_id >= a.w * 6 AND user_id < a.w * 6 + 8 JOIN w b ON extract('day' FROM ts) - 1 >= b.w * 6 AND extract('day' FROM ts) - 1 < b.w * 6 + 8 GROUP BY ALL"""
 
 
