@@ -17,7 +17,7 @@ from quillgrid.llm.common import save, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts that are null, have no letter or are unlike any language go."""
     model = langid.train(langid.sample(docs))
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    return langid.recognised(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,12 +103,12 @@ def _windows(text: str, rng: np.random.Generator) -> list[np.ndarray]:
     points = codes(text)
     if len(points) < 3:
         return []
-    out = [points[:4096]] if len(points) <= 4096 else []
+    out = [points] if len(points) <= 1000 else []
     for size in (24, 60, 200, 600):
         if len(points) > size:
             at = int(rng.integers(0, len(points) - size))
             out.append(points[at : at + size])
-    return out or [points[:4096]]
+    return out
 
 
 def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, batch: int = 64, seed: int = 9) -> Model:
@@ -118,7 +118,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, batch
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    examples = [(np.concatenate(grams(w)), langs.index(lang), k % 10 == 0) for k, (text, lang) in enumerate(rows) for w in _windows(text, rng)]
+    examples = [(np.concatenate(grams(w)).astype(np.uint16), langs.index(lang), k % 10 == 0) for k, (text, lang) in enumerate(rows) for w in _windows(text, rng)]
     fit, held = [x for x in examples if not x[2]] or examples, [x for x in examples if x[2]] or examples
     weight = 1.0 / np.maximum(1, np.bincount([y for _, y, _ in fit], minlength=len(langs)))
     weight *= len(fit) / len(langs)
@@ -132,16 +132,16 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, batch
             part = [fit[i] for i in order[at : at + batch]]
             lr = rate * (1 - steps / total)
             steps += 1
-            ids, sizes = np.concatenate([g for g, _, _ in part]), np.array([len(g) for g, _, _ in part])
+            ids, sizes = np.concatenate([g for g, _, _ in part]).astype(np.int64), np.array([len(g) for g, _, _ in part])
             y = np.array([k for _, k, _ in part])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            x = np.add.reduceat(emb[ids], starts, axis=0) / sizes[:, None]
+            x = np.add.reduceat(emb[ids], starts, axis=0) / sizes[:, None].astype(np.float32)
             z = x @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             p *= weight[y][:, None]
-            back = (p @ out.T) / sizes[:, None]
+            back = ((p @ out.T) / sizes[:, None]).astype(np.float32)
             # One step for each example in the batch, on embeddings and layer together.
             used, inverse = np.unique(ids, return_inverse=True)
             step = np.empty((len(used), WIDTH), np.float32)
@@ -180,13 +180,8 @@ def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_chars: int = SA
     return [(r["text"], r["lang"]) for r in picked.collect()]
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and lang_pred, score, rejected (columns of these names are replaced).
-
-    Only the text is an input.  A text that is null or has no letter is ``und`` with score 0 and
-    rejected; others get a learned language, and are rejected where the calibrated score is below
-    the model's threshold.  A model without languages says ``und`` to all.
-    """
+def _predictor(docs: DataFrame, model: Model):
+    """A column function from texts to (lang_pred, score, rejected)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -197,8 +192,23 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             out = pd.DataFrame(found, columns=["lang_pred", "score"])
             yield out.assign(rejected=(out["lang_pred"] == UNKNOWN) | (out["score"] < m.threshold))
 
+    return predict
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and lang_pred, score, rejected (columns of these names are replaced).
+
+    Only the text is an input.  A text that is null or has no letter is ``und`` with score 0 and
+    rejected; others get a learned language, and are rejected where the calibrated score is below
+    the model's threshold.  A model without languages says ``und`` to all.
+    """
     docs = docs.drop("lang_pred", "score", "rejected")
-    return docs.withColumn("_said", predict(F.col(text_col))).select(*docs.columns, "_said.*")
+    return docs.withColumn("_said", _predictor(docs, model)(F.col(text_col))).select(*docs.columns, "_said.*")
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`identify` does not reject, with their own columns."""
+    return docs.withColumn("_said", _predictor(docs, model)(F.col(text_col))).where("not _said.rejected").select(*docs.columns)
 
 
 def held_out(doc_id) -> F.Column:
