@@ -34,7 +34,7 @@ TELLING = "secret|token|passwo?r?d?|pwd|api[_ -]?key|auth|credential|access[_ -]
 BENIGN = "commit|sha-?1|sha-?256|md5|checksum|uuid|guid|digest|revision|etag|hash|integrity|build|version"
 ASSIGNED = rf"({TELLING})[A-Za-z0-9_]*[\"']?\s*(=|:|=>|:=)\s*[\"']?$"
 CONTEXT = 64
-#: Documents (about) and characters each that the statistics and the labelled findings come from, and findings at most.
+#: Documents (about) and characters each that the labelled findings come from, and findings at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_FINDINGS = 2000, 20_000, 20_000
 DICTIONARY = 2000
 TREES, DEPTH, THRESHOLD = 20, 6, 0.5
@@ -59,7 +59,8 @@ def sampled(docs: DataFrame, what: str) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> Statistics:
-    words = sampled(docs, "statistics").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
+    """Counts over all texts, each as often as it stands in ``docs``; the shuffle carries distinct words, and 676 pairs at most come back."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
     words, _ = save(words.groupBy("word").count())
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2))))
     counts = {r["pair"]: r["n"] for r in words.select(pair.alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n")).collect()}

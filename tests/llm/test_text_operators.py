@@ -1,9 +1,11 @@
 """Text operators against brute force, round trips and held-out accuracy, with the edge cases of their contracts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -374,6 +376,21 @@ def test_secrets_masked(spark):
         assert out[k] == plain
 
 
+def test_secret_statistics_count_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 5)
+    texts = ["alpha bravo"] * 40 + ["delta echo charlie"] * 7 + [f"number{'x' * (k % 5)} golf" for k in range(60)]
+    texts += ["zebra " * 4000]  # longer than SAMPLE_CHARS
+    got = secrets.statistics(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]))
+    words = Counter(w for t in texts for w in re.findall("[a-z]{2,}", t))
+    pairs = Counter()
+    for w, n in words.items():
+        for a, b in zip(w, w[1:]):
+            pairs[a + b] += n
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    want = [math.log((pairs[a + b] + 1) / sum(pairs[a + c] + 1 for c in letters)) for a in letters for b in letters]
+    assert got.words == sorted(w for w, n in words.items() if len(w) >= 4 and n >= 3) and np.allclose(got.pairs, want)
+
+
 def test_secrets_without_labelled_findings(spark):
     docs = documents(spark, [(1, "nothing", "en", "s"), (2, None, "en", "s")])
     assert [r["n_secrets"] for r in secrets.secret_scan(docs).collect()] == [0, 0]
