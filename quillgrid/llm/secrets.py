@@ -1,7 +1,7 @@
 """Secret scan: candidate strings and a random forest that removes false positives.
 
 Only DataFrame functions and the JVM's forest are used.  Candidates are long runs of key-like
-characters.  The forest looks at length, character transitions, dictionary coverage, path marks
+characters, and values assigned to telling names.  The forest looks at length, character transitions, dictionary coverage, path marks
 and neighbouring words, and is trained on labelled findings: candidates in a bounded sample that
 a provider's format or an assignment to a telling name marks as secrets, and long words, plain
 numbers and named checksums as none.
@@ -20,11 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, save, table
 
-_RUN = "[A-Za-z0-9_+/-]"
-#: A run of 16 characters or more with a digit, or with a capital inside, and with a letter.
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/-]*+[0-9]|[A-Z0-9_+/-]*+[a-z]++[A-Z])(?=[0-9_+/-]*+[A-Za-z]){_RUN}{{16,}}+"
-#: What training looks at as well: any run so long.
-BROAD = rf"(?<!{_RUN}){_RUN}{{16,}}+"
 #: Formats of well-known providers (fixed values).
 PROVIDERS = (
     "^(A[KS]IA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{60,}|glpat-[A-Za-z0-9_-]{20}|xox[abprs]-[A-Za-z0-9-]{20,}"
@@ -33,6 +28,42 @@ PROVIDERS = (
 TELLING = "secret|token|passwo?r?d?|pwd|api[_ -]?key|auth|credential|access[_ -]?key|private[_ -]?key|bearer"
 BENIGN = "commit|sha-?1|sha-?256|md5|checksum|uuid|guid|digest|revision|etag|hash|integrity|build|version"
 ASSIGNED = rf"({TELLING})[A-Za-z0-9_]*[\"']?\s*(=|:|=>|:=)\s*[\"']?$"
+_RUN = "[A-Za-z0-9_+/-]"
+#: A run of 16 characters or more with a digit, or with a capital inside, and with a letter.
+MIXED_RUN = rf"(?<!{_RUN})(?=[A-Za-z_+/-]*+[0-9]|[A-Z0-9_+/-]*+[a-z]++[A-Z])(?=[0-9_+/-]*+[A-Za-z]){_RUN}{{16,}}+"
+#: Any run so long, for training.
+LONG_RUN = rf"(?<!{_RUN}){_RUN}{{16,}}+"
+
+
+def _value() -> str:
+    """The value of an assignment to a telling name: six characters or more, within quotes or up to white space.
+
+    Java bounds what a lookbehind reads, so a name ends 32 characters after its telling word and 8 blanks stand on each side of the sign
+    (63 characters together, all within CONTEXT).  Without quotes, closing signs at the end and a next named value (``,user=``) stay outside.
+    Quoted sentences with a long mixed run are left to that run, and so are addresses without a user.
+    """
+    at = rf"(?<=[=:>\s\"'])(?<=[=:>]\s{{0,8}}[\"']?)(?<=(?i:{TELLING})[A-Za-z0-9_]{{0,32}}[\"']?\s{{0,8}}(?:=>|:=|=|:)\s{{0,8}}[\"']?)(?!(?<=:)=|(?<==)>)(?!\s)"
+    ends, following = r",;.)\]}>\"'", r"(?![,;&|][\"']?[A-Za-z_][A-Za-z0-9_.-]{0,31}[\"']?[=:])"
+    closing, inner = rf"(?:{following}[{ends}])*+", rf"{following}[^\s{ends}]"
+    bare = rf"(?!https?://[^\s@]*+(?:\s|$))(?=(?:{following}\S){{5}}{closing}{inner})(?:{closing}{inner})++"
+    quoted = []
+    for q in "\"'":
+        line = rf"[^{q}\p{{Cntrl}}]"
+        whole = rf"(?!https?://[^\s{q}@]*+{q})(?!(?={line}*?\s){line}*?{MIXED_RUN})(?:\\.|[^{q}\\\p{{Cntrl}}]){{6,}}+(?={q})"
+        quoted.append(rf"(?<={q})(?:{whole}|(?!{line}*+{q}){bare})")
+    return rf"{at}(?:{'|'.join(quoted)}|(?<![\"'])(?![\"']){bare})"
+
+
+VALUE = _value()
+#: Both forms of candidates; a value begins where a run begins, and holds it whole.
+CANDIDATE = f"{VALUE}|{MIXED_RUN}"
+#: What training looks at.
+BROAD = f"{VALUE}|{LONG_RUN}"
+WORDY = "^[A-Z]?[a-z]+$|^[A-Z]+$"
+#: Values that stand for others: expressions, places to fill in, addresses.
+REFERENCE = r"^[$<{\[(%]|[A-Za-z_](\(.*\)|\[\w*\])|^(?:self|this|os|process|env|config|settings)\.|^[*x.]+$|^https?://[^@]*$"
+#: Mean log likelihood of letter pairs below which letters are not words.
+UNLIKE = -4.0
 CONTEXT = 64
 #: Documents (about) and characters each that the labelled findings come from, and findings at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_FINDINGS = 2000, 20_000, 20_000
@@ -123,11 +154,15 @@ def with_features(found: DataFrame, stats: Statistics) -> DataFrame:
 def labelled(found: DataFrame) -> DataFrame:
     """Findings whose label is known, with ``label`` 1 (secret) or 0."""
     value, before = F.col("value"), F.lower("before")
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    good = (value.rlike(PROVIDERS) & value.rlike("[0-9]")) | (before.rlike(ASSIGNED) & mixed)
-    plain = value.rlike("^[A-Z]?[a-z]+$") | value.rlike("^[A-Z]+$") | value.rlike("^[0-9_/+-]+$") | value.rlike("^[a-z]+([_/-][a-z]+)+$")
+    assigned, wordy, reference = before.rlike(ASSIGNED), value.rlike(WORDY), value.rlike(REFERENCE)
+    mixed = value.rlike("[0-9!@#$%^&*?~]") & value.rlike("[A-Za-z]")
+    strange = wordy & (F.length(value) >= 8) & (F.col("f_likelihood") < UNLIKE)
+    good = (value.rlike(PROVIDERS) & value.rlike("[0-9]")) | (assigned & ~reference & (mixed | strange))
+    plain = wordy | value.rlike("^[0-9_/+-]+$") | value.rlike("^[a-z]+([_/-][a-z]+)+$")
     named = before.rlike(rf"({BENIGN})[\"']?\s*[=: ]\s*[\"']?$")
-    label = F.when(good & ~named, F.lit(1.0)).when(plain | named, F.lit(0.0))
+    # Letters or digits alone after a telling name are known where they are a frequent word; otherwise the forest decides.
+    none = named | F.when(assigned, reference | (wordy & (F.col("f_coverage") == 1))).otherwise(plain)
+    label = F.when(good & ~named, F.lit(1.0)).when(none, F.lit(0.0))
     return found.withColumn("label", label).where("label is not null")
 
 
@@ -160,7 +195,8 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = cut(rows, CANDIDATE)
     if model is None:
         # Nothing to learn from: no candidate is removed by its looks; only telling assignments and formats are secrets.
-        sure = (F.col("value").rlike(PROVIDERS) | F.lower("before").rlike(ASSIGNED)).cast("double")
+        telling = F.lower("before").rlike(ASSIGNED) & ~F.col("value").rlike(WORDY) & ~F.col("value").rlike(REFERENCE)
+        sure = (F.col("value").rlike(PROVIDERS) | telling).cast("double")
         scored = found.withColumn("score", sure)
     else:
         scored = model.transform(_assembler().transform(with_features(found, stats))).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
