@@ -1,7 +1,7 @@
 """License scan: ordered signature rules with a keyword prefilter and interval-containment suppression.
 
-A text is matched as its lower-case words joined by single spaces.  Every rule names a word that
-any match holds; only rules whose word stands in the text are tried.  Matches are taken in order
+A text is matched as its lower-case words joined by single spaces.  Every rule names words of which
+any match holds one; only rules with a word that stands in the text are tried.  Matches are taken in order
 of priority, then length; one that lies within an accepted match is suppressed.
 """
 
@@ -27,15 +27,15 @@ _SEPARATORS = bytes(32 if not (48 <= c <= 57 or 97 <= c <= 122 or c >= 128) else
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: frozenset[bytes]
     pattern: re.Pattern
     priority: int
     score: float
 
 
-#: Names: label, keyword, how the license is called, and its SPDX-style tag, in words.
+#: Names: label, keywords (any match holds one), how the license is called, and its SPDX-style tag, in words.
 NAMES = [
-    ("mit", "mit", r"(?:the )?(?:mit|expat)", r"mit(?: 0)?"),
+    ("mit", "mit expat", r"(?:the )?(?:mit|expat)", r"mit(?: 0)?"),
     ("apache-2.0", "apache", r"(?:the )?apache(?: software foundation)?(?: software)?(?: license)?(?: version)? v?2(?: 0)?", r"apache 2 0"),
     ("apache-1.1", "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version)? v?1 1", r"apache 1 1"),
     ("apache-1.0", "apache", r"(?:the )?apache(?: software)?(?: license)?(?: version)? v?1 0", r"apache 1 0"),
@@ -49,7 +49,7 @@ NAMES = [
     ("gfdl-1.1", "gnu", r"(?:the )?gnu free documentation license(?: version)? v?1 1", r"gfdl 1 1(?: only| or later)?"),
     ("gfdl-1.2", "gnu", r"(?:the )?gnu free documentation license(?: version)? v?1 2", r"gfdl 1 2(?: only| or later)?"),
     ("gfdl-1.3", "gnu", r"(?:the )?gnu free documentation license(?: version)? v?1 3", r"gfdl 1 3(?: only| or later)?"),
-    ("bsd-2-clause", "bsd", r"(?:the )?(?:simplified|freebsd|2 clause|two clause)(?: bsd)?|(?:the )?bsd (?:2|two) clause", r"bsd 2 clause"),
+    ("bsd-2-clause", "bsd simplified freebsd clause", r"(?:the )?(?:simplified|freebsd|2 clause|two clause)(?: bsd)?|(?:the )?bsd (?:2|two) clause", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:new|modified|revised|3 clause|three clause) bsd|(?:the )?bsd (?:3|three) clause", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:the )?(?:original|4 clause|four clause) bsd|(?:the )?bsd (?:4|four) clause", r"bsd 4 clause"),
     ("0bsd", "bsd", r"(?:the )?(?:zero clause|0 clause|free public) bsd|(?:the )?bsd zero clause", r"0bsd"),
@@ -78,7 +78,7 @@ NAMES = [
     ("cc-by-nd-4.0", "commons", r"(?:the )?creative commons attribution no ?derivatives(?: version)? 4 0(?: international)?", r"cc by nd 4 0"),
     ("cc-by-nc-sa-4.0", "commons", r"(?:the )?creative commons attribution non ?commercial share ?alike(?: version)? 4 0(?: international)?", r"cc by nc sa 4 0"),
     ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"(?:the )?(?:wtfpl|do what the fuck you want to public license)(?: version)?(?: v?2)?", r"wtfpl"),
+    ("wtfpl", "wtfpl fuck", r"(?:the )?(?:wtfpl|do what the fuck you want to public license)(?: version)?(?: v?2)?", r"wtfpl"),
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)?", r"zlib(?: acknowledgement)?"),
     ("python-2.0", "python", r"(?:the )?python software foundation license(?: version)?(?: v?2(?: 0)?)?", r"python 2 0|psf 2 0"),
     ("php-3.01", "php", r"(?:the )?php license(?: version)?(?: v?3 01)?", r"php 3 01?"),
@@ -96,7 +96,7 @@ NAMES = [
     ("afl-3.0", "academic", r"(?:the )?academic free license(?: version)?(?: v?3(?: 0)?)?", r"afl 3 0"),
     ("vim", "vim", r"(?:the )?vim license", r"vim"),
 ]
-#: How a name is used: keyword where it isn't the name's, pattern, priority, score.
+#: How a name is used: keywords where it isn't the name's, pattern, priority, score.
 FORMS = [
     ("spdx", r"spdx license identifier {tag}", 90, 1.0),
     (None, r"(?:is |are |being )?(?:licensed|released|distributed|provided|available|published|covered)(?: to you)? under(?: the terms of)?(?: the)? {name}(?: licen[cs]e)?", 70, 0.95),
@@ -105,22 +105,22 @@ FORMS = [
     ("opensource", r"opensource org licenses {tag}", 80, 0.95),
     (None, r"{name}", 45, 0.75),
 ]
-#: Sentences of the licenses themselves and generic notices: label, keyword, pattern, priority, score.
+#: Sentences of the licenses themselves and generic notices: label, keywords, pattern, priority, score.
 CLAUSES = [
     ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 100, 1.0),
     ("mit", "noninfringement", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", 95, 0.9),
     ("mit", "copyright", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 95, 0.9),
     ("isc", "granted", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 100, 1.0),
     ("apache-2.0", "apache", r"licensed under the apache license version 2 0(?: the license)? you may not use this file except in compliance with the license", 100, 1.0),
-    ("apache-2.0", "apache", r"(?:http|https)? ?(?:www )?apache org licenses license 2 0", 95, 0.95),
-    ("gpl-2.0", "gnu", r"(?:gnu )?general public license as published by the free software foundation (?:either )?version 2", 100, 1.0),
-    ("gpl-3.0", "gnu", r"(?:gnu )?general public license as published by the free software foundation (?:either )?version 3", 100, 1.0),
+    ("apache-2.0", "licenses", r"(?:http|https)? ?(?:www )?apache org licenses license 2 0", 95, 0.95),
+    ("gpl-2.0", "general", r"(?:gnu )?general public license as published by the free software foundation (?:either )?version 2", 100, 1.0),
+    ("gpl-3.0", "general", r"(?:gnu )?general public license as published by the free software foundation (?:either )?version 3", 100, 1.0),
     ("lgpl-2.1", "lesser", r"(?:gnu )?lesser general public license as published by the free software foundation (?:either )?version 2 1", 101, 1.0),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public license as published by the free software foundation (?:either )?version 3", 101, 1.0),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license as published by the free software foundation (?:either )?version 3", 101, 1.0),
     ("gpl", "gnu", r"you should have received a copy of the gnu general public license along with this (?:program|library|software)", 60, 0.9),
     ("gpl", "free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", 60, 0.9),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public license", 40, 0.8),
+    ("lgpl", "lesser library", r"(?:gnu )?(?:lesser|library) general public license", 40, 0.8),
     ("gpl", "gnu", r"gnu (?:general public license|gpl)", 35, 0.75),
     ("gpl", "general", r"general public license", 20, 0.7),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 100, 0.95),
@@ -134,7 +134,7 @@ CLAUSES = [
     ("epl", "eclipse", r"eclipse public licen[cs]e", 30, 0.7),
     ("apache", "apache", r"apache licen[cs]e", 30, 0.7),
     ("apache", "apache", r"apache software licen[cs]e", 31, 0.7),
-    ("mit", "mit", r"(?:mit|expat) licen[cs]e", 30, 0.75),
+    ("mit", "mit expat", r"(?:mit|expat) licen[cs]e", 30, 0.75),
     ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0", 100, 1.0),
     ("zlib", "altered", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 100, 1.0),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 100, 1.0),
@@ -165,15 +165,15 @@ def rules() -> list[Rule]:
             if form == "{name}" and "licen" not in name:
                 continue  # a word like a product's name says nothing by itself
             pattern = form.format(name=f"(?:{name})", tag=f"(?:{tag})")
-            found.append(Rule(label, (own or keyword).encode(), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
+            found.append(Rule(label, frozenset((own or keyword).encode().split()), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
     for label, keyword, pattern, priority, score in CLAUSES:
-        found.append(Rule(label, keyword.encode(), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
+        found.append(Rule(label, frozenset(keyword.encode().split()), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
     return sorted(found, key=lambda r: -r.priority)
 
 
 RULES = rules()
 _BASE_WORDS = {p: p.split()[0].encode() for p in BASE}
-KEYWORDS = frozenset(r.keyword for r in RULES) | frozenset(_BASE_WORDS.values()) | {b"expat"}
+KEYWORDS = frozenset().union(*(r.keywords for r in RULES), _BASE_WORDS.values())
 
 
 def words(text: str | None) -> list[bytes]:
@@ -198,8 +198,9 @@ def scan(text: str | None) -> dict:
     taken: list[tuple[int, int, Rule]] = []
     begins: list[int] = []
     reach: list[int] = []  # the furthest end among accepted matches up to each begin
-    for priority in sorted({r.priority for r in RULES if r.keyword in here}, reverse=True):
-        level = [(m.start(), m.end(), r) for r in RULES if r.priority == priority and r.keyword in here for m in r.pattern.finditer(joined)]
+    live = [r for r in RULES if r.keywords & here]
+    for priority in sorted({r.priority for r in live}, reverse=True):
+        level = [(m.start(), m.end(), r) for r in live if r.priority == priority for m in r.pattern.finditer(joined)]
         end, fresh = -1, []
         for s, e, r in sorted(level, key=lambda x: (x[0], -x[1], x[2].label)):
             k = bisect_right(begins, s)
