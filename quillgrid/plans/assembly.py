@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blend, diffusion, raster, stats, tensor, windows
 from ..operators.windows import WindowSpec
-from .tables import DAYS, dense_grid, event_grid, table
+from .tables import DAYS, dense_grid, event_grid, height_of, table
 
 
 def elevation(residual: DataFrame, low: DataFrame, low_shape: tuple[int, int], ratio: int, pad: int, sigma: float = 5.0) -> DataFrame:
@@ -56,8 +56,8 @@ def climate_assembly(spark, d):
     known = cells.groupBy("i", "j").agg((F.avg("l_extendedprice") / 1000).alias("t"), ((F.avg("l_discount") - 0.045) * 5000).alias("e"))
     frame = spark.range(0, 60).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("j"))
     coarse = frame.join(known, ["i", "j"], "left").select("i", "j", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("e", F.lit(0.0)).alias("e"))
-    g, _ = dense_grid(spark, d)
-    native = g.where("i < 92").select("i", "j", (F.col("v") * 9 - 200).alias("elev"))
+    g, _ = dense_grid(spark, d)  # rows beyond the coarse grid take its last row's baseline
+    native = g.select("i", "j", (F.col("v") * 9 - 200).alias("elev"))
     out = climate(coarse, native, (60, 50), 2)
     return out.select("i", "j", F.round("temp", 5).alias("temp"), F.round("beta", 7).alias("beta"))
 
@@ -81,13 +81,13 @@ def _coarse_tile(steps: int = 4, size: int = 16):
 
 
 def model_graph(spark, d):
-    """Cells to coarse windows (16 by 12) through the stub solver, blended by weight: each window reads the cells below it."""
+    """Cells to coarse windows (16 by 12) through the stub solver, blended by weight over the whole table: each window reads the cells below it."""
     store = tensor.Store(spark)
     tiles, hop = WindowSpec(32), WindowSpec(16, 12)
     base = store.get_or_create(tensor.Node("cells", tiles, tiles, lambda wi, wj: np.zeros((32, 32))))
     store.put(base, tensor.tiles_from(event_grid(spark, d), base))
     coarse = tensor.Node("coarse", hop, hop, _coarse_tile(), [base], [hop], [hop])
-    num = tensor.slice_node(store, coarse, 0, 24, 0, DAYS)
+    num = tensor.slice_node(store, coarse, 0, height_of(spark, d), 0, DAYS)
     frame = windows.assign(num.select("i", "j"), hop, hop)
     weight = blend.triangle(F.col("i") - hop.start("wi"), 16) * blend.triangle(F.col("j") - hop.start("wj"), 16)
     den = frame.groupBy("i", "j").agg(F.sum(weight).alias("den"))
