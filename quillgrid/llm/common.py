@@ -50,6 +50,14 @@ def hash_sample(df: DataFrame, n: int, salt: str, by: str, total: int | None = N
     return df.where(F.pmod(F.xxhash64(F.lit(salt), by), F.lit(most)) < F.lit(int(min(1.0, n / max(1, total)) * most)))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not yet, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

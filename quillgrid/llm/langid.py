@@ -2,12 +2,14 @@
 
 A text is the average of the embeddings of its hashed character n-grams; a linear layer scores
 the languages.  Both are trained by stochastic gradient descent in numpy on a bounded sample of
-labelled documents.  Scores are calibrated by a temperature and by the rejection threshold that
+labelled documents: mean gradients of a batch, clipped by their norm, in steps that shrink with the
+squares seen so far.  Scores are calibrated by a temperature and by the rejection threshold that
 keeps all but a stated share of held-out calibration windows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,15 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 UNKNOWN = "und"
 #: N-gram orders, hash buckets and embedding width of the model.
 ORDERS, BUCKETS, WIDTH = (1, 2, 3), 1 << 16, 16
-#: Documents a language that training uses at most, and the longest text (characters) among them: the sample stays small at any size.
-SAMPLE_PER_LANG, SAMPLE_CHARS = 800, 20_000
-#: Languages learned at most, the most frequent first.
-MAX_LANGS = 200
+#: Distinct texts a language that training uses (about), all languages' together, and characters of a text's window: the sample stays small at any size.
+SAMPLE_PER_LANG, SAMPLE_ROWS, SAMPLE_CHARS = 800, 40_000, 3000
+#: The longest gradient of a batch, and steps of training at least.
+CLIP, LEAST_STEPS = 5.0, 200
 #: Share of calibration windows that rejection may lose, and the highest threshold.
 LOSS, MAX_THRESHOLD = 0.001, 0.5
 #: Code points scored at a time; longer texts are summed over slices.
@@ -111,49 +113,66 @@ def _windows(text: str, rng: np.random.Generator) -> list[np.ndarray]:
     return out
 
 
-def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, batch: int = 64, seed: int = 9) -> Model:
-    """A model of (text, language) rows; none known when there are no rows."""
+def _clipped(parts: list[np.ndarray]) -> list[np.ndarray]:
+    norm = math.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in parts))
+    return [g * np.float32(CLIP / norm) for g in parts] if norm > CLIP else parts
+
+
+def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.15, batch: int = 64, seed: int = 9) -> Model:
+    """A model of (text, language) rows; none known when there are no rows.  Weights that are not finite are an error."""
     rng = np.random.default_rng(seed)
     rows = sorted(rows)
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    examples = [(np.concatenate(grams(w)).astype(np.uint16), langs.index(lang), k % 10 == 0) for k, (text, lang) in enumerate(rows) for w in _windows(text, rng)]
-    fit, held = [x for x in examples if not x[2]] or examples, [x for x in examples if x[2]] or examples
-    weight = 1.0 / np.maximum(1, np.bincount([y for _, y, _ in fit], minlength=len(langs)))
-    weight *= len(fit) / len(langs)
+    number = {lang: k for k, lang in enumerate(langs)}
+    examples, seen = [], dict.fromkeys(langs, 0)
+    for text, lang in rows:
+        seen[lang] += 1  # every tenth text of a language is for calibration
+        for w in _windows(text, rng):
+            ids, times = np.unique(np.concatenate(grams(w)), return_counts=True)
+            examples.append((ids.astype(np.uint16), (times / times.sum()).astype(np.float32), number[lang], seen[lang] % 10 == 0))
+    if not examples:
+        return Model(langs, np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs)))
+    fit, held = [x for x in examples if not x[3]] or examples, [x for x in examples if x[3]] or examples
+    weight = 1.0 / np.maximum(1, np.bincount([y for _, _, y, _ in fit], minlength=len(langs)))
+    weight *= len(fit) / np.count_nonzero(np.bincount([y for _, _, y, _ in fit], minlength=len(langs)))
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
-    out, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
-    out += rng.normal(0, 0.1, out.shape).astype(np.float32)
-    steps, total = 0, epochs * max(1, -(-len(fit) // batch))
+    out, bias = rng.normal(0, 0.1, (WIDTH, len(langs))).astype(np.float32), np.zeros(len(langs), np.float32)
+    seen_emb, seen_out, seen_bias = np.full(emb.shape, 1e-8, np.float32), np.full(out.shape, 1e-8, np.float32), np.full(bias.shape, 1e-8, np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(fit)))
+    steps, total = 0, epochs * -(-len(fit) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(fit))
         for at in range(0, len(order), batch):
             part = [fit[i] for i in order[at : at + batch]]
-            lr = rate * (1 - steps / total)
+            lr = np.float32(rate * (1 - steps / total))
             steps += 1
-            ids, sizes = np.concatenate([g for g, _, _ in part]).astype(np.int64), np.array([len(g) for g, _, _ in part])
-            y = np.array([k for _, k, _ in part])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            x = np.add.reduceat(emb[ids], starts, axis=0) / sizes[:, None].astype(np.float32)
+            # Share of each n-gram in each example, for the n-grams of the batch.
+            used, place = np.unique(np.concatenate([ids for ids, _, _, _ in part]), return_inverse=True)
+            example = np.repeat(np.arange(len(part)), [len(ids) for ids, _, _, _ in part])
+            share = np.zeros((len(part), len(used)), np.float32)
+            share[example, place] = np.concatenate([x for _, x, _, _ in part])
+            y = np.array([k for _, _, k, _ in part])
+            used = used.astype(np.int64)
+            x = share @ emb[used]
             z = x @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            p *= weight[y][:, None]
-            back = ((p @ out.T) / sizes[:, None]).astype(np.float32)
-            # One step for each example in the batch, on embeddings and layer together.
-            used, inverse = np.unique(ids, return_inverse=True)
-            step = np.empty((len(used), WIDTH), np.float32)
-            spread = np.repeat(back, sizes, axis=0)
-            for w in range(WIDTH):
-                step[:, w] = np.bincount(inverse, spread[:, w], len(used))
-            emb[used] -= lr * 20 * step
-            out -= lr * (x.T @ p) / len(y) * 4
-            bias -= lr * p.mean(0)
+            p *= (weight[y] / len(y)).astype(np.float32)[:, None]
+            g_emb, g_out, g_bias = _clipped([share.T @ (p @ out.T), x.T @ p, p.sum(0)])
+            seen_emb[used] += g_emb * g_emb
+            seen_out += g_out * g_out
+            seen_bias += g_bias * g_bias
+            emb[used] -= lr * g_emb / np.sqrt(seen_emb[used])
+            out -= lr * g_out / np.sqrt(seen_out)
+            bias -= lr * g_bias / np.sqrt(seen_bias)
     model = Model(langs, (emb @ out).astype(np.float32), bias.astype(float))
-    logits = np.array([model.scores[g].mean(0, dtype=np.float64) + model.bias for g, _, _ in held])
-    truth = np.array([k for _, k, _ in held])
+    if not (np.isfinite(model.scores).all() and np.isfinite(model.bias).all()):
+        raise FloatingPointError("training of the language model diverged")
+    logits = np.array([(model.scores[ids.astype(np.int64)] * x[:, None]).sum(0, dtype=np.float64) + model.bias for ids, x, _, _ in held])
+    truth = np.array([k for _, _, k, _ in held])
 
     def loss(t: float) -> float:
         z = logits / t
@@ -167,16 +186,23 @@ def train(rows: list[tuple[str, str]], epochs: int = 3, rate: float = 0.5, batch
     return model
 
 
-def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """About ``per_lang`` labelled rows (text, lang) a language, drawn by a hash of the text, so reruns agree."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)).select("text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, rows_at_most: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
+    """About ``per_lang`` distinct labelled texts (text, lang) a language, drawn by a hash, so reruns agree.
+
+    Every language is kept: where there are many, each gets fewer texts.  Of a text longer than
+    ``chars`` one window is taken, at a place that the hash gives.  Copies count once.
+    """
+    key = F.xxhash64(F.lit("langid"), "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", key.alias("key"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()
     if not counts:
         return []
     most = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_lang / r["count"]) * most))])
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(most))
-    picked = rows.where(draw < F.element_at(share, F.col("lang"))).limit(2 * per_lang * len(counts))
+    each = max(1, min(per_lang, rows_at_most // len(counts)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / max(1, r["n"])) * most)) for r in counts], "lang string, share long")
+    picked = rows.join(F.broadcast(share), "lang").where(F.pmod(F.col("key"), F.lit(most)) < F.col("share"))  # one row a language
+    at = F.pmod(F.shiftright("key", 30), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    picked = picked.select("lang", "key", F.substr("text", at, F.lit(chars)).alias("text")).distinct()
     return [(r["text"], r["lang"]) for r in picked.collect()]
 
 
@@ -203,12 +229,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     the model's threshold.  A model without languages says ``und`` to all.
     """
     docs = docs.drop("lang_pred", "score", "rejected")
-    return docs.withColumn("_said", _predictor(docs, model)(F.col(text_col))).select(*docs.columns, "_said.*")
+    said = unused(docs, "said")
+    return docs.withColumn(said, _predictor(docs, model)(F.col(text_col))).select(*docs.columns, f"{said}.*")
 
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`identify` does not reject, with their own columns."""
-    return docs.withColumn("_said", _predictor(docs, model)(F.col(text_col))).where("not _said.rejected").select(*docs.columns)
+    said = unused(docs, "said")
+    return docs.withColumn(said, _predictor(docs, model)(F.col(text_col))).where(f"not {said}.rejected").select(*docs.columns)
 
 
 def held_out(doc_id) -> F.Column:
@@ -217,6 +245,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from the rows that are not held out: doc_id, held_out, lang_pred, score, rejected."""
     docs = table(spark, sf_dir, "documents")
     model = train(sample(docs.where(~held_out("doc_id"))))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")

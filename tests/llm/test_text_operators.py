@@ -486,11 +486,31 @@ def lang_model(spark, sf):
     return langid.train(langid.sample(docs.where(~langid.held_out("doc_id"))))
 
 
-def test_language_on_held_out_documents(spark, lang_model):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(langid.held_out("doc_id"))
-    got = langid.identify(docs, lang_model).select("lang", "lang_pred", "score", "rejected").collect()
-    assert sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
-    assert sum(r["rejected"] for r in got) / len(got) < 0.02 and all(0 <= r["score"] <= 1 for r in got)
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_language_on_held_out_documents(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
+    got = langid.op9(spark, f"/root/testdata/{scale}").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == docs.count() and all(r["score"] is not None and 0 <= r["score"] <= 1 for r in got)
+    assert {r["doc_id"]: r["held_out"] for r in got} == {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in got}
+    held = [r for r in got if r["held_out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) / len(held) > 0.97
+    assert sum(r["rejected"] for r in held) / len(held) < 0.02
+
+
+def test_language_sample_keeps_every_language_and_windows_of_long_texts(spark):
+    texts = [(k, f"common words {k} " * 3, "aa", "s") for k in range(300)] + [(900, "one copy", "aa", "s")] * 500
+    texts += [(1000 + k, "rare", f"r{k}", "s") for k in range(30)] + [(2000, "long text in its own language " * 900, "zz", "s"), (2001, None, "yy", "s")]
+    got = langid.sample(documents(spark, texts), per_lang=50)
+    count = Counter(lang for _, lang in got)
+    assert set(count) == {"aa", "zz", *(f"r{k}" for k in range(30))} and 20 < count["aa"] < 90
+    assert all(len(t) <= langid.SAMPLE_CHARS for t, _ in got) and sorted(got) == sorted(langid.sample(documents(spark, texts[::-1]), per_lang=50))
+    assert langid.train(got).predict("long text in its own language")[0] == "zz"
+
+
+def test_language_training_on_repeats_stays_finite():
+    rows = [("aaaa bbbb " * 200, "x")] * 400 + [("cccc dddd " * 200, "y")] * 3
+    model = langid.train(rows, rate=5.0)
+    assert np.isfinite(model.scores).all() and model.predict("cccc dddd")[0] == "y" and model.predict("aaaa bbbb")[0] == "x"
 
 
 def test_language_edge_cases(spark, lang_model):
