@@ -1,10 +1,10 @@
 """Personal data: a character-level bidirectional LSTM with CRF transitions beside fixed patterns.
 
-The fixed patterns give the base spans.  The network is trained in numpy on a bounded sample in
-which base spans are the labels.  It reads overlapping windows of a text; for each character the
-window in whose middle it lies decides, so the decoded windows agree on one global labelling.
-Every kind holds a digit or an at sign, so only windows that hold one are read; all others are
-outside by definition.
+The fixed patterns give the base spans.  The network finds what they miss: spelled-out, broken and
+disguised forms.  It is trained in numpy on labelled spans in windows of a bounded sample: base spans
+as they stand, base spans and made-up ones in disguise, and look-alikes that are none.  It reads
+overlapping windows of every whole text; for each character the window in whose middle it lies
+decides, so the decoded windows agree on one global labelling.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from .common import hash_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window and between the starts of two windows.
-WINDOW, STRIDE = 64, 32
-#: Documents of the training sample (about, and twice so many at most), their longest text, and windows drawn from them at most.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 20_000, 4000
+#: Characters of a window, between the starts of two windows, and of a window in training.
+WINDOW, STRIDE, SHORT = 160, 128, 80
+#: Documents of the training sample (about), characters of the part that is taken from each, and windows drawn from them at most.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 4000, 3000
 #: Sizes of the network, and the mean probability of its labels from which a span is added.
-EMBED, HIDDEN, CONFIDENCE = 16, 24, 0.95
-#: Windows that one pass through the network reads.
-BATCH = 512
+EMBED, HIDDEN, CONFIDENCE = 16, 20, 0.7
+#: Windows that one pass through the network reads, and characters of texts that are laid side by side for it.
+BATCH, BLOCK = 256, 1 << 20
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 VOCAB = 131  # ASCII, and: other letter, other character, padding
 PAD = 130
@@ -42,7 +42,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -88,54 +87,58 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 def encode(text: str) -> np.ndarray:
     """Input symbols of a text's characters."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, points, np.where((points >= 0xC0) & (points < 0x2000), 128, 129)).astype(np.int64)
+    return np.where(points < 128, points, np.where((points >= 0xC0) & (points < 0x2000), 128, 129)).astype(np.uint8)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|): the activation of cells and, from 0 to 1, of gates; its slope is (1 - |y|) squared."""
+    return x / (1 + np.abs(x))
 
 
 @dataclass
 class Tagger:
-    """Weights of the network; arrays are float32 by name."""
+    """Weights of the network; arrays are float32 by name.  Arrays of both reading directions are stacked."""
 
     w: dict[str, np.ndarray]
 
     @staticmethod
     def fresh(rng: np.random.Generator) -> Tagger:
-        w = {"emb": rng.normal(0, 0.3, (VOCAB, EMBED)), "out": rng.normal(0, 0.2, (2 * HIDDEN, TAGS)), "bias": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
-        for d in "fb":
-            w[f"x{d}"] = rng.normal(0, EMBED**-0.5, (EMBED, 4 * HIDDEN))
-            w[f"h{d}"] = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 4 * HIDDEN))
-            w[f"c{d}"] = np.zeros(4 * HIDDEN)
-            w[f"c{d}"][HIDDEN : 2 * HIDDEN] = 1.0  # gates remember at first
+        w = {"emb": rng.normal(0, 0.5, (VOCAB, EMBED)), "out": rng.normal(0, 0.3, (2 * HIDDEN, TAGS)), "bias": np.zeros(TAGS), "trans": np.zeros((TAGS, TAGS))}
+        w |= {"x": rng.normal(0, EMBED**-0.5, (2, EMBED, 4 * HIDDEN)), "h": rng.normal(0, HIDDEN**-0.5, (2, HIDDEN, 4 * HIDDEN)), "c": np.zeros((2, 1, 4 * HIDDEN))}
+        w["c"][:, :, HIDDEN : 2 * HIDDEN] = 1.5  # gates remember at first
         return Tagger({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _lstm(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """Hidden states in reading order, and what the backward pass needs.  x: (time, batch, embed)."""
-        n, size = x.shape[:2]
-        inputs = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        h = c = np.zeros((size, HIDDEN), np.float32)
-        out, kept = np.empty((n, size, HIDDEN), np.float32), []
+    def states(self, symbols: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """Hidden states (time, batch, both directions) of windows (batch, time); ``kept`` collects what the backward pass needs."""
+        size, n = symbols.shape
+        inputs = self.w["emb"] @ self.w["x"] + self.w["c"]  # of each symbol, by direction
+        by_time = np.ascontiguousarray(symbols.T)
+        h = c = np.zeros((2, size, HIDDEN), np.float32)
+        states = np.empty((n, size, 2 * HIDDEN), np.float32)
+        z, g, half = np.empty((2, size, 4 * HIDDEN), np.float32), np.empty((2, size, 4 * HIDDEN), np.float32), np.float32(0.5)
         for t in range(n):
-            z = inputs[t] + h @ self.w[f"h{d}"]
-            gates = _sigmoid(z[:, : 3 * HIDDEN])
-            i, f, o, g = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :], np.tanh(z[:, 3 * HIDDEN :])
+            inputs[0].take(by_time[t], axis=0, out=g[0], mode="clip")
+            inputs[1].take(by_time[n - 1 - t], axis=0, out=g[1], mode="clip")
+            np.matmul(h, self.w["h"], out=z)
+            z += g
+            np.abs(z, out=g)
+            g += 1
+            np.divide(z, g, out=g)
+            gates = np.multiply(g[:, :, : 3 * HIDDEN], half)
+            gates += half
             before, last = c, h
-            c = f * c + i * g
-            tc = np.tanh(c)
-            h = o * tc
-            out[t] = h
-            kept.append((i, f, o, g, before, tc, last))
-        return out, kept
-
-    def emissions(self, symbols: np.ndarray) -> tuple[np.ndarray, tuple]:
+            c = gates[:, :, HIDDEN : 2 * HIDDEN] * c
+            c += gates[:, :, :HIDDEN] * g[:, :, 3 * HIDDEN :]
+            squashed = _squash(c)
+            h = gates[:, :, 2 * HIDDEN :] * squashed
+            states[t, :, :HIDDEN], states[n - 1 - t, :, HIDDEN:] = h[0], h[1]
+            if kept is not None:
+                kept.append((g.copy(), gates, before, squashed, last))
+        return states
+
+    def emissions(self, symbols: np.ndarray) -> np.ndarray:
         """Tag scores (time, batch, tag) of windows (batch, time)."""
-        x = self.w["emb"][symbols.T]
-        f, kept_f = self._lstm(x, "f")
-        b, kept_b = self._lstm(x[::-1], "b")
-        h = np.concatenate([f, b[::-1]], axis=2)
-        return h @ self.w["out"] + self.w["bias"], (x, h, kept_f, kept_b)
+        return self.states(symbols) @ self.w["out"] + self.w["bias"]
 
     def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(tag probabilities, transition probabilities summed over time, log partition) of the chain."""
@@ -159,21 +162,22 @@ class Tagger:
         return a * b, pairs, (np.log(scale) + top).sum((0, 2))
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """The best tag sequence (time, batch)."""
-        trans, score, back = self.w["trans"], e[0], np.zeros(e.shape, np.int8)
-        for t in range(1, len(e)):
-            step = score[:, :, None] + trans[None]
-            back[t] = step.argmax(1)
-            score = step.max(1) + e[t]
-        path = np.empty(e.shape[:2], np.int64)
-        path[-1] = score.argmax(1)
-        for t in range(len(e) - 2, -1, -1):
-            path[t] = np.take_along_axis(back[t + 1], path[t + 1][:, None], 1)[:, 0]
+        """The best tag sequence (time, batch): best scores forwards, then the best predecessor of each chosen tag backwards."""
+        n, size = e.shape[:2]
+        trans, best = self.w["trans"], np.ascontiguousarray(e.transpose(0, 2, 1))
+        for t in range(1, n):
+            best[t] += (best[t - 1][:, None, :] + trans[:, :, None]).max(0)
+        path = np.empty((n, size), np.int64)
+        path[-1] = best[-1].argmax(0)
+        for t in range(n - 2, -1, -1):
+            path[t] = (best[t] + trans[:, path[t + 1]]).argmax(0)
         return path
 
     def gradients(self, symbols: np.ndarray, tags: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean negative log likelihood of windows and their tags (batch, time)."""
-        e, (x, h, kept_f, kept_b) = self.emissions(symbols)
+        kept: list = []
+        states = self.states(symbols, kept)
+        e = states @ self.w["out"] + self.w["bias"]
         p, pairs, partition = self.marginals(e)
         y = tags.T
         gold = np.take_along_axis(e, y[:, :, None], 2)[:, :, 0].sum(0) + self.w["trans"][y[:-1], y[1:]].sum(0)
@@ -182,69 +186,69 @@ class Tagger:
         np.put_along_axis(de, y[:, :, None], np.take_along_axis(de, y[:, :, None], 2) - 1, 2)
         de = (de / size).astype(np.float32)
         np.subtract.at(pairs, (y[:-1].ravel(), y[1:].ravel()), 1)
-        g = {"trans": (pairs / size).astype(np.float32), "out": np.einsum("tbh,tbk->hk", h, de), "bias": de.sum((0, 1))}
+        found = {"trans": (pairs / size).astype(np.float32), "out": np.einsum("tbh,tbk->hk", states, de), "bias": de.sum((0, 1))}
         dh = de @ self.w["out"].T
-        dx = np.zeros_like(x)
-        for d, kept, part, flip in (("f", kept_f, dh[:, :, :HIDDEN], 1), ("b", kept_b, dh[::-1, :, HIDDEN:], -1)):
-            dz_all = np.empty((n, size, 4 * HIDDEN), np.float32)
-            carry_h = carry_c = np.zeros((size, HIDDEN), np.float32)
-            wh, gh = self.w[f"h{d}"], np.zeros_like(self.w[f"h{d}"])
-            for t in range(n - 1, -1, -1):
-                i, f, o, c_new, before, tc, last = kept[t]
-                ht = part[t] + carry_h
-                ct = carry_c + ht * o * (1 - tc * tc)
-                dz = dz_all[t]
-                dz[:, :HIDDEN] = ct * c_new * i * (1 - i)
-                dz[:, HIDDEN : 2 * HIDDEN] = ct * before * f * (1 - f)
-                dz[:, 2 * HIDDEN : 3 * HIDDEN] = ht * tc * o * (1 - o)
-                dz[:, 3 * HIDDEN :] = ct * i * (1 - c_new * c_new)
-                gh += last.T @ dz
-                carry_h, carry_c = dz @ wh.T, ct * f
-            xs = x[::flip]
-            g[f"h{d}"], g[f"c{d}"] = gh, dz_all.sum((0, 1))
-            g[f"x{d}"] = np.einsum("tbe,tbk->ek", xs, dz_all)
-            dx += (dz_all @ self.w[f"x{d}"].T)[::flip]
-        g["emb"] = np.zeros_like(self.w["emb"])
-        np.add.at(g["emb"], symbols.T, dx)
-        return g, float((partition - gold).mean())
+        dz = np.empty((n, 2, size, 4 * HIDDEN), np.float32)
+        carry_h = carry_c = np.zeros((2, size, HIDDEN), np.float32)
+        back, dw = self.w["h"].transpose(0, 2, 1), np.zeros_like(self.w["h"])
+        for t in range(n - 1, -1, -1):
+            g, gates, before, squashed, last = kept[t]
+            slope = (1 - np.abs(g)) ** 2
+            slope[:, :, : 3 * HIDDEN] *= 0.5
+            ht = np.stack([dh[t, :, :HIDDEN], dh[n - 1 - t, :, HIDDEN:]]) + carry_h
+            ct = carry_c + ht * gates[:, :, 2 * HIDDEN :] * (1 - np.abs(squashed)) ** 2
+            dz[t] = np.concatenate([ct * g[:, :, 3 * HIDDEN :], ct * before, ht * squashed, ct * gates[:, :, :HIDDEN]], axis=2) * slope
+            dw += last.transpose(0, 2, 1) @ dz[t]
+            carry_h, carry_c = dz[t] @ back, ct * gates[:, :, HIDDEN : 2 * HIDDEN]
+        # By symbol: the inputs of a direction are a table of VOCAB rows.
+        table = np.zeros((2, VOCAB, 4 * HIDDEN), np.float32)
+        for k, seen in enumerate((symbols.T, symbols.T[::-1])):
+            at = np.zeros((VOCAB, n * size), np.float32)
+            at[seen.ravel(), np.arange(n * size)] = 1
+            table[k] = at @ dz[:, k].reshape(n * size, -1)
+        found |= {"h": dw, "c": table.sum(1, keepdims=True), "x": self.w["emb"].T @ table, "emb": (table @ self.w["x"].transpose(0, 2, 1)).sum(0)}
+        return found, float((partition - gold).mean())
+
+    def decode(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, best tags (window, time), their probabilities) of the windows that are not outside throughout."""
+        e = self.emissions(symbols)
+        tags = self.viterbi(e)
+        some = np.flatnonzero(tags.any(0))
+        tags = tags[:, some]
+        p = np.take_along_axis(self.marginals(e[:, some])[0], tags[:, :, None], 2)[:, :, 0] if len(some) else np.empty(tags.shape)
+        return some, tags.T, p.T
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, ...]:
-        """(text number, position, tag, probability) of the characters in windows that hold a digit or an at sign.
+        """(text number, position, tag, probability) of all characters that are not outside.
 
         Overlapping windows are reconciled over each whole text: a character takes its tag from the
-        window in which it stands furthest from an edge, the earlier one on a tie.
+        window in which it stands furthest from an edge.
         """
-        # Texts stand side by side, each from a multiple of the stride and with a window of padding behind it.
-        room = [-(-(len(t) + WINDOW) // STRIDE) * STRIDE for t in texts]
-        base = np.concatenate([[0], np.cumsum(room)]).astype(np.int64)
-        symbols = np.full(base[-1] + WINDOW, PAD, np.uint8)
-        firsts = []
-        for t, at in zip(texts, base[:-1], strict=True):
-            symbols[at : at + len(t)] = encode(t)
-            marks = np.fromiter((m.start() for m in _TRIGGER.finditer(t)), np.int64) // STRIDE
-            firsts.append(at + STRIDE * np.unique(np.concatenate([marks, np.maximum(0, marks - 1)])))
-        first = np.concatenate(firsts) if firsts else np.empty(0, np.int64)
-        starts_text, offsets = np.isin(first, base), np.arange(WINDOW)
+        # Texts stand side by side, each with padding up to the end of its last window.
+        windows = np.array([max(1, -(-(len(t) - WINDOW) // STRIDE) + 1) for t in texts], np.int64)
+        room = (windows - 1) * STRIDE + WINDOW
+        base = np.cumsum(room) - room
+        symbols = np.full(int(room.sum()), PAD, np.uint8)
+        for t, at in zip(texts, base, strict=True):
+            for k in range(0, len(t), BLOCK):
+                part = encode(t[k : k + BLOCK])
+                symbols[at + k : at + k + len(part)] = part
+        own = np.repeat(np.arange(len(texts)), windows)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
+        margin, offsets = (WINDOW - STRIDE) // 2, np.arange(WINDOW)
         found = []
-        for at in range(0, len(first), BATCH):
-            begin = first[at : at + BATCH, None]
-            pos = begin + offsets
-            window = symbols[pos].astype(np.int64)
-            e, _ = self.emissions(window)
-            tags = self.viterbi(e).T
-            p = np.take_along_axis(self.marginals(e)[0], tags.T[:, :, None], 2)[:, :, 0].T
-            left = np.where(starts_text[at : at + BATCH, None], WINDOW, offsets)
-            right = np.where(window[:, -1:] == PAD, WINDOW, WINDOW - 1 - offsets)
-            ok = window != PAD
-            found.append((pos[ok], tags[ok], p[ok], np.minimum(left, right)[ok]))
+        for at in range(0, len(own), BATCH):
+            part = slice(at, at + BATCH)
+            first, start = own[part], nth[part] * STRIDE
+            some, tags, p = self.decode(symbols[(base[first] + start)[:, None] + offsets])
+            if len(some):
+                low = np.where(nth[part][some] == 0, 0, margin)[:, None]
+                high = np.where(nth[part][some] == windows[first[some]] - 1, WINDOW, margin + STRIDE)[:, None]
+                k, c = np.nonzero((tags > 0) & (offsets >= low) & (offsets < high))
+                found.append((first[some][k], start[some][k] + c, tags[k, c], p[k, c]))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        pos, tag, p, edge = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((-edge, pos))
-        pos, tag, p = pos[order], tag[order], p[order]
-        best = np.concatenate([[True], np.diff(pos) != 0])
-        own = np.searchsorted(base, pos[best], side="right") - 1
-        return own, pos[best] - base[own], tag[best], p[best]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def spans(self, texts: list[str], confidence: float = CONFIDENCE) -> list[dict[str, list[tuple[int, int]]]]:
         """Spans of each kind in each text that the network is sure of."""
@@ -257,22 +261,78 @@ class Tagger:
         at = np.flatnonzero(starts)
         ends = np.append(at[1:], len(pos))
         for s, e in zip(at[tag[at] % 2 == 1], ends[tag[at] % 2 == 1], strict=True):
-            if p[s:e].mean() >= confidence:
+            if p[s:e].mean() >= confidence and pos[e - 1] < len(texts[own[s]]):
                 found[own[s]][KINDS[kind[s] - 1]].append((int(pos[s]), int(pos[e - 1]) + 1))
         return found
 
 
+_AT, _DOT = r"(?:\s?[\[({<]\s?(?:at|@)\s?[\])}>]\s?|\s?@\s?)", r"(?:\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s?\.\s?|\sdot\s)"
+_PART = "[a-z0-9_+-]+"
+#: Disguised addresses; a bare "at" counts only beside a spelled "dot", as "look at a.com" is none.
+_SPELLED_EMAIL = re.compile(rf"{_PART}(?:(?:\.|{_DOT}){_PART})*(?:{_AT}{_PART}(?:{_DOT}{_PART})*{_DOT}[a-z]{{2,}}|\sat\s{_PART}(?:\sdot\s{_PART})*\sdot\s[a-z]{{2,}})", re.IGNORECASE)
+_SPELLED_IP = re.compile(rf"[0-9]{{1,3}}({_DOT})[0-9]{{1,3}}(?:\1[0-9]{{1,3}}){{2}}", re.IGNORECASE)
+_BROKEN_CARD = re.compile(r"[0-9]{4}([^0-9A-Za-z]{1,3})[0-9]{4}(?:\1[0-9]{1,6}){1,3}")
+_BROKEN_PHONE = re.compile(r"(?:(?:\+|00|plus) ?[0-9]{1,3}[^0-9A-Za-z]{0,3})?\(?[0-9]{1,4}\)?(?:[^0-9A-Za-z]{1,3}[0-9]{2,4}){1,4}", re.IGNORECASE)
+_DATE = re.compile(r"(?:[0-9]{4}([-./ ])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-./ ])[0-9]{1,2}\2[0-9]{4}|[0-9]{4}[^0-9]{1,3}[0-9]{4})")
+
+
 def plausible(kind: str, span: str) -> bool:
-    """Whether a span that the network found can be of its kind: the checks of the patterns without their exact form."""
+    """Whether a span that the network found can be of its kind: the whole span has one of the disguised forms and passes the kind's counts."""
     numbers = re.findall("[0-9]+", span)
     digits = "".join(numbers)
     if kind == "email":
-        return 0 < span.find("@") < len(span) - 1
+        return bool(_SPELLED_EMAIL.fullmatch(span))
+    if kind == "ip":
+        return bool(_SPELLED_IP.fullmatch(span)) and all(int(x) <= 255 for x in numbers)
+    if kind == "card":
+        return bool(_BROKEN_CARD.fullmatch(span)) and 16 <= len(digits) <= 19 and luhn(digits)
+    return bool(_BROKEN_PHONE.fullmatch(span)) and 8 <= len(digits) <= 15 and not _DATE.fullmatch(span)
+
+
+_ATS = ["@", " @ ", " at ", " at ", " AT ", "(at)", "[at]", " (at) ", " [at] ", "{at}", " <at> ", "[@]", "(@)"]
+_DOTS = [".", " dot ", " dot ", " DOT ", "[.]", "(.)", "[dot]", "(dot)", " [dot] ", " (dot) ", " . "]
+_ENDS = ["com", "org", "net", "edu", "de", "fr", "es", "uk", "io", "info"]
+
+
+def disguised(kind: str, rng: np.random.Generator, word, span: str = "") -> str:
+    """A made-up span of a kind, or the given base span, in a spelled-out or broken form.  ``word()`` gives a word of letters."""
+    pick = lambda items: items[int(rng.integers(len(items)))]
+    number = lambda n: "".join(str(x) for x in rng.integers(0, 10, n))
+    if kind == "email":
+        local, _, domain = (span or f"{word()}{pick(['.', '_', '-', ''])}{pick([word(), number(2), ''])}@{word()}{pick(['', number(1), '.' + word()])}.{pick(_ENDS)}").partition("@")
+        at, dot = pick(_ATS), pick(_DOTS)
+        if at.strip().lower() == "at" and dot.strip().lower() != "dot":
+            dot = " dot "
+        elif at == "@" and dot == ".":
+            at = "[at]"
+        return local.strip(".").replace(".", dot if rng.random() < 0.5 else ".") + at + domain.strip(".-").replace(".", dot)
     if kind == "ip":
-        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+        return pick(_DOTS[1:]).join(span.split(".") if span else [str(x) for x in rng.integers(0, 256, 4)])
     if kind == "card":
-        return 16 <= len(digits) <= 19 and luhn(digits)
-    return 8 <= len(digits) <= 15
+        digits = re.sub("[^0-9]", "", span)
+        if not digits:
+            digits = number(15)
+            digits += next(d for d in "0123456789" if luhn(digits + d))
+        gap = pick([".", "/", "_", "  ", " - ", " . ", "\u00a0", "--", " / "])
+        return gap.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    a, b, c = number(3), number(3), number(4)
+    gap = pick(["-", ".", " ", "/", " - "])
+    lead = pick(["", "", "00" + number(1) + gap, "plus " + number(1) + " ", "+" + number(1) + "/", "+ " + number(2) + " ", number(1) + " "])
+    return lead + pick([f"({a}) {b}-{c}", f"{a}{gap}{b}{gap}{c}", f"({a}){gap}{b}{gap}{c}", f"{a} / {b} {c[:2]} {c[2:]}"])
+
+
+def lookalike(rng: np.random.Generator, word) -> str:
+    """Something that resembles personal data and is none."""
+    n = lambda low, high: str(int(rng.integers(low, high)))
+    made = [
+        lambda: f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}", lambda: f"{n(1, 29)}/{n(1, 13)}/{n(1900, 2100)}", lambda: f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}",
+        lambda: f"v{n(0, 20)}.{n(0, 20)}.{n(0, 20)}", lambda: f"section {n(1, 9)}.{n(1, 9)}.{n(1, 9)}", lambda: f"${n(1, 999)},{n(100, 999)}.{n(10, 99)}", lambda: f"{n(0, 9)}.{n(10000, 99999)}",
+        lambda: f"ISBN 978-{n(0, 9)}-{n(10, 99)}-{n(100000, 999999)}-{n(0, 9)}", lambda: f"pages {n(1, 500)}-{n(500, 999)}", lambda: f"{n(1900, 2000)}-{n(2000, 2100)}", lambda: f"order {n(10**9, 10**10)}",
+        lambda: "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, 40)), lambda: f"{word()} at {word()}", lambda: f"look at {word()}.com", lambda: f"the dot on the {word()} at noon",
+        lambda: f"@{word()}", lambda: f"{word()}@{word()}", lambda: f"{word()}.{word()}", lambda: "-".join("".join("0123456789abcdef"[k] for k in rng.integers(0, 16, m)) for m in (8, 4, 4, 4, 12)),
+        lambda: f"{n(10**15, 10**16)}", lambda: f"{n(256, 999)}.{n(256, 999)}.{n(256, 999)}.{n(256, 999)}", lambda: f"{n(1, 99)} dot {n(1, 99)}", lambda: f"{n(1, 9)} x {n(10, 99)} - {n(10, 99)}",
+    ]
+    return made[int(rng.integers(len(made)))]()
 
 
 def tags_of(text: str, spans: dict[str, list[tuple[int, int]]]) -> np.ndarray:
@@ -285,46 +345,97 @@ def tags_of(text: str, spans: dict[str, list[tuple[int, int]]]) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], steps: int = 350, batch: int = 48, rate: float = 0.015, seed: int = 2) -> Tagger:
-    """A tagger of the texts' base spans: windows with a sign, spans in half of the batch if there are any."""
-    rng = np.random.default_rng(seed)
+def examples(texts: list[str], rng: np.random.Generator, most: int = SAMPLE_WINDOWS) -> tuple[list, list]:
+    """Labelled windows (symbols, tags): with spans, and without.
+
+    Each text gives windows around its base spans, half of them with the span in disguise, and windows elsewhere into which a made-up
+    disguised span, a look-alike or nothing is put.
+    """
+    words = sorted({w.lower() for t in texts[:300] for w in re.findall(r"[^\W\d_]{2,9}", t)}) or ["name"]
+    plain = [w for w in words if w.isascii()] or ["name"]
+    word = lambda: plain[int(rng.integers(len(plain)))]
     with_span, without = [], []
+
+    def add(text: str, spans: dict[str, list[tuple[int, int]]], near: int) -> None:
+        at = max(0, near - int(rng.integers(0, SHORT)))
+        labels = tags_of(text, spans)[at : at + SHORT]
+        x, y = np.full(SHORT, PAD), np.zeros(SHORT, np.int64)
+        part = encode(text[at : at + SHORT])
+        x[: len(part)], y[: len(part)] = part, labels
+        (with_span if y.any() else without).append((x, y))
+
     for text in rng.permutation(np.array(texts, object)):
-        labels, symbols = tags_of(text, base_spans(text)), encode(text)
-        marks = np.fromiter((m.start() for m in _TRIGGER.finditer(text)), np.int64)
-        for s in np.unique(marks // STRIDE):
-            at = max(0, int(s) * STRIDE - int(rng.integers(0, STRIDE)))
-            pos = at + np.arange(WINDOW)
-            ok = pos < len(text)
-            x, y = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
-            x[ok], y[ok] = symbols[pos[ok]], labels[pos[ok]]
-            (with_span if y.any() else without).append((x, y))
-        if len(with_span) + len(without) >= 2 * SAMPLE_WINDOWS:
+        if len(with_span) >= most and len(without) >= most:
             break
+        base = base_spans(text)
+        for kind in KINDS:
+            for s, e in base[kind][:4]:
+                low, high = max(0, s - SHORT), e + SHORT
+                near = {k: [(a - low, b - low) for a, b in base[k] if low <= a and b <= high] for k in KINDS}
+                add(text[low:high], near, s - low)
+                left, right, made = text[low:s], text[e:high], disguised(kind, rng, word, text[s:e])
+                add(left + made + right, {k: [(len(left), len(left) + len(made))] if k == kind else [] for k in KINDS}, len(left))
+        for _ in range(3):
+            s = int(rng.integers(0, max(1, len(text))))
+            s = text.find(" ", s) + 1 or s
+            left, right = text[max(0, s - SHORT) : s], text[s : s + SHORT]
+            if any(v for v in base_spans(left + right).values()):
+                continue
+            draw, kind = rng.random(), KINDS[int(rng.integers(len(KINDS)))]
+            made = disguised(kind, rng, word) if draw < 0.4 else lookalike(rng, word) if draw < 0.8 else ""
+            gap = " " if made and rng.random() < 0.9 else ""
+            whole = left + made + gap + right
+            spans = base_spans(whole)  # a made-up span may have its plain form
+            if draw < 0.4 and not any(spans.values()):
+                spans[kind] = [(len(left), len(left) + len(made))]
+            add(whole, spans, len(left))
+    return with_span[:most], without[:most]
+
+
+def train(texts: list[str], steps: int = 700, batch: int = 32, rate: float = 0.02, seed: int = 2) -> Tagger:
+    """A tagger of labelled windows of the texts, half of each batch with spans.  Weights that are not finite are an error."""
+    rng = np.random.default_rng(seed)
+    pools = [p for p in examples(texts, rng) if p]
     model = Tagger.fresh(rng)
-    if not with_span:
+    if len(pools) < 2:
+        model.w["out"][:] = 0
         model.w["bias"][0] = 50.0  # nothing to learn from: all is outside
         return model
-    pools = [p[:SAMPLE_WINDOWS] for p in (with_span, without) if p]
     m, v = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(2))
     for step in range(1, steps + 1):
         picked = [p[i] for p in pools for i in rng.integers(0, len(p), batch // len(pools))]
         g, _ = model.gradients(np.stack([x for x, _ in picked]), np.stack([y for _, y in picked]))
-        lr = rate * (1 - 0.9 * step / steps)
+        norm = np.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
+        lr = rate * (1 - 0.95 * step / steps)
         for k, x in g.items():
+            x = x * np.float32(min(1.0, 5.0 / max(norm, 1e-12)))
             m[k] = 0.9 * m[k] + 0.1 * x
             v[k] = 0.99 * v[k] + 0.01 * x * x
             model.w[k] -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    if not all(np.isfinite(x).all() for x in model.w.values()):
+        raise FloatingPointError("training of the tagger diverged")
     return model
 
 
 def sample(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """Texts with a digit or an at sign, drawn by a hash, so reruns agree."""
-    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS))
-    return sorted(r["text"] for r in hash_sample(rows, SAMPLE_DOCS, "pii", "text").limit(2 * SAMPLE_DOCS).collect())
+    """Parts of distinct texts, drawn by a hash, so reruns agree: half of texts with a digit or an at sign, half of any texts.
 
-
-def find(texts: list[str | None], model: Tagger, block: int = 1 << 21) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    Of a long text the part around its first digit or sign is taken, or else one at a place that the hash gives.
+    """
+    rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    sign = F.regexp_instr("text", F.lit("[0-9@]"))
+    found = []
+    for kind, part in (("signs", rows.where(sign > 0)), ("any", rows)):
+        key = F.xxhash64(F.lit(kind), "text")
+        room = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)
+        at = F.greatest(F.lit(1), F.least(sign - SAMPLE_CHARS // 2, room)) if kind == "signs" else F.pmod(F.shiftright(key, 30), room).cast("int") + 1
+        total = part.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+        drawn = hash_sample(part, SAMPLE_DOCS // 2, kind, "text", total).select(key.alias("key"), F.substr("text", at, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+        found += [r["text"] for r in drawn.collect()]
+    return sorted(found)
+
+
+def find(texts: list[str | None], model: Tagger, block: int = BLOCK) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """For each text (base, all) spans (kind, start, end), by kind as listed, then start.
 
     The network adds a plausible span of a kind where no span of any kind overlaps it.  Texts are
@@ -350,7 +461,7 @@ def find(texts: list[str | None], model: Tagger, block: int = 1 << 21) -> list[t
         held.clear()
 
     for i, text in enumerate(texts):
-        if isinstance(text, str) and _TRIGGER.search(text):
+        if isinstance(text, str) and text:
             held.append(i)
             size += len(text)
             if size >= block:
@@ -388,5 +499,6 @@ def detect(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text of ``documents``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     docs = table(spark, sf_dir, "documents")
     return detect(docs, train(sample(docs)))
