@@ -17,10 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables that :func:`save` wrote in this process and nobody has deleted.
+SAVED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a fresh local one only where none is set (tests)."""
+    """The shared folder that the cluster names; a fresh local one only where none is set and there is no cluster (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,6 +37,7 @@ def save(df: DataFrame, partition_by: Sequence[str] = ()) -> tuple[DataFrame, st
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quillgrid-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    SAVED.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -38,6 +45,8 @@ def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`save` wrote, when nothing reads it any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in SAVED:
+        SAVED.remove(path)
 
 
 def hash_sample(df: DataFrame, n: int, salt: str, by: str, total: int | None = None) -> DataFrame:
