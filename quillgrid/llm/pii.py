@@ -25,13 +25,13 @@ from .common import hash_sample, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, between the starts of two windows, and of a window in training.
-WINDOW, STRIDE, SHORT = 160, 128, 80
+WINDOW, STRIDE, SHORT = 256, 224, 80
 #: Documents of the training sample (about), characters of the part that is taken from each, and windows drawn from them at most.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 4000, 3000
 #: Sizes of the network, and the mean probability of its labels from which a span is added.
-EMBED, HIDDEN, CONFIDENCE = 16, 20, 0.7
+EMBED, HIDDEN, CONFIDENCE = 16, 16, 0.7
 #: Windows that one pass through the network reads, and characters of texts that are laid side by side for it.
-BATCH, BLOCK = 256, 1 << 20
+BATCH, BLOCK = 512, 1 << 20
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 VOCAB = 131  # ASCII, and: other letter, other character, padding
 PAD = 130
@@ -90,14 +90,12 @@ def encode(text: str) -> np.ndarray:
     return np.where(points < 128, points, np.where((points >= 0xC0) & (points < 0x2000), 128, 129)).astype(np.uint8)
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    """x / (1 + |x|): the activation of cells and, from 0 to 1, of gates; its slope is (1 - |y|) squared."""
-    return x / (1 + np.abs(x))
-
-
 @dataclass
 class Tagger:
-    """Weights of the network; arrays are float32 by name.  Arrays of both reading directions are stacked."""
+    """Weights of the network; arrays are float32 by name.  Arrays of both reading directions are stacked.
+
+    The activation of cells and, moved to 0 to 1, of gates is x / (1 + |x|), whose slope is (1 - |y|) squared.
+    """
 
     w: dict[str, np.ndarray]
 
@@ -113,10 +111,13 @@ class Tagger:
         size, n = symbols.shape
         inputs = self.w["emb"] @ self.w["x"] + self.w["c"]  # of each symbol, by direction
         by_time = np.ascontiguousarray(symbols.T)
-        h = c = np.zeros((2, size, HIDDEN), np.float32)
+        h, c, moved = (np.zeros((2, size, HIDDEN), np.float32) for _ in range(3))
         states = np.empty((n, size, 2 * HIDDEN), np.float32)
         z, g, half = np.empty((2, size, 4 * HIDDEN), np.float32), np.empty((2, size, 4 * HIDDEN), np.float32), np.float32(0.5)
+        gate = [g[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4)]  # input, forget, output (each (1 + g) / 2), and the new content
         for t in range(n):
+            if kept is not None:
+                kept.append([c.copy(), h.copy()])
             inputs[0].take(by_time[t], axis=0, out=g[0], mode="clip")
             inputs[1].take(by_time[n - 1 - t], axis=0, out=g[1], mode="clip")
             np.matmul(h, self.w["h"], out=z)
@@ -124,16 +125,21 @@ class Tagger:
             np.abs(z, out=g)
             g += 1
             np.divide(z, g, out=g)
-            gates = np.multiply(g[:, :, : 3 * HIDDEN], half)
-            gates += half
-            before, last = c, h
-            c = gates[:, :, HIDDEN : 2 * HIDDEN] * c
-            c += gates[:, :, :HIDDEN] * g[:, :, 3 * HIDDEN :]
-            squashed = _squash(c)
-            h = gates[:, :, 2 * HIDDEN :] * squashed
+            np.multiply(gate[1], c, out=moved)
+            c += moved
+            np.multiply(gate[0], gate[3], out=moved)
+            c += moved
+            c += gate[3]
+            c *= half
+            np.abs(c, out=moved)
+            moved += 1
+            np.divide(c, moved, out=moved)
+            np.multiply(gate[2], moved, out=h)
+            h += moved
+            h *= half
             states[t, :, :HIDDEN], states[n - 1 - t, :, HIDDEN:] = h[0], h[1]
             if kept is not None:
-                kept.append((g.copy(), gates, before, squashed, last))
+                kept[-1] += [g.copy(), moved.copy()]
         return states
 
     def emissions(self, symbols: np.ndarray) -> np.ndarray:
@@ -161,16 +167,26 @@ class Tagger:
             pairs += trans * (a[t - 1].T @ (b[t] * p[t] / scale[t]))
         return a * b, pairs, (np.log(scale) + top).sum((0, 2))
 
-    def viterbi(self, e: np.ndarray) -> np.ndarray:
-        """The best tag sequence (time, batch): best scores forwards, then the best predecessor of each chosen tag backwards."""
-        n, size = e.shape[:2]
-        trans, best = self.w["trans"], np.ascontiguousarray(e.transpose(0, 2, 1))
+    def best_scores(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best score of a labelling up to each place by its last tag (time, tag, batch), score of the one that is outside throughout).
+
+        ``e``: tag scores (tag, time, batch).
+        """
+        n = e.shape[1]
+        trans, best, outside = self.w["trans"][:, :, None], np.empty((n, TAGS, e.shape[2]), e.dtype), e[0, 0]
+        best[0] = e[:, 0]
         for t in range(1, n):
-            best[t] += (best[t - 1][:, None, :] + trans[:, :, None]).max(0)
-        path = np.empty((n, size), np.int64)
+            np.max(best[t - 1][:, None, :] + trans, axis=0, out=best[t])
+            best[t] += e[:, t]
+            outside = outside + self.w["trans"][0, 0] + e[0, t]
+        return best, outside
+
+    def trace(self, best: np.ndarray) -> np.ndarray:
+        """The best tag sequence (time, batch): the best predecessor of each chosen tag, backwards."""
+        path = np.empty((len(best), best.shape[2]), np.int64)
         path[-1] = best[-1].argmax(0)
-        for t in range(n - 2, -1, -1):
-            path[t] = (best[t] + trans[:, path[t + 1]]).argmax(0)
+        for t in range(len(best) - 2, -1, -1):
+            path[t] = (best[t] + self.w["trans"][:, path[t + 1]]).argmax(0)
         return path
 
     def gradients(self, symbols: np.ndarray, tags: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
@@ -192,7 +208,8 @@ class Tagger:
         carry_h = carry_c = np.zeros((2, size, HIDDEN), np.float32)
         back, dw = self.w["h"].transpose(0, 2, 1), np.zeros_like(self.w["h"])
         for t in range(n - 1, -1, -1):
-            g, gates, before, squashed, last = kept[t]
+            before, last, g, squashed = kept[t]
+            gates = (1 + g[:, :, : 3 * HIDDEN]) / 2
             slope = (1 - np.abs(g)) ** 2
             slope[:, :, : 3 * HIDDEN] *= 0.5
             ht = np.stack([dh[t, :, :HIDDEN], dh[n - 1 - t, :, HIDDEN:]]) + carry_h
@@ -211,11 +228,12 @@ class Tagger:
 
     def decode(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, best tags (window, time), their probabilities) of the windows that are not outside throughout."""
-        e = self.emissions(symbols)
-        tags = self.viterbi(e)
-        some = np.flatnonzero(tags.any(0))
-        tags = tags[:, some]
-        p = np.take_along_axis(self.marginals(e[:, some])[0], tags[:, :, None], 2)[:, :, 0] if len(some) else np.empty(tags.shape)
+        states = self.states(symbols)
+        e = (self.w["out"].T @ states.reshape(-1, 2 * HIDDEN).T + self.w["bias"][:, None]).reshape(TAGS, *states.shape[:2])
+        best, outside = self.best_scores(e)
+        some = np.flatnonzero(best[-1].max(0) > outside)
+        tags = self.trace(best[:, :, some])
+        p = np.take_along_axis(self.marginals(e[:, :, some].transpose(1, 2, 0))[0], tags[:, :, None], 2)[:, :, 0] if len(some) else np.empty(tags.shape)
         return some, tags.T, p.T
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, ...]:
