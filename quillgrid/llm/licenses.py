@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .signatures import SIGNATURES
 
 #: Fixed phrases that every scan reports, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -158,7 +159,7 @@ CLAUSES = [
 
 
 def rules() -> list[Rule]:
-    """Every name in every form, and the clauses, highest priority first."""
+    """Every name in every form, and the hand-written clauses and signatures, highest priority first."""
     found = []
     for label, keyword, name, tag in NAMES:
         for own, form, priority, score in FORMS:
@@ -166,7 +167,7 @@ def rules() -> list[Rule]:
                 continue  # a word like a product's name says nothing by itself
             pattern = form.format(name=f"(?:{name})", tag=f"(?:{tag})")
             found.append(Rule(label, frozenset((own or keyword).encode().split()), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
-    for label, keyword, pattern, priority, score in CLAUSES:
+    for label, keyword, pattern, priority, score in CLAUSES + SIGNATURES:
         found.append(Rule(label, frozenset(keyword.encode().split()), re.compile(rf"(?<!\S){pattern}(?!\S)".encode()), priority, score))
     return sorted(found, key=lambda r: -r.priority)
 
@@ -254,4 +255,5 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """License mentions in every whole text of ``documents``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     return license_scan(table(spark, sf_dir, "documents")).drop("detections")
