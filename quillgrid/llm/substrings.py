@@ -12,6 +12,7 @@ whole length are repeats of their earliest one.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, shuffle_parts, table
+from .common import forget, hash_sample, save, shuffle_parts, table
 
 LENGTH = 100
 #: Bytes of the substrings that are hashed; strings a run can span (a longer one is cut; both fit in a packed position).
 GRAM, MAX_RUN = 24, 255
 #: Bytes hashed at a time, and rows of different runs in a group from which on its strings are dealt out singly by content.
 CHUNK, CROWD = 1 << 20, 4096
+#: Documents (about) in which frequent minimisers are looked for, and the share of them from which one counts as frequent.
+SAMPLE_DOCS, FREQUENT = 20_000, 1 / 256
+#: Strings of crowded groups that a task remembers, to settle equal ones where they are read.
+REMEMBERED = 200_000
 #: Depth in bytes to which multikey quicksort sorts before blind tries take over.
 SHALLOW = 24
 NO_ID = -(1 << 63)
@@ -203,6 +208,30 @@ def repeats(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame({"doc": doc[first], "tie": tie[first], "start": start[first], "size": strings + length - 1})
 
 
+def frequent(docs: DataFrame, length: int) -> np.ndarray:
+    """Minimisers of many documents of a bounded sample, sorted: SAMPLE_DOCS times the runs of a document, over 78, at most.
+
+    They only decide how rows are dealt, not what is found; one that the sample misses is one group of up to that share of the rows.
+    """
+    total = docs.count()
+    least = max(64, math.ceil(min(total, SAMPLE_DOCS) * FREQUENT))
+    if total < least:
+        return np.empty(0, np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                text, _, _, h, _, _ = runs([t.encode() for t in b["text"].iloc[at : at + 2000]], length)
+                h = h[np.lexsort((text, h))]
+                seen, times = np.unique(h, return_counts=True)
+                often = times > 1  # once in a batch is no sign of a frequent one
+                yield pd.DataFrame({"h": seen[often], "n": times[often]})
+
+    drawn = hash_sample(docs.select("text", F.xxhash64("doc", "text").alias("key")), SAMPLE_DOCS, "frequent", "key", total)
+    found = drawn.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["h"] for r in found.select("h").collect()], np.int64))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay).
 
@@ -211,7 +240,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     are one document, each with its result; different texts under one id are documents of their
     own, in the order of a hash.  Null text is empty.  An empty table gives an empty result; other
     columns are ignored.  Common strings do not gather: copies within a batch are settled before
-    the shuffle, and a group of many different runs is dealt out by the strings' content.
+    the shuffle, the rows of a frequent minimiser are dealt out by their content, and so are the
+    strings of a group of many different runs.
     """
     if length < GRAM + 8 or length < SHALLOW:
         raise ValueError(f"length must be at least {GRAM + 8}")
@@ -221,6 +251,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     own = F.xxhash64("text")
     clash = docs.groupBy("doc").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b").limit(1).count()
     docs = docs.withColumn("tie", own if clash else F.lit(0).cast("long"))
+    often = spark.sparkContext.broadcast(frequent(docs, length))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,12 +268,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     same = np.zeros(len(order), bool)  # the same row twice is no repeat
                     same[order[1:]] = (np.diff(doc[order]) == 0) & (np.diff(tie[order]) == 0) & (np.diff(pos[order]) == 0)
                     keep = ~(again & same)
-                    spread = np.where(again, pos * 0x9E3779B1 + doc, h)
-                    yield pd.DataFrame({"h": spread, "content": content, "doc": doc, "tie": tie, "pos": pos, "again": again, "loop": loop.astype(bool)})[keep]
-
-    found = docs.select("doc", "tie", "text").mapInPandas(scan, "h long, content long, doc long, tie long, pos long, again boolean, loop boolean")
-    in_group = Window.partitionBy("h")
-    in_copies = Window.partitionBy("h", "content").orderBy("doc", "tie", "pos")
+                    hot = np.isin(h, often.value)
+                    key = np.where(again, pos * 0x9E3779B1 + doc, np.where(hot, h ^ (content * 0x5851F42D4C957F2D), h))
+                    rows = {"key": key, "h": h, "content": content, "doc": doc, "tie": tie, "pos": pos, "again": again, "loop": loop.astype(bool) | hot}
+                    yield pd.DataFrame(rows)[keep]
+
+    found = docs.select("doc", "tie", "text").mapInPandas(scan, "key long, h long, content long, doc long, tie long, pos long, again boolean, loop boolean")
+    in_group = Window.partitionBy("key")
+    in_copies = Window.partitionBy("key", "h", "content").orderBy("doc", "tie", "pos")
     found = (
         found.withColumn("low", F.min("content").over(in_group)).withColumn("high", F.max("content").over(in_group))
         .withColumn("first_doc", F.first(F.struct("doc", "tie", "pos")).over(in_copies))
@@ -257,7 +290,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
 
     # Runs that share a group with different ones need their bytes.
     mixed = found.where("not whole").select("h", "doc", "tie", "pos")
-    crowd, _ = save(mixed.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd")))
+    crowd, crowd_path = save(mixed.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("crowd")))
     if crowd.head(1):
         mixed = mixed.join(crowd, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     else:
@@ -273,9 +306,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     packed = docs.select("doc_id", "doc", "tie", "text").mapInPandas(squeeze, "doc_id long, doc long, tie long, text binary")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_64_intdigest
+        """The bytes of the runs; of a crowded group each string for itself, by content.
+
+        Of equal strings that are read together only the earliest goes on; the others are repeats (``done``).
+        """
+        z, digest, names = zstandard.ZstdDecompressor(), xxhash.xxh3_64_intdigest, ["key", "doc", "tie", "start", "n", "done", "bytes"]
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
+            earliest: dict[bytes, tuple[int, int, int]] = {}
+
+            def settled(doc: int, tie: int, k: int) -> tuple:
+                return ((k * 0x9E3779B1 + doc) & ((1 << 62) - 1), doc, tie, k, 1, True, b"")
+
+            def strings(earliest: dict) -> list[tuple]:
+                return [(digest(s) - (1 << 63), *at, 1, False, s) for s, at in earliest.items()]
+
             for doc, tie, text, asked in zip(b["doc"], b["tie"], b["text"], b["asked"], strict=True):
                 text = z.decompress(text)
                 for r in asked:
@@ -283,24 +328,37 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     if r["crowd"]:
                         for k in range(at, at + n):
                             s = text[k : k + length]
-                            rows.append((digest(s) - (1 << 63), doc, tie, k, 1, s))
+                            here = (doc, tie, k)
+                            known = earliest.setdefault(s, here)
+                            if known != here:
+                                if here < known:
+                                    earliest[s], here = here, known
+                                rows.append(settled(*here))
+                        if len(earliest) >= REMEMBERED:
+                            rows += strings(earliest)
+                            earliest.clear()
                     else:
-                        rows.append((r["h"], doc, tie, at, n, text[at : at + n + length - 1]))
+                        rows.append((r["h"], doc, tie, at, n, False, text[at : at + n + length - 1]))
                     if len(rows) >= 20_000:
-                        yield pd.DataFrame(rows, columns=["key", "doc", "tie", "start", "n", "bytes"])
+                        yield pd.DataFrame(rows, columns=names)
                         rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "doc", "tie", "start", "n", "bytes"])
+            rows += strings(earliest)
+            for at in range(0, len(rows), 20_000):
+                yield pd.DataFrame(rows[at : at + 20_000], columns=names)
 
     # Rows of one (doc, tie) have one text: it is asked once.
     once = packed.join(asked, ["doc", "tie"]).select("doc", "tie", "text", "asked")
     once = once.dropDuplicates(["doc", "tie"]) if clash or _repeated(docs) else once
-    with_bytes = once.mapInPandas(fetch, "key long, doc long, tie long, start long, n int, bytes binary")
+    with_bytes = once.mapInPandas(fetch, "key long, doc long, tie long, start long, n int, done boolean, bytes binary")
     with_bytes = with_bytes.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: list[pd.DataFrame] = []
         for b in batches:
+            done = b[b["done"]]
+            if len(done):
+                yield done[["doc", "tie", "start"]].assign(size=length)
+                b = b[~b["done"]]
             if not len(b):
                 continue
             key = b["key"].to_numpy(np.int64)
@@ -317,6 +375,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     parts = with_bytes.mapInPandas(settle, "doc long, tie long, start long, size long")
     spans = whole.unionByName(parts).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     spans, _ = save(spans)
+    forget(spark, found_path)
+    forget(spark, crowd_path)
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z = zstandard.ZstdDecompressor()
@@ -346,4 +406,5 @@ def _repeated(docs: DataFrame) -> bool:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """Repeated 100-byte strings out of every whole text of ``documents``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
