@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, save, table
+from .common import WORD, save, table, unused
 
 #: Bits of the seeded 32-bit order in the first and in the second histogram.
 LEVEL_BITS = 10
+#: Sources, and bytes of their names together, up to which the rules of the sources are broadcast; more are joined by source and salt.
+BROADCAST_SOURCES, BROADCAST_BYTES, SALTS = 100_000, 16 << 20, 32
+#: Repeated rows that one array numbers.
+STEP = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -45,6 +49,81 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return capped.select("source", "weight", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _order(seed: str, id_col: str) -> Column:
+    """A document's place in the seeded order: 32 bits."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+
+
+def _with_rules(rows: DataFrame, rules: DataFrame, source: str, order: str, small: bool, how: str = "left") -> DataFrame:
+    """Rows with their source's columns of ``rules``.  Few sources are broadcast; many are joined with a salt, so a hot source is many tasks."""
+    if small:
+        return rows.join(F.broadcast(rules), rows[source].eqNullSafe(rules["r_source"]), how)
+    salt = unused(rows, "salt")
+    salted = rules.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn(salt, F.pmod(F.hash(order), F.lit(SALTS)))
+    return rows.join(salted, rows[source].eqNullSafe(salted["r_source"]) & (rows[salt] == salted["r_salt"]), how).drop(salt, "r_salt")
+
+
+def rules_of(sized: DataFrame, weights: tuple[float, ...], max_epochs: float) -> tuple[DataFrame, bool]:
+    """One row a source: its target, whole repetitions, and the group of equal rows at which its remainder ends; and whether they are few.
+
+    ``sized`` has doc_id, source, size and h.  The end is found by two histograms over the seeded
+    order (2**LEVEL_BITS bins each); only the rows of one narrow bin a source are then grouped
+    by (h, doc_id, size) and summed in order, so equal rows cost one.
+    """
+    shift1, shift2 = 32 - LEVEL_BITS, 32 - 2 * LEVEL_BITS
+    sized = sized.withColumn("b1", F.shiftright("h", shift1)).withColumn("b2", F.shiftright("h", shift2))
+    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    picks = F.array(*[F.lit(float(w)) for w in weights])
+    weighted = by_source.withColumn("weight", F.element_at(picks, (rank % len(weights) + 1).cast("int")))
+    goal, size = F.floor(F.col("target") + 0.5).cast("long"), F.col("source_size")
+    whole = F.when(size > 0, F.floor(goal / size).cast("long")).otherwise(F.lit(0).cast("long"))
+    plan = water_fill(weighted, max_epochs).withColumn("whole", whole).withColumn("rest", goal - F.col("whole") * size)
+    plan, _ = save(plan.select("source", "source_size", "target", "whole", "rest").withColumnsRenamed({c: f"r_{c}" for c in ("source", "source_size", "target", "whole", "rest")}))
+    known = plan.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("r_source").cast("string"))), F.lit(0)).alias("bytes")).first()
+    small = known["n"] <= BROADCAST_SOURCES and known["bytes"] <= BROADCAST_BYTES
+
+    def ending(hist: DataFrame, order: list, before: str | None) -> DataFrame:
+        """Of each source the row of ``hist`` (source, ..., words) in which its remainder ends, and the words before it."""
+        run = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        sums = hist.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)) + (F.col(before) if before else F.lit(0)))
+        return _with_rules(sums, plan.select("r_source", "r_rest"), "source", "words", small, "inner").where((F.col("before") <= F.col("r_rest")) & (F.col("r_rest") < F.col("before") + F.col("words")))
+
+    end1 = ending(sized.groupBy("source", "b1").agg(F.sum("size").alias("words")), ["b1"], None).select("r_source", F.col("b1").alias("r_b1"), F.col("before").alias("r_before"))
+    inside = _with_rules(sized, end1, "source", "h", small, "inner").where("b1 = r_b1")
+    end2 = ending(inside.groupBy("source", "b2", "r_before").agg(F.sum("size").alias("words")), ["b2"], "r_before")
+    end2 = end2.select("r_source", F.col("b2").alias("r_b2"), F.col("before").alias("r_before"))
+    inside = _with_rules(sized, end2, "source", "h", small, "inner").where("b2 = r_b2")
+    equal = inside.groupBy("source", "h", "doc_id", "size", "r_before").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    end3 = ending(equal, ["h", F.col("doc_id").asc_nulls_first(), "size"], "r_before")
+    end3 = end3.select(F.col("r_source").alias("e_source"), *[F.col(c).alias(f"r_{c}") for c in ("h", "doc_id", "size", "n", "before")])
+    rules, _ = save(plan.join(end3, plan["r_source"].eqNullSafe(end3["e_source"]), "left").drop("e_source"))
+    return rules, small
+
+
+def _decided(rows: DataFrame, rules: DataFrame, small: bool, doc_id: str, source: str, size: str, h: str) -> tuple[DataFrame, Column]:
+    """Rows with r_whole and r_part, and a condition for the equal rows among which a remainder ends (they are to be numbered: r_part is null)."""
+    rows = _with_rules(rows, rules, source, h, small)
+    less = F.col(doc_id).isNull() & F.col("r_doc_id").isNotNull() | F.coalesce(F.col(doc_id) < F.col("r_doc_id"), F.lit(False))
+    same = F.col(doc_id).eqNullSafe(F.col("r_doc_id"))
+    first = (F.col(h) < F.col("r_h")) | (F.col(h) == F.col("r_h")) & (less | same & (F.col(size) < F.col("r_size")))
+    at_end = F.coalesce((F.col(h) == F.col("r_h")) & same & (F.col(size) == F.col("r_size")), F.lit(False))
+    part = F.when(at_end & (F.col("r_n") > 1), F.lit(None)).when(at_end, F.col("r_rest") - F.col("r_before")).when(F.coalesce(first, F.lit(False)), F.col(size)).otherwise(F.lit(0))
+    return rows.withColumn("r_part", part.cast("long")), at_end & (F.col("r_n") > 1)
+
+
+def _nth_part(nth: Column, size: str) -> Column:
+    """The part of the nth of equal rows."""
+    return F.greatest(F.lit(0), F.least(F.col(size), F.col("r_rest") - F.col("r_before") - (nth - 1) * F.col(size))).cast("long")
+
+
+def _sized(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The narrow table that all sums are taken from."""
+    h = _order(seed, id_col)
+    return save(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h")))[0]
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
@@ -59,97 +138,55 @@ def mix(
     ``weights`` repeat over the sources in code-point order, null last.  Each document is taken
     ``whole`` times plus ``part`` words: documents in a seeded order are repeated once more while
     the source's remainder lasts, and the document at its end is repeated in part, so a source's
-    taken words equal its rounded target.  Cumulative sizes come from two histograms over the
-    seeded order (2**LEVEL_BITS bins each), so only one narrow bin per source is ever sorted.
+    taken words equal its rounded target.  Documents stay where they are read: what decides is one
+    row a source (see :func:`rules_of`).
 
     Null text: size 0.  Null source: a source of its own.  Rows with the same id, size and source
     are interchangeable.  An empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
-    sized, _ = save(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), h.alias("h"))
-    )
-    shift1, shift2 = 32 - LEVEL_BITS, 32 - 2 * LEVEL_BITS
-    sized = sized.withColumn("b1", F.shiftright("h", shift1)).withColumn("b2", F.shiftright("h", shift2))
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    picks = F.array(*[F.lit(float(w)) for w in weights])
-    weighted = by_source.withColumn("weight", F.element_at(picks, (rank % len(weights) + 1).cast("int")))
-    goal = F.floor(F.col("target") + 0.5).cast("long")
-    size = F.col("source_size")
-    plan = (
-        water_fill(weighted, max_epochs)
-        .withColumn("whole", F.when(size > 0, F.floor(goal / size).cast("long")).otherwise(F.lit(0)))
-        .withColumn("rest", goal - F.col("whole") * size)
-        .select("source", "source_size", "target", "whole", "rest")
-    )
-    plan, _ = save(plan)
-
-    def bins(rows: DataFrame, level: str) -> DataFrame:
-        """The bin where each source's remainder ends, and the words before it."""
-        hist = rows.groupBy("source", level, "rest", "words_before").agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("source").orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        return (
-            hist.withColumn("before", F.col("words_before") + F.coalesce(F.sum("words").over(run), F.lit(0)))
-            .where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-            .select("source", F.col(level).alias(f"end_{level}"), F.col("before").alias(f"before_{level}"))
-        )
-
-    def with_source(rows: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
-        of = of.withColumnRenamed("source", "_source")
-        return rows.join(of, rows["source"].eqNullSafe(of["_source"]), how).drop("_source")
-
-    known = with_source(sized, plan)
-    end1 = bins(known.withColumn("words_before", F.lit(0).cast("long")), "b1")
-    known = with_source(known, end1, "left")
-    inside = known.where("b1 = end_b1").withColumn("words_before", F.col("before_b1"))
-    end2 = bins(inside, "b2")
-    known = with_source(known, end2, "left")
-    # end_b1 is null only where no remainder is left: the remainder is below the source's size.
-    at_end = F.coalesce(F.col("b2") == F.col("end_b2"), F.lit(False))
-    run = Window.partitionBy("source").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        known.where(at_end)
-        .withColumn("before", F.col("before_b2") + F.coalesce(F.sum("size").over(run), F.lit(0)))
-        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))))
-        .drop("before")
-    )
-    other = known.where(~at_end).withColumn("part", F.when(F.col("b2") < F.col("end_b2"), F.col("size")).otherwise(F.lit(0)))
-    out = other.unionByName(last)
+    sized = _sized(docs, seed, id_col, text_col, source_col)
+    rules, small = rules_of(sized, weights, max_epochs)
+    rows, at_end = _decided(sized, rules, small, "doc_id", "source", "size", "h")
+    # The equal rows at an end are made anew from their number.
+    ends = rules.where("r_n > 1").withColumn("r_k", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.col("r_n") - 1) / STEP)), lambda b: b * STEP)))
+    ends = ends.withColumn("r_nth", F.explode(F.sequence(F.col("r_k") + 1, F.least(F.col("r_n"), F.col("r_k") + STEP))))
+    ends = ends.withColumns({"doc_id": F.col("r_doc_id"), "source": F.col("r_source"), "size": F.col("r_size"), "r_part": _nth_part(F.col("r_nth"), "r_size")})
+    names = ["doc_id", "source", "size", "r_source_size", "r_target", "r_whole", "r_part"]
+    out = rows.where(~at_end).select(*names).unionByName(ends.select(*names))
     return out.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("whole") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-        F.col("whole"), F.col("part").cast("long").alias("part"),
+        "doc_id", "source", "size", F.col("r_source_size").alias("source_size"), F.col("r_target").alias("target"),
+        (F.col("r_whole") * F.col("size") + F.col("r_part")).cast("long").alias("taken"), F.col("r_whole").alias("whole"), F.col("r_part").alias("part"),
     )
 
 
-def realise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def realise(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: str = "mix-1",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """The mixed documents themselves: each row as often as the mix takes it, a part as its first words joined by spaces.
 
-    Columns are those of ``docs``.  Rows that agree in id, source and size are told apart by their
-    order of text.
+    Columns are those of ``docs``; its rows are not shuffled.  Only where a source's remainder ends
+    among rows that agree in id, source and size are those rows numbered, in the order of their text.
     """
-    plan, _ = save(mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).select("doc_id", "source", "size", "whole", "part"))
-    key = ["doc_id", "source", "size"]
-    repeated = bool(plan.groupBy(*key).count().where("count > 1").limit(1).count())
-    rows = docs.withColumn("_size", word_count(F.col(text_col)))
-    own = Window.partitionBy(id_col, source_col, "_size").orderBy(text_col)
-    rows = rows.withColumn("_nth", F.row_number().over(own) if repeated else F.lit(1))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("whole", "part")) if repeated else F.lit(1)
-    plan = plan.withColumn("_n", nth).where("whole > 0 or part > 0").select(*[F.col(c).alias(f"_p_{c}") for c in (*key, "whole", "part")], "_n")
-    joined = rows.join(
-        plan,
-        rows[id_col].eqNullSafe(plan["_p_doc_id"]) & rows[source_col].eqNullSafe(plan["_p_source"]) & (rows["_size"] == plan["_p_size"]) & (rows["_nth"] == plan["_n"]),
-    )
-    times = (F.col("_p_whole") + (F.col("_p_part") > 0).cast("long")).cast("int")
-    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), times)))
-    cut = (F.col("_copy") > F.col("_p_whole")) & (F.col("_p_part") < F.col("_size"))
-    first = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_p_part").cast("int")), " ")
-    return joined.withColumn(text_col, F.when(cut, first).otherwise(F.col(text_col))).select(*docs.columns)
+    columns = docs.columns
+    rules, small = rules_of(_sized(docs, seed, id_col, text_col, source_col), weights, max_epochs)
+    # Working columns get names that ``docs`` has not; its own are put in a struct meanwhile.
+    own = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own")
+    rows = docs.select(own, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), word_count(F.col(text_col)).alias("size"), _order(seed, id_col).alias("h"))
+    rows, at_end = _decided(rows, rules, small, "doc_id", "source", "size", "h")
+    if rules.where("r_n > 1").head(1):
+        nth = F.row_number().over(Window.partitionBy("source").orderBy("text"))
+        rows = rows.where(~at_end).unionByName(rows.where(at_end).withColumn("r_part", _nth_part(nth, "size")))
+    times = (F.col("r_whole") + (F.col("r_part") > 0).cast("long")).cast("int")
+    rows = rows.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
+    cut = (F.col("copy") > F.col("r_whole")) & (F.col("r_part") < F.col("size"))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("r_part").cast("int")), " ")
+    text = F.when(cut, first).otherwise(F.col("text"))
+    return rows.select(*[text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in columns])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` mixed to the weights of their sources: doc_id, size, source_size, target, taken."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
