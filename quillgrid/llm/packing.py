@@ -3,7 +3,8 @@
 Documents are tokenised where they are read; what is shuffled is one short row per piece.  A
 piece is a full window of a document or its remainder.  Remainders go to the fill level that
 makes the sum of squared counts of partially filled windows smallest; the counts live in one
-level array per packing group.
+level array per packing group.  Groups are small, so they run side by side; the windows that a
+group leaves open are given up, and their pieces are packed once more in larger groups.
 """
 
 from __future__ import annotations
@@ -14,15 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import save, table
 
 WINDOW = 2048
-#: Documents per packing group: many groups run side by side, and each is large enough that the windows left open are few.
-GROUP_DOCS = 65536
+#: Remainders of documents per packing group of the first and of the second round.
+GROUP, SECOND_GROUP = 4096, 65536
+#: Share of a window from which it counts as filled at the end of the first round.
+FILLED = 0.97
 END_ID = 1
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Where the numbers of full windows, and of windows of the second round, begin.
+FULL, SECOND = 1 << 61, 1 << 60
 _ENCODERS: dict[str, object] = {}
 
 
@@ -48,25 +55,32 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, window: int, vocab: str, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, start, length, ids_crc32, doc_tokens): full windows of a document, then its remainder."""
+def pieces(docs: DataFrame, window: int, vocab: str, groups: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, start, length, ids_crc32, doc_tokens, shard, sequence_id): full windows of a document, then its remainder.
+
+    Full windows are sequences of their own and get their number from the task and their place in it; remainders are dealt to the groups
+    (shard) in turn, so that no group holds more than its share even if all rows are alike.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocab)
+        task = TaskContext.get().partitionId()
+        full, dealt = 0, task * 7919
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.array((enc.encode_ordinary(text) if isinstance(text, str) else []) + [END_ID], "<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
-                    rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids)))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    if len(part) == window:
+                        shard, number, full = None, FULL | task << 36 | full, full + 1
+                    else:
+                        shard, number, dealt = dealt % groups, None, dealt + 1
+                    rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), shard, number))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "sequence_id"])
+            yield out.astype({"doc_id": "Int64", "shard": "Int64", "sequence_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    )
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, f"{PIECE}, shard long, sequence_id long")
 
 
 def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +119,8 @@ def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(
     docs: DataFrame,
     window: int = WINDOW,
-    group_docs: int = GROUP_DOCS,
+    group: int = GROUP,
+    second_group: int = SECOND_GROUP,
     vocab: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -113,24 +128,34 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are its ids and a final end id; null text counts as empty, so it is one
-    piece of length 1.  Every id lies in one piece; a window's pieces are gapless from 0.  Groups
-    are dealt by a hash of the document id and of the piece, so that no group holds more than its
-    share even if all rows bear one id.  Repeated rows are packed once each.  An empty table gives
-    an empty result; other columns are ignored.
+    piece of length 1.  Every id lies in one piece; a window's pieces are gapless from 0.  Full
+    windows need no company; remainders (one a document at most) are packed in groups, and what
+    stands in windows that are not filled then, in larger groups once more.  Repeated rows are
+    packed once each.  An empty table gives an empty result; other columns are ignored.
     """
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = pieces(docs, window, vocab or vocabulary(), id_col, text_col)
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    groups = max(1, -(-docs.count() // group))
+    cut, _ = save(pieces(docs, window, vocab or vocabulary(), groups, id_col, text_col))
+
+    def fill(base: int, filled: float):
+        def each(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["doc_id", "start", "ids_crc32", "length"], na_position="first", kind="stable")
+            lengths = rows["length"].to_numpy(np.int64)
+            sequence, offset = place(lengths, window)
+            level = np.bincount(sequence, lengths)
+            return rows.drop(columns="shard").assign(sequence_id=base + sequence + (int(key[0]) << 36), offset=offset, open=level[sequence] < filled * window)
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32", "length"], na_position="first", kind="stable")
-        sequence, offset = place(rows["length"].to_numpy(np.int64), window)
-        return rows.drop(columns="shard").assign(sequence_id=sequence + (int(key[0]) << 36), offset=offset)
+        return each
 
-    return cut.groupBy("shard").applyInPandas(
-        fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    placed = f"{PIECE}, sequence_id long, offset long, open boolean"
+    full = cut.where("sequence_id IS NOT NULL").withColumn("offset", F.lit(0).cast("long")).drop("shard")
+    first, _ = save(cut.where("sequence_id IS NULL").drop("sequence_id").groupBy("shard").applyInPandas(fill(0, FILLED), placed))
+    rest = first.where("open")
+    more = max(1, -(-rest.count() // second_group))
+    rest = rest.withColumn("shard", F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(more))).drop("sequence_id", "offset", "open")
+    second = rest.groupBy("shard").applyInPandas(fill(SECOND, 0.0), placed)
+    return full.unionByName(first.where("not open").drop("open")).unionByName(second.drop("open"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return pack(table(spark, sf_dir, "documents"))
