@@ -24,7 +24,7 @@ from .vectors import common_length, matrix, usable
 #: Rows of the sample that the lists are fitted on (about, and twice so many at most), and of its part that bounds each query's distance.
 SAMPLE, BOUND_SAMPLE = 20_000, 4_000
 #: Mean rows a list, the most lists, and the recall that probing is set for on the sample.
-LIST_ROWS, MAX_LISTS, RECALL, TUNING_QUERIES = 256, 1024, 0.97, 200
+LIST_ROWS, MAX_LISTS, RECALL, TUNING_QUERIES = 256, 2048, 0.97, 200
 #: Columns of a scan block and the significance of the abandoning test.
 COLUMNS, EPSILON = 16, 2.1
 #: Share of living candidates above which a block is computed for all.
@@ -210,22 +210,28 @@ def nearest(
                 v = top[i, j]
                 yield pd.DataFrame({"query_id": ids[i], "vec_id": ix.bound_ids[v], "score": np.einsum("ij,ij->i", x[i], ix.bound[v])})
 
+    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How often each list is probed."""
+        for b in batches:
+            for at in range(0, len(b), 256):
+                lists, n = np.unique(sent.value.probed(matrix(b["v"].iloc[at : at + 256])), return_counts=True)
+                yield pd.DataFrame({"list": lists, "n": n})
+
     listed, _ = save(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"))
     asked = rows.where(is_query)
-    n_queries = asked.count()
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    sizes = listed.groupBy("list").count().withColumn("v_blocks", F.ceil(F.col("count") / VECTOR_BLOCK).cast("int")).select("list", "v_blocks")
-    sizes, _ = save(sizes)  # one row a list, MAX_LISTS at most
-    q_of, v_of = F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"), F.pmod(F.xxhash64("vec_id"), F.col("v_blocks")).cast("int")
+    # One row a list that is probed, MAX_LISTS at most.  A list goes to as many query blocks as its own queries fill, not to all queries.
+    sizes = listed.groupBy("list").count().join(asked.select("v").mapInPandas(probes, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")), "list")
+    sizes = sizes.select("list", F.ceil(F.col("count") / VECTOR_BLOCK).cast("int").alias("v_blocks"), F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("q_blocks"))
+    sizes, _ = save(sizes)
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = (
-        listed.join(F.broadcast(sizes), "list").withColumn("v_block", v_of)
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        listed.join(F.broadcast(sizes), "list").withColumn("v_block", block("vec_id", "v_blocks")).withColumn("q_block", every("q_blocks"))
         .select("list", "v_block", "q_block", "vec_id", "v")
     )
     right = (
-        asked.mapInPandas(probe, "query_id long, q array<double>, first double, list int")
-        .join(F.broadcast(sizes), "list").withColumn("q_block", q_of)
-        .withColumn("v_block", F.explode(F.sequence(F.lit(0), F.col("v_blocks") - 1)))
+        asked.mapInPandas(probe, "query_id long, q array<double>, first double, list int").join(F.broadcast(sizes), "list")
+        .withColumn("q_block", block("query_id", "q_blocks")).withColumn("v_block", every("v_blocks"))
         .select("list", "v_block", "q_block", "query_id", "q", "first")
     )
 
@@ -248,4 +254,5 @@ def nearest(
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of ``embeddings`` by inner product for each whose vec_id is divisible by 20: query_id, rank, vec_id, score."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
