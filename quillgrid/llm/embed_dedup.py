@@ -26,6 +26,8 @@ CELL = 2.0
 RECALL, STRANGERS = 0.98, 1.0
 #: Rows of a bucket that are compared at a time; a larger bucket is compared block by block.
 BLOCK = 1024
+#: Pairs of indices that are kept until they are reduced to a spanning forest.
+FOREST = 1 << 20
 
 
 def collision(distance: float, cell: float = CELL) -> float:
@@ -101,7 +103,7 @@ def near_links(classes: DataFrame, length: int, cosine: float, seed: int) -> Dat
         bucket, rep, t = p["bucket"].to_numpy(np.int64), p["rep"].to_numpy(np.int64), p["t"].to_numpy(np.int64)
         label, side, two = p["label"].to_numpy(np.int64), p["side"].to_numpy(np.int64), p["two"].to_numpy(bool)
         weight, x, keys = p["weight"].to_numpy(np.int64), matrix(p["v"]), np.stack(p["keys"].to_numpy())
-        links, root = np.zeros(len(p), np.int64), np.arange(len(p))
+        links, ends = np.zeros(len(p), np.int64), []
         at = np.arange(len(p))
         for shift in range(1, len(p)):
             at = at[at + shift < len(p)]
@@ -121,16 +123,13 @@ def near_links(classes: DataFrame, length: int, cosine: float, seed: int) -> Dat
                 new = ~earlier.any(1)
                 np.add.at(links, i[new], weight[j[new]])
                 np.add.at(links, j[new], weight[i[new]])
-                for a, c in zip(i.tolist(), j.tolist(), strict=True):
-                    while root[a] != a:
-                        a = root[a]
-                    while root[c] != c:
-                        root[c] = root[root[c]]
-                        c = root[c]
-                    if a != c:
-                        root[max(a, c)] = min(a, c)
-        for k in range(len(root)):  # parents come first, so one step is enough
-            root[k] = root[root[k]]
+                ends.append(np.stack([i, j]))
+                if sum(e.shape[1] for e in ends) > FOREST:
+                    ends = [spanning(len(p), np.concatenate(ends, axis=1))]
+        root = np.arange(len(p))
+        if ends:
+            i, j = spanning(len(p), np.concatenate(ends, axis=1))
+            root[i] = j
         say = (links > 0) | (root != np.arange(len(p)))
         if say.any():
             yield pd.DataFrame({"rep": rep[say], "links": links[say], "root": rep[root[say]]})
@@ -138,6 +137,24 @@ def near_links(classes: DataFrame, length: int, cosine: float, seed: int) -> Dat
     return met.mapInPandas(compare, "rep long, links long, root long")
 
 
+def spanning(n: int, ends: np.ndarray) -> np.ndarray:
+    """Pairs (member, smallest member of its component) that connect what the pairs ``ends`` of 0 to n - 1 connect."""
+    root = np.arange(n)
+    i, j = ends
+    while True:
+        low = np.minimum(root[i], root[j])
+        before = root.copy()
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        np.minimum.at(root, before[i], low)
+        np.minimum.at(root, before[j], low)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            member = np.flatnonzero(root != np.arange(n))
+            return np.stack([member, root[member]])
+
+
 def _and_last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     for b in batches:
         if len(b):
@@ -184,4 +201,5 @@ def embed_dedup(
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """Near copies among all ``embeddings`` of a label: vec_id, n_links, component_id, kept."""
     return embed_dedup(table(spark, sf_dir, "embeddings"))
