@@ -10,6 +10,7 @@ meet at the home of either.  Comparing per anchor is then exact.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,31 +19,37 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save, shuffle_parts, table
+from .common import components, save, shuffle_parts, table, unused
 
 SHINGLE = 3
 SEED = 42
 MAX_DIFFERENCE = 3
 #: Homes of one anchor that one comparison holds at a time; an anchor with more is split by salt, nothing is dropped.
 HOMES_AT_ONCE = 2048
-BIG = 1 << 63
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, block: int = 1 << 16) -> int:
-    """64-bit SimHash of a text's word shingles, each counted as often as it occurs; 0 without words."""
-    words = text.encode().lower().split() if isinstance(text, str) else []
-    if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, block: int = 1 << 20) -> int:
+    """64-bit SimHash of a text's word shingles, each counted as often as it occurs; 0 without words.
+
+    ``block``: bytes whose words are in hand at a time; the last words of a block begin the next one's shingles.
+    """
+    data = text.encode().lower() if isinstance(text, str) else b""
+    hashed, ones, total, carry, at = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, [], 0
+    while at < len(data):
+        m = _SPACE.search(data, min(at + block, len(data)))
+        end = m.start() if m else len(data)
+        words = carry + data[at:end].split()
+        at = end
         grams = list(map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False)))
-    hashed = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(grams), block):
-        h = np.array([hashed(g, seed) for g in grams[at : at + block]], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(grams)).tobytes(), "big")
+        if not total and not grams and words and at >= len(data):
+            grams = [b" ".join(words)]  # fewer words than a shingle
+        carry = words[max(0, len(words) - shingle + 1) :] if shingle > 1 else []
+        if grams:
+            h = np.array([hashed(g, seed) for g in grams], ">u8")
+            ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            total += len(grams)
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big") if total else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
@@ -231,16 +238,18 @@ def keep_one(
     """
     rows, _ = save(fingerprints(docs, id_col, text_col, shingle, seed))
     reach = grouped(rows, most)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("th").alias("_th"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("best_doc"), F.col("th").alias("best_th"))
     best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(reach, "fp").groupBy("component").agg(F.min("best").alias("best")).select("best.*")
-    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
-    same = keyed[id_col].cast("long").eqNullSafe(best["_doc"]) & (keyed["_hash"] == best["_th"])
+    th, nth = unused(docs, "th"), unused(docs, "nth")
+    keyed = docs.withColumn(th, F.xxhash64(text_col))
+    same = keyed[id_col].cast("long").eqNullSafe(best["best_doc"]) & (keyed[th] == best["best_th"])
     kept = keyed.join(best, same, "left_semi")
     if rows.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        one = Window.partitionBy(id_col, "_hash").orderBy(F.lit(1))
-        kept = kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1")
+        one = Window.partitionBy(id_col, th).orderBy(F.lit(1))
+        kept = kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1)
     return kept.select(*docs.columns)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and their components of near copies: doc_id, fingerprint, component_id."""
     return simhash(table(spark, sf_dir, "documents"))
