@@ -16,12 +16,16 @@ import xxhash
 
 from quillgrid.llm import langid, licenses, mixing, packing, pii, secrets, simhash, substrings
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, size string, th string, i string, fp string, value string"
+CLASHES = [
+    "h", "size", "th", "i", "fp", "value", "_said", "_hash", "_nth", "_key", "_gaps", "_values", "_flags", "_size", "_copy", "own", "said", "nth", "copy", "flags", "gaps", "found", "key",
+    "r_source", "r_part", "r_n", "salt", "whole", "part", "shard", "open", "best_doc", "score_", "component", "anchor", "kept", "tie", "doc", "before", "after",
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def documents(spark, rows):
     """Rows (doc_id, text, lang, source); further columns clash with names that operators use inside."""
-    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), "x", "x", "x", "x", "x", "x") for r in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *CLASHES) for r in rows], SCHEMA).repartition(3)
 
 
 WORDS = [f"w{k}" for k in range(60)] + ["the", "of", "Straße", "niño", "élan"]
@@ -92,6 +96,28 @@ def test_mix_realised_has_the_words(spark, rows):
         assert n == sum(r["taken"] for r in plan if r["source"] == s)
 
 
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_mix_of_repeated_rows_and_salted_sources(spark, monkeypatch, few):
+    """A third of the rows are one row; the remainder of a source ends among them."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", few)
+    monkeypatch.setattr(mixing, "STEP", 7)
+    rows = [(1, "one two three four five six seven", "en", "a")] * 100 + [(None, f"w{k} " * (1 + k % 3), "en", "a") for k in range(60)]
+    rows += [(k, "b c d " * (k % 5), "en", "b") for k in range(60)] + [(k, "e " * 9, "en", None) for k in range(40)]
+    docs = documents(spark, rows)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        assert r["taken"] == r["whole"] * r["size"] + r["part"] and 0 <= r["part"] <= r["size"] and r["taken"] <= 3 * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert sum(r["taken"] for r in rs) == math.floor(rs[0]["target"] + 0.5) and sum(r["size"] for r in rs) == rs[0]["source_size"]
+    words = Counter()
+    for r in mixing.realise(docs).collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == {s: math.floor(rs[0]["target"] + 0.5) for s, rs in by.items()}
+
+
 def test_mix_empty_and_wordless(spark):
     assert mixing.mix(documents(spark, [(1, "a", "en", "s")]).where("false")).count() == 0
     got = mixing.mix(documents(spark, [(1, None, "en", "s"), (2, "", "en", "t")])).collect()
@@ -203,6 +229,22 @@ def passages(seed=1):
     return rows
 
 
+@pytest.mark.parametrize("remembered", [200_000, 50])
+def test_substrings_of_a_line_in_every_document(spark, monkeypatch, remembered):
+    """A frequent minimiser is dealt out by content, and its strings one by one."""
+    monkeypatch.setattr(substrings, "CROWD", 40)
+    monkeypatch.setattr(substrings, "REMEMBERED", remembered)
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(132))
+    rows = [(k, prose(rng, 12) + line + prose(rng, 12), "en", "s") for k in range(300)] + [(500, line + line, "en", "s"), (501, None, "en", "s")]
+    docs = documents(spark, rows)
+    prepared = docs.selectExpr("doc_id doc", "coalesce(text, '') text")
+    assert len(substrings.frequent(prepared, 100)) >= 1 and not len(substrings.frequent(prepared.limit(20), 100))
+    got = {r["doc_id"]: r for r in substrings.remove_repeats(docs).collect()}
+    for (_, i, _), w in brute_removal(rows).items():
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w
+
+
 @pytest.mark.parametrize("crowd", [4096, 2])
 def test_substrings_match_brute_force(spark, monkeypatch, crowd):
     monkeypatch.setattr(substrings, "CROWD", crowd)
@@ -364,7 +406,9 @@ def test_chain_agrees_with_enumeration():
             assert np.allclose(p[t, k], np.bincount(paths[:, t], weight, pii.TAGS), atol=1e-6)
             if t:
                 np.add.at(want_pairs, (paths[:, t - 1], paths[:, t]), weight)
-        assert model.viterbi(e)[:, k].tolist() == paths[score.argmax()].tolist()
+        best, outside = model.best_scores(e.transpose(2, 0, 1))
+        assert model.trace(best)[:, k].tolist() == paths[score.argmax()].tolist()
+        assert np.allclose(best[-1, :, k].max(), score.max(), atol=1e-5) and np.allclose(outside[k], score[0], atol=1e-5)
     assert np.allclose(pairs, want_pairs, atol=1e-5)
 
 
@@ -447,6 +491,18 @@ def test_license_prefilter_keeps_every_alternative(monkeypatch):
     assert licenses.scan("under the expat license")["labels"] == "mit" and len(texts) > 1000
 
 
+def test_licenses_of_common_forms():
+    cases = {
+        "licensed under the Expat license": "mit", "code under GPL v2": "gpl-2.0", "GPLv3+": "gpl-3.0", "LGPL-2.1+": "lgpl-2.1", "CC BY-SA 4.0": "cc-by-sa-4.0", "BSD-3-Clause": "bsd-3-clause",
+        "Do What The Fuck You Want To Public License": "wtfpl", "AGPL-3.0-or-later": "agpl-3.0", "MPL 2.0": "mpl-2.0", "the Software shall be used for Good, not Evil": "json", "Q Public License": "qpl",
+    }
+    for text, label in cases.items():
+        assert label in licenses.scan(f"some words {text} and others")["labels"].split(","), text
+    for text in ("a mit of wool", "the apache people", "public speaking", "gpl", "elastic band", "open software"):
+        assert licenses.scan(text)["labels"] == "", text
+    assert len(licenses.CLAUSES) + len(licenses.SIGNATURES) > 300
+
+
 # -- secrets --------------------------------------------------------------------------------------------------------
 
 
@@ -610,7 +666,7 @@ def test_packing_round_trip(spark, rows):
     t.encode_special_tokens = True
     extra = [(300, "<|endoftext|> is plain text here", "en", "s"), (301, "naïve \U0001f600  spaces\n\n\t" * 500, "en", "s")]
     rows = rows + extra
-    got = packing.pack(documents(spark, rows), window=256, group_docs=20).collect()
+    got = packing.pack(documents(spark, rows), window=256, group=20, second_group=50).collect()
     texts = {}
     for r in rows:
         texts.setdefault(r[0], []).append(r[1] or "")
@@ -631,6 +687,30 @@ def test_packing_round_trip(spark, rows):
     assert packing.pack(documents(spark, rows).where("false")).count() == 0
 
 
+def test_packing_ids_are_those_of_the_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    fast = packing.encoder(packing.vocabulary())
+    texts = [x for x, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    for text, ids in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert fast.encode_ordinary(text) == ids.ids
+
+
+def test_packing_in_many_groups_pads_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
+    got = packing.pack(docs, group=1024).collect()
+    used, windows = sum(r["length"] for r in got), len({r["sequence_id"] for r in got})
+    print("padding", 1 - used / (windows * 2048))
+    assert used / (windows * 2048) > 0.97
+    first = [r for r in got if r["sequence_id"] < packing.SECOND]
+    assert len({r["sequence_id"] >> 36 for r in first}) == 6
+    full = [r for r in got if r["sequence_id"] >= packing.FULL]
+    assert full and all(r["length"] == 2048 and r["offset"] == 0 for r in full) and len({r["sequence_id"] for r in full}) == len(full)
+
+
 def test_packing_places_by_least_squares():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 65, 400)
