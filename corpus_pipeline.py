@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.llm import langid, mixing, packing, secrets, simhash
-from quillgrid.llm.common import save, table
+from quillgrid.llm.common import SAVED, forget, save, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Pieces of the packed mix of ``documents``, as :func:`pack` returns them.
+
+    Null ids, texts, languages and sources, repeated rows and further columns pass through the stages as their
+    operators say; an empty table gives an empty result.  Once a stage is written, what it read and wrote on its way is deleted.
+    """
+    docs, known = table(spark, sf_dir, "documents"), set(SAVED)
     for _, stage in STAGES:
-        docs, _ = save(stage(spark, docs, sf_dir))
+        docs, path = save(stage(spark, docs, sf_dir))
+        for old in [p for p in SAVED if p not in known and p != path]:
+            forget(spark, old)
     return docs
