@@ -1,8 +1,9 @@
 """Raster operators on dense grids.
 
-Stencils are window functions along one axis at a time: one shuffle an axis, one row a cell.
-A neighbour beyond the edge is the edge cell.  Resizing scatters each cell to the targets it
-takes part in, so it needs no join.
+Stencils work on square tiles: each cell goes to the tiles that read it (its own, and those whose halo it
+lies in), which is the one shuffle; window functions along both axes then run within a tile.  So tasks grow
+with the area, not with the number of rows or columns.  A neighbour beyond the grid's edge is the edge cell.
+Resizing scatters each cell to the targets it takes part in, so it needs no join.
 """
 
 from __future__ import annotations
@@ -14,19 +15,37 @@ from pyspark.sql import functions as F
 
 from .windows import clamp, floor_div
 
+#: Cells on a side of a tile.
+TILE = 128
 
-def _line(axis: str):
-    other = "j" if axis == "i" else "i"
-    return Window.partitionBy(other).orderBy(axis)
+
+def halo(grid: DataFrame, rows: tuple[int, int], cols: tuple[int, int], tile: int | None = None) -> DataFrame:
+    """Each cell once for every tile (_ti, _tj) whose cells read it, so many cells before and after their own along each axis."""
+    tile = tile or TILE
+    out = grid
+    for name, axis, (before, after) in (("_ti", "i", rows), ("_tj", "j", cols)):
+        out = out.withColumn(name, F.explode(F.sequence(floor_div(F.col(axis) - after, tile), floor_div(F.col(axis) + before, tile))))
+    return out.repartition("_ti", "_tj")
+
+
+def inner(tiles: DataFrame, tile: int | None = None) -> DataFrame:
+    """The cells of each tile without its halo."""
+    tile = tile or TILE
+    return tiles.where((floor_div("i", tile) == F.col("_ti")) & (floor_div("j", tile) == F.col("_tj"))).drop("_ti", "_tj")
+
+
+def line(axis: str):
+    """A tile's line along an axis, in order."""
+    return Window.partitionBy("_ti", "_tj", "j" if axis == "i" else "i").orderBy(axis)
 
 
 def neighbour(v: str, axis: str, d: int) -> Column:
-    """The value ``d`` cells on along the axis, clamped to the edge."""
-    line = _line(axis)
+    """The value ``d`` cells on along the axis, clamped to the edge; among the cells of tiles with a halo of ``d``."""
+    at = line(axis)
     if d < 0:
-        return F.coalesce(F.lag(v, -d).over(line), F.first(v).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        return F.coalesce(F.lag(v, -d).over(at), F.first(v).over(at.rowsBetween(Window.unboundedPreceding, 0)))
     if d > 0:
-        return F.coalesce(F.lead(v, d).over(line), F.last(v).over(line.rowsBetween(0, Window.unboundedFollowing)))
+        return F.coalesce(F.lead(v, d).over(at), F.last(v).over(at.rowsBetween(0, Window.unboundedFollowing)))
     return F.col(v)
 
 
@@ -44,45 +63,47 @@ def kernel_wide(sigma: float) -> list[float]:
     return [t / sum(taps) for t in taps]
 
 
-def convolve(grid: DataFrame, axis: str, taps: list[float], v: str = "v") -> DataFrame:
-    """Weighted sum along an axis; the edge values are looked up once, each other tap is one lag or lead."""
-    half, line = len(taps) // 2, _line(axis)
-    columns = grid.columns
-    edges = {"_lo": F.first(v).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_hi": F.last(v).over(line.rowsBetween(0, Window.unboundedFollowing))}
-    shifted = {f"_m{k}": (F.lag(v, half - k) if k < half else F.lead(v, k - half)).over(line) for k in range(len(taps)) if k != half}
-    at = grid.withColumns(edges | shifted)
+def convolve(tiles: DataFrame, axis: str, taps: list[float], v: str = "v") -> DataFrame:
+    """Weighted sum along an axis of tiles with a halo; the edge values are looked up once, each other tap is one lag or lead."""
+    half, at = len(taps) // 2, line(axis)
+    columns = tiles.columns
+    edges = {"_lo": F.first(v).over(at.rowsBetween(Window.unboundedPreceding, 0)), "_hi": F.last(v).over(at.rowsBetween(0, Window.unboundedFollowing))}
+    shifted = {f"_m{k}": (F.lag(v, half - k) if k < half else F.lead(v, k - half)).over(at) for k in range(len(taps)) if k != half}
+    moved = tiles.withColumns(edges | shifted)
     parts = [(F.col(v) if k == half else F.coalesce(f"_m{k}", "_lo" if k < half else "_hi")) * F.lit(t) for k, t in enumerate(taps)]
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return at.withColumn(v, total).select(*columns)
+    return moved.withColumn(v, total).select(*columns)
 
 
 def gaussian_blur(grid: DataFrame, sigma: float, wide: bool = False) -> DataFrame:
     """Separable blur with clamped edges: along columns of a row first, then along rows."""
     taps = kernel_wide(sigma) if wide else kernel_truncated(sigma)
-    return convolve(convolve(grid, "j", taps), "i", taps)
+    half = len(taps) // 2
+    return inner(convolve(convolve(halo(grid, (half, half), (half, half)), "j", taps), "i", taps))
 
 
 def sobel(grid: DataFrame, pixel: float = 1.0) -> DataFrame:
     """Gradient magnitude by the Sobel kernels over eight, per ``pixel`` of length; edges are clamped."""
     # Each kernel is a difference along one axis of a 1-2-1 sum along the other.
-    along = grid.withColumns({"_d": neighbour("v", "j", 1) - neighbour("v", "j", -1), "_s": neighbour("v", "j", -1) + 2 * F.col("v") + neighbour("v", "j", 1)})
+    tiles = halo(grid, (1, 1), (1, 1))
+    along = tiles.withColumns({"_d": neighbour("v", "j", 1) - neighbour("v", "j", -1), "_s": neighbour("v", "j", -1) + 2 * F.col("v") + neighbour("v", "j", 1)})
     dx = (neighbour("_d", "i", -1) + 2 * F.col("_d") + neighbour("_d", "i", 1)) / 8.0
     dy = (neighbour("_s", "i", 1) - neighbour("_s", "i", -1)) / 8.0
-    return along.withColumns({"_x": dx, "_y": dy}).select("i", "j", (F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")) / F.lit(float(pixel))).alias("v"))
+    found = inner(along.withColumns({"_x": dx, "_y": dy}))
+    return found.select("i", "j", (F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")) / F.lit(float(pixel))).alias("v"))
 
 
 def gradient(grid: DataFrame, divisor: float = 1.0) -> DataFrame:
     """Central differences (dy along i, dx along j), one-sided at edges."""
 
     def along(axis: str) -> Column:
-        line = _line(axis)
-        before, after = F.lag("v").over(line), F.lead("v").over(line)
+        before, after = F.lag("v").over(line(axis)), F.lead("v").over(line(axis))
         span = F.when(before.isNotNull() & after.isNotNull(), 2.0).otherwise(1.0)
         return (F.coalesce(after, F.col("v")) - F.coalesce(before, F.col("v"))) / span / F.lit(float(divisor))
 
-    return grid.withColumn("dy", along("i")).withColumn("dx", along("j"))
+    return inner(halo(grid, (1, 1), (1, 1)).withColumn("dy", along("i")).withColumn("dx", along("j")))
 
 
 def hillshade(grid: DataFrame, resolution: float = 90.0, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .raster import halo, inner, line
 from .windows import clamp
 
 
@@ -35,10 +39,12 @@ def channel_pivot(cells: DataFrame, channels: list[str], channel: str = "ch") ->
 
 
 def nested(cells: DataFrame, channel: str = "ch", digits: int = 2) -> DataFrame:
-    """Per channel a 2-D array: rows by i, values by j, rounded."""
+    """The rows of each channel's 2-D array: (channel, i, row), values by j, rounded.
+
+    One row a line of the grid; a channel's whole array never stands in one row.
+    """
     rows = cells.groupBy(channel, "i").agg(F.array_sort(F.collect_list(F.struct("j", half_up(F.col("v"), digits).alias("v")))).alias("row"))
-    rows = rows.select(channel, F.struct("i", F.transform("row", lambda c: c["v"]).alias("row")).alias("r"))
-    return rows.groupBy(channel).agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias("data"))
+    return rows.select(channel, "i", F.transform("row", lambda c: c["v"]).alias("row"))
 
 
 def range_mask(wide: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
@@ -72,33 +78,73 @@ def minmax(cells: DataFrame) -> DataFrame:
     return both.withColumn("t", clamp((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")), F.lit(0.0), F.lit(1.0))).drop("_lo", "_hi")
 
 
-def quantile_table(cells: DataFrame, n: int, eps: float = 1e-4, v: str = "v") -> DataFrame:
-    """One row (xp): ``n`` linearly interpolated quantiles from ``eps`` to 1 - eps, made strictly increasing."""
-    levels = [eps + k * (1 - 2 * eps) / (n - 1) for k in range(n)]
-    raw = cells.agg(F.percentile(v, F.array(*[F.lit(x) for x in levels])).alias("q"))
-    steps = F.filter(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.get("q", k) - F.get("q", k - 1)), lambda d: d > 0)
-    least = F.coalesce(F.array_min(steps), F.lit(1e-10)) * 0.1
+def place(x: Column, knots: list[float]) -> Column:
+    """How many of the sorted knots are not above ``x``, by halving."""
+    steps = [1 << k for k in range(max(1, len(knots).bit_length()) - 1, -1, -1)]
+    table = F.array(*[F.lit(float(q)) for q in knots])
+    up = lambda at, s: F.when((at + s <= len(knots)) & (F.get(table, at + s - 1) <= x), at + s).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), up)
 
-    def push(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        return F.concat(acc, F.array(F.when(F.size(acc) == 0, x).when(x > last, x).otherwise(last + F.col("least"))))
 
-    return raw.withColumn("least", least).select(F.aggregate("q", F.array().cast("array<double>"), push).alias("xp"))
+def exact_quantiles(cells: DataFrame, levels: list[float], v: str = "v", bins: int = 1024) -> list[float]:
+    """Linearly interpolated quantiles, exact; empty for no values.
 
-
-def interp(x: Column, xp: Column, fp: Column, n: int) -> Column:
+    Approximate quantiles cut the values into bins of about equal weight; bin counts tell in which
+    bins the wanted ranks lie, and only there values are counted and summed up in order.  What comes to the driver is
+    ``bins`` cuts and counts and two values a level; no task holds more than a bin's distinct values, and sorts of them can spill.
+    """
+    rows = cells.select(F.col(v).cast("double").alias("v")).where(F.col(v).isNotNull())
+    cuts = rows.agg(F.percentile_approx("v", [k / bins for k in range(1, bins)], 10 * bins).alias("c")).first()["c"]
+    if not cuts:
+        return []
+    binned = rows.withColumn("bin", place(F.col("v"), sorted(set(cuts))))
+    counts = {r["bin"]: r["n"] for r in binned.groupBy("bin").agg(F.count("*").alias("n")).collect()}
+    total, before, at = sum(counts.values()), {}, 0
+    for k in sorted(counts):
+        before[k], at = at, at + counts[k]
+    ranks = sorted({r for p in levels for r in (math.floor(p * (total - 1)), math.ceil(p * (total - 1)))})
+    asked, order = [], sorted(before)
+    for r in ranks:
+        k = order[bisect_right([before[x] for x in order], r) - 1]
+        asked.append((k, r - before[k], r))
+    wanted = cells.sparkSession.createDataFrame(asked, "bin int, place long, rank long")
+    ordered = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    summed = binned.where(F.col("bin").isin(sorted({k for k, _, _ in asked}))).groupBy("bin", "v").agg(F.count("*").alias("n"))
+    summed = summed.withColumn("upto", F.sum("n").over(ordered)).join(F.broadcast(wanted), "bin")  # two rows a level
+    value = {r["rank"]: r["v"] for r in summed.where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n"))).collect()}
+    found = []
+    for p in levels:
+        pos = p * (total - 1)
+        low, high = value[math.floor(pos)], value[math.ceil(pos)]
+        found.append(low + (pos - math.floor(pos)) * (high - low))
+    return found
+
+
+def quantile_table(cells: DataFrame, n: int, eps: float = 1e-4, v: str = "v") -> list[float]:
+    """``n`` linearly interpolated quantiles from ``eps`` to 1 - eps, made strictly increasing."""
+    found = exact_quantiles(cells, [eps + k * (1 - 2 * eps) / (n - 1) for k in range(n)], v)
+    least = min((b - a for a, b in zip(found, found[1:], strict=False) if b > a), default=1e-10) * 0.1
+    out: list[float] = []
+    for x in found:
+        out.append(x if not out or x > out[-1] else out[-1] + least)
+    return out
+
+
+def interp(x: Column, xp: list[float], fp: list[float]) -> Column:
     """Piecewise linear interpolation, clamped at the ends; xp increases strictly."""
-    place = F.size(F.filter(xp, lambda q: q <= x))  # how many knots are not above x
-    lo = F.greatest(F.lit(0), F.least(F.lit(n - 2), place - 1))
-    a, b, c, d = F.get(xp, lo), F.get(xp, lo + 1), F.get(fp, lo), F.get(fp, lo + 1)
-    inner = c + (x - a) / (b - a) * (d - c)
-    return F.when(x <= F.get(xp, F.lit(0)), F.get(fp, F.lit(0))).when(x >= F.get(xp, F.lit(n - 1)), F.get(fp, F.lit(n - 1))).otherwise(inner)
+    n = len(xp)
+    segments = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(c).alias("y"), F.lit((e - c) / (b - a)).alias("k")) for a, b, c, e in zip(xp, xp[1:], fp, fp[1:], strict=False)])
+    lo = F.greatest(F.lit(0), F.least(F.lit(n - 2), place(x, xp) - 1))
+    # The segment is looked up once; the lambda names it.
+    within = F.get(F.transform(F.array(F.get(segments, lo)), lambda s: s["y"] + (x - s["x"]) * s["k"]), F.lit(0))
+    return F.when(x <= xp[0], F.lit(fp[0])).when(x >= xp[-1], F.lit(fp[-1])).otherwise(within)
 
 
-def quantile_match(cells: DataFrame, source: DataFrame, target: DataFrame, n: int) -> DataFrame:
-    """``matched``: v taken to the place that it has among the source's quantiles in the target's (both one row, ``n`` knots)."""
-    knots = source.select("xp").crossJoin(target.select(F.col("xp").alias("fp")))
-    return cells.crossJoin(F.broadcast(knots)).withColumn("matched", interp(F.col("v"), F.col("xp"), F.col("fp"), n)).drop("xp", "fp")
+def quantile_match(cells: DataFrame, source: list[float], target: list[float]) -> DataFrame:
+    """``matched``: v taken to the place that it has among the source's quantiles in the target's (as many knots)."""
+    if not source or not target:
+        return cells.withColumn("matched", F.lit(None).cast("double"))
+    return cells.withColumn("matched", interp(F.col("v"), source, target))
 
 
 def windowed_baseline(grid: DataFrame, size: int, threshold: float = 0.02) -> DataFrame:
@@ -111,14 +157,14 @@ def windowed_baseline(grid: DataFrame, size: int, threshold: float = 0.02) -> Da
     parts = {"_t": F.col("t") * land, "_e": F.col("e") * land, "_ee": F.col("e") * F.col("e") * land, "_et": F.col("e") * F.col("t") * land, "_w": land}
     out = grid.withColumns(parts)
     pad = (size - 1) // 2
-    along_j = Window.partitionBy("i").orderBy("j").rowsBetween(0, size - 1)
-    step_j = Window.partitionBy("i").orderBy("j")
+    out = halo(out, (0, size - 1), (0, size - 1))
+    step_j, step_i = line("j"), line("i")
+    along_j, along_i = step_j.rowsBetween(0, size - 1), step_i.rowsBetween(0, size - 1)
     out = out.withColumns({k: F.sum(k).over(along_j) for k in parts} | {"_n": F.count("*").over(along_j), "_tc": F.lead("t", pad).over(step_j), "_ec": F.lead("e", pad).over(step_j)})
-    along_i = Window.partitionBy("j").orderBy("i").rowsBetween(0, size - 1)
-    step_i = Window.partitionBy("j").orderBy("i")
     out = out.withColumns(
         {k: F.sum(k).over(along_i) for k in parts} | {"_n": F.sum("_n").over(along_i), "_tc": F.lead("_tc", pad).over(step_i), "_ec": F.lead("_ec", pad).over(step_i)}
-    ).where(F.col("_n") == size * size)
+    )
+    out = inner(out).where(F.col("_n") == size * size)
     den = F.col("_w") + 1e-6
     mt, me, mee, met = (F.col(k) / den for k in ("_t", "_e", "_ee", "_et"))
     var, cov = mee - me * me, met - me * mt

@@ -12,7 +12,6 @@ from ..operators.windows import floor_div
 from ..sources import config, sinks
 from .tables import CHANNELS, DENSE, GRID, channel_grid, dense_grid, event_grid, table
 
-TYPES = "click", "purchase", "scroll", "signup", "view"
 
 
 def channel_stats(spark, d):
@@ -24,11 +23,6 @@ CHANNEL_STATS = f"""WITH {CHANNELS} SELECT ch, floor(coalesce(min(v) FILTER (i %
 floor(coalesce(max(v) FILTER (i % 17 <> 0), 0e0) * 1000e0 + 5e-1) / 1000e0 AS vmax FROM cg GROUP BY ch"""
 
 
-def _types(spark, d) -> list[str]:
-    """The channels: at most 64 event types, a bound of the grid's width."""
-    return sorted(r[0] for r in table(spark, d, "events").select("event_type").where("event_type is not null").distinct().orderBy("event_type").limit(64).collect())
-
-
 def channel_pivot(spark, d):
     """Two channels side by side, and their difference as a third."""
     a, b = "click", "purchase"
@@ -53,7 +47,12 @@ SELECT i, j, inside, round(CASE WHEN inside THEN coalesce(p, 0e0) ELSE coalesce(
 
 
 def channel_arrays(spark, d):
-    return stats.nested(channel_grid(spark, d)).select("ch", F.to_json("data").alias("data_json"), F.size("data").alias("n_rows"))
+    """Each channel's array, a line of the grid a row, its values as text with two digits."""
+    rows = stats.nested(channel_grid(spark, d))
+    return rows.select("ch", "i", F.array_join(F.transform("row", lambda v: F.format_string("%.2f", v)), ",").alias("row"), F.size("row").alias("n"))
+
+
+ARRAYS = f"""WITH {CHANNELS} SELECT ch, i, string_agg(printf('%.2f', floor(v * 100e0 + 5e-1) / 100e0), ',' ORDER BY j) AS row, CAST(count(*) AS INT) AS n FROM cg GROUP BY ch, i"""
 
 
 def minmax_colormap(spark, d):
@@ -71,7 +70,7 @@ SELECT p_partkey, round(t, 6) AS t, r, g, b FROM t JOIN lut ON k = greatest(0, l
 
 def quantile_table(spark, d):
     q = stats.quantile_table(table(spark, d, "lineitem").select(F.col("l_quantity").alias("v")), 64)
-    return q.select(F.posexplode("xp").alias("k", "q")).select("k", F.round("q", 8).alias("q"))
+    return spark.createDataFrame(list(enumerate(q)), "k int, q double").select("k", F.round("q", 8).alias("q"))
 
 
 _LEVELS64 = ", ".join(repr(1e-4 + k * (1 - 2e-4) / 63) + "::DOUBLE" for k in range(64))
@@ -85,7 +84,7 @@ def quantile_match(spark, d):
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("v"))
     source = stats.quantile_table(line, 33)
     target = stats.quantile_table(table(spark, d, "orders").select(F.col("o_totalprice").alias("v")), 33)
-    return stats.quantile_match(line, source, target, 33).select("l_orderkey", "l_linenumber", F.round("matched", 4).alias("matched"))
+    return stats.quantile_match(line, source, target).select("l_orderkey", "l_linenumber", F.round("matched", 4).alias("matched"))
 
 
 _LEVELS33 = ", ".join(repr(1e-4 + k * (1 - 2e-4) / 32) + "::DOUBLE" for k in range(33))
@@ -352,7 +351,8 @@ def manifest(spark, d):
     """Parts as a manifest in JSON, read back as one row per asset."""
     p = table(spark, d, "part")
     asset = F.struct(F.sha2("p_name", 256).alias("sha256"), F.col("p_size").cast("long").alias("sizeBytes"), F.concat(F.lit("u/"), "p_brand").alias("url"))
-    body = p.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), asset))).alias("assets"))
+    # A manifest holds the parts of one brand and one block of keys, so none grows with the table.
+    body = p.groupBy("p_brand", floor_div("p_partkey", 1000).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), asset))).alias("assets"))
     texts = body.select(F.to_json(F.struct(F.col("p_brand").alias("repositorySlug"), F.lit("r1").alias("revision"), "assets")).alias("value"))
     return config.manifest_assets(texts)
 
@@ -500,7 +500,7 @@ def raw_tiles(spark, d):
 RAW = f"WITH {DENSE} SELECT DISTINCT CAST(floor(i / 32e0) AS BIGINT) AS ty, CAST(floor(j / 32e0) AS BIGINT) AS tx, 6144 AS n_bytes FROM dense"
 
 QUERIES = {
-    "channel_stats": (channel_stats, CHANNEL_STATS), "channel_pivot": (channel_pivot, PIVOT), "channel_arrays": (channel_arrays, None), "range_filter_dim": (range_filter_dim, RANGE),
+    "channel_stats": (channel_stats, CHANNEL_STATS), "channel_pivot": (channel_pivot, PIVOT), "channel_arrays": (channel_arrays, ARRAYS), "range_filter_dim": (range_filter_dim, RANGE),
     "minmax_colormap": (minmax_colormap, COLORMAP), "quantile_table": (quantile_table, QUANTILES), "quantile_match": (quantile_match, MATCH),
     "windowed_baseline": (windowed_baseline, BASELINE), "climate_correct": (climate_correct, CLIMATE), "signed_powers": (signed_powers, POWERS),
     "classify_rules": (classify_rules, CLASSIFY), "class_dimension": (class_dimension, DIMENSION), "heights": (heights, HEIGHTS), "land_cells": (land_cells, LAND),

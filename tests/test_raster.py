@@ -50,6 +50,33 @@ def test_resizes(spark):
         assert np.allclose(array(raster.resize_nearest(g, GRID.shape, to), to), GRID[i][:, j])
 
 
+def test_stencils_agree_whatever_the_tile(spark, monkeypatch):
+    g = frame(spark, GRID)
+    runs = []
+    for tile in (128, 4, 3):
+        monkeypatch.setattr(raster, "TILE", tile)
+        t = frame(spark, np.abs(GRID)).withColumnRenamed("v", "t").join(g.withColumnRenamed("v", "e"), ["i", "j"])
+        shade, base = raster.hillshade(g), stats.windowed_baseline(t, 3)
+        runs.append([array(raster.gaussian_blur(g, 1.2, wide=True), GRID.shape), array(raster.sobel(g), GRID.shape), array(shade, GRID.shape, "dx"), array(shade, GRID.shape, "dy"),
+                     array(base, GRID.shape, "beta"), array(base, GRID.shape, "t_sea")])
+        assert shade.count() == GRID.size
+    for other in runs[1:]:
+        assert all(np.allclose(a, b, equal_nan=True) for a, b in zip(runs[0], other, strict=True))
+
+
+def test_quantiles_of_many_bins_and_ties(spark):
+    rng = np.random.default_rng(6)
+    values = np.concatenate([np.round(rng.exponential(100, 3000), 1), np.full(1500, 7.5), [1e12, -1e12]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+    levels = [0.0, 1e-4, 0.1, 0.25, 0.5, 0.9, 0.9999, 1.0]
+    for bins in (4, 64, 1024):
+        assert np.allclose(stats.exact_quantiles(df, levels, bins=bins), np.quantile(values, levels))
+    assert stats.exact_quantiles(df.where("false"), levels) == [] and stats.exact_quantiles(df.where("v = 7.5"), [0.3]) == [7.5]
+    knots = [float(k) for k in range(-5, 9)]
+    got = spark.createDataFrame([(float(x),) for x in np.arange(-7, 11, 0.5)], "x double").select("x", stats.place(F.col("x"), knots).alias("n")).collect()
+    assert all(r["n"] == sum(k <= r["x"] for k in knots) for r in got)
+
+
 def test_kernels():
     taps = raster.kernel_truncated(5.0)
     assert len(taps) == 11 and [round(t, 6) for t in taps[:6]] == [0.066342, 0.079425, 0.091361, 0.100969, 0.107213, 0.109379]
@@ -131,13 +158,12 @@ def test_windowed_baseline(spark):
 def test_quantiles_and_interpolation(spark):
     values = np.sort(RNG.normal(size=500))
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    xp = stats.quantile_table(df, 16).first()["xp"]
+    xp = stats.quantile_table(df, 16)
     assert np.allclose(xp, np.quantile(values, [1e-4 + k * (1 - 2e-4) / 15 for k in range(16)]))
-    tied = stats.quantile_table(spark.createDataFrame([(1.0,)] * 50 + [(2.0,)], "v double"), 8).first()["xp"]
+    tied = stats.quantile_table(spark.createDataFrame([(1.0,)] * 50 + [(2.0,)], "v double"), 8)
     assert all(b > a for a, b in zip(tied, tied[1:], strict=False))
-    knots = spark.createDataFrame([(list(map(float, xp)), [float(k * k) for k in range(16)])], "xp array<double>, fp array<double>")
     asked = [-9.0, *xp[:3], 0.1, 0.7, 9.0]
-    got = spark.createDataFrame([(float(x),) for x in asked], "x double").crossJoin(knots).select(stats.interp(F.col("x"), F.col("xp"), F.col("fp"), 16).alias("y")).collect()
+    got = spark.createDataFrame([(float(x),) for x in asked], "x double").select(stats.interp(F.col("x"), xp, [float(k * k) for k in range(16)]).alias("y")).collect()
     assert np.allclose([r["y"] for r in got], np.interp(asked, xp, [k * k for k in range(16)]))
 
 
