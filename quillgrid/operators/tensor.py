@@ -3,14 +3,15 @@
 A node knows its window grid, its dependencies and the window of each dependency that one of its
 windows reads.  ``slice`` pushes a rectangle down the graph as sets of windows (never as
 one hull), asks the tile store what is there already, computes the missing windows in Spark, and
-sums the overlapping windows of the result.
+sums the overlapping windows of the result.  Tiles travel as arrays, one row a tile and window that reads it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .windows import WindowSpec, window_list
 
 TILE = "wi long, wj long, h int, w int, data array<double>"
-#: A tile function: the window (wi, wj) and a 2-D array per dependency to a 2-D array of the window's size.
+#: A tile function: the window (wi, wj) and a 2-D array per dependency to a 2-D array of the window's size.  A batched one takes a list of
+#: windows and a 3-D array per dependency, and returns a 3-D array, a window each.
 TileFunction = Callable[..., "object"]
 
 
@@ -31,7 +33,11 @@ class Node:
     deps: list[Node] = field(default_factory=list)
     dep_rows: list[WindowSpec] = field(default_factory=list)
     dep_cols: list[WindowSpec] = field(default_factory=list)
-    budget: int | None = None
+    batch: int | None = None  # windows that one call of a batched tile function gets at most
+
+    def __post_init__(self) -> None:
+        if self.batch is not None and self.batch <= 0:
+            raise ValueError("a batch must be positive")
 
 
 class Store:
@@ -104,40 +110,58 @@ def tiles_from(cells: DataFrame, node: Node) -> DataFrame:
 
 def ensure(store: Store, node: Node, windows: DataFrame) -> DataFrame:
     """The node's tiles, after the missing ones among ``windows`` were computed (dependencies first)."""
-    missing = windows.join(store.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti")
-    inputs: DataFrame | None = None
+    missing = windows.select("wi", "wj").join(store.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti")
+    none = F.array().cast("array<double>")
+    parts = missing.select("wi", "wj", F.lit(-1).alias("dep"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("w"), none.alias("data"))
     for n, (dep, needed) in enumerate(demand(node, missing)):
-        tiles = ensure(store, dep, needed).join(needed, ["wi", "wj"], "left_semi")
-        summed = cells_of(tiles, dep).groupBy("i", "j").agg(F.sum("v").alias("v"))
+        tiles = ensure(store, dep, needed).select(F.col("wi").alias("ti"), F.col("wj").alias("tj"), "w", "data")
         rows, cols = node.dep_rows[n], node.dep_cols[n]
-        placed = summed.withColumn("wi", F.explode(rows.covering("i", F.col("i") + 1))).withColumn("wj", F.explode(cols.covering("j", F.col("j") + 1)))
-        placed = placed.join(missing, ["wi", "wj"], "left_semi")
-        part = placed.select("wi", "wj", F.lit(n).alias("dep"), (F.col("i") - rows.start("wi")).alias("r"), (F.col("j") - cols.start("wj")).alias("c"), "v")
-        inputs = part if inputs is None else inputs.unionByName(part)
-    frame = missing.select("wi", "wj", F.lit(-1).alias("dep"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("v"))
-    every = frame if inputs is None else frame.unionByName(inputs)
-    return store.put(node, every.groupBy("wi", "wj").applyInPandas(_tile(node), TILE))
+        asks = missing.withColumn("ti", F.explode(dep.rows.covering(rows.start("wi"), rows.stop("wi")))).withColumn("tj", F.explode(dep.cols.covering(cols.start("wj"), cols.stop("wj"))))
+        at = (dep.rows.start("ti") - rows.start("wi")).alias("r"), (dep.cols.start("tj") - cols.start("wj")).alias("c")
+        parts = parts.unionByName(asks.join(tiles, ["ti", "tj"]).select("wi", "wj", F.lit(n).alias("dep"), *at, "w", "data"))
+    dealt = parts.repartition("wi", "wj").sortWithinPartitions("wi", "wj", "dep", "r", "c")
+    return store.put(node, dealt.mapInPandas(_compute(node), TILE))
 
 
-def _tile(node: Node):
-    rows, cols, fn, name = node.rows, node.cols, node.fn, node.id
+def _compute(node: Node):
+    """Assembles the windows as their parts come in, and calls the tile function for one or a batch of them."""
+    size, fn, name, batch = (node.rows.size, node.cols.size), node.fn, node.id, node.batch
     shapes = [(r.size, c.size) for r, c in zip(node.dep_rows, node.dep_cols, strict=True)]
 
-    def compute(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        arrays = []
-        for n, shape in enumerate(shapes):
-            own = part[part["dep"] == n]
-            a = np.zeros(shape)
-            a[own["r"].to_numpy(int), own["c"].to_numpy(int)] = own["v"].to_numpy(float)
-            arrays.append(a)
-        out = np.asarray(fn(int(key[0]), int(key[1]), *arrays), float)
-        if out.ndim != 2 or out.shape != (rows.size, cols.size):
-            raise ValueError(f"tensor {name!r}: a tile has shape {out.shape}, its window {(rows.size, cols.size)}")
-        return pd.DataFrame({"wi": [key[0]], "wj": [key[1]], "h": [rows.size], "w": [cols.size], "data": [out.ravel()]})
-
-    return compute
+    def paste(a: np.ndarray, tile: np.ndarray, r: int, c: int) -> None:
+        """Add a tile whose corner stands at (r, c) of the array."""
+        r0, c0, r1, c1 = max(r, 0), max(c, 0), min(r + tile.shape[0], a.shape[0]), min(c + tile.shape[1], a.shape[1])
+        if r0 < r1 and c0 < c1:
+            a[r0:r1, c0:c1] += tile[r0 - r : r1 - r, c0 - c : c1 - c]
+
+    def call(ready: list) -> pd.DataFrame:
+        at = [key for key, _ in ready]
+        if batch is None:
+            out = [np.asarray(fn(*key, *arrays), float) for key, arrays in ready]
+        else:
+            out = list(np.asarray(fn(at, *[np.stack([arrays[n] for _, arrays in ready]) for n in range(len(shapes))]), float))
+            if len(out) != len(ready):
+                raise ValueError(f"tensor {name!r}: {len(ready)} windows were asked for, {len(out)} came")
+        for a in out:
+            if a.shape != size:
+                raise ValueError(f"tensor {name!r}: a tile has shape {a.shape}, its window {size}")
+        return pd.DataFrame({"wi": [k[0] for k in at], "wj": [k[1] for k in at], "h": size[0], "w": size[1], "data": [a.ravel() for a in out]})
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: list = []
+        for b in batches:
+            for wi, wj, dep, r, c, w, data in zip(b["wi"], b["wj"], b["dep"], b["r"], b["c"], b["w"], b["data"], strict=True):
+                if not ready or ready[-1][0] != (wi, wj):
+                    if len(ready) == (batch or 16):
+                        yield call(ready)
+                        ready = []
+                    ready.append(((int(wi), int(wj)), [np.zeros(shape) for shape in shapes]))
+                if dep >= 0:
+                    paste(ready[-1][1][dep], np.asarray(data).reshape(-1, w), int(r), int(c))
+        if ready:
+            yield call(ready)
+
+    return each
 
 
 def slice_node(store: Store, node: Node, i0: int, i1: int, j0: int, j1: int) -> DataFrame:

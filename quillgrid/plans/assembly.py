@@ -1,4 +1,4 @@
-"""Region plans: elevation and climate assembled from their parts, and a two-stage model graph with a stub."""
+"""Region plans: elevation and climate assembled from their parts, and graphs of model stages with a stub."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rng
 from ..operators import blend, diffusion, raster, stats, tensor, windows
 from ..operators.windows import WindowSpec
-from .tables import DAYS, dense_grid, event_grid, height_of, table
+from .tables import DAYS, DENSE, dense_grid, event_grid, height_of, table
 
 
 def elevation(residual: DataFrame, low: DataFrame, low_shape: tuple[int, int], ratio: int, pad: int, sigma: float = 5.0) -> DataFrame:
@@ -62,24 +63,115 @@ def climate_assembly(spark, d):
     return out.select("i", "j", F.round("temp", 5).alias("temp"), F.round("beta", 7).alias("beta"))
 
 
-def _coarse_tile(steps: int = 4, size: int = 16):
-    """A tile function: solver steps with a linear stand-in for the model, then values and weights for blending."""
-    sigma = diffusion.schedule(steps)
-    ramp = 1 - 0.999 * np.minimum(1, np.abs(np.arange(size) - (size - 1) / 2) / ((size - 1) / 2))
+def ramp(size: int) -> np.ndarray:
+    """The blend weights of a window of so many cells along one axis."""
+    mid = (size - 1) / 2
+    return 1 - 0.999 * np.minimum(1, np.abs(np.arange(size) - mid) / mid)
 
-    def compute(wi: int, wj: int, source: np.ndarray) -> np.ndarray:
-        x, before = source * 1.0, None
-        for k in range(steps):
-            a, b = sigma[k], sigma[k + 1]
-            answer = x / math.hypot(a, 0.5) * 0.5 * math.cos(math.atan(a / 0.5))
-            clean = 0.25 / (a * a + 0.25) * x + a * 0.5 / math.hypot(a, 0.5) * answer
-            slope = 0.0 if k in (0, steps - 1) else 0.5 * (clean - before) / (math.log(sigma[k - 1] / a) / math.log(a / b))
-            x, before = b / a * x - (b / a - 1) * (clean + slope), clean
-        return x * np.outer(ramp, ramp)
+
+def stub(x: np.ndarray, label: float) -> np.ndarray:
+    """A linear stand-in for a learned model."""
+    return 0.5 * math.cos(label) * x
+
+
+def _solved(x: np.ndarray, steps: int) -> np.ndarray:
+    """Solver steps of second order with the stub as model, on any array."""
+    sigma, before = diffusion.schedule(steps), None
+    for k in range(steps):
+        a, b = sigma[k], sigma[k + 1]
+        answer = stub(x / math.hypot(a, 0.5), math.atan(a / 0.5))
+        clean = 0.25 / (a * a + 0.25) * x + a * 0.5 / math.hypot(a, 0.5) * answer
+        slope = 0.0 if k in (0, steps - 1) else 0.5 * (clean - before) / (math.log(sigma[k - 1] / a) / math.log(a / b))
+        x, before = b / a * x - (b / a - 1) * (clean + slope), clean
+    return x
+
+
+def _coarse_tile(steps: int = 20, size: int = 16):
+    """A tile function: solver steps with the stub, weighted for blending."""
+    weights = np.outer(ramp(size), ramp(size))
+    return lambda wi, wj, source: _solved(source * 1.0, steps) * weights
+
+
+def _flow(x: np.ndarray, t: float) -> np.ndarray:
+    """One step of flow matching from a noisy sample, in units of the data's scale; the model's answer is negated."""
+    answer = -stub(x / diffusion.DATA, t)
+    return (math.cos(t) * x - math.sin(t) * diffusion.DATA * answer) / diffusion.DATA
+
+
+def _noise(base: int, wi: int, wj: int, rows: WindowSpec, cols: WindowSpec) -> np.ndarray:
+    """The noise of a window, which depends on the absolute cell only: tiles of a window's size are cut together."""
+    h, w = rows.size, cols.size
+    i0, j0 = wi * rows.step + rows.offset, wj * cols.step + cols.offset
+    out = np.empty((h, w))
+    for ty in range(i0 // h, (i0 + h - 1) // h + 1):
+        for tx in range(j0 // w, (j0 + w - 1) // w + 1):
+            seed = int(rng.tile_seeds(base, np.array([ty]), np.array([tx]))[0])
+            tile = rng.normals(seed, h * w).reshape(h, w)
+            r0, c0, r1, c1 = max(i0, ty * h), max(j0, tx * w), min(i0 + h, ty * h + h), min(j0 + w, tx * w + w)
+            out[r0 - i0 : r1 - i0, c0 - j0 : c1 - j0] = tile[r0 - ty * h : r1 - ty * h, c0 - tx * w : c1 - tx * w]
+    return out
+
+
+def _latent_batch(rows: WindowSpec, cols: WindowSpec, t: float, base: int):
+    """A batched tile function: the previous sample (none for the first stage) and noise on the circle at ``t``, and one flow step."""
+    weights = np.outer(ramp(rows.size), ramp(cols.size))
+
+    def compute(at: list[tuple[int, int]], coarse: np.ndarray, *before: np.ndarray) -> np.ndarray:
+        noise = np.stack([_noise(base, wi, wj, rows, cols) for wi, wj in at]) * diffusion.DATA
+        sample = before[0] / diffusion.DATA if before else np.zeros_like(noise)
+        x = math.cos(t) * sample + math.sin(t) * noise
+        # The coarse cell under each latent cell stands for the conditioning.
+        return (_flow(x, t) + coarse.repeat(2, 1).repeat(2, 2) / 100) * weights
 
     return compute
 
 
+def _decoder_tile(rows: WindowSpec, cols: WindowSpec, t: float, base: int, ratio: int):
+    """A tile function: latents enlarged to the nearest, noise, and one flow step from it."""
+    weights = np.outer(ramp(rows.size), ramp(cols.size))
+
+    def compute(wi: int, wj: int, latents: np.ndarray) -> np.ndarray:
+        x = math.sin(t) * diffusion.DATA * _noise(base, wi, wj, rows, cols)
+        return (_flow(x, t) + latents.repeat(ratio, 0).repeat(ratio, 1)) * weights
+
+    return compute
+
+
+#: Noise levels of the two latent stages and the decoder, and what is added to the seed for each (fixed values).
+LATENT_TIMES, SEEDS = (math.atan(160), math.atan(0.7)), (5819, 5820, 5819)
+
+
+def decoder_graph(spark, d):
+    """Four stages over the whole table: cells, coarse windows through the solver, two latent stages in batches of four, and the decoder.
+
+    Coarse windows are 8 by 6; latents are twice as fine in windows of 16 by 12, the second stage reads the first; decoded windows
+    are four times as fine as latents, 64 by 48.  Every stage is blended by its weights where it is read.
+    """
+    height = height_of(spark, d)
+    store = tensor.Store(spark)
+    tiles = WindowSpec(32)
+    base = store.get_or_create(tensor.Node("cells", tiles, tiles, lambda wi, wj: np.zeros((32, 32))))
+    store.put(base, tensor.tiles_from(event_grid(spark, d), base))
+    hop, fine, wide = WindowSpec(8, 6), WindowSpec(16, 12), WindowSpec(64, 48)
+    coarse = tensor.Node("coarse", hop, hop, _coarse_tile(20, 8), [base], [hop], [hop])
+    weight = tensor.Node("coarse_weight", hop, hop, lambda wi, wj: np.outer(ramp(8), ramp(8)))
+    latent_weight = tensor.Node("latent_weight", fine, fine, lambda wi, wj: np.outer(ramp(16), ramp(16)))
+    first = _latent_batch(fine, fine, LATENT_TIMES[0], 42 + SEEDS[0])
+    second = _latent_batch(fine, fine, LATENT_TIMES[1], 42 + SEEDS[1])
+    init = tensor.Node("latent_init", fine, fine, lambda at, num, den: first(at, num / den), [coarse, weight], [hop, hop], [hop, hop], batch=4)
+    step = tensor.Node(
+        "latent_step", fine, fine, lambda at, num, den, n1, d1: second(at, num / den, n1 / d1),
+        [coarse, weight, init, latent_weight], [hop, hop, fine, fine], [hop, hop, fine, fine], batch=4,
+    )
+    decode = _decoder_tile(wide, wide, LATENT_TIMES[0], 42 + SEEDS[2], 4)
+    decoder = tensor.Node("decoder", wide, wide, lambda wi, wj, num, den: decode(wi, wj, num / den), [step, latent_weight], [fine, fine], [fine, fine])
+    num = tensor.slice_node(store, decoder, 0, 8 * height, 0, 8 * DAYS)
+    at = windows.assign(num.select("i", "j"), wide, wide)
+    w = blend.triangle(F.col("i") - wide.start("wi"), 64) * blend.triangle(F.col("j") - wide.start("wj"), 64)
+    den = at.groupBy("i", "j").agg(F.sum(w).alias("den"))
+    return num.join(den, ["i", "j"]).select("i", "j", F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 5).alias("v"))
+
+
 def model_graph(spark, d):
     """Cells to coarse windows (16 by 12) through the stub solver, blended by weight over the whole table: each window reads the cells below it."""
     store = tensor.Store(spark)
@@ -94,4 +186,10 @@ def model_graph(spark, d):
     return num.join(den, ["i", "j"]).select("i", "j", F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 6).alias("v"))
 
 
-QUERIES = {"elevation_assembly": (elevation_assembly, None), "climate_assembly": (climate_assembly, None), "model_graph": (model_graph, None)}
+def _model_graph_sql() -> str:
+    """The stub is linear and the weights cancel: every cell is its value times what the solver makes of 1."""
+    gain = float(_solved(np.ones(1), 20)[0])
+    return f"WITH {DENSE} SELECT i, j, round(v * {gain!r}::DOUBLE, 6) + 0e0 AS v FROM dense"
+
+
+QUERIES = {"elevation_assembly": (elevation_assembly, None), "climate_assembly": (climate_assembly, None), "model_graph": (model_graph, _model_graph_sql()), "decoder_graph": (decoder_graph, None)}

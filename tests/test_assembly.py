@@ -28,7 +28,7 @@ def tall(spark, sf, tmp_path_factory):
 
 def test_model_graph_covers_the_table(spark, tall):
     d, grid = tall
-    tile, ramp = assembly._coarse_tile(), 1 - 0.999 * np.minimum(1, np.abs(np.arange(16) - 7.5) / 7.5)
+    tile, ramp = assembly._coarse_tile(20), 1 - 0.999 * np.minimum(1, np.abs(np.arange(16) - 7.5) / 7.5)
     far = np.pad(grid, 32)
     num, den = np.zeros_like(far), np.zeros_like(far)
     for wi in range(-1, USERS // 12 + 1):
@@ -41,6 +41,58 @@ def test_model_graph_covers_the_table(spark, tall):
     assert len(got) == USERS * DAYS and np.allclose([got[k] for k in np.ndindex(grid.shape)], want.ravel(), atol=2e-6)
 
 
+def test_decoder_graph_matches_a_plain_computation(spark, tall, monkeypatch):
+    """All stages on whole arrays, window by window."""
+    d, grid = tall
+    far = np.pad(grid, 96)  # a margin of windows whose cells are empty
+    origin = -96
+
+    def stage(size, step, make, shape, ratio):
+        """Numerator and denominator of a stage over cells from ratio * origin on."""
+        num, den, w = np.zeros(shape), np.zeros(shape), np.outer(assembly.ramp(size), assembly.ramp(size))
+        for wi in range(-(-ratio * origin // step), (shape[0] + ratio * origin - size) // step + 1):
+            for wj in range(-(-ratio * origin // step), (shape[1] + ratio * origin - size) // step + 1):
+                at = np.s_[wi * step - ratio * origin : wi * step - ratio * origin + size, wj * step - ratio * origin : wj * step - ratio * origin + size]
+                num[at] += make(wi, wj)
+                den[at] += w
+        return num, den
+
+    def cut(a, wi, wj, size, step, ratio):
+        i, j = wi * step - ratio * origin, wj * step - ratio * origin
+        return a[i : i + size, j : j + size]
+
+    ratio_of = lambda a, b: a / np.where(b > 1e-12, b, 1)
+    coarse = ratio_of(*stage(8, 6, lambda wi, wj: assembly._coarse_tile(20, 8)(wi, wj, cut(far, wi, wj, 8, 6, 1)), far.shape, 1))
+    fine = assembly.WindowSpec(16, 12)
+    init = assembly._latent_batch(fine, fine, assembly.LATENT_TIMES[0], 42 + 5819)
+    step = assembly._latent_batch(fine, fine, assembly.LATENT_TIMES[1], 42 + 5820)
+    shape = tuple(2 * n for n in far.shape)
+    first = ratio_of(*stage(16, 12, lambda wi, wj: init([(wi, wj)], cut(coarse, wi, wj, 8, 6, 1)[None])[0], shape, 2))
+    latent = ratio_of(*stage(16, 12, lambda wi, wj: step([(wi, wj)], cut(coarse, wi, wj, 8, 6, 1)[None], cut(first, wi, wj, 16, 12, 2)[None])[0], shape, 2))
+    wide = assembly.WindowSpec(64, 48)
+    decode = assembly._decoder_tile(wide, wide, assembly.LATENT_TIMES[0], 42 + 5819, 4)
+    whole = ratio_of(*stage(64, 48, lambda wi, wj: decode(wi, wj, cut(latent, wi, wj, 16, 12, 2)), tuple(8 * n for n in far.shape), 8))
+    want = whole[768 : 768 + 8 * USERS, 768 : 768 + 8 * DAYS]
+    got = assembly.decoder_graph(spark, d).toPandas()
+    mine = np.full(want.shape, np.nan)
+    mine[got["i"], got["j"]] = got["v"]
+    assert np.isfinite(mine).all() and np.allclose(mine, want, atol=2e-5)
+
+
+def test_batches_are_bounded_and_checked(spark):
+    from quillgrid.operators import tensor
+    from quillgrid.operators.windows import WindowSpec
+
+    four, store = WindowSpec(4), tensor.Store(spark)
+    ask = spark.createDataFrame([(k, 0) for k in range(23)], "wi long, wj long")
+    sizes = tensor.Node("sizes", four, four, lambda at: np.stack([np.full((4, 4), len(at)) for _ in at]), batch=5)
+    found = [r["data"][0] for r in tensor.ensure(store, sizes, ask).collect()]
+    assert len(found) == 23 and max(found) <= 5
+    for k, bad in enumerate((lambda at: np.zeros((len(at), 4, 3)), lambda at: np.zeros((len(at) + 1, 4, 4)))):
+        with pytest.raises(Exception, match="tensor"):
+            tensor.ensure(store, tensor.Node(f"bad{k}", four, four, bad, batch=2), ask).collect()
+
+
 def test_climate_covers_the_table(spark, tall, monkeypatch):
     d, grid = tall
     seen = []
