@@ -17,12 +17,23 @@ from pyspark.sql import functions as F
 PRIMES = (501125321, 1136930381, 1720413743)
 HASH = 0x27D4EB2D
 #: Amplitudes that bring the kinds to about [-1, 1] (fixed values).
-PERLIN_2D, PERLIN_3D, SIMPLEX_2D, CUBIC_2D = 1.4247691104677813, 0.964921414852142333984375, 99.83685446303647, 1 / 2.25
+PERLIN_2D, PERLIN_3D, SIMPLEX_2D, SIMPLEX_3D = 1.4247691104677813, 0.964921414852142333984375, 99.83685446303647, 32.69428253173828125
+SMOOTH_2D, SMOOTH_3D, CUBIC_2D, CUBIC_3D = 18.24196194486065, 9.046026385208288, 1 / 2.25, 1 / 3.375
+#: What is added to the seed for the second lattice of the smooth kind, how far feature points lie off their cells, and the reach of warps (fixed values).
+SECOND_SEED, JITTER_2D, JITTER_3D = 1293373, 0.43701595, 0.39614353
+WARP_2D, WARP_3D = {"simplex": 38.283687591552734375, "reduced": 16.0, "grid": 1.0}, {"simplex": 32.69428253173828125, "reduced": 7.71604938271605, "grid": 1.0}
+#: Directions that hashes choose from.
+DIRECTIONS = 256
 
 
 @dataclass(frozen=True)
 class Noise:
-    """Parameters of a noise field.  kind: perlin, value, cubic or simplex; fractal: none, fbm, ridged or pingpong."""
+    """Parameters of a noise field.
+
+    kind: perlin, value, cubic, simplex, smooth (simplex with a wider kernel) or cellular; fractal: none, fbm, ridged or pingpong;
+    rotation (three coordinates): none, xy or xz; of cellular noise, distance: euclidean, squared, manhattan or hybrid; returns: value, first,
+    second, sum, difference, product or quotient (of the two nearest distances).
+    """
 
     seed: int = 1337
     frequency: float = 0.01
@@ -33,6 +44,10 @@ class Noise:
     gain: float = 0.5
     weighted: float = 0.0
     pingpong: float = 2.0
+    rotation: str = "none"
+    distance: str = "squared"
+    returns: str = "first"
+    jitter: float = 1.0
 
     @property
     def bounding(self) -> float:
@@ -62,16 +77,38 @@ def _gradient_index(h: Column, bits: int, shift: int) -> Column:
     return F.shiftright(h.bitwiseXOR(F.shiftright(h, 15)).bitwiseAND(F.lit(bits << shift).cast("long")), shift)
 
 
-def gradient_2d(h: Column, dx: Column, dy: Column) -> Column:
+def lattice_round(x: Column) -> Column:
+    """The nearest whole number, halves away from zero."""
+    return (x + F.when(x >= 0, 0.5).otherwise(-0.5)).cast("long")
+
+
+def _bits(h: Column, shift: int, mask: int) -> Column:
+    return F.shiftright(h, shift).bitwiseAND(F.lit(mask).cast("long"))
+
+
+def direction_2d(k: Column) -> list[Column]:
+    """One of DIRECTIONS unit vectors, evenly around the circle."""
+    turn = k * (2 * math.pi / DIRECTIONS)
+    return [F.cos(turn), F.sin(turn)]
+
+
+def direction_3d(k: Column) -> list[Column]:
+    """One of DIRECTIONS unit vectors on a spiral over the sphere."""
+    z = 1.0 - (2.0 * k + 1.0) / DIRECTIONS
+    turn, r = k * (math.pi * (3 - math.sqrt(5))), F.sqrt(1.0 - z * z)
+    return [r * F.cos(turn), r * F.sin(turn), z]
+
+
+def gradient_2d(h: Column, dx: Column, dy: Column, k: Column | None = None) -> Column:
     """Dot product with one of 24 directions 15 degrees apart (the last eight indices: 45 degrees apart)."""
-    k = _gradient_index(h, 127, 1)
+    k = _gradient_index(h, 127, 1) if k is None else k
     turn = F.radians(F.when(k < 120, 7.5 + 15.0 * (k % 24)).otherwise(22.5 + 45.0 * (k - 120)))
     return dx * F.sin(turn) + dy * F.cos(turn)
 
 
-def gradient_3d(h: Column, dx: Column, dy: Column, dz: Column) -> Column:
+def gradient_3d(h: Column, dx: Column, dy: Column, dz: Column, k: Column | None = None) -> Column:
     """Dot product with one of the twelve cube edges in turn; the last four of 64 indices are edges 8, 1, 9 and 3."""
-    k = _gradient_index(h, 63, 2)
+    k = _gradient_index(h, 63, 2) if k is None else k
     edge = F.when(k < 60, k % 12).when(k == 60, 8).when(k == 61, 1).when(k == 62, 9).otherwise(3)
     first = 1.0 - 2.0 * edge.bitwiseAND(F.lit(1).cast("long"))
     second = 1.0 - edge.bitwiseAND(F.lit(2).cast("long"))
@@ -113,7 +150,7 @@ def _primed(k: int, step: int = 0) -> Column:
     return wrap32(wrap32(F.col(f"_c{k}") * F.lit(PRIMES[k]).cast("long")) + F.lit(step * PRIMES[k]).cast("long"))
 
 
-def _perlin(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
+def _perlin(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
     n = len(axes)
     df = _lattice(df, axes)
     names = {b: f"_h{''.join(map(str, b))}" for b in itertools.product((0, 1), repeat=n)}
@@ -127,7 +164,7 @@ def _perlin(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
     return df.withColumn(out, now[()] * (PERLIN_2D if n == 2 else PERLIN_3D))
 
 
-def _value(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
+def _value(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
     n = len(axes)
     df = _lattice(df, axes)
     names = {b: f"_v{''.join(map(str, b))}" for b in itertools.product((0, 1), repeat=n)}
@@ -138,54 +175,174 @@ def _value(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
     return df.withColumn(out, now[()])
 
 
-def _cubic(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
-    df = _lattice(df, axes)
-    for y in range(-1, 3):
-        df = add_values(df, {f"_q{x + 1}": hashed(seed, _primed(0, x), _primed(1, y)) for x in range(-1, 3)})
-        df = df.withColumn(f"_r{y + 1}", cubic(*[F.col(f"_q{x}") for x in range(4)], F.col("_d0")))
-    return df.withColumn(out, cubic(*[F.col(f"_r{y}") for y in range(4)], F.col("_d1")) * CUBIC_2D)
+def _cubic(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
+    """Lines of four along the first axis, then across the others."""
+    df, n = _lattice(df, axes), len(axes)
+    lines = {}
+    for rest in itertools.product(range(-1, 3), repeat=n - 1):
+        name = "_r" + "".join(str(y + 1) for y in rest)
+        df = add_values(df, {f"_q{x + 1}": hashed(seed, _primed(0, x), *[_primed(k + 1, y) for k, y in enumerate(rest)]) for x in range(-1, 3)})
+        df = df.withColumn(name, cubic(*[F.col(f"_q{x}") for x in range(4)], F.col("_d0")))
+        lines[rest] = F.col(name)
+    for k in range(1, n):
+        lines = {rest: cubic(*[lines[(y, *rest)] for y in range(-1, 3)], F.col(f"_d{k}")) for rest in itertools.product(range(-1, 3), repeat=n - 1 - k)}
+    return df.withColumn(out, lines[()] * (CUBIC_2D if n == 2 else CUBIC_3D))
 
 
-def _simplex(df: DataFrame, seed: int, axes: list[str], out: str) -> DataFrame:
-    """On coordinates that are skewed already."""
+#: A lattice point near a place: its hash, the way from it, and how far the kernel is above zero there.
+Corner = tuple[Column, list[Column], Column]
+
+
+def _triangle(df: DataFrame, seed: int, reach: float, points: list[tuple[int, int]]) -> tuple[DataFrame, list[Corner]]:
+    """Points of the triangular lattice around places whose coordinates are skewed already, by their offsets in skewed cells."""
     g = (3 - math.sqrt(3)) / 6
-    df = _lattice(df, axes)
+    df = _lattice(df, ["_a0", "_a1"])
     t = (F.col("_d0") + F.col("_d1")) * g
-    df = df.withColumns({"_x0": F.col("_d0") - t, "_y0": F.col("_d1") - t})
-    upper = F.col("_y0") > F.col("_x0")
-    df = df.withColumns({
-        "_x1": F.col("_x0") + F.when(upper, g).otherwise(g - 1), "_y1": F.col("_y0") + F.when(upper, g - 1).otherwise(g),
-        "_x2": F.col("_x0") + (2 * g - 1), "_y2": F.col("_y0") + (2 * g - 1),
-        "_h0": hashed(seed, _primed(0), _primed(1)), "_h2": hashed(seed, _primed(0, 1), _primed(1, 1)),
-        "_h1": F.when(upper, hashed(seed, _primed(0), _primed(1, 1))).otherwise(hashed(seed, _primed(0, 1), _primed(1))),
-    })
+    df = df.withColumns({"_x": F.col("_d0") - t, "_y": F.col("_d1") - t})
+    columns = {}
+    for n, (p, q) in enumerate(points):
+        columns |= {f"_x{n}": F.col("_x") - (p - (p + q) * g), f"_y{n}": F.col("_y") - (q - (p + q) * g), f"_h{n}": hashed(seed, _primed(0, p), _primed(1, q))}
+    df = df.withColumns(columns)
+    way = [[F.col(f"_x{n}"), F.col(f"_y{n}")] for n in range(len(points))]
+    return df, [(F.col(f"_h{n}"), [x, y], F.greatest(F.lit(0.0), reach - x * x - y * y)) for n, (x, y) in enumerate(way)]
+
+
+def _cubes(df: DataFrame, seed: int) -> tuple[DataFrame, list[Corner]]:
+    """Of two cube lattices half a cell apart, each one's nearest point and the next along the longest way; rotated coordinates."""
+    axes = range(3)
+    df = df.withColumns({f"_c{k}": lattice_round(F.col(f"_a{k}")) for k in axes})
+    df = df.withColumns({f"_d{k}": F.col(f"_a{k}") - F.col(f"_c{k}") for k in axes})
+    df = df.withColumns({f"_u{k}": F.when(F.col(f"_d{k}") >= 0, -1).otherwise(1).cast("long") for k in axes})
+    found = []
+    for lattice in (0, 1):
+        p = f"_l{lattice}"
+        far = {f"{p}f{k}": F.abs(F.col(f"_d{k}")) if lattice == 0 else 0.5 - F.abs(F.col(f"_d{k}")) for k in axes}
+        sign = [F.col(f"_u{k}") if lattice == 0 else -F.col(f"_u{k}") for k in axes]
+        df = df.withColumns(far)
+        f = [F.col(f"{p}f{k}") for k in axes]
+        way = [F.col(f"_d{k}") if lattice == 0 else F.col(f"_u{k}") * f[k] for k in axes]
+        cell = [F.col(f"_c{k}") + (F.when(F.col(f"_u{k}") < 0, 1).otherwise(0) if lattice == 1 else F.lit(0)) for k in axes]
+        along = F.when((f[0] >= f[1]) & (f[0] >= f[2]), 0).when((f[1] > f[0]) & (f[1] >= f[2]), 1).otherwise(2)
+        df = df.withColumns({f"{p}m": along} | {f"{p}w{k}": way[k] for k in axes} | {f"{p}c{k}": cell[k] for k in axes})
+        step = [F.when(F.col(f"{p}m") == k, sign[k]).otherwise(F.lit(0).cast("long")) for k in axes]
+        prime = [F.lit(PRIMES[k]).cast("long") for k in axes]
+        own = seed if lattice == 0 else ~seed
+        df = df.withColumns(
+            {f"{p}h": hashed(own, *[wrap32(F.col(f"{p}c{k}") * prime[k]) for k in axes]), f"{p}n": hashed(own, *[wrap32((F.col(f"{p}c{k}") - step[k]) * prime[k]) for k in axes])}
+            | {f"{p}v{k}": F.col(f"{p}w{k}") + step[k] for k in axes}
+        )
+        for h, w in (("h", "w"), ("n", "v")):
+            d = [F.col(f"{p}{w}{k}") for k in axes]
+            found.append((F.col(f"{p}{h}"), d, F.greatest(F.lit(0.0), 0.6 - d[0] * d[0] - d[1] * d[1] - d[2] * d[2])))
+    return df, found
+
+
+def _simplex(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
+    if len(axes) == 2:
+        df, corners = _triangle(df, seed, 0.5, [(0, 0), (1, 0), (0, 1), (1, 1)])
+        return df.withColumn(out, sum((a * a * a * a * gradient_2d(h, *d) for h, d, a in corners), F.lit(0.0)) * SIMPLEX_2D)
+    df, corners = _cubes(df, seed)
+    return df.withColumn(out, sum((a * a * a * a * gradient_3d(h, *d) for h, d, a in corners), F.lit(0.0)) * SIMPLEX_3D)
+
+
+def _smooth(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
+    """The kernels reach over one lattice spacing: all lattice points within it add to the value."""
+    if len(axes) == 2:
+        # The corners of both triangles of a cell, and what lies opposite their edges.
+        df, corners = _triangle(df, seed, 2 / 3, [(0, 0), (1, 0), (0, 1), (1, 1), (0, -1), (2, 1), (-1, 0), (1, 2)])
+        return df.withColumn(out, sum((a * a * a * a * gradient_2d(h, *d) for h, d, a in corners), F.lit(0.0)) * SMOOTH_2D)
+    df = _lattice(df, axes)
+    # The second lattice is half a cell on; its corners below and above a place.
+    df = df.withColumns({f"_b{k}": F.when(F.col(f"_d{k}") >= 0.5, 1).otherwise(0).cast("long") for k in range(3)})
     total = F.lit(0.0)
-    for k in range(3):
-        x, y = F.col(f"_x{k}"), F.col(f"_y{k}")
-        a = F.greatest(F.lit(0.0), 0.5 - x * x - y * y)
-        total = total + a * a * a * a * gradient_2d(F.col(f"_h{k}"), x, y)
-    return df.withColumn(out, total * SIMPLEX_2D)
+    for lattice in (0, 1):
+        columns, terms = {}, []
+        for n, corner in enumerate(itertools.product((0, 1), repeat=3)):
+            step = [F.lit(x).cast("long") + (F.col(f"_b{k}") if lattice else F.lit(0)) for k, x in enumerate(corner)]
+            columns |= {f"_w{k}{n}": F.col(f"_d{k}") - step[k] + 0.5 * lattice for k in range(3)}
+            primed = [wrap32(wrap32(F.col(f"_c{k}") * F.lit(PRIMES[k]).cast("long")) + step[k] * F.lit(PRIMES[k]).cast("long")) for k in range(3)]
+            columns[f"_h{n}"] = hashed(_signed(seed + SECOND_SEED * lattice), *primed)
+            d = [F.col(f"_w{k}{n}") for k in range(3)]
+            a = F.greatest(F.lit(0.0), 0.75 - d[0] * d[0] - d[1] * d[1] - d[2] * d[2])
+            terms.append(a * a * a * a * gradient_3d(F.col(f"_h{n}"), *d))
+        df = df.withColumns(columns).withColumn(f"_t{lattice}", sum(terms, F.lit(0.0)))
+        total = total + F.col(f"_t{lattice}")
+    return df.withColumn(out, total * SMOOTH_3D)
+
 
+def _signed(x: int) -> int:
+    return (x + (1 << 31)) % (1 << 32) - (1 << 31)
 
-_KINDS = {"perlin": _perlin, "value": _value, "cubic": _cubic, "simplex": _simplex}
+
+def nearest_points(df: DataFrame, seed: int, axes: list[str], distance: str, jitter: float) -> DataFrame:
+    """``_near``: of the feature points of the cells around a place, structs (d, n, h) of the distance and the cell's hash, by distance.
+
+    A feature point lies off its cell's corner in a direction that the cell's hash chooses.
+    """
+    dims = len(axes)
+    df = df.withColumns({f"_c{k}": lattice_round(F.col(a)) for k, a in enumerate(axes)})
+    cells = list(itertools.product((-1, 0, 1), repeat=dims))
+    df = df.withColumns({f"_h{n}": hashed(seed, *[_primed(k, x) for k, x in enumerate(cell)]) for n, cell in enumerate(cells)})
+    moves, off = {}, jitter * (JITTER_2D if dims == 2 else JITTER_3D)
+    for n, cell in enumerate(cells):
+        way = direction_2d(_bits(F.col(f"_h{n}"), 1, 255)) if dims == 2 else direction_3d(_bits(F.col(f"_h{n}"), 2, 255))
+        moves |= {f"_w{k}{n}": F.col(f"_c{k}") + x - F.col(axes[k]) + way[k] * off for k, x in enumerate(cell)}
+    df = df.withColumns(moves)
+    found = []
+    for n in range(len(cells)):
+        w = [F.col(f"_w{k}{n}") for k in range(dims)]
+        squares, sizes = sum((x * x for x in w), F.lit(0.0)), sum((F.abs(x) for x in w), F.lit(0.0))
+        d = {"euclidean": squares, "squared": squares, "manhattan": sizes, "hybrid": sizes + squares}[distance]
+        found.append(F.struct(d.alias("d"), F.lit(n).alias("n"), F.col(f"_h{n}").alias("h")))
+    return df.withColumn("_near", F.array_sort(F.array(*found)))
+
+
+def _cellular(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
+    df = nearest_points(df, seed, axes, noise.distance, noise.jitter)
+    df = df.withColumns({"_f1": F.get("_near", F.lit(0))["d"], "_f2": F.get("_near", F.lit(1))["d"], "_own": F.get("_near", F.lit(0))["h"]})
+    a, b = (F.sqrt("_f1"), F.sqrt("_f2")) if noise.distance == "euclidean" else (F.col("_f1"), F.col("_f2"))
+    made = {
+        "value": F.col("_own") / 2147483648.0, "first": a - 1.0, "second": b - 1.0, "sum": (b + a) * 0.5 - 1.0, "difference": b - a - 1.0, "product": b * a * 0.5 - 1.0, "quotient": a / b - 1.0,
+    }
+    return df.withColumn(out, made[noise.returns])
+
+
+_KINDS = {"perlin": _perlin, "value": _value, "cubic": _cubic, "simplex": _simplex, "smooth": _smooth, "cellular": _cellular}
+
+
+def turned(df: DataFrame, axes: list[str], mode: str, simplex: bool) -> DataFrame:
+    """Axis columns skewed (two) or rotated (three) for a kind of noise; ``mode``: none, xy or xz."""
+    if len(axes) == 2:
+        if not simplex:
+            return df
+        k = (F.col(axes[0]) + F.col(axes[1])) * (0.5 * (math.sqrt(3) - 1))
+        return df.withColumn("_k", k).withColumns({a: F.col(a) + F.col("_k") for a in axes})
+    root = math.sqrt(3)
+    if mode in ("xy", "xz"):
+        # The third axis goes along the diagonal, the plane of the other two across it.
+        first, second, third = axes if mode == "xy" else (axes[0], axes[2], axes[1])
+        both, up = F.col(first) + F.col(second), F.col(third) / root
+        df = df.withColumns({"_k0": both * -((3 - root) / 6) - up, "_k1": up + both / root})
+        return df.withColumns({first: F.col(first) + F.col("_k0"), second: F.col(second) + F.col("_k0"), third: F.col("_k1")})
+    if not simplex:
+        return df
+    return df.withColumn("_k", (F.col(axes[0]) + F.col(axes[1]) + F.col(axes[2])) * (2 / 3)).withColumns({a: F.col("_k") - F.col(a) for a in axes})
 
 
 def add_noise(df: DataFrame, coordinates: list[str | Column], noise: Noise, out: str) -> DataFrame:
-    """``df`` with the noise at two (or, for perlin and value, three) coordinates in column ``out``."""
-    if len(coordinates) not in (2, 3) or (len(coordinates) == 3 and noise.kind in ("cubic", "simplex")):
-        raise ValueError(f"{noise.kind} noise of {len(coordinates)} coordinates is not defined")
+    """``df`` with the noise at two or three coordinates in column ``out``."""
+    if len(coordinates) not in (2, 3):
+        raise ValueError(f"noise of {len(coordinates)} coordinates is not defined")
     single = _KINDS[noise.kind]
     columns = df.columns
     axes = [f"_a{k}" for k in range(len(coordinates))]
     df = df.withColumns({a: (F.col(c) if isinstance(c, str) else c).cast("double") * noise.frequency for a, c in zip(axes, coordinates, strict=True)})
-    if noise.kind == "simplex":
-        skew = (F.col("_a0") + F.col("_a1")) * (0.5 * (math.sqrt(3) - 1))
-        df = df.withColumn("_k", skew).withColumns({"_a0": F.col("_a0") + F.col("_k"), "_a1": F.col("_a1") + F.col("_k")})
+    df = turned(df, axes, noise.rotation, noise.kind in ("simplex", "smooth"))
     if noise.fractal == "none":
-        return single(df, noise.seed, axes, out).select(*[c for c in columns if c != out], out)
+        return single(df, noise.seed, axes, out, noise).select(*[c for c in columns if c != out], out)
     df = df.withColumns({"_sum": F.lit(0.0), "_amp": F.lit(noise.bounding)})
     for octave in range(noise.octaves):
-        df = single(df, noise.seed + octave, axes, "_n")
+        df = single(df, noise.seed + octave, axes, "_n", noise)
         n, w = F.col("_n"), noise.weighted
         if noise.fractal == "fbm":
             add, share = n, (F.least(n + 1, F.lit(2.0)) if len(axes) == 2 else n + 1) * 0.5
@@ -202,43 +359,59 @@ def add_noise(df: DataFrame, coordinates: list[str | Column], noise: Noise, out:
     return df.withColumn(out, F.col("_sum")).select(*[c for c in columns if c != out], out)
 
 
-def warp(df: DataFrame, x: str, y: str, noise: Noise, amplitude: float, progressive: bool = True) -> DataFrame:
-    """Columns ``x`` and ``y`` moved by interpolated gradients, octave by octave; progressive octaves start from the moved place."""
-    columns = df.columns
-    df = df.withColumns({"_bx": F.col(x).cast("double"), "_by": F.col(y).cast("double")}).withColumns({"_ox": F.col("_bx"), "_oy": F.col("_by")})
-    amp, freq = amplitude * noise.bounding, noise.frequency
-    for octave in range(noise.octaves):
-        df = df.withColumns({"_a0": F.col("_ox" if progressive else "_bx") * freq, "_a1": F.col("_oy" if progressive else "_by") * freq})
-        df = _lattice(df, ["_a0", "_a1"])
-        for axis, salt in (("x", 0), ("y", 7919)):
-            names = {(a, b): f"_v{a}{b}" for a in (0, 1) for b in (0, 1)}
-            df = add_values(df, {v: hashed(noise.seed + octave + salt, _primed(0, a), _primed(1, b)) for (a, b), v in names.items()})
-            corner = {k: F.col(v) for k, v in names.items()}
-            s, t = hermite(F.col("_d0")), hermite(F.col("_d1"))
-            df = df.withColumn(f"_w{axis}", lerp(lerp(corner[0, 0], corner[1, 0], s), lerp(corner[0, 1], corner[1, 1], s), t))
-        df = df.withColumns({"_ox": F.col("_ox") + F.col("_wx") * amp, "_oy": F.col("_oy") + F.col("_wy") * amp})
-        amp, freq = amp * noise.gain, freq * noise.lacunarity
-    return df.withColumns({x: F.col("_ox"), y: F.col("_oy")}).select(*columns)
+def _pull(df: DataFrame, seed: int, kind: str, dims: int) -> tuple[DataFrame, list[Column]]:
+    """The direction and strength of a warp at the axis columns."""
+    direct, low = (direction_2d, 1) if dims == 2 else (direction_3d, 2)
+    if kind == "grid":
+        df = _lattice(df, [f"_a{k}" for k in range(dims)])
+        names = {b: "".join(map(str, b)) for b in itertools.product((0, 1), repeat=dims)}
+        df = df.withColumns({f"_h{n}": hashed(seed, *[_primed(k, x) for k, x in enumerate(b)]) for b, n in names.items()})
+        df = df.withColumns({f"_v{m}{n}": v for n in names.values() for m, v in enumerate(direct(_bits(F.col(f"_h{n}"), low, 255)))})
+        pull = []
+        for m in range(dims):
+            now = {b: F.col(f"_v{m}{n}") for b, n in names.items()}
+            for k in range(dims):
+                now = {b: lerp(now[(0, *b)], now[(1, *b)], hermite(F.col(f"_d{k}"))) for b in itertools.product((0, 1), repeat=dims - 1 - k)}
+            pull.append(now[()])
+        return df, pull
+    df, corners = _triangle(df, seed, 0.5, [(0, 0), (1, 0), (0, 1), (1, 1)]) if dims == 2 else _cubes(df, seed)
+    strengths, pull = {}, [F.lit(0.0)] * dims
+    for n, (h, d, a) in enumerate(corners):
+        if kind == "reduced":
+            weight, k = a * a * a * a, _bits(h, low, 255)
+        else:
+            dot = gradient_2d(h, *d, k=_bits(h, 1, 127)) if dims == 2 else gradient_3d(h, *d, k=_bits(h, 2, 63))
+            weight, k = a * a * a * a * dot, _bits(h, 8, 255)
+        strengths |= {f"_s{n}": weight, f"_k{n}": k}
+    df = df.withColumns(strengths)
+    for n in range(len(corners)):
+        pull = [p + F.col(f"_s{n}") * v for p, v in zip(pull, direct(F.col(f"_k{n}")), strict=True)]
+    return df, pull
 
 
-def cellular(points: DataFrame, x: str, y: str, seed: int = 1337, frequency: float = 0.01, jitter: float = 1.0) -> DataFrame:
-    """``f1``, ``f2``: squared distances to the two nearest feature points, one per lattice cell.
+def warp(df: DataFrame, coordinates: list[str], noise: Noise, amplitude: float, kind: str = "grid", mode: str = "progressive") -> DataFrame:
+    """The coordinate columns (two or three) moved by gradients.
 
-    Relational: each row meets the nine cells around it, and the two least distances are kept in
-    one aggregate over an array.  A feature point lies off its cell's corner in the direction that
-    the cell's hash gives as an angle.
+    kind: grid, simplex or reduced (directions only); mode: single (one octave), progressive (octaves start from the moved place) or
+    independent (all start from the first place).  ``noise.rotation`` turns the lattice under three coordinates.
     """
-    columns = points.columns
-    df = points.withColumns({"_a0": F.col(x) * frequency, "_a1": F.col(y) * frequency})
-    df = df.withColumns({f"_c{k}": F.floor(F.col(f"_a{k}") + 0.5).cast("long") for k in (0, 1)})
-    cells = list(itertools.product((-1, 0, 1), repeat=2))
-    df = add_values(df, {f"_t{n}": hashed(seed, _primed(0, a), _primed(1, b)) for n, (a, b) in enumerate(cells)})
-    moves = {}
-    for n, (a, b) in enumerate(cells):
-        turn = F.col(f"_t{n}") * math.pi
-        moves[f"_x{n}"] = F.col("_c0") + a - F.col("_a0") + F.cos(turn) * (0.43701595 * jitter)
-        moves[f"_y{n}"] = F.col("_c1") + b - F.col("_a1") + F.sin(turn) * (0.43701595 * jitter)
-    df = df.withColumns(moves)
-    found = [F.col(f"_x{n}") * F.col(f"_x{n}") + F.col(f"_y{n}") * F.col(f"_y{n}") for n in range(len(cells))]
-    df = df.withColumn("_d", F.array_sort(F.array(*found)))
-    return df.select(*columns, F.get("_d", F.lit(0)).alias("f1"), F.get("_d", F.lit(1)).alias("f2"))
+    columns, dims = df.columns, len(coordinates)
+    axes = [f"_a{k}" for k in range(dims)]
+    df = df.withColumns({f"_b{k}": F.col(c).cast("double") for k, c in enumerate(coordinates)}).withColumns({f"_o{k}": F.col(c).cast("double") for k, c in enumerate(coordinates)})
+    amp, freq, scale = amplitude * noise.bounding, noise.frequency, (WARP_2D if dims == 2 else WARP_3D)[kind]
+    for octave in range(1 if mode == "single" else noise.octaves):
+        df = df.withColumns({a: F.col(f"_o{k}" if mode == "progressive" else f"_b{k}") for k, a in enumerate(axes)})
+        df = turned(df, axes, noise.rotation, kind != "grid").withColumns({a: F.col(a) * freq for a in axes})
+        df, pull = _pull(df, noise.seed + octave, kind, dims)
+        df = df.withColumns({f"_o{k}": F.col(f"_o{k}") + v * (amp * scale) for k, v in enumerate(pull)})
+        amp, freq = amp * noise.gain, freq * noise.lacunarity
+    return df.withColumns({c: F.col(f"_o{k}") for k, c in enumerate(coordinates)}).select(*columns)
+
+
+def cellular(points: DataFrame, coordinates: list[str], seed: int = 1337, frequency: float = 0.01, jitter: float = 1.0, distance: str = "squared") -> DataFrame:
+    """``f1``, ``f2``: distances to the two nearest feature points, one per lattice cell; ``cell``: the nearest one's value in [-1, 1)."""
+    columns, axes = points.columns, [f"_a{k}" for k in range(len(coordinates))]
+    df = points.withColumns({a: F.col(c) * frequency for a, c in zip(axes, coordinates, strict=True)})
+    df = nearest_points(df, seed, axes, distance, jitter)
+    near = [F.get("_near", F.lit(k)) for k in (0, 1)]
+    return df.select(*columns, near[0]["d"].alias("f1"), near[1]["d"].alias("f2"), (near[0]["h"] / 2147483648.0).alias("cell"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, grids, values
+from . import assembly, fields, grids, values
 
-_ALL = grids.QUERIES | values.QUERIES | assembly.QUERIES
+_ALL = grids.QUERIES | values.QUERIES | fields.QUERIES | assembly.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

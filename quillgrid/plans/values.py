@@ -419,32 +419,6 @@ def perlin_plain(spark, d):
     return noise.add_noise(_points(spark, d), ["x", "y"], _PLAIN, "v").select("l_orderkey", "l_linenumber", (F.round("v", 6) + 0.0).alias("v"))
 
 
-def _shown(df, *names):
-    return df.select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(c) for c in names])
-
-
-def perlin_space(spark, d):
-    p = _points(spark, d).withColumn("z", F.col("l_linenumber") * 11)
-    return _shown(noise.add_noise(p, ["x", "y", "z"], noise.Noise(seed=5, frequency=0.02, fractal="fbm", octaves=2), "v"), "v")
-
-
-def value_cubic(spark, d):
-    return _shown(noise.add_noise(_points(spark, d), ["x", "y"], noise.Noise(seed=6, frequency=0.02, kind="cubic"), "v"), "v")
-
-
-def simplex_folded(spark, d):
-    return _shown(noise.add_noise(_points(spark, d), ["x", "y"], noise.Noise(seed=7, frequency=0.02, kind="simplex", fractal="pingpong", octaves=2), "v"), "v")
-
-
-def cellular(spark, d):
-    return _shown(noise.cellular(_points(spark, d), "x", "y", seed=8, frequency=0.05), "f1", "f2")
-
-
-def domain_warp(spark, d):
-    p = _points(spark, d).select("l_orderkey", "l_linenumber", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return _shown(noise.warp(p, "x", "y", noise.Noise(seed=9, frequency=0.01, octaves=2), 30.0), "x", "y")
-
-
 def tile_seeds(spark, d):
     g = event_grid(spark, d).select((F.col("i") - 75).alias("ty"), F.col("j").alias("tx"))
     return g.select("ty", "tx", rng.seed_column(42, "ty", "tx").alias("seed"))
@@ -508,6 +482,6 @@ QUERIES = {
     "solver_steps": (solver_steps, _solver_sql()), "tensor_unflatten": (tensor_unflatten, UNFLATTEN), "scaled_concat": (scaled_concat, CONCAT), "lru_budget": (lru_budget, LRU),
     "memo_lookup": (memo_lookup, MEMO), "human_bytes": (human_bytes, HUMAN), "config_json": (config_json, CONFIG), "manifest": (manifest, MANIFEST),
     "perlin_fbm": (perlin_fbm, _noise_sql(_FBM)), "perlin_plain": (perlin_plain, _noise_sql(_PLAIN)), "value_ridged": (value_ridged, _noise_sql(_RIDGED)),
-    "perlin_space": (perlin_space, None), "value_cubic": (value_cubic, None), "simplex_folded": (simplex_folded, None), "cellular": (cellular, None), "domain_warp": (domain_warp, None), "tile_seeds": (tile_seeds, SEEDS), "gaussian_patch": (gaussian_patch, None), "elevation_detail": (elevation_detail, None),
+    "tile_seeds": (tile_seeds, SEEDS), "gaussian_patch": (gaussian_patch, None), "elevation_detail": (elevation_detail, None),
     "heightmap": (heightmap, None), "picture_tiles": (picture_tiles, None), "raw_tiles": (raw_tiles, RAW),
 }

@@ -95,13 +95,17 @@ def test_noise_in_space_and_warps(spark):
     p = spark.range(300).select((F.col("id") * 0.9 - 99).alias("x"), (F.col("id") * 0.3).alias("y"), (F.col("id") * 0.21 - 5).alias("z"))
     v = [r["v"] for r in noise.add_noise(p, ["x", "y", "z"], noise.Noise(frequency=0.07), "v").collect()]
     assert max(map(abs, v)) <= 1.2 and np.std(v) > 0.05
-    w = noise.warp(p, "x", "y", noise.Noise(octaves=2), 5.0)
+    w = noise.warp(p, ["x", "y"], noise.Noise(octaves=2), 5.0)
     moved = [abs(a["x"] - b["x"]) for a, b in zip(p.collect(), w.collect(), strict=True)]
     assert 0 < max(moved) <= 5.0
-    for r in noise.cellular(p, "x", "y", frequency=0.1).collect():
-        assert 0 <= r["f1"] <= r["f2"] < 4
+    for r in noise.cellular(p, ["x", "y"], frequency=0.1).collect():
+        assert 0 <= r["f1"] <= r["f2"] < 4 and -1 <= r["cell"] < 1
     with pytest.raises(ValueError):
-        noise.add_noise(p, ["x", "y", "z"], noise.Noise(kind="cubic"), "v")
+        noise.add_noise(p, ["x"], noise.Noise(kind="cubic"), "v")
+    for kind in ("simplex", "smooth", "cubic", "value", "cellular"):
+        for rotation in ("none", "xy", "xz"):
+            v = [r["v"] for r in noise.add_noise(p, ["x", "y", "z"], noise.Noise(frequency=0.07, kind=kind, rotation=rotation), "v").collect()]
+            assert max(map(abs, v)) <= 1.3 and np.std(v) > 0.05, (kind, rotation)
 
 
 def test_schedule_and_solver(spark):
