@@ -6,10 +6,12 @@ Values are doubles.  Each function adds columns step by step, so nothing is comp
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +58,27 @@ class Noise:
 
 
 def wrap32(x: Column) -> Column:
-    """The low 32 bits of a long as a signed number."""
-    return x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).bitwiseXOR(F.lit(0x80000000).cast("long")) - F.lit(0x80000000).cast("long")
+    """The low 32 bits of a long as a signed number: shifts, which are never checked for overflow."""
+    return F.shiftright(F.shiftleft(x, 32), 32)
+
+
+@functools.cache
+def _literal(application: str, name: str) -> Column:
+    return F.expr(f"array({', '.join(f'{v!r}D' for v in _TABLES[name])})")
+
+
+def _table(name: str, k: Column) -> Column:
+    """The k-th value of a constant table; the table is parsed once in an application."""
+    return F.get(_literal(SparkContext.getOrCreate().applicationId, name), k.cast("int"))
+
+
+def apart(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, computed up to here on their own.
+
+    Projections in a row are compiled to one loop; beyond the size that the JVM compiles to machine code it runs many times slower. A
+    function with a lambda is outside such loops, so column ``name``, passed through one, ends the loop.
+    """
+    return df.withColumn(name, F.get(F.transform(F.array(name), lambda v: v), F.lit(0)))
 
 
 def lattice_floor(x: Column) -> Column:
@@ -86,33 +107,53 @@ def _bits(h: Column, shift: int, mask: int) -> Column:
     return F.shiftright(h, shift).bitwiseAND(F.lit(mask).cast("long"))
 
 
+def _edge(k: int) -> tuple[float, float, float]:
+    """The twelve edges of a cube in turn; the last four of 64 indices are edges 8, 1, 9 and 3."""
+    e = k % 12 if k < 60 else (8, 1, 9, 3)[k - 60]
+    a, b = 1.0 - 2.0 * (e & 1), 1.0 - (e & 2)
+    return (0.0, a, b) if e < 4 else (a, 0.0, b) if e < 8 else (a, b, 0.0)
+
+
+def _tables() -> dict[str, list[float]]:
+    """Gradients: 24 directions 15 degrees apart, five times over, and eight more 45 degrees apart; the edges of a cube.
+
+    Directions: evenly around the circle; on a spiral over the sphere.
+    """
+    plane = [math.radians(7.5 + 15.0 * (k % 24) if k < 120 else 22.5 + 45.0 * (k - 120)) for k in range(128)]
+    turns, spiral = [2 * math.pi * k / DIRECTIONS for k in range(DIRECTIONS)], [k * math.pi * (3 - math.sqrt(5)) for k in range(DIRECTIONS)]
+    rises = [1.0 - (2.0 * k + 1.0) / DIRECTIONS for k in range(DIRECTIONS)]
+    flat = [math.sqrt(1.0 - z * z) for z in rises]
+    edges = [_edge(k) for k in range(64)]
+    return {
+        "gradient_x": [math.sin(t) for t in plane], "gradient_y": [math.cos(t) for t in plane], **{f"edge_{c}": [e[n] for e in edges] for n, c in enumerate("xyz")},
+        "circle_x": [math.cos(t) for t in turns], "circle_y": [math.sin(t) for t in turns],
+        "sphere_x": [r * math.cos(t) for r, t in zip(flat, spiral, strict=True)], "sphere_y": [r * math.sin(t) for r, t in zip(flat, spiral, strict=True)], "sphere_z": rises,
+    }
+
+
+_TABLES = _tables()
+
+
 def direction_2d(k: Column) -> list[Column]:
     """One of DIRECTIONS unit vectors, evenly around the circle."""
-    turn = k * (2 * math.pi / DIRECTIONS)
-    return [F.cos(turn), F.sin(turn)]
+    return [_table("circle_x", k), _table("circle_y", k)]
 
 
 def direction_3d(k: Column) -> list[Column]:
     """One of DIRECTIONS unit vectors on a spiral over the sphere."""
-    z = 1.0 - (2.0 * k + 1.0) / DIRECTIONS
-    turn, r = k * (math.pi * (3 - math.sqrt(5))), F.sqrt(1.0 - z * z)
-    return [r * F.cos(turn), r * F.sin(turn), z]
+    return [_table("sphere_x", k), _table("sphere_y", k), _table("sphere_z", k)]
 
 
 def gradient_2d(h: Column, dx: Column, dy: Column, k: Column | None = None) -> Column:
-    """Dot product with one of 24 directions 15 degrees apart (the last eight indices: 45 degrees apart)."""
+    """Dot product with the gradient that a hash (or an index) chooses."""
     k = _gradient_index(h, 127, 1) if k is None else k
-    turn = F.radians(F.when(k < 120, 7.5 + 15.0 * (k % 24)).otherwise(22.5 + 45.0 * (k - 120)))
-    return dx * F.sin(turn) + dy * F.cos(turn)
+    return dx * _table("gradient_x", k) + dy * _table("gradient_y", k)
 
 
 def gradient_3d(h: Column, dx: Column, dy: Column, dz: Column, k: Column | None = None) -> Column:
-    """Dot product with one of the twelve cube edges in turn; the last four of 64 indices are edges 8, 1, 9 and 3."""
+    """Dot product with the cube edge that a hash (or an index) chooses."""
     k = _gradient_index(h, 63, 2) if k is None else k
-    edge = F.when(k < 60, k % 12).when(k == 60, 8).when(k == 61, 1).when(k == 62, 9).otherwise(3)
-    first = 1.0 - 2.0 * edge.bitwiseAND(F.lit(1).cast("long"))
-    second = 1.0 - edge.bitwiseAND(F.lit(2).cast("long"))
-    return first * F.when(edge < 4, dy).otherwise(dx) + second * F.when(edge >= 8, dy).otherwise(dz)
+    return dx * _table("edge_x", k) + dy * _table("edge_y", k) + dz * _table("edge_z", k)
 
 
 def add_values(df: DataFrame, seeds: dict[str, Column]) -> DataFrame:
@@ -183,6 +224,8 @@ def _cubic(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) ->
         name = "_r" + "".join(str(y + 1) for y in rest)
         df = add_values(df, {f"_q{x + 1}": hashed(seed, _primed(0, x), *[_primed(k + 1, y) for k, y in enumerate(rest)]) for x in range(-1, 3)})
         df = df.withColumn(name, cubic(*[F.col(f"_q{x}") for x in range(4)], F.col("_d0")))
+        if n == 3 and rest[1] % 2:
+            df = apart(df, name)
         lines[rest] = F.col(name)
     for k in range(1, n):
         lines = {rest: cubic(*[lines[(y, *rest)] for y in range(-1, 3)], F.col(f"_d{k}")) for rest in itertools.product(range(-1, 3), repeat=n - 1 - k)}
@@ -231,6 +274,7 @@ def _cubes(df: DataFrame, seed: int) -> tuple[DataFrame, list[Corner]]:
             {f"{p}h": hashed(own, *[wrap32(F.col(f"{p}c{k}") * prime[k]) for k in axes]), f"{p}n": hashed(own, *[wrap32((F.col(f"{p}c{k}") - step[k]) * prime[k]) for k in axes])}
             | {f"{p}v{k}": F.col(f"{p}w{k}") + step[k] for k in axes}
         )
+        df = apart(df, f"{p}v0")
         for h, w in (("h", "w"), ("n", "v")):
             d = [F.col(f"{p}{w}{k}") for k in axes]
             found.append((F.col(f"{p}{h}"), d, F.greatest(F.lit(0.0), 0.6 - d[0] * d[0] - d[1] * d[1] - d[2] * d[2])))
@@ -255,18 +299,19 @@ def _smooth(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -
     # The second lattice is half a cell on; its corners below and above a place.
     df = df.withColumns({f"_b{k}": F.when(F.col(f"_d{k}") >= 0.5, 1).otherwise(0).cast("long") for k in range(3)})
     total = F.lit(0.0)
-    for lattice in (0, 1):
+    for lattice, low in itertools.product((0, 1), repeat=2):
         columns, terms = {}, []
-        for n, corner in enumerate(itertools.product((0, 1), repeat=3)):
-            step = [F.lit(x).cast("long") + (F.col(f"_b{k}") if lattice else F.lit(0)) for k, x in enumerate(corner)]
+        for n, corner in enumerate(itertools.product((0, 1), repeat=2)):
+            step = [F.lit(x).cast("long") + (F.col(f"_b{k}") if lattice else F.lit(0)) for k, x in enumerate((low, *corner))]
             columns |= {f"_w{k}{n}": F.col(f"_d{k}") - step[k] + 0.5 * lattice for k in range(3)}
             primed = [wrap32(wrap32(F.col(f"_c{k}") * F.lit(PRIMES[k]).cast("long")) + step[k] * F.lit(PRIMES[k]).cast("long")) for k in range(3)]
             columns[f"_h{n}"] = hashed(_signed(seed + SECOND_SEED * lattice), *primed)
             d = [F.col(f"_w{k}{n}") for k in range(3)]
             a = F.greatest(F.lit(0.0), 0.75 - d[0] * d[0] - d[1] * d[1] - d[2] * d[2])
             terms.append(a * a * a * a * gradient_3d(F.col(f"_h{n}"), *d))
-        df = df.withColumns(columns).withColumn(f"_t{lattice}", sum(terms, F.lit(0.0)))
-        total = total + F.col(f"_t{lattice}")
+        name = f"_t{lattice}{low}"
+        df = apart(df.withColumns(columns).withColumn(name, sum(terms, F.lit(0.0))), name)
+        total = total + F.col(name)
     return df.withColumn(out, total * SMOOTH_3D)
 
 
@@ -283,11 +328,14 @@ def nearest_points(df: DataFrame, seed: int, axes: list[str], distance: str, jit
     df = df.withColumns({f"_c{k}": lattice_round(F.col(a)) for k, a in enumerate(axes)})
     cells = list(itertools.product((-1, 0, 1), repeat=dims))
     df = df.withColumns({f"_h{n}": hashed(seed, *[_primed(k, x) for k, x in enumerate(cell)]) for n, cell in enumerate(cells)})
-    moves, off = {}, jitter * (JITTER_2D if dims == 2 else JITTER_3D)
-    for n, cell in enumerate(cells):
-        way = direction_2d(_bits(F.col(f"_h{n}"), 1, 255)) if dims == 2 else direction_3d(_bits(F.col(f"_h{n}"), 2, 255))
-        moves |= {f"_w{k}{n}": F.col(f"_c{k}") + x - F.col(axes[k]) + way[k] * off for k, x in enumerate(cell)}
-    df = df.withColumns(moves)
+    off = jitter * (JITTER_2D if dims == 2 else JITTER_3D)
+    for group in range(0, len(cells), 9):
+        moves = {}
+        for n, cell in list(enumerate(cells))[group : group + 9]:
+            way = direction_2d(_bits(F.col(f"_h{n}"), 1, 255)) if dims == 2 else direction_3d(_bits(F.col(f"_h{n}"), 2, 255))
+            moves |= {f"_w{k}{n}": F.col(f"_c{k}") + x - F.col(axes[k]) + way[k] * off for k, x in enumerate(cell)}
+        df = df.withColumns(moves)
+        df = apart(df, f"_w0{group}") if dims == 3 else df
     found = []
     for n in range(len(cells)):
         w = [F.col(f"_w{k}{n}") for k in range(dims)]
@@ -342,7 +390,7 @@ def add_noise(df: DataFrame, coordinates: list[str | Column], noise: Noise, out:
         return single(df, noise.seed, axes, out, noise).select(*[c for c in columns if c != out], out)
     df = df.withColumns({"_sum": F.lit(0.0), "_amp": F.lit(noise.bounding)})
     for octave in range(noise.octaves):
-        df = single(df, noise.seed + octave, axes, "_n", noise)
+        df = single(apart(df, "_a0") if octave else df, noise.seed + octave, axes, "_n", noise)
         n, w = F.col("_n"), noise.weighted
         if noise.fractal == "fbm":
             add, share = n, (F.least(n + 1, F.lit(2.0)) if len(axes) == 2 else n + 1) * 0.5
@@ -400,6 +448,7 @@ def warp(df: DataFrame, coordinates: list[str], noise: Noise, amplitude: float,
     df = df.withColumns({f"_b{k}": F.col(c).cast("double") for k, c in enumerate(coordinates)}).withColumns({f"_o{k}": F.col(c).cast("double") for k, c in enumerate(coordinates)})
     amp, freq, scale = amplitude * noise.bounding, noise.frequency, (WARP_2D if dims == 2 else WARP_3D)[kind]
     for octave in range(1 if mode == "single" else noise.octaves):
+        df = apart(df, "_o0") if octave else df
         df = df.withColumns({a: F.col(f"_o{k}" if mode == "progressive" else f"_b{k}") for k, a in enumerate(axes)})
         df = turned(df, axes, noise.rotation, kind != "grid").withColumns({a: F.col(a) * freq for a in axes})
         df, pull = _pull(df, noise.seed + octave, kind, dims)

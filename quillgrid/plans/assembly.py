@@ -49,18 +49,18 @@ def elevation_assembly(spark, d):
     low = g.withColumn("v", stats.signed_root(F.col("v") - 40.0))
     residual = raster.resize_nearest(g, (h, w), (4 * h, 4 * w)).withColumn("v", F.col("v") / 100.0)
     pad = 2  # the smallest test table has fifteen rows
-    return elevation(residual, low, (h, w), 4, pad).select("i", "j", F.round("v", 5).alias("v"))
+    return elevation(residual, low, (h, w), 4, pad).select("i", "j", (F.round("v", 5) + 0.0).alias("v"))
 
 
 def climate_assembly(spark, d):
     cells = table(spark, d, "lineitem").select((F.dayofyear("l_shipdate") % 60).cast("long").alias("i"), (F.col("l_quantity") - 1).cast("long").alias("j"), "l_extendedprice", "l_discount")
-    known = cells.groupBy("i", "j").agg((F.avg("l_extendedprice") / 1000).alias("t"), ((F.avg("l_discount") - 0.045) * 5000).alias("e"))
+    known = cells.groupBy("i", "j").agg(F.round(F.avg("l_extendedprice") / 1000, 6).alias("t"), F.round((F.avg("l_discount") - 0.045) * 5000, 6).alias("e"))
     frame = spark.range(0, 60).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("j"))
     coarse = frame.join(known, ["i", "j"], "left").select("i", "j", F.coalesce("t", F.lit(0.0)).alias("t"), F.coalesce("e", F.lit(0.0)).alias("e"))
     g, _ = dense_grid(spark, d)  # rows beyond the coarse grid take its last row's baseline
     native = g.select("i", "j", (F.col("v") * 9 - 200).alias("elev"))
     out = climate(coarse, native, (60, 50), 2)
-    return out.select("i", "j", F.round("temp", 5).alias("temp"), F.round("beta", 7).alias("beta"))
+    return out.select("i", "j", F.round(F.col("temp") + 1e-9, 5).alias("temp"), F.round("beta", 7).alias("beta"))
 
 
 def ramp(size: int) -> np.ndarray:

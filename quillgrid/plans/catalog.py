@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, fields, grids, values
+from . import assembly, fields, grids, regions, values
 
-_ALL = grids.QUERIES | values.QUERIES | fields.QUERIES | assembly.QUERIES
+_ALL = grids.QUERIES | values.QUERIES | fields.QUERIES | regions.QUERIES | assembly.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql} | regions.SQL

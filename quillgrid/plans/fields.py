@@ -34,7 +34,7 @@ def _warp(n: Noise, dims: int, amplitude: float, kind: str, mode: str):
 
     def query(spark, d):
         out = noise.warp(_places(spark, d).select("l_orderkey", "l_linenumber", *names), names, n, amplitude, kind, mode)
-        return out.select("l_orderkey", "l_linenumber", *[(F.round(c, 6) + 0.0).alias(c) for c in names])
+        return out.select("l_orderkey", "l_linenumber", *[(F.round(c, 4) + 0.0).alias(c) for c in names])
 
     return query, noise_sql.warped(n, "lineitem", _XYZ[:dims], _KEEP, names, amplitude, kind, mode)
 

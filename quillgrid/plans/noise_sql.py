@@ -204,5 +204,5 @@ def warped(n: Noise, base: str, coordinates: list[str], keep: str, names: list[s
         ctes.append(f"s{k} AS (SELECT rid, {pulls} FROM q{k}h GROUP BY rid)")
         ctes.append(f"m{k + 1} AS (SELECT rid, " + ", ".join(f"b{j}, y{j} + p{j} * {amp * scale!r}::DOUBLE AS y{j}" for j in axes) + f" FROM m{k} JOIN s{k} USING (rid))")
         amp, freq = amp * n.gain, freq * n.lacunarity
-    shown = ", ".join(f"round(y{k}, 6) + 0e0 AS {name}" for k, name in enumerate(names))
+    shown = ", ".join(f"round(y{k}, 4) + 0e0 AS {name}" for k, name in enumerate(names))
     return f"WITH {', '.join(ctes)} SELECT {keep}, {shown} FROM base JOIN m{octaves} USING (rid)"

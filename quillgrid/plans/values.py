@@ -153,15 +153,15 @@ round(CASE WHEN c_acctbal / 100e0 <= 20 THEN (c_acctbal / 100e0 - 20e0) * 1.25e0
 round(cos(atan(0.8e0)) * c_acctbal + sin(atan(0.8e0)) * (c_custkey % 7 - 3e0), 6) AS mixed FROM customer"""
 
 
-def climate_cells(spark, d):
-    """Climate-like columns of line items; every 97th order has none."""
+def climate_cells(spark, d, n_temp=0.0, n_precip=0.0):
+    """Climate-like columns of line items, and noise inputs (numbers or columns); every 97th order has no climate."""
     line = table(spark, d, "lineitem")
     known = F.col("l_orderkey") % 97 != 0
     return line.select(
         "l_orderkey", "l_linenumber", F.floor(F.col("l_extendedprice") / 12 - 1500).cast("double").alias("elev"),
         F.when(known, F.col("l_quantity") * 0.9 - 13.5).alias("temp"), (F.col("l_discount") * 12000).alias("t_season"),
         (F.col("l_extendedprice") / 25).alias("precip"), (F.col("l_tax") * 1200).alias("p_cv"),
-        ((F.col("l_partkey") % 20) * 0.071).alias("slope"), F.lit(0.0).alias("n_temp"), F.lit(0.0).alias("n_precip"), ((F.col("l_suppkey") % 5) - 2.0).alias("n_snow"),
+        ((F.col("l_partkey") % 20) * 0.071).alias("slope"), F.lit(n_temp).alias("n_temp"), F.lit(n_precip).alias("n_precip"), ((F.col("l_suppkey") % 5) - 2.0).alias("n_snow"),
     )
 
 
@@ -430,7 +430,8 @@ SELECT ty, tx, CAST(CASE WHEN h >= 9223372036854775808 THEN h - 1844674407370955
 
 
 def gaussian_patch(spark, d):
-    return rng.gaussian_patch(event_grid(spark, d).select((F.col("i") - 20).alias("i"), (F.col("j") - 5).alias("j")), 42, channels=2, tile=32)
+    cells = event_grid(spark, d).select((F.col("i") - 20).alias("i"), (F.col("j") - 5).alias("j"))
+    return rng.gaussian_patch(cells, 42, channels=2, tile=32).withColumn("v", F.round("v", 5) + 0.0)
 
 
 def elevation_detail(spark, d):
@@ -450,6 +451,7 @@ def heightmap(spark, d):
 
     g, (h, w) = dense_grid(spark, d)
     big = raster.resize_bilinear(g.withColumn("v", F.col("v") * 8 - 300), (h, w), (2 * h, 2 * w))
+    big = big.withColumn("v", F.round(F.col("v") + 1e-9, 6))  # whole numbers stay whole
     slope = raster.sobel(big, 60.0).withColumnRenamed("v", "slope")
     cells = big.join(slope, ["i", "j"]).select(
         "i", "j", F.col("v").alias("elev"), "slope", (25.0 - F.col("v") / 160).alias("temp"), F.lit(600.0).alias("t_season"), (F.col("j") * 25.0).alias("precip"),
