@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.llm import langid, mixing, secrets, simhash
-from quillgrid.llm.common import components, save, table
+from quillgrid.llm.common import SAVED, components, save, table
 from quillgrid.llm.registry import oracle_sql, queries
 
-from .test_text_operators import brute_fingerprint, joined
+from .test_text_operators import brute_fingerprint, documents, joined, prose
 
 
 @pytest.fixture(scope="module")
@@ -66,6 +66,31 @@ def test_packing_stage_packs_every_row(stages):
     assert [s.columns for s in stages[:5]] == [stages[0].columns] * 5
 
 
+def test_run_on_nulls_repeats_clashes_and_nothing(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(k, prose(rng, rng.randrange(5, 60)), rng.choice(["en", "de"]), rng.choice(["a", "b"])) for k in range(60)]
+    rows += [(None, rows[2][1], "en", "a"), (None, None, None, None), (70, "", "en", None), (71, None, "de", "a"), (72, "word " * 4000, "en", "b"), (5, rows[5][1], "en", "a"), (5, rows[5][1], "en", "a")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    known = set(SAVED)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(SAVED) - known) == 1  # only the last stage's table is left
+    pieces = got.collect()
+    windows = {}
+    for r in pieces:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert pieces and all(w == sorted(w) or sorted(w)[0][0] == 0 for w in windows.values()) and all(sum(n for _, n in w) <= 2048 for w in windows.values())
+    docs = documents(spark, rows)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out, _ = save(stage(spark, docs, str(tmp_path)))
+        assert out.columns == docs.columns
+        one = out.drop("doc_id", "text", "lang", "source", "n_chars").first()
+        assert one is None or all(v == k for k, v in one.asDict().items())
+        docs = out
+    empty = str(tmp_path / "none")
+    documents(spark, rows).where("false").write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 def test_registered_queries():
     numbers = {n.split("_")[0] for n in queries()}
     assert numbers == {f"op{k}" for k in range(1, 11)} and set(oracle_sql()) <= set(queries())
