@@ -595,6 +595,52 @@ def test_short_secrets_found_and_masked(spark):
     assert sum(v not in masked[k] for k, v in short.items()) >= 38
 
 
+def mixed_findings():
+    """Texts with one secret or one string that only looks like one, made without the operator's own maker."""
+    rng = random.Random(12)
+    pick = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    hexes, keys = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    title = lambda: rng.choice(WORDS[60:] + ["Render", "Session", "Widget", "Handler", "Factory", "Manager"]).capitalize()
+    good = [
+        lambda: f'token="{pick(40, hexes)}"', lambda: f"export API_KEY={pick(32, keys)}", lambda: f"password: {pick(6, keys)}7!{pick(4, keys)}", lambda: f"AKIA{pick(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')}",
+        lambda: f"authorization: bearer {pick(36, keys)}", lambda: f"ghp_{pick(36, keys)}", lambda: f"client_secret = '{pick(24, keys)}'",
+    ]
+    bad = [
+        lambda: "-".join(pick(n, hexes) for n in (8, 4, 4, 4, 12)), lambda: f"commit {pick(40, hexes)}", lambda: f"sha256 {pick(64, hexes)}", lambda: f"/usr/share/{title().lower()}/lib{title().lower()}-2.4.1/index",
+        lambda: f"{title()}{title()}{title()}Impl2", lambda: f"md5={pick(32, hexes)}", lambda: f"test_{title().lower()}_returns_{title().lower()}_17", lambda: f"release-candidate-{rng.randrange(10, 99)}-linux-x86_64",
+    ]
+    rows = [(k, f"{prose(rng, 25)} {rng.choice(good)()} {prose(rng, 10)}", "en", "s") for k in range(140)]
+    return rows + [(1000 + k, f"{prose(rng, 25)} {rng.choice(bad)()} {prose(rng, 10)}", "en", "s") for k in range(240)]
+
+
+def test_forest_removes_false_positives(spark):
+    got = {r["doc_id"]: r for r in secrets.secret_scan(documents(spark, mixed_findings())).collect()}
+    true = [k for k in got if k < 1000 and got[k]["n_candidates"]]
+    plain = len(true) / sum(r["n_candidates"] > 0 for r in got.values())
+    said = [k for k, r in got.items() if r["n_secrets"]]
+    right = sum(k < 1000 for k in said)
+    print("precision of candidates", round(plain, 3), "of the forest", round(right / len(said), 3), "recall", round(right / len(true), 3))
+    assert len(true) >= 135 and plain < 0.5 and right / len(said) > 0.9 and right / len(true) > 0.9
+
+
+def test_features_match_a_plain_computation(spark):
+    stats = secrets.Statistics([math.log(1 / 26)] * 676, ["table", "value"])
+    cases = [("aB3/xY_9tablevalue", "the token is /a/", " sha1 ok"), ("deadbeef00112233", 'key="', '"'), ("Zz", "", "")]
+    found = spark.createDataFrame([(k, v, b, a) for k, (v, b, a) in enumerate(cases)], "k int, value string, before string, after string")
+    for r in secrets.with_features(found, stats).collect():
+        v, before, after = cases[r["k"]]
+        n = len(v)
+        classes = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in v)
+        words = [w for w in re.findall("[a-z]{4,}", v.lower()) if w in stats.words]
+        want = {
+            "length": n, "digit_share": sum(c.isdigit() for c in v) / n, "upper_share": sum(c.isupper() for c in v) / n, "distinct_share": len(set(v)) / n,
+            "class_runs": len([*itertools.groupby(classes)]) / n, "hex_only": bool(re.fullmatch("[0-9a-f]+", v)), "likelihood": math.log(1 / 26), "coverage": sum(map(len, words)) / n, "slashes": v.count("/"),
+            "path_before": bool(re.search(r"[/\\.][a-z0-9_.-]*$|https?:", before.lower())), "telling": len(re.findall(secrets.TELLING, before.lower())),
+            "benign": len(re.findall(secrets.BENIGN, f"{before} {after}".lower())), "quoted": before[-1:] in ("'", '"', "`"),
+        }
+        assert {k: round(r[f"f_{k}"], 9) for k in want} == {k: round(float(x), 9) for k, x in want.items()}, v
+
+
 def test_secrets_without_labelled_findings(spark):
     docs = documents(spark, [(1, "nothing", "en", "s"), (2, None, "en", "s")])
     assert [r["n_secrets"] for r in secrets.secret_scan(docs).collect()] == [0, 0]
