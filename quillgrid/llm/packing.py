@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, window: int, vocab: str, groups: int, id_col: str, t
         full, dealt = 0, task * 7919
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"].astype("Int64").array, batch["text"], strict=True):
                 ids = np.array((enc.encode_ordinary(text) if isinstance(text, str) else []) + [END_ID], "<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
@@ -77,8 +77,9 @@ def pieces(docs: DataFrame, window: int, vocab: str, groups: int, id_col: str, t
                     else:
                         shard, number, dealt = dealt % groups, None, dealt + 1
                     rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), shard, number))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "sequence_id"])
-            yield out.astype({"doc_id": "Int64", "shard": "Int64", "sequence_id": "Int64"})
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "sequence_id"]
+            # Column by column: numbers beside nulls would become floats on the way.
+            yield pd.DataFrame({n: pd.array(list(c), dtype="Int64") for n, c in zip(names, zip(*rows, strict=True), strict=True)} if rows else {n: pd.array([], dtype="Int64") for n in names})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, f"{PIECE}, shard long, sequence_id long")
 
