@@ -23,9 +23,9 @@ from .common import save, table
 
 WINDOW = 2048
 #: Remainders of documents per packing group of the first and of the second round.
-GROUP, SECOND_GROUP = 4096, 65536
+GROUP, SECOND_GROUP = 1024, 65536
 #: Share of a window from which it counts as filled at the end of the first round.
-FILLED = 0.97
+FILLED = 0.99
 END_ID = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Where the numbers of full windows, and of windows of the second round, begin.
