@@ -41,6 +41,16 @@ def save(df: DataFrame, partition_by: Sequence[str] = ()) -> tuple[DataFrame, st
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def as_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text) for a function on pandas frames, the id as text: pandas makes whole numbers beside nulls floats, which round large ones."""
+    return docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def whole_ids(df: DataFrame) -> DataFrame:
+    """The id as a whole number again."""
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that :func:`save` wrote, when nothing reads it any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import as_text, table, whole_ids
 from .signatures import SIGNATURES
 
 #: Fixed phrases that every scan reports, and their labels.
@@ -229,7 +229,7 @@ def scan(text: str | None) -> dict:
 
 
 SCHEMA = (
-    "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+    "doc_id string, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "detections array<struct<start:long,stop:long,label:string,score:double>>"
 )
 
@@ -247,11 +247,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = pd.DataFrame([scan(t) for t in b["text"]], columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"])
             names = ("start", "stop", "label", "score")
             out["detections"] = [[dict(zip(names, d, strict=True)) for d in row] for row in out["detections"]]
-            yield out.assign(doc_id=b["doc_id"].astype("Int64").to_numpy(), first_word=out["first_word"].astype("Int64"), last_word=out["last_word"].astype("Int64"))[
+            yield out.assign(doc_id=b["doc_id"].to_numpy(), first_word=out["first_word"].astype("Int64"), last_word=out["last_word"].astype("Int64"))[
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
             ]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, SCHEMA)
+    return whole_ids(as_text(docs, id_col, text_col).mapInPandas(each, SCHEMA))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import as_text, save, table, whole_ids
 
 WINDOW = 2048
 #: Remainders of documents per packing group of the first and of the second round.
@@ -27,7 +27,7 @@ GROUP, SECOND_GROUP = 1024, 65536
 #: Share of a window from which it counts as filled at the end of the first round.
 FILLED = 0.99
 END_ID = 1
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 #: Where the numbers of full windows, and of windows of the second round, begin.
 FULL, SECOND = 1 << 61, 1 << 60
 _ENCODERS: dict[str, object] = {}
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, window: int, vocab: str, groups: int, id_col: str, t
         full, dealt = 0, task * 7919
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64").array, batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.array((enc.encode_ordinary(text) if isinstance(text, str) else []) + [END_ID], "<u4")
                 for at in range(0, len(ids), window):
                     part = ids[at : at + window]
@@ -79,9 +79,10 @@ def pieces(docs: DataFrame, window: int, vocab: str, groups: int, id_col: str, t
                     rows.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), shard, number))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "sequence_id"]
             # Column by column: numbers beside nulls would become floats on the way.
-            yield pd.DataFrame({n: pd.array(list(c), dtype="Int64") for n, c in zip(names, zip(*rows, strict=True), strict=True)} if rows else {n: pd.array([], dtype="Int64") for n in names})
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pd.DataFrame({n: pd.array(list(c), dtype=object if n == "doc_id" else "Int64") for n, c in zip(names, columns, strict=True)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(cut, f"{PIECE}, shard long, sequence_id long")
+    return as_text(docs, id_col, text_col).mapInPandas(cut, f"{PIECE}, shard long, sequence_id long")
 
 
 def place(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +155,7 @@ def pack(
     more = max(1, -(-rest.count() // second_group))
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(more))).drop("sequence_id", "offset", "open")
     second = rest.groupBy("shard").applyInPandas(fill(SECOND, 0.0), placed)
-    return full.unionByName(first.where("not open").drop("open")).unionByName(second.drop("open"))
+    return whole_ids(full.unionByName(first.where("not open").drop("open")).unionByName(second.drop("open")))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

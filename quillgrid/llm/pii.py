@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import as_text, hash_sample, table, whole_ids
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, between the starts of two windows, and of a window in training.
@@ -509,11 +509,11 @@ def detect(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 rows.append((*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
             out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(each, schema)
+    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return whole_ids(as_text(docs, id_col, text_col).mapInPandas(each, schema))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save, shuffle_parts, table, unused
+from .common import components, save, shuffle_parts, table, unused, whole_ids
 
 SHINGLE = 3
 SEED = 42
@@ -58,10 +58,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "th": batch["th"], "fp": fp})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "th": batch["th"], "fp": fp})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, "doc_id long, th long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return whole_ids(rows.mapInPandas(each, "doc_id string, th long, fp long"))
 
 
 def _syndrome(half: np.ndarray) -> np.ndarray:

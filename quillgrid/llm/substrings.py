@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, hash_sample, save, shuffle_parts, table
+from .common import forget, hash_sample, save, shuffle_parts, table, whole_ids
 
 LENGTH = 100
 #: Bytes of the substrings that are hashed; strings a run can span (a longer one is cut; both fit in a packed position).
@@ -303,7 +303,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for b in batches:
             yield b.assign(text=[c.compress(t.encode()) for t in b["text"]])
 
-    packed = docs.select("doc_id", "doc", "tie", "text").mapInPandas(squeeze, "doc_id long, doc long, tie long, text binary")
+    packed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "doc", "tie", "text").mapInPandas(squeeze, "doc_id string, doc long, tie long, text binary")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The bytes of the runs; of a crowded group each string for itself, by content.
@@ -395,10 +395,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     kept = b"".join(text[a:s] for a, s in zip(ends, [*(s for s, _ in merged), len(text)], strict=True))
                 rows.append((doc_id, len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield out
 
     every = packed.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
-    return every.mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return whole_ids(every.mapInPandas(finish, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 
 def _repeated(docs: DataFrame) -> bool:

@@ -757,6 +757,14 @@ def test_packing_in_many_groups_pads_little(spark):
     assert full and all(r["length"] == 2048 and r["offset"] == 0 for r in full) and len({r["sequence_id"] for r in full}) == len(full)
 
 
+def test_large_ids_beside_null_ids_stay_whole(spark):
+    big = (1 << 60) + 1
+    docs = documents(spark, [(big, "one text of words", "en", "s"), (None, "another text", "en", "s"), (big + 2, None, "en", "s")]).coalesce(1)
+    outs = [packing.pack(docs), licenses.license_scan(docs), pii.detect(docs, pii.train([])), substrings.remove_repeats(docs), simhash.simhash(docs), mixing.mix(docs)]
+    for out in outs:
+        assert dict(out.dtypes)["doc_id"] == "bigint" and {r["doc_id"] for r in out.collect()} == {big, None, big + 2}
+
+
 def test_packing_places_by_least_squares():
     rng = np.random.default_rng(2)
     lengths = rng.integers(1, 65, 400)
