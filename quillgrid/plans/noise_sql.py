@@ -141,12 +141,13 @@ def _turned(dims: int, mode: str, simplex: bool) -> list[str]:
     same = [f"x{k}" for k in range(dims)]
     if dims == 2:
         return [f"x{k} + (x0 + x1) * {0.5 * (math.sqrt(3) - 1)!r}::DOUBLE" for k in range(2)] if simplex else same
-    third = 1 / math.sqrt(3)
+    root = math.sqrt(3)
     if mode in ("xy", "xz"):
+        # The same order of operations as in the columns: where two ways are equally long, the last bit decides between lattice points.
         a, b, c = (0, 1, 2) if mode == "xy" else (0, 2, 1)
         out = dict.fromkeys(range(3), "")
-        out[a], out[b] = (f"x{k} - (x{a} + x{b}) * {G!r}::DOUBLE - x{c} * {third!r}::DOUBLE" for k in (a, b))
-        out[c] = f"x{c} * {third!r}::DOUBLE + (x{a} + x{b}) * {third!r}::DOUBLE"
+        out[a], out[b] = (f"x{k} + ((x{a} + x{b}) * {-G!r}::DOUBLE - x{c} / {root!r}::DOUBLE)" for k in (a, b))
+        out[c] = f"x{c} / {root!r}::DOUBLE + (x{a} + x{b}) / {root!r}::DOUBLE"
         return [out[k] for k in range(3)]
     return [f"(x0 + x1 + x2) * {2 / 3!r}::DOUBLE - x{k}" for k in range(3)] if simplex else same
 
