@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings
+from . import ann, conversations, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": substrings.op8,
         "op9_langid": langid.op9,
         "op10_packing": packing.op10,
+        "op12_conversations": conversations.op12,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op12_conversations": conversations.OP12_SQL}
