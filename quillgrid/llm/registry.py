@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, conversations, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings
+from . import ann, conversations, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings, voronoi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_langid": langid.op9,
         "op10_packing": packing.op10,
         "op12_conversations": conversations.op12,
+        "op13_voronoi": voronoi.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.OP3_SQL, "op12_conversations": conversations.OP12_SQL}
+    return {"op3_mixing": mixing.OP3_SQL, "op12_conversations": conversations.OP12_SQL, "op13_voronoi": voronoi.OP13_SQL}
