@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, conversations, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings, voronoi
+from . import alignment, ann, conversations, embed_dedup, langid, licenses, mixing, packing, pii, secrets, simhash, substrings, voronoi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": substrings.op8,
         "op9_langid": langid.op9,
         "op10_packing": packing.op10,
+        "op11_alignment": alignment.op11,
         "op12_conversations": conversations.op12,
         "op13_voronoi": voronoi.op13,
     }
