@@ -709,8 +709,7 @@ def test_packing_round_trip(spark, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    extra = [(300, "<|endoftext|> is plain text here", "en", "s"), (301, "naïve \U0001f600  spaces\n\n\t" * 500, "en", "s")]
+    extra = [(300, "<|endoftext|> is an added token here", "en", "s"), (301, "naïve \U0001f600  spaces\n\n\t" * 500, "en", "s")]
     rows = rows + extra
     got = packing.pack(documents(spark, rows), window=256, group=20, second_group=50).collect()
     texts = {}
@@ -738,11 +737,18 @@ def test_packing_ids_are_those_of_the_tokenizer_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     fast = packing.encoder(packing.vocabulary())
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert added
     texts = [x for x, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    texts += [form.format(x) for x in added for form in ("{0}", "a {0} b", "{0}{0}", "  {0}\n{0}  x", "<{0}>", "a{0}s don't")] + [added[0][:-1], added[0].upper()]
     for text, ids in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert fast.encode_ordinary(text) == ids.ids
+        assert fast.encode(text, allowed_special="all") == ids.ids
+
+
+def test_packing_counts_added_tokens(spark):
+    got = packing.pack(documents(spark, [(1, "a <|endoftext|> b", "en", "s")])).collect()
+    assert [(r["doc_tokens"], r["ids_crc32"]) for r in got] == [(5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))]
 
 
 def test_packing_in_many_groups_pads_little(spark):
