@@ -6,6 +6,8 @@ a tile is the unit of work.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,6 +50,24 @@ def normals(seed: int, n: int) -> np.ndarray:
     return np.stack([a * f, b * f], axis=1).ravel()[:n].astype(np.float32)
 
 
+@lru_cache(maxsize=512)
+def _tile(base: int, ty: int, tx: int, n: int) -> np.ndarray:
+    """A tile's normals; neighbouring windows read the same ones."""
+    return normals(int(tile_seeds(base, np.array([ty]), np.array([tx]))[0]), n)
+
+
+def patch(base: int, i0: int, j0: int, h: int, w: int, channels: int, tile: tuple[int, int]) -> np.ndarray:
+    """(channels, h, w) normals of the cells from (i0, j0): they depend on the seed and the absolute cell only."""
+    th, tw = tile
+    out = np.empty((channels, h, w))
+    for ty in range(i0 // th, (i0 + h - 1) // th + 1):
+        for tx in range(j0 // tw, (j0 + w - 1) // tw + 1):
+            made = _tile(base, ty, tx, channels * th * tw).reshape(channels, th, tw)
+            r0, c0, r1, c1 = max(i0, ty * th), max(j0, tx * tw), min(i0 + h, ty * th + th), min(j0 + w, tx * tw + tw)
+            out[:, r0 - i0 : r1 - i0, c0 - j0 : c1 - j0] = made[:, r0 - ty * th : r1 - ty * th, c0 - tx * tw : c1 - tx * tw]
+    return out
+
+
 def seed_column(base: int, ty: Column | str, tx: Column | str) -> Column:
     """The seed of a tile, as a signed long."""
 

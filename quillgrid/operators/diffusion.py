@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +81,20 @@ def linear_stub(gain: float = 0.5) -> Callable[[Column, float], Column]:
 def flow_step(x: Column, answer: Column, t: float) -> Column:
     """One step of flow matching on the circle: cos(t) x - sin(t) * data scale * answer."""
     return F.zip_with(x, answer, lambda a, b: F.lit(math.cos(t)) * a - F.lit(math.sin(t) * DATA) * b)
+
+
+def solve_array(x: np.ndarray, model: Callable[[np.ndarray, float], np.ndarray], steps: int) -> np.ndarray:
+    """As :func:`solve`, on an array within a tile function."""
+    sigma, before = schedule(steps), None
+    for k in range(steps):
+        now, then = sigma[k], sigma[k + 1]
+        norm = math.hypot(now, DATA)
+        clean = DATA * DATA / norm**2 * x + now * DATA / norm * model(x / norm, noise_label(now))
+        bend = 0.0 if k in (0, steps - 1) else 0.5 * (clean - before) * math.log(now / then) / math.log(sigma[k - 1] / now)
+        x, before = then / now * x - (then / now - 1) * (clean + bend), clean
+    return x
+
+
+def flow_array(x: np.ndarray, answer: np.ndarray, t: float) -> np.ndarray:
+    """One step of flow matching, in units of the data's scale; ``answer`` is the model's, which is negated."""
+    return (math.cos(t) * x + math.sin(t) * DATA * answer) / DATA

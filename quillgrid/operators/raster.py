@@ -194,6 +194,32 @@ def sample_bilinear(points: DataFrame, grid: DataFrame, shape: tuple[int, int])
     return asked.join(grid, ["i", "j"]).groupBy("id").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def quads(grid: DataFrame, names: list[str]) -> DataFrame:
+    """Each cell of a dense grid with the values of its 2 x 2 cells to the right and below, as arrays; edge cells are repeated outwards."""
+    tiles = halo(grid.select("i", "j", *names), (0, 1), (0, 1))
+    right = {f"_r_{n}": F.coalesce(F.lead(n).over(line("j")), F.col(n)) for n in names}
+    tiles = tiles.withColumns(right)
+    below = {f"_b_{n}": F.coalesce(F.lead(n).over(line("i")), F.col(n)) for n in (*names, *right)}
+    found = inner(tiles.withColumns(below))
+    return found.select("i", "j", *[F.array(n, f"_r_{n}", f"_b_{n}", f"_b__r_{n}").alias(n) for n in names])
+
+
+def sample_columns(points: DataFrame, grid: DataFrame, shape: tuple[int, int], names: list[str]) -> DataFrame:
+    """Points (y, x and other columns) with the interpolated columns of a dense grid; coordinates are clamped.
+
+    Corners stand together in one row of the grid, so each point meets one row: one join, and no sum over corners.
+    """
+    y, x = clamp("y", F.lit(0.0), F.lit(float(shape[0] - 1))), clamp("x", F.lit(0.0), F.lit(float(shape[1] - 1)))
+    at = points.withColumns({"_y": y - F.floor(y), "_x": x - F.floor(x), "_i": F.floor(y).cast("long"), "_j": F.floor(x).cast("long")})
+    near = quads(grid, names).select(F.col("i").alias("_i"), F.col("j").alias("_j"), *[F.col(n).alias(f"_q_{n}") for n in names])
+    met = at.join(near, ["_i", "_j"])
+    def value(n: str) -> Column:
+        q = F.col(f"_q_{n}")
+        return (q[0] * (1 - F.col("_x")) + q[1] * F.col("_x")) * (1 - F.col("_y")) + (q[2] * (1 - F.col("_x")) + q[3] * F.col("_x")) * F.col("_y")
+
+    return met.select(*[c for c in points.columns if c not in ("y", "x")], *[value(n).alias(n) for n in names])
+
+
 def laplacian_decode(residual: DataFrame, low: DataFrame, low_shape: tuple[int, int], shape: tuple[int, int]) -> DataFrame:
     """Residual plus the enlarged low frequencies."""
     up = resize_bilinear(low, low_shape, shape).withColumnRenamed("v", "_low")

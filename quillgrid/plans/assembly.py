@@ -34,16 +34,27 @@ def climate(coarse: DataFrame, native: DataFrame, shape: tuple[int, int], unit:
     """
     base = stats.windowed_baseline(coarse, size)
     inner = (shape[0] - size + 1, shape[1] - size + 1)
-    points = native.select(
-        F.concat_ws(",", F.col("i").cast("string"), F.col("j").cast("string")).alias("id"), "i", "j", "elev",
-        ((F.col("i") + 0.5) / unit - 0.5).alias("y"), ((F.col("j") + 0.5) / unit - 0.5).alias("x"),
-    )
-    beta = raster.sample_bilinear(points, base.select("i", "j", F.col("beta").alias("v")), inner).withColumnRenamed("v", "beta")
-    sea = raster.sample_bilinear(points, base.select("i", "j", F.col("t_sea").alias("v")), inner).withColumnRenamed("v", "t_sea")
-    joined = points.join(beta, "id").join(sea, "id")
+    points = native.select("i", "j", "elev", ((F.col("i") + 0.5) / unit - 0.5).alias("y"), ((F.col("j") + 0.5) / unit - 0.5).alias("x"))
+    joined = raster.sample_columns(points, base, inner, ["beta", "t_sea"])
     return joined.select("i", "j", (F.col("t_sea") + F.col("beta") * F.greatest("elev", F.lit(0.0))).alias("temp"), "beta")
 
 
+def climate_channels(coarse: DataFrame, shape: tuple[int, int], native: DataFrame, unit: int, size: int = 15) -> DataFrame:
+    """``native`` cells (i, j, elev) with temp, t_season, precip, p_cv and beta, from a coarse grid (i, j, root, t, t_season, precip, p_cv).
+
+    ``root`` is the signed root of the height: the sea counts as 0.  The coarse grid goes ``size`` // 2 + 1 cells beyond the native cells
+    on every side and is counted from 0.  The regression windows lie inside; the other channels are taken at their middle cells.
+    """
+    half = size // 2
+    base = stats.windowed_baseline(coarse.select("i", "j", "t", F.pow(F.greatest("root", F.lit(0.0)), 2).alias("e")), size)
+    middle = coarse.select((F.col("i") - half).alias("i"), (F.col("j") - half).alias("j"), "t_season", "precip", "p_cv")
+    grid = base.join(middle, ["i", "j"])
+    inner = (shape[0] - size + 1, shape[1] - size + 1)
+    points = native.select("i", "j", "elev", ((F.col("i") + 0.5) / unit + 0.5).alias("y"), ((F.col("j") + 0.5) / unit + 0.5).alias("x"))
+    found = raster.sample_columns(points, grid, inner, ["beta", "t_sea", "t_season", "precip", "p_cv"])
+    return found.withColumn("temp", F.col("t_sea") + F.col("beta") * F.greatest("elev", F.lit(0.0))).drop("t_sea")
+
+
 def elevation_assembly(spark, d):
     g, (h, w) = dense_grid(spark, d)
     low = g.withColumn("v", stats.signed_root(F.col("v") - 40.0))
