@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_sample, save, table
-from .vectors import common_length, matrix, usable
+from .vectors import matrix, usable
 
 #: Rows of the sample that the lists are fitted on (about, and twice so many at most), and of its part that bounds each query's distance.
 SAMPLE, BOUND_SAMPLE = 20_000, 4_000
+#: Vector lengths (the commonest) that get an index; rows of any other length are one list, compared without one.
+LENGTHS = 16
 #: Mean rows a list, the most lists, and the recall that probing is set for on the sample.
 LIST_ROWS, MAX_LISTS, RECALL, TUNING_QUERIES = 256, 2048, 0.97, 200
 #: Columns of a scan block and the significance of the abandoning test.
@@ -41,6 +43,7 @@ class Index:
     probes: int
     bound: np.ndarray  # sample vectors that give each query's first bound
     bound_ids: np.ndarray
+    sizes: np.ndarray | None = None  # rows of each list, once all are dealt
 
     def augment(self, x: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(0.0, self.radius**2 - (x * x).sum(1)))
@@ -50,11 +53,26 @@ class Index:
         c = self.centroids
         return np.argmin((c * c).sum(1)[None, :] - 2 * augmented @ c.T, axis=1)
 
-    def probed(self, x: np.ndarray) -> np.ndarray:
-        """The lists nearest to each query; a query's added component is 0."""
+    def probed(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, list) of the lists nearest to each query: as many as were found to do, and so many that k others are in them."""
         c = self.centroids
-        d = (c * c).sum(1)[None, :] - 2 * x @ c[:, :-1].T
-        return np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes]
+        order = np.argsort((c * c).sum(1)[None, :] - 2 * x @ c[:, :-1].T, axis=1, kind="stable")
+        enough = (np.cumsum(self.sizes[order], axis=1) < k + 1).sum(1) + 1
+        row, place = np.nonzero(np.arange(len(c))[None, :] < np.maximum(self.probes, enough)[:, None])
+        return row, order[row, place]
+
+    def first(self, x: np.ndarray, ids: np.ndarray, row: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+        """A distance that k candidates in the probed lists are known not to exceed, from the sample's vectors there; infinite for fewer."""
+        out = np.full(len(x), np.inf)
+        if len(self.bound) >= k:
+            met = np.zeros((len(x), len(self.centroids)), bool)
+            met[row, lists] = True
+            score = x @ self.bound.T
+            score[~met[:, self.lists(self.augment(self.bound))] | (ids[:, None] == self.bound_ids[None, :])] = -np.inf
+            low = np.partition(score, len(self.bound) - k, axis=1)[:, len(self.bound) - k]
+            known = low > -np.inf
+            out[known] = (x[known] ** 2).sum(1) + self.radius**2 - 2 * low[known]
+        return out
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -146,108 +164,80 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` candidates of largest inner product found for each query.
 
-    ``is_query`` is a condition on the column ``vec_id``.  Null ids, and vectors that are null,
-    zero, hold null or non-finite components or have another length than most, take no part.  Rows
-    of one id count once (the smallest vector).  Ties go to the smaller vec_id; a query with fewer
-    than ``k`` candidates gets all; an empty table gives an empty result; other columns are ignored.
-    Lists and queries are split into blocks, so a list with a third of all rows is many tasks.
+    ``is_query`` is a condition on the column ``vec_id``.  Null ids, and vectors that are null, zero or hold null or non-finite
+    components, take no part.  A query meets vectors of its own length; the commonest lengths have an index each, of
+    the others all vectors are compared.  Rows of one id count once (the smallest vector).  Ties go to the smaller vec_id; a query with
+    fewer than ``k`` candidates gets all; an empty table gives an empty result; other columns are ignored.
+    Lists and queries are split into blocks, so a list with a third of all rows is many tasks.  Every result comes out of the scan of
+    a list; the sample gives bounds only.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.where(usable("v") & F.col("vec_id").isNotNull())
-    rows = rows.where(F.size("v") == common_length(rows, "v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.where(usable("v") & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("v").alias("v"))
     rows, _ = save(rows)
-    schema = "query_id long, rank int, vec_id long, score double"
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
-    total = rows.agg(F.count("*").alias("n"), F.sqrt(F.max(norm2)).alias("radius")).first()
-    if not total["n"]:
-        return spark.createDataFrame([], schema)
-    picked = hash_sample(rows, SAMPLE, str(seed), "vec_id", total["n"]).limit(2 * SAMPLE).toPandas()
+    known = rows.groupBy(F.size("v").alias("len")).agg(F.count("*").alias("n"), F.sqrt(F.max(norm2)).alias("radius")).orderBy(F.desc("n"), "len").limit(LENGTHS).collect()
+    picked = hash_sample(rows, SAMPLE, str(seed), "vec_id", max(1, sum(r["n"] for r in known))).limit(2 * SAMPLE).toPandas()
     picked = picked.sort_values("vec_id").sample(frac=1, random_state=seed)
-    index = fit(picked["vec_id"].to_numpy(np.int64), matrix(picked["v"]), total["n"], total["radius"], k, seed)
-    sent = spark.sparkContext.broadcast(index)
+    indexes = {}
+    for r in known:
+        mine = picked[picked["v"].map(len) == r["len"]]
+        if len(mine):
+            indexes[r["len"]] = fit(mine["vec_id"].to_numpy(np.int64), matrix(mine["v"]), r["n"], r["radius"], k, seed)
+    dealt_by = spark.sparkContext.broadcast(indexes)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield b.assign(list=index_lists(matrix(b["v"])))
-
-    def index_lists(x: np.ndarray) -> np.ndarray:
-        ix = sent.value
-        return ix.lists(ix.augment(x))
-
-    def best_of_sample(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Queries, their ids, and the places of their best sample vectors (-1: none)."""
-        ix = sent.value
-        x, ids = matrix(part["v"]), part["vec_id"].to_numpy(np.int64)
-        score = x @ ix.bound.T
-        score[ids[:, None] == ix.bound_ids[None, :]] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        return x, ids, np.where(np.take_along_axis(score, top, 1) > -np.inf, top, -1)
+        for b in (part for whole in batches for _, part in whole.groupby(whole["v"].map(len))):
+            x = matrix(b["v"])
+            index = dealt_by.value.get(x.shape[1])
+            yield b.assign(len=x.shape[1], list=0 if index is None else index.lists(index.augment(x)))
+
+    listed, _ = save(rows.mapInPandas(assign, "vec_id long, v array<double>, len int, list int"))
+    counts, _ = save(listed.groupBy("len", "list").agg(F.count("*").alias("n")))
+    for index in indexes.values():
+        index.sizes = np.zeros(len(index.centroids), np.int64)
+    for r in counts.where(F.col("len").isin(list(indexes))).collect():  # MAX_LISTS a length at most
+        indexes[r["len"]].sizes[r["list"]] = r["n"]
+    sent = spark.sparkContext.broadcast(indexes)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A query for each list that it probes, with a distance that k candidates are known not to exceed."""
-        ix = sent.value
-        for b in batches:
+        for b in (part for whole in batches for _, part in whole.groupby(whole["v"].map(len))):
             for at in range(0, len(b), 256):
                 part = b.iloc[at : at + 256]
-                x, ids, top = best_of_sample(part)
-                first = np.full(len(x), np.inf)
-                if top.shape[1] == k:
-                    low = np.einsum("ij,ij->i", x, ix.bound[top[:, -1]])
-                    first = np.where(top[:, -1] >= 0, (x * x).sum(1) + ix.radius**2 - 2 * low, np.inf)
-                lists = ix.probed(x)
-                again = np.repeat(np.arange(len(part)), lists.shape[1])
-                yield pd.DataFrame({"query_id": ids[again], "q": part["v"].to_numpy()[again], "first": first[again], "list": lists.ravel()})
-
-    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The sample's best candidates, so that no query is left with fewer than it was bounded by."""
-        ix = sent.value
-        for b in batches:
-            for at in range(0, len(b), 256):
-                x, ids, top = best_of_sample(b.iloc[at : at + 256])
-                i, j = np.nonzero(top >= 0)
-                v = top[i, j]
-                yield pd.DataFrame({"query_id": ids[i], "vec_id": ix.bound_ids[v], "score": np.einsum("ij,ij->i", x[i], ix.bound[v])})
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """How often each list is probed."""
-        for b in batches:
-            for at in range(0, len(b), 256):
-                lists, n = np.unique(sent.value.probed(matrix(b["v"].iloc[at : at + 256])), return_counts=True)
-                yield pd.DataFrame({"list": lists, "n": n})
-
-    listed, _ = save(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"))
-    asked = rows.where(is_query)
-    # One row a list that is probed, MAX_LISTS at most.  A list goes to as many query blocks as its own queries fill, not to all queries.
-    sizes = listed.groupBy("list").count().join(asked.select("v").mapInPandas(probes, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")), "list")
-    sizes = sizes.select("list", F.ceil(F.col("count") / VECTOR_BLOCK).cast("int").alias("v_blocks"), F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    sizes, _ = save(sizes)
+                x, ids = matrix(part["v"]), part["vec_id"].to_numpy(np.int64)
+                index = sent.value.get(x.shape[1])
+                if index is None:
+                    row, lists, first = np.arange(len(x)), np.zeros(len(x), int), np.full(len(x), np.inf)
+                else:
+                    row, lists = index.probed(x, k)
+                    first = index.first(x, ids, row, lists, k)
+                yield pd.DataFrame({"query_id": ids[row], "q": part["v"].to_numpy()[row], "first": first[row], "len": x.shape[1], "list": lists})
+
+    probes, _ = save(rows.where(is_query).mapInPandas(probe, "query_id long, q array<double>, first double, len int, list int"))
+    # A list goes to as many query blocks as its own queries fill, not to all queries.
+    asked = probes.groupBy("len", "list").agg(F.count("*").alias("asked"))
+    sizes = counts.join(asked, ["len", "list"])
+    sizes, _ = save(sizes.select("len", "list", F.ceil(F.col("n") / VECTOR_BLOCK).cast("int").alias("v_blocks"), F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("q_blocks")))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        listed.join(F.broadcast(sizes), "list").withColumn("v_block", block("vec_id", "v_blocks")).withColumn("q_block", every("q_blocks"))
-        .select("list", "v_block", "q_block", "vec_id", "v")
-    )
-    right = (
-        asked.mapInPandas(probe, "query_id long, q array<double>, first double, list int").join(F.broadcast(sizes), "list")
-        .withColumn("q_block", block("query_id", "q_blocks")).withColumn("v_block", every("v_blocks"))
-        .select("list", "v_block", "q_block", "query_id", "q", "first")
-    )
-
-    def compare(vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+    keys = ["len", "list", "v_block", "q_block"]
+    left = listed.join(sizes, ["len", "list"]).withColumn("v_block", block("vec_id", "v_blocks")).withColumn("q_block", every("q_blocks")).select(*keys, "vec_id", "v")
+    right = probes.join(sizes.toDF(*sizes.columns), ["len", "list"]).withColumn("q_block", block("query_id", "q_blocks")).withColumn("v_block", every("v_blocks"))
+    right = right.select(*[F.col(c).alias(c) for c in keys], "query_id", "q", "first")
+
+    def compare(key: tuple, vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(vs) or not len(qs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, q = matrix(vs["v"]), matrix(qs["q"])
+        x, q, index = matrix(vs["v"]), matrix(qs["q"]), sent.value.get(int(key[0]))
         x_ids, q_ids = vs["vec_id"].to_numpy(np.int64), qs["query_id"].to_numpy(np.int64)
-        i, j = scan(q, q_ids, qs["first"].to_numpy(float), x, x_ids, sent.value, k)
+        if index is None:
+            index = Index(np.zeros((1, x.shape[1] + 1)), np.eye(x.shape[1] + 1), float(np.sqrt((x * x).sum(1).max())), 1, x[:0], x_ids[:0])
+        i, j = scan(q, q_ids, qs["first"].to_numpy(float), x, x_ids, index, k)
         score = np.einsum("ij,ij->i", q[i], x[j])
         return pd.DataFrame({"query_id": q_ids[i], "vec_id": x_ids[j], "score": score})
 
-    keys = ["list", "v_block", "q_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "query_id long, vec_id long, score double")
-    found = found.unionByName(asked.mapInPandas(known, "query_id long, vec_id long, score double"))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

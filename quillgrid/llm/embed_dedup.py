@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, save, shuffle_parts, table
-from .vectors import common_length, matrix, usable
+from .vectors import matrix, usable
 
 COSINE = 0.93
 #: Width of the quantisation cells for vectors of norm 1.
@@ -28,6 +28,7 @@ RECALL, STRANGERS = 0.98, 1.0
 BLOCK = 1024
 #: Pairs of indices that are kept until they are reduced to a spanning forest.
 FOREST = 1 << 20
+_PROJECTIONS: dict[tuple, tuple] = {}
 
 
 def collision(distance: float, cell: float = CELL) -> float:
@@ -45,21 +46,30 @@ def shape(rows: int, cosine: float = COSINE) -> tuple[int, int]:
     return m, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - near**m)))
 
 
-def near_links(classes: DataFrame, length: int, cosine: float, seed: int) -> DataFrame:
-    """Rows (rep, links, root) of classes (rep, label, weight, v): ``links`` add up to a class's links, (rep, root) span the components."""
+def projections(length: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and shifts for vectors of a length: made where they are used, so no table of lengths is needed."""
+    key = (length, n, seed)
+    if key not in _PROJECTIONS:
+        rng = np.random.default_rng([seed, length])
+        _PROJECTIONS[key] = rng.normal(size=(length, n)), rng.uniform(0, CELL, n)
+    return _PROJECTIONS[key]
+
+
+def near_links(classes: DataFrame, cosine: float, seed: int) -> DataFrame:
+    """Rows (rep, links, root) of classes (rep, label, weight, v): ``links`` add up to a class's links, (rep, root) span the components.
+
+    ``label`` names what is compared: vectors of one label have one length.
+    """
     spark = classes.sparkSession
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
     m, tables = shape(largest, cosine)
-    rng = np.random.default_rng(seed)
-    directions, shifts = rng.normal(size=(length, m * tables)), rng.uniform(0, CELL, m * tables)
-    mix = rng.integers(1, 1 << 62, m * tables, dtype=np.int64) | 1
-    sent = spark.sparkContext.broadcast((directions, shifts, mix))
+    mix = np.random.default_rng(seed).integers(1, 1 << 62, m * tables, dtype=np.int64) | 1
+    sent = spark.sparkContext.broadcast(mix)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d, s, f = sent.value
-        for b in batches:
-            if not len(b):
-                continue
+        f = sent.value
+        for b in (part for whole in batches for _, part in whole.groupby(whole["v"].map(len))):
+            d, s = projections(len(b["v"].iloc[0]), m * tables, seed)
             x = matrix(b["v"])
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             cells = np.floor((x @ d + s) / CELL).astype(np.int64)
@@ -97,7 +107,9 @@ def near_links(classes: DataFrame, length: int, cosine: float, seed: int) -> Dat
                 return
             else:
                 part = rest
-            yield from links_of(part)
+            # A bucket's vectors have one length.
+            for _, same in part.groupby(part["v"].map(len)):
+                yield from links_of(same)
 
     def links_of(p: pd.DataFrame) -> Iterator[pd.DataFrame]:
         bucket, rep, t = p["bucket"].to_numpy(np.int64), p["rep"].to_numpy(np.int64), p["t"].to_numpy(np.int64)
@@ -167,9 +179,8 @@ def embed_dedup(
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Only rows of one label are compared.  Rows with a null id or label, or a vector that is null,
-    zero, holds null or non-finite components or has another length than most, link with nothing:
-    n_links 0 and a component of their own (null id: null component, not kept).  Equal vectors of
+    Only rows of one label and vectors of one length are compared.  Rows with a null id or label, or a
+    vector that is null, zero or holds null or non-finite components, link with nothing: n_links 0 and a component of their own (null id: null component, not kept).  Equal vectors of
     a label are one class before hashing; each row of it counts as a vector.  Ties do not matter;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -177,15 +188,13 @@ def embed_dedup(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label")
     )
     joins = usable("v") & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
-    length = common_length(rows.where(joins), "v")
-    joins = joins & (F.size("v") == length)
     rows = rows.withColumn("h1", F.when(joins, F.xxhash64(F.lit(1), "v"))).withColumn("h2", F.when(joins, F.xxhash64(F.lit(2), "v")))
     rows, _ = save(rows)
     cls = ["label", "h1", "h2"]
     classes, _ = save(rows.where("h1 is not null").groupBy(*cls).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")))
     # A class is named by its smallest id; rows that share an id but not a vector are told apart by the class's own number below.
     named = classes.withColumn("rep_key", F.xxhash64("rep", "label", "h1", "h2"))
-    found, _ = save(near_links(named.select(F.col("rep_key").alias("rep"), "label", "weight", "v"), length, cosine, seed))
+    found, _ = save(near_links(named.select(F.col("rep_key").alias("rep"), F.xxhash64("label", F.size("v")).alias("label"), "weight", "v"), cosine, seed))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = named.join(comp, named["rep_key"] == comp["id"], "left").withColumn("component", F.coalesce("component", "rep_key"))

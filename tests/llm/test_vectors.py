@@ -48,6 +48,41 @@ def test_search_recall_and_order(spark):
     assert hits / (10 * len(found)) >= 0.9
 
 
+def test_search_meets_each_length(spark):
+    x = clustered(200)
+    rows = [(k, x[k].tolist(), 1) for k in range(200)] + [(1000 + k, x[k][:3].tolist(), 1) for k in range(0, 60)] + [(2000, [1.0], 1), (2001, [2.0], 1)]
+    found = {}
+    for r in ann.nearest(table(spark, rows), F.col("vec_id") % 20 == 0, k=5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: np.array(v, np.float32).astype(float) for i, v, _ in rows}
+    assert set(found) == {i for i in whole if i % 20 == 0}
+    for q, mine in found.items():
+        best = sorted((-(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:5]
+        assert len(mine) == len(best) and len({i for _, i in best} & {i for _, i, _ in mine}) >= len(best) - 1
+        assert all(abs(s - whole[q] @ whole[i]) < 1e-9 for _, i, s in mine)
+
+
+def test_scan_of_a_table_larger_than_its_samples(spark, monkeypatch):
+    """Samples of 2,000 and 400 of 20,000 rows: what is found comes from the lists."""
+    monkeypatch.setattr(ann, "SAMPLE", 2000)
+    monkeypatch.setattr(ann, "BOUND_SAMPLE", 400)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 24)) + 2 * rng.normal(size=(60, 24))[rng.integers(0, 60, 20_000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * rng.uniform(0.8, 1.2, (20_000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    xd, hits = x.astype(float), 0
+    for q in range(0, 20_000, 100):
+        assert len(found[q]) == 20
+        score = xd @ xd[q]
+        score[q] = -np.inf
+        hits += len(set(np.argpartition(-score, 20)[:20].tolist()) & found[q])
+    print("recall", hits / 4000)
+    assert hits / 4000 >= 0.9
+
+
 def test_search_of_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1)]
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(table(spark, rows), F.col("vec_id") == 0).collect()]
@@ -105,6 +140,12 @@ def test_near_copies_match_all_pairs(spark, monkeypatch, block):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i
 
 
+def test_near_copies_of_two_lengths(spark):
+    rows = [(k, [1.0, 0.1 * k, 0.0], 1) for k in range(3)] + [(10 + k, [2.0, 1.0], 1) for k in range(2)] + [(20, [2.0, 1.0], 2), (21, [-1.0], 1), (22, [5.0], 1), (23, [9.0], 1)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.embed_dedup(table(spark, rows)).collect())
+    assert got == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (10, 1, 10), (11, 1, 10), (20, 0, 20), (21, 0, 21), (22, 1, 22), (23, 1, 22)]
+
+
 def test_near_copies_of_repeated_rows_and_none(spark):
     rows = [(1, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.0, 0.0], 1), (3, [1.0, 0.0, 0.0], 2)]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embed_dedup.embed_dedup(table(spark, rows)).collect())
