@@ -13,8 +13,6 @@ up.  Before tiles travel, the part that a window reads is cut out of them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -24,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Shared
 from .windows import WindowSpec
 
 TILE = "seed long, wi long, wj long, data array<double>"
@@ -74,21 +73,15 @@ class Layer:
                 raise ValueError(f"layer {self.id!r}: {name!r} reads channels {r.channels} of {r.layer.channels}")
 
 
-class TileStore:
+class TileStore(Shared):
     """Layers by name and the tiles that were computed: a first definition and a first result stay.
 
-    Tiles are Parquet tables in a folder that all executors see: ``path``, else one in the session's ``spark.checkpoint.dir``.  A table
-    counts once it is whole, so a failed task leaves nothing.  :meth:`release` deletes them.
+    Tiles are Parquet tables in the shared folder.  A table counts once it is whole, so a failed task leaves nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self._layers, self._tables, self._scratch = spark, {}, {}, []
-        shared = path or spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        self.path = f"{shared.rstrip('/')}/tiles-{uuid.uuid4().hex}"
+        super().__init__(spark, path)
+        self._layers, self._tables = {}, {}
 
     def layer(self, layer: Layer) -> Layer:
         return self._layers.setdefault(layer.id, layer)
@@ -104,20 +97,12 @@ class TileStore:
         fresh.select(*WINDOW, "data").write.parquet(where)
         self._tables.setdefault(layer.id, []).append(where)
 
-    def held(self, df: DataFrame) -> DataFrame:
-        """A table on the way, written and read back."""
-        where = f"{self.path}/on-the-way-{len(self._scratch)}"
-        df.write.parquet(where)
-        self._scratch.append(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
     def computed(self, layer: Layer) -> int:
         return self.tiles(layer).count()
 
     def release(self) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        self._tables, self._scratch = {}, []
+        super().release()
+        self._tables = {}
 
 
 def windows_of(ranges: DataFrame, rows: WindowSpec, cols: WindowSpec) -> DataFrame:

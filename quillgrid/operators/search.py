@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import layers
+
 
 def all_land(cells: DataFrame, weight: str = "w", epsilon: float = 1e-6) -> DataFrame:
     """Cells (i, j) whose whole 3 x 3 neighbourhood is land: each land cell votes for its nine neighbours."""
@@ -35,3 +37,24 @@ def expanding(cells: DataFrame, ci: int, cj: int, initial: int = 16, largest: in
         F.coalesce(F.col("b.di") + ci, F.lit(ci)).cast("long").alias("i"), F.coalesce(F.col("b.dj") + cj, F.lit(cj)).cast("long").alias("j"),
         F.coalesce("b.step", F.lit(-1)).cast("long").alias("step"),
     )
+
+
+def growing(
+    store: layers.TileStore, layer: layers.Layer, seed: int, ci: int, cj: int, initial: int = 16, largest: int = 128, step: int = 8, value: int = 0, weight: int | None = None
+) -> DataFrame:
+    """One row (i, j, dist, size): the nearest cell whose neighbourhood is land, in the smallest region around (ci, cj) that holds one.
+
+    Regions of a layer grow by ``step`` from ``initial`` to ``largest``, and each asks the store for the windows of its new ring only; the
+    search stops at the first find.  Land is where channel ``value`` over channel ``weight`` (None: the last) is above 0.  Where
+    there is none at all, the centre comes back with -1 for distance and size.
+    """
+    spark, weight = store.spark, layer.channels - 1 if weight is None else weight
+    for size in range(initial, largest + 1, step):
+        half = size // 2
+        ends = {"i0": ci - half, "i1": ci + half, "j0": cj - half, "j1": cj + half}
+        ask = spark.range(1).select(F.col("id").alias("request"), F.lit(seed).cast("long").alias("seed"), *[F.lit(v).cast("long").alias(k) for k, v in ends.items()])
+        cells = layers.slices(store, layer, ask).select("i", "j", layers.unweighted(f"c{value}", f"c{weight}").alias("v"), F.col(f"c{weight}").alias("w"))
+        found = nearest(all_land(cells), ci, cj).first()
+        if found:
+            return spark.createDataFrame([(found["i"], found["j"], found["dist"], size)], "i long, j long, dist long, size long")
+    return spark.createDataFrame([(ci, cj, -1, -1)], "i long, j long, dist long, size long")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .raster import halo, inner, line
+from .shared import Shared
 from .windows import clamp
 
 
@@ -130,6 +131,55 @@ def quantile_table(cells: DataFrame, n: int, eps: float = 1e-4, v: str = "v") ->
     return out
 
 
+def quantile_rows(cells: DataFrame, key: str, levels: list[float], shared: Shared, v: str = "v") -> DataFrame:
+    """(key, n, q): exact linearly interpolated quantiles of every group, an array in the order of ``levels``; nulls do not count.
+
+    Values are counted, and counts are sorted by ranges of (key, value), so a group of any size is many tasks; running sums within
+    ranges and the ranges' totals tell each value its ranks, and only values at a wanted rank go on.  Nothing comes to the driver.
+    """
+    counts = cells.where(F.col(v).isNotNull() & F.col(key).isNotNull()).groupBy(key, F.col(v).cast("double").alias("v")).agg(F.count("*").alias("m"))
+    ranged = shared.held(counts.repartitionByRange(key, "v").sortWithinPartitions(key, "v").withColumn("part", F.spark_partition_id()))
+    totals = ranged.groupBy(key, "part").agg(F.sum("m").alias("t"))  # a row a group and range
+    by_key = Window.partitionBy(key)
+    totals = totals.select(key, "part", F.sum("t").over(by_key).alias("n"), (F.sum("t").over(by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).alias("before"))
+    upto = F.sum("m").over(Window.partitionBy(key, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("upto", upto).join(totals, [key, "part"]).withColumn("upto", F.col("upto") + F.col("before"))
+    ps = F.array(*[F.lit(float(p)) for p in levels])
+    first = F.col("upto") - F.col("m")
+    holds = lambda rank: (rank >= first) & (rank < F.col("upto"))
+    at = lambda p: p * (F.col("n") - 1)
+    hits = F.filter(F.transform(ps, lambda p, k: F.struct(k.alias("k"), holds(F.floor(at(p))).alias("low"), holds(F.ceil(at(p))).alias("high"), (at(p) - F.floor(at(p))).alias("f"))), lambda s: s["low"] | s["high"])
+    near = placed.select(key, "n", "v", F.explode(hits).alias("s"))
+    ends = near.groupBy(key, "n", "s.k", "s.f").agg(F.max(F.when(F.col("s.low"), F.col("v"))).alias("a"), F.max(F.when(F.col("s.high"), F.col("v"))).alias("b"))
+    value = F.struct("k", (F.col("a") + F.col("f") * (F.col("b") - F.col("a"))).alias("q"))
+    return ends.groupBy(key, "n").agg(F.transform(F.array_sort(F.collect_list(value)), lambda s: s["q"]).alias("q"))  # as many as levels
+
+
+def increasing(q: Column) -> Column:
+    """Quantiles made strictly increasing: a repeated one lies a tenth of the least gap above the one before."""
+    gaps = F.filter(F.zip_with(F.slice(q, 2, F.size(q)), q, lambda b, a: b - a), lambda g: g > 0)
+    least = F.coalesce(F.array_min(gaps), F.lit(1e-10)) * 0.1
+    step = lambda out, x: F.concat(out, F.array(F.when(x > F.element_at(out, -1), x).otherwise(F.element_at(out, -1) + least)))
+    return F.when(F.size(q) < 2, q).otherwise(F.aggregate(F.slice(q, 2, F.size(q)), F.slice(q, 1, 1), step))
+
+
+def match_rows(cells: DataFrame, key: str, source: DataFrame, target: DataFrame, n: int, v: str = "v") -> DataFrame:
+    """``matched``: v taken from the place among its group's source quantiles (key, q) to the group's target quantiles, ``n`` knots each.
+
+    Groups without a table get null.  The knots come by a join on the group; the segment is found by halving.
+    """
+    tables = source.select(key, F.col("q").alias("_xs")).join(target.select(key, F.col("q").alias("_ys")), key)
+    met = cells.join(tables, key, "left")
+    x, xs, ys = F.col(v), F.col("_xs"), F.col("_ys")
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+    up = lambda at, s: F.when((at + s <= n) & (F.get(xs, at + s - 1) <= x), at + s).otherwise(at)
+    met = met.withColumn("_k", F.greatest(F.lit(0), F.least(F.lit(n - 2), F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), up) - 1)))
+    a, b, c, d = (F.get(t, F.col("_k") + k) for t in (xs, ys) for k in (0, 1))
+    inside = c + (x - a) / (b - a) * (d - c)
+    ends = F.when(x <= F.get(xs, F.lit(0)), F.get(ys, F.lit(0))).when(x >= F.get(xs, F.lit(n - 1)), F.get(ys, F.lit(n - 1)))
+    return met.withColumn("matched", F.when(xs.isNotNull() & x.isNotNull(), ends.otherwise(inside))).drop("_xs", "_ys", "_k")
+
+
 def interp(x: Column, xp: list[float], fp: list[float]) -> Column:
     """Piecewise linear interpolation, clamped at the ends; xp increases strictly."""
     n = len(xp)

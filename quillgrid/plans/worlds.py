@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import classify, diffusion, layers, raster, stats
+from ..operators import classify, diffusion, layers, raster, search, stats
 from ..operators.layers import Layer, Read, TileStore
+from ..operators.shared import Shared
 from ..operators.windows import WindowSpec
 from .assembly import climate_channels, elevation
 from .tables import CHANNELS, DAYS, EVENTS, channel_grid, height_of, table
@@ -279,7 +280,64 @@ def world_region(spark, d):
     return out.select("i", "j", classify.to_int16(F.col("elev")).cast("int").alias("height_m"), F.col("class_id").cast("int").alias("class_id"))
 
 
+def growing_search(spark, d):
+    """The nearest cell to the middle of the table around which all cells have two event types at least, and how many windows it took."""
+    store, h = TileStore(spark), height_of(spark, d)
+    source = seven_channels(store, spark, d).reads["cells"].layer
+    busy = store.layer(Layer("busy", 2, HOP, HOP, lambda key, n: layers.weighted(n - 1.5), {"n": Read(source, HOP, HOP, 5, 6)}))
+    found = search.growing(store, busy, 0, h // 2, 15)
+    return found.withColumn("windows", F.lit(store.computed(busy)).cast("long"))
+
+
+GROWING_SEARCH = f"""WITH {CHANNELS}, size AS (SELECT CAST(max(user_id) + 1 AS BIGINT) AS h FROM events), land AS (SELECT i, j FROM cg GROUP BY i, j HAVING count(*) >= 2),
+n AS (SELECT i + a AS i, j + b AS j FROM land, (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS b)), c AS (SELECT i, j FROM n GROUP BY i, j HAVING count(*) = 9),
+x AS (SELECT i, j, i - h // 2 AS di, j - 15 AS dj, h // 2 AS ci FROM c, size),
+s AS (SELECT *, greatest(abs(di), abs(dj)) AS dist, greatest(16, 16 + 8 * CAST(ceil((2 * greatest(1 - di, di + 2, 1 - dj, dj + 2) - 16) / 8e0) AS BIGINT)) AS sz FROM x),
+b AS (SELECT i, j, dist, sz, ci FROM s WHERE sz <= 128 ORDER BY sz, dist, di, dj LIMIT 1),
+f AS (SELECT * FROM b UNION ALL SELECT h // 2, 15, -1, -1, h // 2 FROM size WHERE NOT EXISTS (SELECT 1 FROM b)),
+r AS (SELECT *, CASE WHEN sz < 0 THEN 64 ELSE sz // 2 END AS half FROM f)
+SELECT i, j, dist, sz AS size, CAST((floor((ci + half - 1) / 6e0) - ceil((ci - half - 7) / 6e0) + 1) * (floor((15 + half - 1) / 6e0) - ceil((15 - half - 7) / 6e0) + 1) AS BIGINT) AS windows FROM r"""
+
+#: Levels of the tables by brand: nine from the least to the greatest.
+LEVELS = [k / 8 for k in range(9)]
+
+
+def _brand_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parts (p_partkey, p_brand, v), and by brand the quantiles of their prices and of the prices they sold at."""
+    shared = Shared(spark)
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", F.col("p_retailprice").cast("double").alias("v"))
+    sold = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").cast("double").alias("v")).join(parts.select("p_partkey", "p_brand"), "p_partkey")
+    return parts, *(t.withColumn("q", stats.increasing(F.col("q"))) for t in (stats.quantile_rows(parts, "p_brand", LEVELS, shared), stats.quantile_rows(sold, "p_brand", LEVELS, shared)))
+
+
+def quantile_by_brand(spark, d):
+    """Exact quantile tables of every brand at once."""
+    _, own, sold = _brand_tables(spark, d)
+    rows = [t.select("p_brand", F.lit(name).alias("of"), "n", F.posexplode("q").alias("k", "q")) for name, t in (("list", own), ("sold", sold))]
+    return rows[0].unionByName(rows[1]).withColumn("q", F.round(F.col("q") + 1e-7, 4))
+
+
+_KNOTS = (
+    "part_ AS (SELECT p_partkey, p_brand, CAST(p_retailprice AS DOUBLE) AS v FROM part), sold AS (SELECT p_brand, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem JOIN part ON p_partkey = l_partkey), "
+    "lv AS (SELECT unnest(range(0, 9)) AS k), "
+    + ", ".join(f"{t}q AS (SELECT p_brand, count(*) AS n, quantile_cont(v, [{', '.join(map(str, LEVELS))}]) AS q FROM {t} GROUP BY p_brand)" for t in ("part_", "sold"))
+)
+QUANTILE_BY_BRAND = f"WITH {_KNOTS} " + " UNION ALL ".join(f"SELECT p_brand, '{name}' AS \"of\", n, CAST(k AS INT) AS k, round(q[k + 1] + 1e-7, 4) AS q FROM {t}q, lv" for name, t in (("list", "part_"), ("sold", "sold")))
+
+
+def match_by_brand(spark, d):
+    """Each part's price taken to the same place among the prices that its brand sold at."""
+    parts, own, sold = _brand_tables(spark, d)
+    out = stats.match_rows(parts, "p_brand", own, sold, len(LEVELS))
+    return out.select("p_partkey", F.round(F.col("matched") + 1e-6, 3).alias("matched"))
+
+
+MATCH_BY_BRAND = f"""WITH {_KNOTS}, g AS (SELECT a.p_brand, k, a.q[k + 1] AS x0, a.q[k + 2] AS x1, b.q[k + 1] AS y0, b.q[k + 2] AS y1, a.q[9] AS xn, b.q[9] AS yn FROM part_q a JOIN soldq b USING (p_brand), lv WHERE k < 8)
+SELECT p_partkey, round(max(CASE WHEN v >= xn THEN yn ELSE y0 + (v - x0) / (x1 - x0) * (y1 - y0) END) + 1e-6, 3) AS matched FROM part_ JOIN g USING (p_brand) WHERE (v >= x0 AND v < x1) OR (v >= xn AND k = 7) GROUP BY p_partkey"""
+
+
 QUERIES = {
     "channel_slice": (channel_slice, CHANNEL_SLICE), "request_slices": (request_slices, REQUEST_SLICES), "request_windows": (request_windows, REQUEST_WINDOWS),
     "world_patches": (world_patches, WORLD_PATCHES), "world_region": (world_region, None),
+    "growing_search": (growing_search, GROWING_SEARCH), "quantile_by_brand": (quantile_by_brand, QUANTILE_BY_BRAND), "match_by_brand": (match_by_brand, MATCH_BY_BRAND),
 }
