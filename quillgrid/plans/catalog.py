@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, fields, grids, regions, values, worlds
+from . import assembly, fields, files, grids, regions, values, worlds
 
-_ALL = grids.QUERIES | values.QUERIES | fields.QUERIES | regions.QUERIES | assembly.QUERIES | worlds.QUERIES
+_ALL = grids.QUERIES | values.QUERIES | fields.QUERIES | regions.QUERIES | assembly.QUERIES | worlds.QUERIES | files.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

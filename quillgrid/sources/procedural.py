@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 
+#: Cells of an Arrow batch, about.
+BATCH = 1 << 16
+
+
 class _Block(InputPartition):
     def __init__(self, i0: int, i1: int, j0: int, j1: int) -> None:
         self.i0, self.i1, self.j0, self.j1 = i0, i1, j0, j1
@@ -40,21 +46,20 @@ class _Reader(DataSourceReader):
             for a in range(i0 // t, -(-i1 // t)) for b in range(j0 // t, -(-j1 // t))
         ]
 
-    def read(self, block: _Block) -> Iterator[tuple]:
-        import numpy as np
+    def read(self, block: _Block) -> Iterator[pa.RecordBatch]:
+        from ..functions.rng import patch
 
-        from ..functions.rng import normals, tile_seeds
-
-        t = self.tile
-        ty, tx = block.i0 // t, block.j0 // t
-        flat = normals(int(tile_seeds(self.seed, np.array([ty]), np.array([tx]))[0]), t * t)
-        for i in range(block.i0, block.i1):
-            for j in range(block.j0, block.j1):
-                yield i, j, float(flat[(i - ty * t) * t + j - tx * t])
+        t, width = self.tile, block.j1 - block.j0
+        made = patch(self.seed, block.i0, block.j0, block.i1 - block.i0, width, 1, (t, t))[0]
+        lines = max(1, BATCH // width)
+        for at in range(0, len(made), lines):
+            part = made[at : at + lines]
+            i = np.repeat(np.arange(block.i0 + at, block.i0 + at + len(part)), width)
+            yield pa.record_batch({"i": i, "j": np.tile(np.arange(block.j0, block.j1), len(part)), "v": part.ravel()})
 
 
 class NoiseField(DataSource):
-    """``spark.read.format("noise_field").option("seed", 42).load().where(<bounds>)``; one partition a tile."""
+    """``spark.read.format("noise_field").option("seed", 42).load().where(<bounds>)``; one partition a tile, read in Arrow batches."""
 
     @classmethod
     def name(cls) -> str:
