@@ -3,7 +3,7 @@
 A map is a table of 256 entries between anchor colours; the anchors are all that is stated, the
 entries in between are interpolated.  Terrain and the red-blue map are piecewise linear by definition, so their entries are exact;
 of
-viridis every eighth entry is an anchor, and those in between are within 0.003.
+viridis every eighth entry is an anchor, and those in between are within 0.0065.  A full table can be given as anchors at k / 255.
 """
 
 from __future__ import annotations

@@ -34,10 +34,11 @@ class Noise:
 
     kind: perlin, value, cubic, simplex, smooth (simplex with a wider kernel) or cellular; fractal: none, fbm, ridged or pingpong;
     rotation (three coordinates): none, xy or xz; of cellular noise, distance: euclidean, squared, manhattan or hybrid; returns: value, first,
-    second, sum, difference, product or quotient (of the two nearest distances).
+    second, sum, difference, product or quotient (of the two nearest distances).  ``seed`` may be a column: a field for each row.
+    ``directions``: 256 vectors, of as many numbers as there are coordinates, that cellular noise and warps choose from (None: by rule).
     """
 
-    seed: int = 1337
+    seed: int | Column = 1337
     frequency: float = 0.01
     kind: str = "perlin"
     fractal: str = "none"
@@ -50,6 +51,7 @@ class Noise:
     distance: str = "squared"
     returns: str = "first"
     jitter: float = 1.0
+    directions: tuple[tuple[float, ...], ...] | None = None
 
     @property
     def bounding(self) -> float:
@@ -87,8 +89,8 @@ def lattice_floor(x: Column) -> Column:
     return F.when(x >= 0, cut).otherwise(cut - 1)
 
 
-def hashed(seed: int, *primed: Column) -> Column:
-    h = F.lit(seed).cast("long")
+def hashed(seed: int | Column, *primed: Column) -> Column:
+    h = F.lit(seed).cast("long")  # a column stays what it is
     for p in primed:
         h = h.bitwiseXOR(p)
     return wrap32(h * F.lit(HASH).cast("long"))
@@ -144,6 +146,21 @@ def direction_3d(k: Column) -> list[Column]:
     return [_table("sphere_x", k), _table("sphere_y", k), _table("sphere_z", k)]
 
 
+@functools.lru_cache(maxsize=16)
+def _given(application: str, values: tuple[float, ...]) -> Column:
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
+def directions_of(dims: int, given: tuple[tuple[float, ...], ...] | None):
+    """A function from an index column to the vector's components: of the given table, else of the rule."""
+    if given is None:
+        return direction_2d if dims == 2 else direction_3d
+    if len(given) != DIRECTIONS or any(len(v) != dims for v in given):
+        raise ValueError(f"{DIRECTIONS} vectors of {dims} numbers are needed")
+    tables = [_given(SparkContext.getOrCreate().applicationId, tuple(column)) for column in zip(*given, strict=True)]
+    return lambda k: [F.get(t, k.cast("int")) for t in tables]
+
+
 def gradient_2d(h: Column, dx: Column, dy: Column, k: Column | None = None) -> Column:
     """Dot product with the gradient that a hash (or an index) chooses."""
     k = _gradient_index(h, 127, 1) if k is None else k
@@ -269,7 +286,7 @@ def _cubes(df: DataFrame, seed: int) -> tuple[DataFrame, list[Corner]]:
         df = df.withColumns({f"{p}m": along} | {f"{p}w{k}": way[k] for k in axes} | {f"{p}c{k}": cell[k] for k in axes})
         step = [F.when(F.col(f"{p}m") == k, sign[k]).otherwise(F.lit(0).cast("long")) for k in axes]
         prime = [F.lit(PRIMES[k]).cast("long") for k in axes]
-        own = seed if lattice == 0 else ~seed
+        own = seed if lattice == 0 else F.bitwise_not(seed) if isinstance(seed, Column) else ~seed
         df = df.withColumns(
             {f"{p}h": hashed(own, *[wrap32(F.col(f"{p}c{k}") * prime[k]) for k in axes]), f"{p}n": hashed(own, *[wrap32((F.col(f"{p}c{k}") - step[k]) * prime[k]) for k in axes])}
             | {f"{p}v{k}": F.col(f"{p}w{k}") + step[k] for k in axes}
@@ -315,11 +332,11 @@ def _smooth(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -
     return df.withColumn(out, total * SMOOTH_3D)
 
 
-def _signed(x: int) -> int:
-    return (x + (1 << 31)) % (1 << 32) - (1 << 31)
+def _signed(x: int | Column) -> int | Column:
+    return wrap32(x.cast("long")) if isinstance(x, Column) else (x + (1 << 31)) % (1 << 32) - (1 << 31)
 
 
-def nearest_points(df: DataFrame, seed: int, axes: list[str], distance: str, jitter: float) -> DataFrame:
+def nearest_points(df: DataFrame, seed: int, axes: list[str], distance: str, jitter: float, given: tuple[tuple[float, ...], ...] | None = None) -> DataFrame:
     """``_near``: of the feature points of the cells around a place, structs (d, n, h) of the distance and the cell's hash, by distance.
 
     A feature point lies off its cell's corner in a direction that the cell's hash chooses.
@@ -328,11 +345,11 @@ def nearest_points(df: DataFrame, seed: int, axes: list[str], distance: str, jit
     df = df.withColumns({f"_c{k}": lattice_round(F.col(a)) for k, a in enumerate(axes)})
     cells = list(itertools.product((-1, 0, 1), repeat=dims))
     df = df.withColumns({f"_h{n}": hashed(seed, *[_primed(k, x) for k, x in enumerate(cell)]) for n, cell in enumerate(cells)})
-    off = jitter * (JITTER_2D if dims == 2 else JITTER_3D)
+    off, direct = jitter * (JITTER_2D if dims == 2 else JITTER_3D), directions_of(dims, given)
     for group in range(0, len(cells), 9):
         moves = {}
         for n, cell in list(enumerate(cells))[group : group + 9]:
-            way = direction_2d(_bits(F.col(f"_h{n}"), 1, 255)) if dims == 2 else direction_3d(_bits(F.col(f"_h{n}"), 2, 255))
+            way = direct(_bits(F.col(f"_h{n}"), dims - 1, 255))
             moves |= {f"_w{k}{n}": F.col(f"_c{k}") + x - F.col(axes[k]) + way[k] * off for k, x in enumerate(cell)}
         df = df.withColumns(moves)
         df = apart(df, f"_w0{group}") if dims == 3 else df
@@ -346,7 +363,7 @@ def nearest_points(df: DataFrame, seed: int, axes: list[str], distance: str, jit
 
 
 def _cellular(df: DataFrame, seed: int, axes: list[str], out: str, noise: Noise) -> DataFrame:
-    df = nearest_points(df, seed, axes, noise.distance, noise.jitter)
+    df = nearest_points(df, seed, axes, noise.distance, noise.jitter, noise.directions)
     df = df.withColumns({"_f1": F.get("_near", F.lit(0))["d"], "_f2": F.get("_near", F.lit(1))["d"], "_own": F.get("_near", F.lit(0))["h"]})
     a, b = (F.sqrt("_f1"), F.sqrt("_f2")) if noise.distance == "euclidean" else (F.col("_f1"), F.col("_f2"))
     made = {
@@ -407,9 +424,9 @@ def add_noise(df: DataFrame, coordinates: list[str | Column], noise: Noise, out:
     return df.withColumn(out, F.col("_sum")).select(*[c for c in columns if c != out], out)
 
 
-def _pull(df: DataFrame, seed: int, kind: str, dims: int) -> tuple[DataFrame, list[Column]]:
+def _pull(df: DataFrame, seed: int | Column, kind: str, dims: int, given: tuple[tuple[float, ...], ...] | None = None) -> tuple[DataFrame, list[Column]]:
     """The direction and strength of a warp at the axis columns."""
-    direct, low = (direction_2d, 1) if dims == 2 else (direction_3d, 2)
+    direct, low = directions_of(dims, given), dims - 1
     if kind == "grid":
         df = _lattice(df, [f"_a{k}" for k in range(dims)])
         names = {b: "".join(map(str, b)) for b in itertools.product((0, 1), repeat=dims)}
@@ -451,7 +468,7 @@ def warp(df: DataFrame, coordinates: list[str], noise: Noise, amplitude: float,
         df = apart(df, "_o0") if octave else df
         df = df.withColumns({a: F.col(f"_o{k}" if mode == "progressive" else f"_b{k}") for k, a in enumerate(axes)})
         df = turned(df, axes, noise.rotation, kind != "grid").withColumns({a: F.col(a) * freq for a in axes})
-        df, pull = _pull(df, noise.seed + octave, kind, dims)
+        df, pull = _pull(df, noise.seed + octave, kind, dims, noise.directions)
         df = df.withColumns({f"_o{k}": F.col(f"_o{k}") + v * (amp * scale) for k, v in enumerate(pull)})
         amp, freq = amp * noise.gain, freq * noise.lacunarity
     return df.withColumns({c: F.col(f"_o{k}") for k, c in enumerate(coordinates)}).select(*columns)

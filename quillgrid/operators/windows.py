@@ -67,9 +67,12 @@ def assign(cells: DataFrame, rows: WindowSpec, cols: WindowSpec, i: str = "i", j
 
 
 def window_list(ranges: DataFrame, rows: WindowSpec, cols: WindowSpec) -> DataFrame:
-    """All windows that the rectangles (i0, i1, j0, j1; ends exclusive) meet, each once."""
-    per_row = ranges.withColumn("wi", F.explode(rows.covering("i0", "i1"))).withColumn("wj", F.explode(cols.covering("j0", "j1")))
-    return per_row.select("wi", "wj").distinct()
+    """All windows that the rectangles (i0, i1, j0, j1; ends exclusive) meet, each once.
+
+    Lines of windows are dealt before they are filled, so a single large rectangle is many tasks; making them distinct needs no further shuffle.
+    """
+    lines = ranges.select(F.explode(rows.covering("i0", "i1")).alias("wi"), "j0", "j1").repartition("wi")
+    return lines.select("wi", F.explode(cols.covering("j0", "j1")).alias("wj")).distinct()
 
 
 def tile_snap(x: Column | str, tile: int) -> Column:

@@ -197,10 +197,16 @@ def model_graph(spark, d):
     return num.join(den, ["i", "j"]).select("i", "j", F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 6).alias("v"))
 
 
-def _model_graph_sql() -> str:
-    """The stub is linear and the weights cancel: every cell is its value times what the solver makes of 1."""
-    gain = float(_solved(np.ones(1), 20)[0])
-    return f"WITH {DENSE} SELECT i, j, round(v * {gain!r}::DOUBLE, 6) + 0e0 AS v FROM dense"
-
-
-QUERIES = {"elevation_assembly": (elevation_assembly, None), "climate_assembly": (climate_assembly, None), "model_graph": (model_graph, _model_graph_sql()), "decoder_graph": (decoder_graph, None)}
+MODEL_GRAPH = f"""WITH RECURSIVE {DENSE.replace('dense AS (', 'dense AS MATERIALIZED (')},
+ramp AS (SELECT pow(80e0, 1 / 7e0) AS hi, pow(0.002e0, 1 / 7e0) AS lo), s AS (SELECT k, CASE WHEN k < 20 THEN pow(hi + k / 19e0 * (lo - hi), 7) ELSE 0e0 END AS s FROM ramp, (SELECT unnest(range(0, 21)) AS k)),
+st AS (SELECT a.k, a.s AS now, b.s AS then_, z.s AS last, sqrt(a.s * a.s + 25e-2) AS n FROM s a JOIN s b ON b.k = a.k + 1 LEFT JOIN s z ON z.k = a.k - 1),
+r AS (SELECT i, j, 0 AS k, v AS x, 0e0 AS old FROM dense
+  UNION ALL SELECT i, j, k + 1, then_ / now * x - (then_ / now - 1) * (clean + CASE WHEN k IN (0, 19) THEN 0e0 ELSE 5e-1 * (clean - old) / (ln(last / now) / ln(now / then_)) END), clean
+  FROM (SELECT i, j, k, x, old, now, then_, last, 25e-2 / (n * n) * x + now * 5e-1 / n * 5e-1 * cos(atan(now / 5e-1)) * x / n AS clean FROM r JOIN st USING (k))),
+w AS (SELECT unnest(range(-2, CAST(greatest((SELECT h FROM size) // 12, 3) + 2 AS BIGINT))) AS w),
+p AS (SELECT i, j, x, (1e0 - 0.999e0 * least(1e0, abs(i - a.w * 12 - 7.5e0) / 7.5e0)) * (1e0 - 0.999e0 * least(1e0, abs(j - b.w * 12 - 7.5e0) / 7.5e0)) AS wt
+  FROM r JOIN w a ON i >= a.w * 12 AND i < a.w * 12 + 16 JOIN w b ON j >= b.w * 12 AND j < b.w * 12 + 16 WHERE k = 20)
+SELECT i, j, round(sum(x * wt) / sum(wt), 6) + 0e0 AS v FROM p GROUP BY i, j"""
+
+
+QUERIES = {"elevation_assembly": (elevation_assembly, None), "climate_assembly": (climate_assembly, None), "model_graph": (model_graph, MODEL_GRAPH), "decoder_graph": (decoder_graph, None)}

@@ -73,12 +73,12 @@ def _classes(rows: str, keys: str) -> str:
 def _enlarged(value: str) -> str:
     """CTEs up to ``big``: the dense grid's values at twice its size, rounded so that whole numbers stay whole."""
     lines = f"{_linear('(SELECT h FROM size)', '(SELECT 2 * h FROM size)', 'ri')}, {_linear('31', '62', 'rj')}"
-    return f"{DENSE}, src AS (SELECT i, j, {value} AS v FROM dense), {lines}, big AS (SELECT i, j, round(v + 1e-9, 6) AS v FROM ({_resized('src')}))"
+    return f"{DENSE}, src AS (SELECT i, j, {value} AS v FROM dense), {lines}, big AS MATERIALIZED (SELECT i, j, round(v + 1e-9, 6) AS v FROM ({_resized('src')}))"
 
 
 _BIG_SLOPE = (
     "kk AS (SELECT * FROM (VALUES " + ", ".join(f"({a}, {b}, {b * [1, 2, 1][a + 1]}, {a * [1, 2, 1][b + 1]})" for a in (-1, 0, 1) for b in (-1, 0, 1)) + ") AS t(a, b, kx, ky)), "
-    "gg AS (SELECT x.i, x.j, sum(y.v * kx) / 8e0 AS dx, sum(y.v * ky) / 8e0 AS dy FROM big x CROSS JOIN kk "
+    "gg AS MATERIALIZED (SELECT x.i, x.j, sum(y.v * kx) / 8e0 AS dx, sum(y.v * ky) / 8e0 AS dy FROM big x CROSS JOIN kk "
     "JOIN big y ON y.i = greatest(0, least((SELECT 2 * h - 1 FROM size), x.i + a)) AND y.j = greatest(0, least(61, x.j + b)) GROUP BY x.i, x.j)"
 )
 _HEIGHT = "CAST(greatest(-32768, least(32767, floor({v}))) AS INT)"
