@@ -93,7 +93,7 @@ def test_run_on_nulls_repeats_clashes_and_nothing(spark, tmp_path):
 
 def test_registered_queries():
     numbers = {n.split("_")[0] for n in queries()}
-    assert numbers == {f"op{k}" for k in range(1, 11)} and set(oracle_sql()) <= set(queries())
+    assert numbers == {f"op{k}" for k in range(1, 14)} and set(oracle_sql()) <= set(queries())
 
 
 def test_components_of_chains_stars_and_nothing(spark):
