@@ -228,14 +228,18 @@ def _assembler(layer: Layer):
 
 
 def from_cells(layer: Layer, cells: DataFrame, values: list[str]) -> DataFrame:
-    """Tiles of a layer without overlaps from cells (seed, i, j and a column a channel); what is absent is 0."""
-    h, w = layer.rows.size, layer.cols.size
+    """Tiles of a layer without overlaps from distinct cells (seed, i, j and a column a channel); what is absent or null is 0."""
+    h, w, channels = layer.rows.size, layer.cols.size, len(values)
     place = (F.col("i") - layer.rows.start("wi")) * w + F.col("j") - layer.cols.start("wj")
     at = cells.withColumn("wi", F.explode(layer.rows.covering("i", F.col("i") + 1))).withColumn("wj", F.explode(layer.cols.covering("j", F.col("j") + 1)))
-    parts = [F.struct((place + k * h * w).cast("int").alias("k"), F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias("v")) for k, v in enumerate(values)]
-    held = at.select(*WINDOW, F.explode(F.array(*parts)).alias("p")).groupBy(*WINDOW).agg(F.map_from_entries(F.collect_list("p")).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(layer.channels * h * w - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
-    return held.select(*WINDOW, data.alias("data"))
+    own = [F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(f"c{k}") for k, v in enumerate(values)]
+
+    def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((channels, h * w))
+        data[:, part["k"].to_numpy(int)] = part[[f"c{k}" for k in range(channels)]].to_numpy(float).T
+        return pd.DataFrame({**{n: [x] for n, x in zip(WINDOW, key, strict=True)}, "data": [data.ravel()]})
+
+    return at.select(*WINDOW, place.alias("k"), *own).groupBy(*WINDOW).applyInPandas(fill, TILE)
 
 
 def slices(store: TileStore, layer: Layer, requests: DataFrame, low: int = 0, high: int | None = None) -> DataFrame:
