@@ -180,7 +180,7 @@ def decoder_graph(spark, d):
     at = windows.assign(num.select("i", "j"), wide, wide)
     w = blend.triangle(F.col("i") - wide.start("wi"), 64) * blend.triangle(F.col("j") - wide.start("wj"), 64)
     den = at.groupBy("i", "j").agg(F.sum(w).alias("den"))
-    return num.join(den, ["i", "j"]).select("i", "j", F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 5).alias("v"))
+    return num.join(den, ["i", "j"]).select("i", "j", (F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 5) + 0.0).alias("v"))
 
 
 def model_graph(spark, d):

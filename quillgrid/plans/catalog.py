@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, fields, files, grids, regions, values, worlds
+from . import assembly, fields, files, grids, region_sql, regions, values, worlds
 
 _ALL = grids.QUERIES | values.QUERIES | fields.QUERIES | regions.QUERIES | assembly.QUERIES | worlds.QUERIES | files.QUERIES
 
@@ -16,4 +16,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql} | regions.SQL
+    return {name: sql for name, (_, sql) in _ALL.items() if sql} | regions.SQL | region_sql.SQL
