@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from ..functions import rng
 from ..operators import raster
@@ -38,7 +39,7 @@ def _normals(most: int) -> str:
     """CTEs up to ``nz`` (tag, ty, tx, k, v): the first n normals of every tile; ``most`` is the largest n."""
     return f"""pw AS (SELECT 1 AS k, {rng.STEP}::UHUGEINT AS a, {rng.ADD}::UHUGEINT AS b UNION ALL
   SELECT k + 1, (a * {rng.STEP}::UHUGEINT) % {_MODULUS}::UHUGEINT, (b * {rng.STEP}::UHUGEINT + {rng.ADD}::UHUGEINT) % {_MODULUS}::UHUGEINT FROM pw WHERE k < {8 * most // 5 + 128}),
-no AS (SELECT tag, ty, tx, n, k - 1 AS k, CAST((s * a + b) % {_MODULUS}::UHUGEINT AS UBIGINT) AS s FROM tl JOIN pw ON k <= 8 * n // 5 + 128),
+no AS (SELECT tag, ty, tx, n, k - 1 AS k, CAST((s * a + b) & {_MODULUS - 1}::UHUGEINT AS UBIGINT) AS s FROM tl JOIN pw ON k <= 8 * n // 5 + 128),
 nw AS (SELECT tag, ty, tx, n, k, (xor(s >> 18, s) >> 27) & 4294967295 AS x, s >> 59 AS r FROM no),
 nu AS (SELECT tag, ty, tx, n, k // 2 AS p, k % 2 AS side, 2e0 * ((((x >> r) | ((x << ((32 - r) & 31)) & 4294967295)) & 4294967295) + 1e0) / 4294967296e0 - 1e0 AS u FROM nw),
 nv AS (SELECT tag, ty, tx, n, p, max(u) FILTER (side = 0) AS a, max(u) FILTER (side = 1) AS b FROM nu GROUP BY ALL),
@@ -51,6 +52,11 @@ def _noise_cells(tag: int, tile: int) -> str:
     return f"SELECT ty * {tile} + k % {tile * tile} // {tile} AS i, tx * {tile} + k % {tile} AS j, k // {tile * tile} AS c, v FROM nz WHERE tag = {tag}"
 
 
+def _in_order(sql: str) -> str:
+    """Joins to cells that are all there, as outer joins: they are then done in the order written, whatever sizes are guessed."""
+    return re.sub(r"(?<!CROSS )JOIN", "LEFT JOIN", sql)
+
+
 def _flow(x: str, answer: str, t: float) -> str:
     return f"(({_d(math.cos(t))} * ({x}) + {_d(math.sin(t) * 0.5)} * ({answer})) / 5e-1)"
 
@@ -100,14 +106,14 @@ def _region_sql() -> str:
         """CTEs: a latent stage's cells in every window that covers them, and their weighted mean."""
         return (
             f"{name}w AS (SELECT i, j, n.c, {_flow('x', answer(t), t)} AS v, {_ramp('(i - wi * 4)', 8)} * {_ramp('(j - wj * 4)', 8)} AS wt "
-            f"FROM (SELECT s.i, s.j, s.c, {x} AS x FROM {source}) n JOIN lw ON lw.p = CAST(floor(n.i / 4e0) AS BIGINT) AND lw.q = CAST(floor(n.j / 4e0) AS BIGINT) AND lw.c = n.c), "
+            f"FROM (SELECT s.i, s.j, s.c, {x} AS x FROM {source}) n LEFT JOIN lw ON lw.p = CAST(floor(n.i / 4e0) AS BIGINT) AND lw.q = CAST(floor(n.j / 4e0) AS BIGINT) AND lw.c = n.c), "
             f"{name} AS MATERIALIZED (SELECT i, j, c, sum(v * wt) / sum(wt) AS v FROM {name}w GROUP BY i, j, c)"
         )
 
     first = blended("l1", f"{_d(math.sin(FIRST) * 0.5)} * s.v", f"({_noise_cells(2, 8)}) s", FIRST)
     second = blended("l2", f"{_d(math.cos(SECOND) * 0.5)} * l1.v + {_d(math.sin(SECOND) * 0.5)} * s.v", f"({_noise_cells(3, 8)}) s JOIN l1 USING (i, j, c)", SECOND)
     low_h, full_h = "(SELECT 4 * h + 12 FROM size)", "(SELECT 8 * h + 24 FROM size)"
-    slope = _BIG_SLOPE.replace("2 * h - 1", "8 * h - 1").replace("least(61,", "least(247,")
+    slope = _in_order(_BIG_SLOPE.replace("2 * h - 1", "8 * h - 1").replace("least(61,", "least(247,"))
     sampled = ", ".join(
         f"(p.{n} * (1 - fx) + q.{n} * fx) * (1 - fy) + (r.{n} * (1 - fx) + s.{n} * fx) * fy AS {n}" for n in ("beta", "sea", "season", "rain", "spread")
     )
@@ -137,10 +143,10 @@ res AS MATERIALIZED (SELECT n.i + 12 AS i, n.j + 12 AS j, {_flow('x', f'{_d(math
   FROM (SELECT i, j, {_d(math.sin(FIRST) * 0.5)} * v AS x FROM ({_noise_cells(4, 32)})) n JOIN la ON la.i = CAST(floor(n.i / 2e0) AS BIGINT) AND la.j = CAST(floor(n.j / 2e0) AS BIGINT)
   WHERE n.i BETWEEN -12 AND (SELECT 8 * h + 11 FROM size) AND n.j BETWEEN -12 AND 259),
 low AS MATERIALIZED (SELECT i + 6 AS i, j + 6 AS j, v * {_d(LOW_STD)} + {_d(LOW_MEAN)} AS v FROM l2 WHERE c = 4 AND i BETWEEN -6 AND (SELECT 4 * h + 5 FROM size) AND j BETWEEN -6 AND 129),
-{_extrapolated('low', 2, 'e', low_h, 136)},
+{_extrapolated('low', 2, 'e', low_h, 136).replace('ec AS (', 'ec AS MATERIALIZED (').replace(_resized('ec', 'ey', 'ex'), _in_order(_resized('ec', 'ey', 'ex')))},
 whole AS MATERIALIZED (SELECT u.i, u.j, u.v + r.v AS v FROM eu u JOIN res r USING (i, j)),
-{_linear(full_h, low_h, 'dy')}, {_linear('272', '136', 'dx')}, down AS MATERIALIZED ({_resized('whole', 'dy', 'dx')}), {_blurred(raster.kernel_truncated(5.0), 'down', 'b', low_h, 136)},
-{_linear(low_h, full_h, 'uy')}, {_linear('136', '272', 'ux')}, up AS ({_resized('bi', 'uy', 'ux')}),
+{_linear(full_h, low_h, 'dy')}, {_linear('272', '136', 'dx')}, down AS MATERIALIZED ({_in_order(_resized('whole', 'dy', 'dx'))}), {_in_order(_blurred(raster.kernel_truncated(5.0), 'down', 'b', low_h, 136)).replace('bi AS (', 'bi AS MATERIALIZED (').replace('bj AS (', 'bj AS MATERIALIZED (')},
+{_linear(low_h, full_h, 'uy')}, {_linear('136', '272', 'ux')}, up AS ({_in_order(_resized('bi', 'uy', 'ux'))}),
 big AS MATERIALIZED (SELECT i, j, CAST(sign(v) AS DOUBLE) * v * v AS v FROM (SELECT u.i - 12 AS i, u.j - 12 AS j, u.v + r.v AS v FROM up u JOIN res r USING (i, j)), size WHERE i BETWEEN 0 AND 8 * h - 1 AND j BETWEEN 0 AND 247),
 {slope},
 cg2 AS MATERIALIZED (SELECT i + 8 AS i, j + 8 AS j, pow(greatest(max(v) FILTER (c = 0), 0e0), 2) AS e, max(v) FILTER (c = 2) AS t, max(v) FILTER (c = 3) AS season, max(v) FILTER (c = 4) AS rain, max(v) FILTER (c = 5) AS spread FROM co GROUP BY 1, 2),
@@ -151,7 +157,7 @@ cb AS MATERIALIZED (SELECT i, j, beta, t - beta * e AS sea, season, rain, spread
   JOIN (SELECT i - 7 AS i, j - 7 AS j, e, t, season, rain, spread FROM cg2) USING (i, j)),
 cp AS (SELECT i, j, greatest(0e0, least((SELECT h + 1e0 FROM size), (i + 5e-1) / 8 + 5e-1)) AS y, greatest(0e0, least(32e0, (j + 5e-1) / 8 + 5e-1)) AS x FROM big),
 cq AS (SELECT i, j, CAST(floor(y) AS BIGINT) AS y0, CAST(floor(x) AS BIGINT) AS x0, y - floor(y) AS fy, x - floor(x) AS fx FROM cp),
-cm AS MATERIALIZED (SELECT cq.i, cq.j, {sampled} FROM cq {corners}),
+cm AS MATERIALIZED (SELECT cq.i, cq.j, {sampled} FROM cq {_in_order(corners)}),
 {_classes(rows, 'i, j, elev').replace('r AS (', 'rw AS (', 1).replace('FROM r)', 'FROM rw)', 1)}
 SELECT i, j, {_HEIGHT.format(v='elev')} AS height_m, class_id FROM cls"""
 
