@@ -27,7 +27,10 @@ class Shared:
         self._held += 1
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def delete(self, where: str) -> None:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
+
     def release(self) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.delete(self.path)
         self._held = 0

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import Shared
 from .windows import WindowSpec, window_list
 
 TILE = "wi long, wj long, h int, w int, data array<double>"
@@ -41,10 +42,15 @@ class Node:
 
 
 class Store:
-    """Registry of nodes by id, and their computed windows: a first definition and a first result stay."""
+    """Registry of nodes by id, and their computed windows: a first definition and a first result stay.
+
+    Windows are Parquet tables under ``path``, or in a folder of the store's own among those that driver and executors share: a lost
+    executor loses none, and a node's plan ends at the tables of its dependencies.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path = spark, path
+        self.shared = Shared(spark, path)
+        self.spark, self.path = spark, path or self.shared.path
         self.nodes: dict[str, Node] = {}
         self.tiles: dict[str, DataFrame] = {}
         self._dropped = 0
@@ -56,22 +62,18 @@ class Store:
         return self.tiles.get(node.id, self.spark.createDataFrame([], TILE))
 
     def put(self, node: Node, tiles: DataFrame) -> DataFrame:
-        """Add windows that are not there yet; with a path they are written as a table, else cached."""
-        fresh = tiles.join(self.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti")
-        if self.path:
-            where = f"{self.path}/{node.id}"
-            fresh.write.mode("append").parquet(where)
-            self.tiles[node.id] = self.spark.read.schema(TILE).parquet(where)
-        else:
-            self.tiles[node.id] = self.known(node).unionByName(fresh).persist()
+        """Add windows that are not there yet to the node's table."""
+        fresh = tiles.join(self.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti") if node.id in self.tiles else tiles
+        where = f"{self.path}/{node.id}"
+        fresh.select("wi", "wj", "h", "w", "data").write.mode("append").parquet(where)
+        self.tiles[node.id] = self.spark.read.schema(TILE).parquet(where)
         return self.tiles[node.id]
 
     def drop(self, node_id: str) -> None:
         found = self.tiles.pop(node_id, None)
         if found is not None:
             self._dropped += found.count()
-            if not self.path:
-                found.unpersist()
+            self.shared.delete(f"{self.path}/{node_id}")
 
     def computed(self) -> int:
         """Windows computed so far, dropped ones included."""
@@ -81,6 +83,11 @@ class Store:
         for node_id in list(self.tiles):
             self.drop(node_id)
 
+    def release(self) -> None:
+        """Delete what stands in the store's own folder."""
+        self.shared.release()
+        self.tiles = {}
+
 
 def demand(node: Node, windows: DataFrame) -> list[tuple[Node, DataFrame]]:
     """The windows of each dependency that the windows (wi, wj) of a node read, each once."""
@@ -110,7 +117,11 @@ def tiles_from(cells: DataFrame, node: Node) -> DataFrame:
 
 def ensure(store: Store, node: Node, windows: DataFrame) -> DataFrame:
     """The node's tiles, after the missing ones among ``windows`` were computed (dependencies first)."""
-    missing = windows.select("wi", "wj").join(store.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti")
+    missing = windows.select("wi", "wj")
+    if node.id in store.tiles:
+        missing = missing.join(store.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti")
+    if node.deps:
+        missing = store.shared.held(missing)  # every dependency's demand starts from it
     none = F.array().cast("array<double>")
     parts = missing.select("wi", "wj", F.lit(-1).alias("dep"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("w"), none.alias("data"))
     for n, (dep, needed) in enumerate(demand(node, missing)):
