@@ -28,3 +28,16 @@ def query_map(raw: Column) -> Column:
 def int_or(value: Column, default: int) -> Column:
     """A whole number of 32 bits, or the default."""
     return F.coalesce(F.when(value.rlike("^[+-]?[0-9]+$"), value).try_cast("int"), F.lit(default))
+
+
+def seed_of(body: Column) -> Column:
+    """The seed that a JSON body names: a number read as a double, so beyond 2^53 not every one is met; null where none is named."""
+    read = F.try_variant_get(F.try_parse_json(body), "$.seed", "double")
+    most = float(1 << 63)
+    return F.when(read >= most, F.lit((1 << 63) - 1)).when(read <= -most, F.lit(-(1 << 63))).when(F.isnan(read), F.lit(0)).otherwise(read.cast("long"))
+
+
+def unsigned(n: Column) -> Column:
+    """A long as a decimal number without sign."""
+    wide = n.cast("decimal(20,0)")
+    return F.when(n < 0, wide + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("string")

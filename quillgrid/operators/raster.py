@@ -251,3 +251,15 @@ def relief(grid: DataFrame, resolution: float = 90.0) -> DataFrame:
         for k, n in enumerate("rgb")
     }
     return both.withColumns(rgb).select("i", "j", *rgb)
+
+
+def detail(cells: DataFrame, mode: str = "relief", resolution: float = 90.0) -> DataFrame:
+    """Picture (i, j, r, g, b) of cells (i, j, elev, temp): heights ("elevation") or temperatures scaled to their extremes, else the relief."""
+    from ..functions import colormaps
+    from .stats import minmax
+
+    shown = {"elevation": ("elev", colormaps.terrain), "temperature": ("temp", colormaps.rdbu_r)}.get(mode)
+    if shown is None:
+        return relief(cells.select("i", "j", F.col("elev").alias("v")), resolution)
+    scaled = minmax(cells.select("i", "j", F.col(shown[0]).alias("v")))
+    return scaled.select("i", "j", *[c.alias(n) for c, n in zip(shown[1](F.col("t")), "rgb", strict=True)])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import colormaps, noise, rng
+from ..functions import colormaps, noise, rng, text
 from ..operators import classify, raster, stats
 from ..sources import sinks
 from . import noise_sql
 from .grids import SOBEL, _linear, _resized
-from .tables import CHANNELS, DENSE, GRID, channel_grid, dense_grid
+from .tables import CHANNELS, DENSE, GRID, channel_grid, dense_grid, table
 from .values import CLASSIFY_CTE, climate_cells
 
 
@@ -221,7 +221,44 @@ RAW_ROWS = f"""WITH {DENSE}, t AS (SELECT DISTINCT CAST(floor(i / 32e0) AS BIGIN
 c AS (SELECT ty, tx, r, k, CAST(coalesce(floor(v - 60), 0) AS BIGINT) AS e FROM t CROSS JOIN (SELECT unnest(range(0, 32)) AS r) CROSS JOIN (SELECT unnest(range(0, 32)) AS k) LEFT JOIN dense ON i = ty * 32 + r AND j = tx * 32 + k)
 SELECT ty, tx, CAST(r AS INT) AS r, string_agg(printf('%02X%02X', e & 255, (e >> 8) & 255), '' ORDER BY k) AS bytes FROM c GROUP BY ty, tx, r"""
 
+def detail_pictures(spark, d):
+    """The whole grid in the modes that scale a channel to its extremes: heights, and temperatures that fall with them."""
+    g, _ = dense_grid(spark, d)
+    cells = g.select("i", "j", (F.col("v") * 8 - 300).alias("elev"), (25.0 - F.col("v") / 4 + F.col("j")).alias("temp"))
+    shown = [raster.detail(cells, mode).withColumn("mode", F.lit(mode)) for mode in ("elevation", "temperature")]
+    return shown[0].unionByName(shown[1]).select("mode", "i", "j", *[F.floor(F.col(c) * 255 + 0.5).cast("int").alias(c) for c in "rgb"])
+
+
+DETAIL_PICTURES = (
+    f"WITH {DENSE}, {_colours(colormaps.TERRAIN, 'land')}, {_colours(colormaps.RDBU_R, 'heat')}, lut AS (SELECT 'elevation' AS mode, * FROM land UNION ALL SELECT 'temperature', * FROM heat), "
+    "m AS (SELECT 'elevation' AS mode, i, j, v * 8 - 300 AS v FROM dense UNION ALL SELECT 'temperature', i, j, 25e0 - v / 4 + j FROM dense), "
+    "x AS (SELECT mode, min(v) AS lo, max(v) AS hi FROM m GROUP BY mode), y AS (SELECT mode, i, j, (v - lo) / CASE WHEN hi = lo THEN 1e0 ELSE hi - lo END AS t FROM m JOIN x USING (mode)) "
+    "SELECT mode, i, j, " + ", ".join(f"CAST(floor({c} * 255 + 5e-1) AS INT) AS {c}" for c in "rgb")
+    + " FROM (SELECT mode, i, j, greatest(0, least(255, CAST(floor(t * 255 + 5e-1) AS INT))) AS k FROM y) JOIN lut USING (mode, k)"
+)
+
+#: Names of the coarse channels and metres a cell, as a status shows them (fixed values).
+CHANNEL_NAMES, NATIVE_RESOLUTION = ["Elev", "p5", "Temp", "T std", "Precip", "Precip CV"], 30.0
+
+
+def world_status(spark, d):
+    """A world for each supplier whose seed came in a request: the status of each, the seed as it was read and without sign."""
+    key = F.col("s_suppkey").cast("long")
+    asked = F.when(key % 3 == 0, key).when(key % 3 == 1, key * 1_000_003 * 700_001 * 31).otherwise(-key * 1_000_003 * 900_001)
+    body = F.concat(F.when(key % 11 == 0, '{"sead": ').otherwise('{"seed": '), asked.cast("string"), F.lit("}"))
+    seen = table(spark, d, "supplier").select(key.alias("world"), text.seed_of(body).alias("seed")).where("seed IS NOT NULL")
+    status = F.struct(text.unsigned(F.col("seed")).alias("seed"), F.array(*[F.lit(c) for c in CHANNEL_NAMES]).alias("channels"), F.lit(NATIVE_RESOLUTION).alias("native_resolution"), (F.col("world") % 6 + 1).alias("scale"))
+    return seen.select("world", "seed", F.to_json(status).alias("status"))
+
+
+WORLD_STATUS = (
+    "WITH a AS (SELECT CAST(s_suppkey AS BIGINT) AS world, CASE s_suppkey % 3 WHEN 0 THEN CAST(s_suppkey AS HUGEINT) WHEN 1 THEN s_suppkey * 1000003::HUGEINT * 700001 * 31 ELSE -s_suppkey * 1000003::HUGEINT * 900001 END AS n FROM supplier WHERE s_suppkey % 11 <> 0), "
+    "s AS (SELECT world, CAST(CAST(n AS DOUBLE) AS BIGINT) AS seed FROM a) SELECT world, seed, '{\"seed\":\"' || CASE WHEN seed < 0 THEN seed + 18446744073709551616 ELSE seed END || '\",\"channels\":["
+    + ",".join(f'\"{c}\"' for c in CHANNEL_NAMES).replace('\\"', '"') + f"],\"native_resolution\":{NATIVE_RESOLUTION},\"scale\":' || (world % 6 + 1) || '}}' AS status FROM s"
+)
+
 QUERIES = {
+    "detail_pictures": (detail_pictures, DETAIL_PICTURES), "world_status": (world_status, WORLD_STATUS),
     "classify_noisy": (classify_noisy, CLASSIFY_NOISY), "coarse_picture": (coarse_picture, PICTURE), "scale_plan": (scale_plan, _scale_sql()), "raw_tile_rows": (raw_tile_rows, RAW_ROWS),
 }
 #: SQL of queries that other modules register.
