@@ -3,7 +3,8 @@
 Stencils work on square tiles: each cell goes to the tiles that read it (its own, and those whose halo it
 lies in), which is the one shuffle; window functions along both axes then run within a tile.  So tasks grow
 with the area, not with the number of rows or columns.  A neighbour beyond the grid's edge is the edge cell.
-Resizing scatters each cell to the targets it takes part in, so it needs no join.
+Resizing scatters each cell to the targets it takes part in, so it needs no join.  Grids are joined with
+grids by sorting: the planner takes cells that were exploded for as many as before, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -153,12 +154,14 @@ def resize_extrapolated(grid: DataFrame, shape: tuple[int, int], to: tuple[int,
     (h, w), (dh, dw) = shape, to
 
     def border(g: DataFrame, axis: str, n: int) -> DataFrame:
-        other = "j" if axis == "i" else "i"
-        ends = g.where(F.col(axis).isin(0, 1, n - 2, n - 1)).groupBy(other)
-        at = lambda k: F.max(F.when(F.col(axis) == k, F.col("v")))
-        low = ends.agg((2 * at(0) - at(min(1, n - 1))).alias("v")).withColumn(axis, F.lit(-1).cast("long"))
-        high = ends.agg((2 * at(n - 1) - at(max(0, n - 2))).alias("v")).withColumn(axis, F.lit(n).cast("long"))
-        return g.unionByName(low).unionByName(high)
+        # Each cell with its shares in the border; the resizing adds shares of one cell up.
+        part = lambda at, to, share: F.when(F.col(axis) == at, F.array(F.struct(F.lit(to).cast("long").alias("to"), F.lit(share).alias("share")))).otherwise(none)
+        none = F.array().cast("array<struct<to:bigint,share:double>>")
+        ends = [(0, -1, 2.0), (min(1, n - 1), -1, -1.0), (n - 1, n, 2.0), (max(0, n - 2), n, -1.0)]
+        own = F.array(F.struct(F.col(axis).cast("long").alias("to"), F.lit(1.0).alias("share")))
+        near = F.col(axis).isin(0, 1, n - 2, n - 1)
+        shares = g.withColumn("_p", F.explode(F.when(near, F.concat(own, *[part(*e) for e in ends])).otherwise(own)))
+        return shares.withColumns({axis: F.col("_p.to"), "v": F.col("v") * F.col("_p.share")}).drop("_p")
 
     wide = border(border(grid.select("i", "j", "v"), "i", h), "j", w).withColumns({"i": F.col("i") + 1, "j": F.col("j") + 1})
     grown = (math.floor(dh + 2 * dh / h + 0.5), math.floor(dw + 2 * dw / w + 0.5))
@@ -212,7 +215,7 @@ def sample_columns(points: DataFrame, grid: DataFrame, shape: tuple[int, int], n
     y, x = clamp("y", F.lit(0.0), F.lit(float(shape[0] - 1))), clamp("x", F.lit(0.0), F.lit(float(shape[1] - 1)))
     at = points.withColumns({"_y": y - F.floor(y), "_x": x - F.floor(x), "_i": F.floor(y).cast("long"), "_j": F.floor(x).cast("long")})
     near = quads(grid, names).select(F.col("i").alias("_i"), F.col("j").alias("_j"), *[F.col(n).alias(f"_q_{n}") for n in names])
-    met = at.join(near, ["_i", "_j"])
+    met = at.join(near.hint("merge"), ["_i", "_j"])
     def value(n: str) -> Column:
         q = F.col(f"_q_{n}")
         return (q[0] * (1 - F.col("_x")) + q[1] * F.col("_x")) * (1 - F.col("_y")) + (q[2] * (1 - F.col("_x")) + q[3] * F.col("_x")) * F.col("_y")
@@ -223,13 +226,13 @@ def sample_columns(points: DataFrame, grid: DataFrame, shape: tuple[int, int], n
 def laplacian_decode(residual: DataFrame, low: DataFrame, low_shape: tuple[int, int], shape: tuple[int, int]) -> DataFrame:
     """Residual plus the enlarged low frequencies."""
     up = resize_bilinear(low, low_shape, shape).withColumnRenamed("v", "_low")
-    return residual.join(up, ["i", "j"]).select("i", "j", (F.col("v") + F.col("_low")).alias("v"))
+    return residual.join(up.hint("merge"), ["i", "j"]).select("i", "j", (F.col("v") + F.col("_low")).alias("v"))
 
 
 def laplacian_denoise(residual: DataFrame, low: DataFrame, low_shape: tuple[int, int], shape: tuple[int, int], sigma: float = 5.0) -> DataFrame:
     """New low frequencies: the full signal, reduced and blurred."""
     up = resize_extrapolated(low, low_shape, shape).withColumnRenamed("v", "_low")
-    full = residual.join(up, ["i", "j"]).select("i", "j", (F.col("v") + F.col("_low")).alias("v"))
+    full = residual.join(up.hint("merge"), ["i", "j"]).select("i", "j", (F.col("v") + F.col("_low")).alias("v"))
     return gaussian_blur(resize_bilinear(full, shape, low_shape), sigma)
 
 

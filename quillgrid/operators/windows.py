@@ -105,8 +105,9 @@ def viewport(centre: Column | str, pan: int, size: int, unit: int = 256) -> tupl
 
 def dense(cells: DataFrame, i0: int, i1: int, j0: int, j1: int, fill: float = 0.0) -> DataFrame:
     """The rectangle ``[i0, i1) x [j0, j1)`` with every cell, ``fill`` where there was none."""
-    spark = cells.sparkSession
-    frame = spark.range(i0, i1).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(j0), F.lit(j1 - 1)))).select("i", F.col("j").cast("long"))
+    # One number a cell, so that the planner knows the frame's size: it takes exploded rows for as many as before, and would broadcast them.
+    w = max(0, j1 - j0)
+    frame = cells.sparkSession.range(max(0, i1 - i0) * w).select(F.expr(f"id div {max(1, w)} + {i0}").alias("i"), (F.col("id") % max(1, w) + j0).alias("j"))
     inside = cells.where(F.col("i").between(i0, i1 - 1) & F.col("j").between(j0, j1 - 1)).select(F.col("i").cast("long"), F.col("j").cast("long"), "v")
     return frame.join(inside, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(fill)).alias("v"))
 

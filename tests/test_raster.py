@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillgrid.operators import raster, stats
+from quillgrid.plans import grids
 
 RNG = np.random.default_rng(3)
 GRID = RNG.normal(size=(9, 7)) * 100
@@ -180,3 +181,22 @@ def test_elevation_of_neighbouring_regions_agrees(spark):
 
     big, small = region(0, 24, 0, 20), region(3, 20, 1, 17)
     assert np.allclose(big[6 : 6 + small.shape[0], 2 : 2 + small.shape[1]], small)
+
+
+def test_grids_are_not_broadcast(spark, sf):
+    """Cells that were exploded look small to the planner; joins of grids must not take its word for it."""
+    for query in (grids.laplacian_denoise, grids.laplacian_decode):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        inner = [line for line in plan.splitlines() if "Join" in line and "Inner" in line]
+        assert inner and all("SortMergeJoin" in line for line in inner), query.__name__
+
+
+def test_a_frame_is_as_large_as_it_looks_to_the_planner(spark):
+    from quillgrid.operators import windows
+
+    cells = spark.createDataFrame([(3, -2, 1.0)], "i long, j long, v double")
+    out = windows.dense(cells, -5, 95, -3, 17)
+    assert {(r["i"], r["j"]): r["v"] for r in out.collect()} == {(i, j): float((i, j) == (3, -2)) for i in range(-5, 95) for j in range(-3, 17)}
+    frame = out.select("i", "j")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(frame)) >= 100 * 20 * 8
+    assert windows.dense(cells, 0, 0, 0, 5).count() == 0
