@@ -218,3 +218,10 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q.stop()
     got = {(r["at"]["start"], r["wi"], r["wj"]): (round(r["total"], 6), r["n"]) for r in spark.sql("select * from sums").collect()}
     assert got == batch
+
+
+def test_seeds_are_read_as_the_nearest_double(spark):
+    """Also beyond 2^53, where every second whole number is a double, and for negative ones."""
+    asked = [-10022 * 1_000_003 * 900_001, -10023 * 1_000_003 * 900_001, 2**53 + 1, -(2**53) - 1, -(2**53) - 2, 10024 * 1_000_003 * 700_001 * 31]
+    rows = spark.createDataFrame([(f'{{"seed": {n}}}',) for n in asked], "body string").select(text.seed_of(F.col("body")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [int(float(n)) for n in asked]
