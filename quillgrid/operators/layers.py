@@ -8,7 +8,8 @@ single cells, a vector for each window.
 
 Demand goes through the whole graph first: each layer's windows are the union of what all its readers
 and the requests ask for, less what the store has; then each layer is computed once, from the sources
-up.  Before tiles travel, the part that a window reads is cut out of them.
+up.  Before tiles travel, the part that a window reads is cut out of them.  Cells come out of blocks without
+overlaps, in which tiles were summed as arrays, so no sum goes over single cells.
 """
 
 from __future__ import annotations
@@ -126,9 +127,9 @@ def _cut(layer: Layer, low: int, high: int, top: Column, left: Column, h: Column
     return F.flatten(F.transform(lines, lambda k: F.slice("data", first(k).cast("int"), w.cast("int"))))
 
 
-def _overlap(layer: Layer, i0: Column, i1: Column, j0: Column, j1: Column) -> dict[str, Column]:
+def _overlap(layer: Layer, i0: Column, i1: Column, j0: Column, j1: Column, ti: str = "ti", tj: str = "tj") -> dict[str, Column]:
     """Where the tile (ti, tj) and a rectangle meet: in the tile (top, left), in the rectangle (r, c), and how large."""
-    a, b = layer.rows.start("ti"), layer.cols.start("tj")
+    a, b = layer.rows.start(ti), layer.cols.start(tj)
     top, left = F.greatest(i0 - a, F.lit(0)), F.greatest(j0 - b, F.lit(0))
     return {
         "top": top, "left": left, "r": a + top - i0, "c": b + left - j0,
@@ -136,10 +137,10 @@ def _overlap(layer: Layer, i0: Column, i1: Column, j0: Column, j1: Column) -> di
     }
 
 
-def _placed(asks: DataFrame, layer: Layer, tiles: DataFrame, low: int, high: int) -> DataFrame:
+def placed(asks: DataFrame, layer: Layer, tiles: DataFrame, low: int, high: int) -> DataFrame:
     """Asks with a rectangle (seed, i0, i1, j0, j1) joined with the parts of the tiles that they meet: r, c, h, w, data."""
     at = asks.withColumn("ti", F.explode(layer.rows.covering("i0", "i1"))).withColumn("tj", F.explode(layer.cols.covering("j0", "j1")))
-    met = at.join(tiles.select("seed", F.col("wi").alias("ti"), F.col("wj").alias("tj"), "data"), ["seed", "ti", "tj"])
+    met = at.join(tiles.select("seed", F.col("wi").alias("ti"), F.col("wj").alias("tj"), "data").hint("merge"), ["seed", "ti", "tj"])
     met = met.withColumns(_overlap(layer, F.col("i0"), F.col("i1"), F.col("j0"), F.col("j1")))
     return met.withColumn("data", _cut(layer, low, high, F.col("top"), F.col("left"), F.col("h"), F.col("w"))).drop("ti", "tj", "top", "left")
 
@@ -185,7 +186,7 @@ def _compute(store: TileStore, layer: Layer, windows: DataFrame) -> None:
     parts = windows.select(*WINDOW, *[v.alias(k) for k, v in none.items()])
     for n, r in enumerate(layer.reads.values()):
         asks = windows.select(*WINDOW, *_rectangle(r))
-        met = _placed(asks, r.layer, store.tiles(r.layer), *r.channels)
+        met = placed(asks, r.layer, store.tiles(r.layer), *r.channels)
         parts = parts.unionByName(met.select(*WINDOW, F.lit(n).alias("read"), *[F.col(c).cast("long").alias(c) for c in "rchw"], "data"))
     dealt = parts.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "read", "r", "c")
     store.put(layer, dealt.mapInPandas(_assembler(layer), TILE))
@@ -254,18 +255,65 @@ def slices(store: TileStore, layer: Layer, requests: DataFrame, low: int = 0, hi
     return cells_of(store, layer, requests, low, high)
 
 
+def _blocks(layer: Layer, tiles: DataFrame, low: int, high: int, side: int, inside: tuple[int, int, int, int] | None = None) -> tuple[Layer, DataFrame]:
+    """Tiles (seed, wi, wj, data) summed into blocks without overlaps of about ``side`` cells on a side; how many windows a cell has is the last channel.
+
+    Each tile is cut up for its blocks, so the parts of arrays are all that travels; of what is not ``inside`` a rectangle (i0, i1, j0, j1) none does.
+    """
+    rows, cols = (WindowSpec(s.step * max(1, -(-side // s.step)), None, s.offset) for s in (layer.rows, layer.cols))
+    block = Layer(f"{layer.id}-blocks", high - low + 1, rows, cols, None)
+    at = tiles.withColumn("bi", F.explode(rows.covering(layer.rows.start("wi"), layer.rows.stop("wi"))))
+    at = at.withColumn("bj", F.explode(cols.covering(layer.cols.start("wj"), layer.cols.stop("wj"))))
+    i0, i1, j0, j1 = rows.start("bi"), rows.stop("bi"), cols.start("bj"), cols.stop("bj")
+    if inside:
+        i0, i1, j0, j1 = F.greatest(i0, F.lit(inside[0])), F.least(i1, F.lit(inside[1])), F.greatest(j0, F.lit(inside[2])), F.least(j1, F.lit(inside[3]))
+    at = at.withColumns(_overlap(layer, i0, i1, j0, j1, "wi", "wj")).withColumns({"r": F.col("r") + i0 - rows.start("bi"), "c": F.col("c") + j0 - cols.start("bj")})
+    at = at.where("h > 0 AND w > 0")
+    data = _cut(layer, low, high, F.col("top"), F.col("left"), F.col("h"), F.col("w"))
+    parts = at.select("seed", "bi", "bj", "wi", "wj", *[F.col(c).cast("long").alias(c) for c in "rchw"], data.alias("data"))
+    dealt = parts.repartition("seed", "bi", "bj").sortWithinPartitions("seed", "bi", "bj", "wi", "wj")
+    shape = (block.channels, rows.size, cols.size)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready: list = []
+        frame = lambda: pd.DataFrame({**{n: [key[k] for key, _ in ready] for k, n in enumerate(WINDOW)}, "data": [a.ravel() for _, a in ready]})
+        for b in batches:
+            for seed, bi, bj, r, c, h, w, data in zip(*[b[n] for n in ("seed", "bi", "bj", *"rchw", "data")], strict=True):
+                key = (int(seed), int(bi), int(bj))
+                if not ready or ready[-1][0] != key:
+                    if len(ready) == 16:
+                        yield frame()
+                        ready = []
+                    ready.append((key, np.zeros(shape)))
+                ready[-1][1][:-1, r : r + h, c : c + w] += np.asarray(data).reshape(-1, h, w)
+                ready[-1][1][-1, r : r + h, c : c + w] += 1
+        if ready:
+            yield frame()
+
+    return block, dealt.mapInPandas(each, TILE)
+
+
 def cells_of(store: TileStore, layer: Layer, requests: DataFrame, low: int, high: int) -> DataFrame:
     """As :func:`slices`, from tiles that the store has."""
-    lines = requests.select("request", "seed", "i0", "i1", "j0", "j1", F.explode(layer.rows.covering("i0", "i1")).alias("ti")).repartition("seed", "ti")
-    at = lines.withColumn("tj", F.explode(layer.cols.covering("j0", "j1")))
-    tiles = store.tiles(layer).select("seed", F.col("wi").alias("ti"), F.col("wj").alias("tj"), "data")
-    met = at.join(tiles, ["seed", "ti", "tj"]).withColumns(_overlap(layer, F.col("i0"), F.col("i1"), F.col("j0"), F.col("j1")))
-    cut = met.select("request", (F.col("i0") + F.col("r")).alias("i"), (F.col("j0") + F.col("c")).alias("j"), "h", "w",
-                     _cut(layer, low, high, F.col("top"), F.col("left"), F.col("h"), F.col("w")).alias("data"))
+    block, blocks = _blocks(layer, store.tiles(layer), low, high, 12)
+    # Ranges look as few to the planner as they were before they were laid on blocks: the join is one by sorting.
+    at = placed(requests.select("request", "seed", "i0", "i1", "j0", "j1"), block, blocks, 0, block.channels)
+    cut = at.select("request", (F.col("i0") + F.col("r")).alias("i"), (F.col("j0") + F.col("c")).alias("j"), "h", "w", "data")
     cut = cut.withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") * F.col("w") - 1)))
-    own = {f"c{low + k}": F.get("data", (F.col("n") + k * F.col("h") * F.col("w")).cast("int")) for k in range(high - low)}
-    cells = cut.select("request", (F.col("i") + F.floor(F.col("n") / F.col("w"))).alias("i"), (F.col("j") + F.col("n") % F.col("w")).alias("j"), *[v.alias(k) for k, v in own.items()])
-    return cells.groupBy("request", "i", "j").agg(*[F.sum(k).alias(k) for k in own])
+    channel = lambda k: F.get("data", (F.col("n") + k * F.col("h") * F.col("w")).cast("int"))
+    own = [channel(k).alias(f"c{low + k}") for k in range(high - low)]
+    return cut.where(channel(high - low) > 0).select("request", (F.col("i") + F.floor(F.col("n") / F.col("w"))).alias("i"), (F.col("j") + F.col("n") % F.col("w")).alias("j"), *own)
+
+
+def rectangle(layer: Layer, tiles: DataFrame, i0: int, i1: int, j0: int, j1: int, low: int, high: int) -> DataFrame:
+    """Channels of one rectangle: (i, j, c<low>, ...), overlaps summed, from tiles (seed, wi, wj, data) of one world.  Nothing is joined."""
+    meets = (layer.rows.start("wi") < i1) & (layer.rows.stop("wi") > i0) & (layer.cols.start("wj") < j1) & (layer.cols.stop("wj") > j0)
+    block, blocks = _blocks(layer, tiles.where(meets), low, high, 48, (i0, i1, j0, j1))
+    h, w = block.rows.size, block.cols.size
+    each = blocks.select(block.rows.start("wi").alias("i"), block.cols.start("wj").alias("j"), "data", F.explode(F.sequence(F.lit(0), F.lit(h * w - 1))).alias("n"))
+    own = [F.get("data", F.col("n") + k * h * w).alias(f"c{low + k}") for k in range(high - low)]
+    covered = F.get("data", F.col("n") + (high - low) * h * w) > 0
+    return each.where(covered).select((F.col("i") + F.expr(f"n div {w}")).alias("i"), (F.col("j") + F.col("n") % w).alias("j"), *own)
 
 
 def unweighted(value: str, weight: str, epsilon: float = 1e-6) -> Column:

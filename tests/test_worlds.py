@@ -161,3 +161,22 @@ def test_faults_are_named(spark):
     assert [r["c0"] for r in cells.collect()] == [1.0] * 4  # windows over a source without tiles read zeros
     store.put(source, layers.from_cells(source, spark.range(1).select(F.lit(0).cast("long").alias("seed"), F.lit(0).cast("long").alias("i"), F.lit(1).cast("long").alias("j"), F.lit(9).alias("v")), ["v", "v", "v"]))
     assert store.computed(source) == 1
+
+
+def test_cells_of_requests_are_not_summed_one_by_one(spark):
+    """Overlaps are summed in arrays, once, whoever asks; windows that the store lacks leave their cells out."""
+    store, hop = TileStore(spark), WindowSpec(8, 6)
+    layer = store.layer(Layer("hop", 2, hop, hop, lambda key: layers.weighted(np.full((1, 8, 8), 1.0 + key.wi + 10 * key.wj))))
+    rows = [(k, 0, -9 + 3 * k, 2 + 4 * k, 5 * k - 20, 6 * k - 3) for k in range(8)]
+    asks = spark.createDataFrame(rows, "request long, seed long, i0 long, i1 long, j0 long, j1 long")
+    out = layers.slices(store, layer, asks)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    want = brute(layer, None, 0, (100, 100), -50)
+    got = {(r["request"], r["i"], r["j"]): (r["c0"], r["c1"]) for r in out.collect()}
+    assert set(got) == {(k, i, j) for k, _, i0, i1, j0, j1 in rows for i in range(i0, i1) for j in range(j0, j1)}
+    assert all(np.allclose(v, want[:, i + 50, j + 50], rtol=1e-12) for (_, i, j), v in got.items())
+    far = spark.createDataFrame([(9, 0, 300, 310, 0, 9)], "request long, seed long, i0 long, i1 long, j0 long, j1 long")
+    assert layers.cells_of(store, layer, far, 0, 2).count() == 0
+    tiles = store.tiles(layer)
+    one = {(r["i"], r["j"]): r["c1"] for r in layers.rectangle(layer, tiles, -3, 11, -7, 8, 1, 2).collect()}
+    assert set(one) == {(i, j) for i in range(-3, 11) for j in range(-7, 8)} and all(np.isclose(v, want[1, i + 50, j + 50]) for (i, j), v in one.items() if 0 <= i < 6 and -5 <= j < 3)
