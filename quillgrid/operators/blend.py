@@ -18,6 +18,16 @@ def triangle(r: Column, size: int, edge: float = EDGE) -> Column:
     return F.lit(1.0) - F.lit(1.0 - edge) * F.least(F.lit(1.0), F.abs(r - F.lit(mid)) / F.lit(mid))
 
 
+def total_weight(at: str, spec: WindowSpec) -> Column:
+    """The weights of all windows of an axis that cover ``at``, summed from the closed form; those of a cell are the product of its axes'."""
+    last = spec.highest(F.col(at) + 1)
+    total = F.lit(0.0)
+    for k in range(-(-spec.size // spec.step)):
+        r = F.col(at) - spec.start(last - k)
+        total = total + F.when(r < spec.size, triangle(r, spec.size)).otherwise(0.0)
+    return total
+
+
 def window_means(cells: DataFrame, rows: WindowSpec, cols: WindowSpec) -> DataFrame:
     """A stand-in tile function: every window holds the mean of its cells."""
     return assign(cells, rows, cols).groupBy("wi", "wj").agg(F.avg("v").alias("v"))

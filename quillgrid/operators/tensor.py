@@ -3,7 +3,7 @@
 A node knows its window grid, its dependencies and the window of each dependency that one of its
 windows reads.  ``slice`` pushes a rectangle down the graph as sets of windows (never as
 one hull), asks the tile store what is there already, computes the missing windows in Spark, and
-sums the overlapping windows of the result.  Tiles travel as arrays, one row a tile and window that reads it.
+sums the overlapping windows of the result.  Tiles travel as arrays, cut to what a window reads, one row a tile and window that reads it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import layers
 from .shared import Shared
 from .windows import WindowSpec, window_list
 
@@ -98,11 +99,9 @@ def demand(node: Node, windows: DataFrame) -> list[tuple[Node, DataFrame]]:
     return out
 
 
-def cells_of(tiles: DataFrame, node: Node) -> DataFrame:
-    """Tiles as cells (i, j, v), with overlaps not yet summed."""
-    at = tiles.select("wi", "wj", "w", F.posexplode("data").alias("k", "v"))
-    row, col = F.floor(F.col("k") / F.col("w")).cast("long"), F.col("k") % F.col("w")
-    return at.select((node.rows.start("wi") + row).alias("i"), (node.cols.start("wj") + col).alias("j"), "v")
+def _layer(node: Node) -> layers.Layer:
+    """A node as a layer of one channel."""
+    return layers.Layer(node.id, 1, node.rows, node.cols, None)
 
 
 def tiles_from(cells: DataFrame, node: Node) -> DataFrame:
@@ -115,8 +114,11 @@ def tiles_from(cells: DataFrame, node: Node) -> DataFrame:
     return filled.select("wi", "wj", F.lit(rows.size).alias("h"), F.lit(cols.size).alias("w"), data.alias("data"))
 
 
-def ensure(store: Store, node: Node, windows: DataFrame) -> DataFrame:
-    """The node's tiles, after the missing ones among ``windows`` were computed (dependencies first)."""
+def ensure(store: Store, node: Node, windows: DataFrame, keep: bool = True) -> DataFrame:
+    """The node's tiles, after the missing ones among ``windows`` were computed (dependencies first).
+
+    Without ``keep``, tiles of this node that the store lacks are not put there: they are computed where they are used.
+    """
     missing = windows.select("wi", "wj")
     if node.id in store.tiles:
         missing = missing.join(store.known(node).select("wi", "wj"), ["wi", "wj"], "left_anti")
@@ -125,13 +127,14 @@ def ensure(store: Store, node: Node, windows: DataFrame) -> DataFrame:
     none = F.array().cast("array<double>")
     parts = missing.select("wi", "wj", F.lit(-1).alias("dep"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("w"), none.alias("data"))
     for n, (dep, needed) in enumerate(demand(node, missing)):
-        tiles = ensure(store, dep, needed).select(F.col("wi").alias("ti"), F.col("wj").alias("tj"), "w", "data")
+        tiles = ensure(store, dep, needed).withColumn("seed", F.lit(0).cast("long"))
         rows, cols = node.dep_rows[n], node.dep_cols[n]
-        asks = missing.withColumn("ti", F.explode(dep.rows.covering(rows.start("wi"), rows.stop("wi")))).withColumn("tj", F.explode(dep.cols.covering(cols.start("wj"), cols.stop("wj"))))
-        at = (dep.rows.start("ti") - rows.start("wi")).alias("r"), (dep.cols.start("tj") - cols.start("wj")).alias("c")
-        parts = parts.unionByName(asks.join(tiles, ["ti", "tj"]).select("wi", "wj", F.lit(n).alias("dep"), *at, "w", "data"))
+        asks = missing.select("wi", "wj", F.lit(0).cast("long").alias("seed"), rows.start("wi").alias("i0"), rows.stop("wi").alias("i1"), cols.start("wj").alias("j0"), cols.stop("wj").alias("j1"))
+        met = layers.placed(asks, _layer(dep), tiles, 0, 1)
+        parts = parts.unionByName(met.select("wi", "wj", F.lit(n).alias("dep"), "r", "c", F.col("w").cast("int").alias("w"), "data"))
     dealt = parts.repartition("wi", "wj").sortWithinPartitions("wi", "wj", "dep", "r", "c")
-    return store.put(node, dealt.mapInPandas(_compute(node), TILE))
+    made = dealt.mapInPandas(_compute(node), TILE)
+    return store.put(node, made) if keep else store.known(node).unionByName(made) if node.id in store.tiles else made
 
 
 def _compute(node: Node):
@@ -139,12 +142,6 @@ def _compute(node: Node):
     size, fn, name, batch = (node.rows.size, node.cols.size), node.fn, node.id, node.batch
     shapes = [(r.size, c.size) for r, c in zip(node.dep_rows, node.dep_cols, strict=True)]
 
-    def paste(a: np.ndarray, tile: np.ndarray, r: int, c: int) -> None:
-        """Add a tile whose corner stands at (r, c) of the array."""
-        r0, c0, r1, c1 = max(r, 0), max(c, 0), min(r + tile.shape[0], a.shape[0]), min(c + tile.shape[1], a.shape[1])
-        if r0 < r1 and c0 < c1:
-            a[r0:r1, c0:c1] += tile[r0 - r : r1 - r, c0 - c : c1 - c]
-
     def call(ready: list) -> pd.DataFrame:
         at = [key for key, _ in ready]
         if batch is None:
@@ -168,21 +165,24 @@ def _compute(node: Node):
                         ready = []
                     ready.append(((int(wi), int(wj)), [np.zeros(shape) for shape in shapes]))
                 if dep >= 0:
-                    paste(ready[-1][1][dep], np.asarray(data).reshape(-1, w), int(r), int(c))
+                    part = np.asarray(data).reshape(-1, w)
+                    ready[-1][1][dep][r : r + len(part), c : c + w] += part
         if ready:
             yield call(ready)
 
     return each
 
 
-def slice_node(store: Store, node: Node, i0: int, i1: int, j0: int, j1: int) -> DataFrame:
-    """The rectangle as cells (i, j, v), overlaps summed; cells that no window covers do not appear (their value is 0)."""
+def slice_node(store: Store, node: Node, i0: int, i1: int, j0: int, j1: int, keep: bool = True) -> DataFrame:
+    """The rectangle as cells (i, j, v), overlaps summed; cells that no window covers do not appear (their value is 0).
+
+    A node that is read once needs no ``keep``: what it depends on is in the store, its own tiles are not.
+    """
     node = store.get_or_create(node)
     ask = store.spark.createDataFrame([(i0, i1, j0, j1)], "i0 long, i1 long, j0 long, j1 long")
     windows = window_list(ask, node.rows, node.cols)
-    tiles = ensure(store, node, windows).join(windows, ["wi", "wj"], "left_semi")
-    inside = cells_of(tiles, node).where(F.col("i").between(i0, i1 - 1) & F.col("j").between(j0, j1 - 1))
-    return inside.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    tiles = ensure(store, node, windows, keep).withColumn("seed", F.lit(0).cast("long"))
+    return layers.rectangle(_layer(node), tiles, i0, i1, j0, j1, 0, 1).withColumnRenamed("c0", "v")
 
 
 def within_budget(accesses: DataFrame, budget: int, tensor: str = "tensor", key: str = "tile", at: str = "at", size: str = "bytes") -> DataFrame:

@@ -80,6 +80,13 @@ def ramp(size: int) -> np.ndarray:
     return 1 - 0.999 * np.minimum(1, np.abs(np.arange(size) - mid) / mid)
 
 
+def overlapping(spec: WindowSpec) -> np.ndarray:
+    """The weights of all windows along one axis at the cells of one of them, summed: the same for each, as every window's neighbours are computed."""
+    at, reach = np.arange(spec.size), -(-spec.size // spec.step)
+    inside = [(at - k * spec.step, (at >= k * spec.step) & (at < k * spec.step + spec.size)) for k in range(1 - reach, reach)]
+    return sum(np.where(own, ramp(spec.size)[np.where(own, r, 0)], 0.0) for r, own in inside)
+
+
 def stub(x: np.ndarray, label: float) -> np.ndarray:
     """A linear stand-in for a learned model."""
     return 0.5 * math.cos(label) * x
@@ -165,22 +172,16 @@ def decoder_graph(spark, d):
     store.put(base, tensor.tiles_from(event_grid(spark, d), base))
     hop, fine, wide = WindowSpec(8, 6), WindowSpec(16, 12), WindowSpec(64, 48)
     coarse = tensor.Node("coarse", hop, hop, _coarse_tile(20, 8), [base], [hop], [hop])
-    weight = tensor.Node("coarse_weight", hop, hop, lambda wi, wj: np.outer(ramp(8), ramp(8)))
-    latent_weight = tensor.Node("latent_weight", fine, fine, lambda wi, wj: np.outer(ramp(16), ramp(16)))
+    below, around = (np.outer(w, w) for w in map(overlapping, (hop, fine)))
     first = _latent_batch(fine, fine, LATENT_TIMES[0], 42 + SEEDS[0])
     second = _latent_batch(fine, fine, LATENT_TIMES[1], 42 + SEEDS[1])
-    init = tensor.Node("latent_init", fine, fine, lambda at, num, den: first(at, num / den), [coarse, weight], [hop, hop], [hop, hop], batch=4)
-    step = tensor.Node(
-        "latent_step", fine, fine, lambda at, num, den, n1, d1: second(at, num / den, n1 / d1),
-        [coarse, weight, init, latent_weight], [hop, hop, fine, fine], [hop, hop, fine, fine], batch=4,
-    )
+    init = tensor.Node("latent_init", fine, fine, lambda at, c: first(at, c / below), [coarse], [hop], [hop], batch=4)
+    step = tensor.Node("latent_step", fine, fine, lambda at, c, n: second(at, c / below, n / around), [coarse, init], [hop, fine], [hop, fine], batch=4)
     decode = _decoder_tile(wide, wide, LATENT_TIMES[0], 42 + SEEDS[2], 4)
-    decoder = tensor.Node("decoder", wide, wide, lambda wi, wj, num, den: decode(wi, wj, num / den), [step, latent_weight], [fine, fine], [fine, fine])
-    num = tensor.slice_node(store, decoder, 0, 8 * height, 0, 8 * DAYS)
-    at = windows.assign(num.select("i", "j"), wide, wide)
-    w = blend.triangle(F.col("i") - wide.start("wi"), 64) * blend.triangle(F.col("j") - wide.start("wj"), 64)
-    den = at.groupBy("i", "j").agg(F.sum(w).alias("den"))
-    return num.join(den, ["i", "j"]).select("i", "j", (F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 5) + 0.0).alias("v"))
+    decoder = tensor.Node("decoder", wide, wide, lambda wi, wj, n: decode(wi, wj, n / around), [step], [fine], [fine])
+    num = tensor.slice_node(store, decoder, 0, 8 * height, 0, 8 * DAYS, keep=False)
+    den = blend.total_weight("i", wide) * blend.total_weight("j", wide)
+    return num.select("i", "j", (F.round(F.when(den > 1e-6, F.col("v") / den).otherwise(0.0), 5) + 0.0).alias("v"))
 
 
 def model_graph(spark, d):
@@ -191,10 +192,8 @@ def model_graph(spark, d):
     store.put(base, tensor.tiles_from(event_grid(spark, d), base))
     coarse = tensor.Node("coarse", hop, hop, _coarse_tile(), [base], [hop], [hop])
     num = tensor.slice_node(store, coarse, 0, height_of(spark, d), 0, DAYS)
-    frame = windows.assign(num.select("i", "j"), hop, hop)
-    weight = blend.triangle(F.col("i") - hop.start("wi"), 16) * blend.triangle(F.col("j") - hop.start("wj"), 16)
-    den = frame.groupBy("i", "j").agg(F.sum(weight).alias("den"))
-    return num.join(den, ["i", "j"]).select("i", "j", F.round(F.when(F.col("den") > 1e-6, F.col("v") / F.col("den")).otherwise(0.0), 6).alias("v"))
+    den = blend.total_weight("i", hop) * blend.total_weight("j", hop)
+    return num.select("i", "j", F.round(F.when(den > 1e-6, F.col("v") / den).otherwise(0.0), 6).alias("v"))
 
 
 MODEL_GRAPH = f"""WITH RECURSIVE {DENSE.replace('dense AS (', 'dense AS MATERIALIZED (')},

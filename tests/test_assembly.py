@@ -110,3 +110,23 @@ def test_climate_covers_the_table(spark, tall, monkeypatch):
         y1, x1 = min(y0 + 1, 45), min(x0 + 1, 35)
         at = {k: (1 - y + y0) * ((1 - x + x0) * a[y0, x0] + (x - x0) * a[y0, x1]) + (y - y0) * ((1 - x + x0) * a[y1, x0] + (x - x0) * a[y1, x1]) for k, a in base.items()}
         assert abs(got[i, j]["temp"] - (at["t_sea"] + at["beta"] * max(grid[i, j] * 9 - 200, 0))) < 1e-4
+
+
+def test_a_top_node_is_not_kept_and_cells_are_not_summed_one_by_one(spark):
+    from quillgrid.operators import tensor
+    from quillgrid.operators.windows import WindowSpec
+
+    four, hop, store = WindowSpec(4), WindowSpec(6, 4, -1), tensor.Store(spark)
+    low = tensor.Node("low", four, four, lambda wi, wj: np.arange(16.0).reshape(4, 4) + wi)
+    top = tensor.Node("top", hop, hop, lambda wi, wj, a: a + 1, [low], [hop], [hop])
+    out = tensor.slice_node(store, top, -3, 9, 1, 10, keep=False)
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString().split("MapInPandas")[0]
+    got = {(r["i"], r["j"]): r["v"] for r in out.collect()}
+    base = lambda i, j: 4.0 * (i % 4) + j % 4 + i // 4 + 1
+    times = lambda i: sum(w * 4 - 1 <= i < w * 4 + 5 for w in range(-9, 9))
+    assert got == {(i, j): base(i, j) * times(i) * times(j) for i in range(-3, 9) for j in range(1, 10)}
+    assert set(store.tiles) == {"low"}
+    for spec in (hop, four, WindowSpec(5, 2)):
+        w = assembly.ramp(spec.size)
+        want = [sum(w[p - k * spec.step] for k in range(-9, 9) if 0 <= p - k * spec.step < spec.size) for p in range(spec.size)]
+        assert np.allclose(assembly.overlapping(spec), want)
