@@ -52,3 +52,20 @@ def test_given_directions(places):
         assert same[0] == same[1]
     with pytest.raises(ValueError, match="256 vectors"):
         noise.add_noise(places, ["x", "y"], Noise(kind="cellular", directions=table[:3]), "v")
+
+
+def test_nearest_points_are_found_without_sorting(spark):
+    """The two nearest of 27 feature points by running minima; missing coordinates stay missing."""
+    from quillgrid.functions import noise
+    from pyspark.sql import functions as F
+
+    rows = [(0.3, 1.7, -2.2), (5.5, 5.5, 5.5), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    out = noise.cellular(df, ["x", "y", "z"], frequency=1.0)
+    assert "array_sort" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.collect()
+    assert all(0 <= r["f1"] <= r["f2"] for r in got[:2]) and got[2]["f1"] is None and got[2]["f2"] is None
+    smooth = noise.add_noise(df, ["x", "y", "z"], noise.Noise(kind="smooth", frequency=1.0), "v")
+    plan = smooth._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambda") >= 8 * 2  # eight loops, two corners each
+    assert smooth.select(F.col("v")).collect()[2]["v"] is None
