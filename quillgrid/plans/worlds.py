@@ -253,12 +253,13 @@ def region(store: TileStore, graph: dict[str, Layer], seed: int, h: int, w: int)
     """
     spark, unit, pad, edge = store.spark, FINE * NATIVE, 6, 8
     low_shape = (FINE * h + 2 * pad, FINE * w + 2 * pad)
-    asks = {
-        "decoder": _whole(spark, -NATIVE * pad, unit * h + NATIVE * pad, -NATIVE * pad, unit * w + NATIVE * pad, seed),
-        "latents": _whole(spark, -pad, FINE * h + pad, -pad, FINE * w + pad, seed), "coarse": _whole(spark, -edge, h + edge, -edge, w + edge, seed),
+    ends = {
+        "decoder": (-NATIVE * pad, unit * h + NATIVE * pad, -NATIVE * pad, unit * w + NATIVE * pad),
+        "latents": (-pad, FINE * h + pad, -pad, FINE * w + pad), "coarse": (-edge, h + edge, -edge, w + edge),
     }
+    asks = {k: _whole(spark, *e, seed) for k, e in ends.items()}
     layers.ensure(store, [(graph[k], layers.windows_of(a, graph[k].rows, graph[k].cols)) for k, a in asks.items()])
-    at = {k: layers.cells_of(store, graph[k], a, 0, graph[k].channels) for k, a in asks.items()}
+    at = {k: layers.rectangle(graph[k], store.tiles(graph[k]).where(F.col("seed") == seed), *ends[k], 0, graph[k].channels) for k in asks}
     moved = lambda df, n: df.withColumns({"i": F.col("i") + n, "j": F.col("j") + n})
     residual = moved(at["decoder"], NATIVE * pad).select("i", "j", (layers.unweighted("c0", "c1") * RESIDUAL[1] + RESIDUAL[0]).alias("v"))
     low = moved(at["latents"], pad).select("i", "j", (layers.unweighted("c4", "c5") * LOW_STD + LOW_MEAN).alias("v"))
