@@ -30,8 +30,8 @@ WINDOW, STRIDE, SHORT = 256, 224, 80
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 1500, 4000, 3000
 #: Sizes of the network, and the mean probability of its labels from which a span is added.
 EMBED, HIDDEN, CONFIDENCE = 16, 16, 0.7
-#: Windows that one pass through the network reads, and characters of texts that are laid side by side for it.
-BATCH, BLOCK = 512, 1 << 20
+#: Windows that one pass through the network reads at most, steps whose states it holds, and characters of texts that are laid side by side for it.
+BATCH, RUN, BLOCK = 1024, 16, 1 << 20
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 VOCAB = 131  # ASCII, and: other letter, other character, padding
 PAD = 130
@@ -143,15 +143,54 @@ class Tagger:
         return states
 
     def emissions(self, symbols: np.ndarray) -> np.ndarray:
-        """Tag scores (time, batch, tag) of windows (batch, time)."""
-        return self.states(symbols) @ self.w["out"] + self.w["bias"]
+        """Tag scores (tag, time, batch) of windows (batch, time).
 
-    def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(tag probabilities, transition probabilities summed over time, log partition) of the chain."""
+        The steps of :meth:`states` for reading: each gate is brought into a block of its own, so that all that follows runs over whole
+        blocks; states have twice their value, by weights of half (which is exact); their scores are summed ``RUN`` steps at a time.
+        """
+        size, n = symbols.shape
+        inputs = self.w["emb"] @ self.w["x"] + self.w["c"]  # of each symbol, by direction
+        weights, out, half = self.w["h"] / 2, self.w["out"].T.reshape(TAGS, 2, HIDDEN).transpose(1, 0, 2) / 2, np.float32(0.5)
+        by_time = np.ascontiguousarray(symbols.T)
+        e = np.empty((TAGS, n, size), np.float32)
+        e[:] = self.w["bias"][:, None, None]
+        z, h, run = np.empty((2, size, 4 * HIDDEN), np.float32), np.zeros((2, size, HIDDEN), np.float32), np.empty((2, RUN, size, HIDDEN), np.float32)
+        blocks = np.arange(2 * size).reshape(2, size) * 4 + np.array([2, 0, 1, 3])[:, None, None]  # where gates stand in z: output, input, forget, new content
+        moved_in = np.empty((4, 2, size, HIDDEN), np.float32)
+        added, by_gate = moved_in.reshape(z.shape), z.reshape(-1, HIDDEN)
+        g = np.zeros((5, 2, size, HIDDEN), np.float32)  # the gates, the new content, and the cell
+        gates, content, cell = g[:4], g[3:], g[4]
+        moved, squashed = np.empty((2, 2, size, HIDDEN), np.float32), np.empty((2, size, HIDDEN), np.float32)
+        for t in range(n):
+            inputs[0].take(by_time[t], axis=0, out=added[0], mode="clip")
+            inputs[1].take(by_time[n - 1 - t], axis=0, out=added[1], mode="clip")
+            np.matmul(h, weights, out=z)
+            z += added
+            by_gate.take(blocks, axis=0, out=moved_in, mode="clip")
+            np.abs(moved_in, out=gates)
+            gates += 1
+            np.divide(moved_in, gates, out=gates)
+            np.multiply(g[1:3], content, out=moved)
+            moved += content
+            np.add(moved[0], moved[1], out=cell)
+            cell *= half
+            np.abs(cell, out=squashed)
+            squashed += 1
+            np.divide(cell, squashed, out=squashed)
+            np.multiply(g[0], squashed, out=h)
+            h += squashed
+            k = t % RUN
+            run[0, k], run[1, RUN - 1 - k] = h[0], h[1]
+            if k == RUN - 1 or t == n - 1:
+                e[:, t - k : t + 1] += (out[0] @ run[0, : k + 1].reshape(-1, HIDDEN).T).reshape(TAGS, k + 1, size)
+                e[:, n - 1 - t : n - t + k] += (out[1] @ run[1, RUN - 1 - k :].reshape(-1, HIDDEN).T).reshape(TAGS, k + 1, size)
+        return e
+
+    def passes(self, e: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(tag factors, forward and backward weights, scale by time) of the chain; the product of the weights is the tags' probabilities."""
         trans = np.exp(self.w["trans"].astype(np.float64))
         n, size = e.shape[:2]
-        top = e.max(2, keepdims=True)
-        p = np.exp((e - top).astype(np.float64))
+        p = np.exp((e - e.max(2, keepdims=True)).astype(np.float64))
         a, b, scale = np.empty_like(p), np.empty_like(p), np.zeros((n, size, 1))
         a[0] = p[0]
         for t in range(n):
@@ -162,10 +201,15 @@ class Tagger:
         b[-1] = 1.0
         for t in range(n - 2, -1, -1):
             b[t] = ((b[t + 1] * p[t + 1]) @ trans.T) / scale[t + 1]
-        pairs = np.zeros((TAGS, TAGS))
-        for t in range(1, n):
+        return p, a, b, scale
+
+    def marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tag probabilities, transition probabilities summed over time, log partition) of the chain."""
+        p, a, b, scale = self.passes(e)
+        trans, pairs = np.exp(self.w["trans"].astype(np.float64)), np.zeros((TAGS, TAGS))
+        for t in range(1, len(e)):
             pairs += trans * (a[t - 1].T @ (b[t] * p[t] / scale[t]))
-        return a * b, pairs, (np.log(scale) + top).sum((0, 2))
+        return a * b, pairs, (np.log(scale) + e.max(2, keepdims=True)).sum((0, 2))
 
     def best_scores(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(best score of a labelling up to each place by its last tag (time, tag, batch), score of the one that is outside throughout).
@@ -226,15 +270,29 @@ class Tagger:
         found |= {"h": dw, "c": table.sum(1, keepdims=True), "x": self.w["emb"].T @ table, "emb": (table @ self.w["x"].transpose(0, 2, 1)).sum(0)}
         return found, float((partition - gold).mean())
 
-    def decode(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, best tags (window, time), their probabilities) of the windows that are not outside throughout."""
-        states = self.states(symbols)
-        e = (self.w["out"].T @ states.reshape(-1, 2 * HIDDEN).T + self.w["bias"][:, None]).reshape(TAGS, *states.shape[:2])
+    def candidates(self, e: np.ndarray) -> np.ndarray:
+        """Windows that may not be outside throughout, of tag scores (tag, time, batch): none that is not is left out.
+
+        A bound of :meth:`best_scores`: tags that begin a span count as one tag and tags inside as another, each with the best score and
+        the best transitions of any of them.  Sums and maxima of floats keep their order, so the bound holds as computed.
+        """
+        groups = (slice(0, 1), slice(1, None, 2), slice(2, None, 2))
+        trans = np.array([[self.w["trans"][a, b].max() for b in groups] for a in groups], e.dtype)[:, :, None]
+        top = np.stack([e[k].max(0) for k in groups], axis=1)
+        bound, outside = top[0].copy(), e[0, 0]
+        for t in range(1, len(top)):
+            np.max(bound[:, None] + trans, axis=0, out=bound)
+            bound += top[t]
+            outside = outside + self.w["trans"][0, 0] + e[0, t]
+        return np.flatnonzero(bound.max(0) > outside)
+
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, best tags (window, time), their probabilities) of the windows that are not outside throughout, of tag scores (tag, time, batch)."""
         best, outside = self.best_scores(e)
         some = np.flatnonzero(best[-1].max(0) > outside)
         tags = self.trace(best[:, :, some])
-        p = np.take_along_axis(self.marginals(e[:, :, some].transpose(1, 2, 0))[0], tags[:, :, None], 2)[:, :, 0] if len(some) else np.empty(tags.shape)
-        return some, tags.T, p.T
+        _, a, b, _ = self.passes(e[:, :, some].transpose(1, 2, 0))
+        return some, tags.T, np.take_along_axis(a * b, tags[:, :, None], 2)[:, :, 0].T
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(text number, position, tag, probability) of all characters that are not outside.
@@ -254,16 +312,27 @@ class Tagger:
         own = np.repeat(np.arange(len(texts)), windows)
         nth = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
         margin, offsets = (WINDOW - STRIDE) // 2, np.arange(WINDOW)
-        found = []
-        for at in range(0, len(own), BATCH):
-            part = slice(at, at + BATCH)
-            first, start = own[part], nth[part] * STRIDE
-            some, tags, p = self.decode(symbols[(base[first] + start)[:, None] + offsets])
-            if len(some):
-                low = np.where(nth[part][some] == 0, 0, margin)[:, None]
-                high = np.where(nth[part][some] == windows[first[some]] - 1, WINDOW, margin + STRIDE)[:, None]
+        found, held = [], []  # ``held``: windows and tag scores of candidates, decoded together
+
+        def settle() -> None:
+            if sum(len(k) for k, _ in held):
+                at = np.concatenate([k for k, _ in held])
+                some, tags, p = self.decode(np.concatenate([e for _, e in held], axis=2))
+                at = at[some]
+                low = np.where(nth[at] == 0, 0, margin)[:, None]
+                high = np.where(nth[at] == windows[own[at]] - 1, WINDOW, margin + STRIDE)[:, None]
                 k, c = np.nonzero((tags > 0) & (offsets >= low) & (offsets < high))
-                found.append((first[some][k], start[some][k] + c, tags[k, c], p[k, c]))
+                found.append((own[at][k], nth[at][k] * STRIDE + c, tags[k, c], p[k, c]))
+            held.clear()
+
+        # Passes of about one size: small ones cost nearly as much as large ones.
+        for part in np.array_split(np.arange(len(own)), -(-len(own) // BATCH)) if len(own) else []:
+            e = self.emissions(symbols[(base[own[part]] + nth[part] * STRIDE)[:, None] + offsets])
+            some = self.candidates(e)
+            if sum(len(k) for k, _ in held) + len(some) > BATCH:
+                settle()
+            held.append((part[some], e[:, :, some]))
+        settle()
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -441,6 +441,59 @@ def test_tagger_reads_every_part_of_a_text_alike_in_any_company(tagger):
     assert len(found) >= 4 and set(found) <= {made}
 
 
+def test_reading_agrees_with_the_chain_of_every_window(tagger):
+    rows = duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE doc_id % 2 = 1 AND length(text) BETWEEN 300 AND 3000 ORDER BY doc_id LIMIT 200").fetchall()
+    symbols = np.concatenate([pii.encode(t) for t, _ in planted([t for t, in rows])])
+    symbols = symbols[: len(symbols) // pii.WINDOW * pii.WINDOW].reshape(-1, pii.WINDOW)
+    plain = tagger.states(symbols) @ tagger.w["out"] + tagger.w["bias"]
+    e = tagger.emissions(symbols)
+    assert np.allclose(e.transpose(1, 2, 0), plain, atol=1e-3)
+    assert np.allclose(tagger.emissions(symbols[:5, : pii.RUN + 3]).transpose(1, 2, 0), tagger.states(symbols[:5, : pii.RUN + 3]) @ tagger.w["out"] + tagger.w["bias"], atol=1e-3)
+    best, outside = tagger.best_scores(plain.transpose(2, 0, 1))
+    want = np.flatnonzero(best[-1].max(0) > outside)
+    candidates = tagger.candidates(e)
+    some, tags, p = tagger.decode(e[:, :, candidates])
+    assert 100 < len(want) < len(symbols) and candidates[some].tolist() == want.tolist()
+    assert np.array_equal(tags, tagger.trace(best[:, :, want]).T)
+    assert np.allclose(p, np.take_along_axis(tagger.marginals(plain[:, want])[0], tags.T[:, :, None], 2)[:, :, 0].T, atol=1e-3)
+
+
+def test_bound_of_the_chain_leaves_no_window_out():
+    rng = np.random.default_rng(5)
+    kept = 0
+    for _ in range(20):
+        model = pii.Tagger.fresh(rng)
+        model.w["trans"] = rng.normal(-1, 2, (pii.TAGS, pii.TAGS)).astype(np.float32)
+        e = rng.normal(0, 2, (pii.TAGS, 12, 400)).astype(np.float32)
+        e[0] += rng.uniform(0, 12, 400).astype(np.float32)
+        best, outside = model.best_scores(e)
+        want = set(np.flatnonzero(best[-1].max(0) > outside).tolist())
+        found = set(model.candidates(e).tolist())
+        assert want <= found
+        kept += len(want)
+    assert 0 < kept < 20 * 400
+
+
+def test_chain_is_decoded_where_a_span_can_be_only(tagger, monkeypatch):
+    texts = [t for t, in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE length(text) > 0").fetchall()]
+    seen = {"windows": 0, "decoded": 0}
+    emissions, best_scores = pii.Tagger.emissions, pii.Tagger.best_scores
+
+    def read(self, symbols):
+        seen["windows"] += len(symbols)
+        return emissions(self, symbols)
+
+    def decoded(self, e):
+        seen["decoded"] += e.shape[2]
+        return best_scores(self, e)
+
+    monkeypatch.setattr(pii.Tagger, "emissions", read)
+    monkeypatch.setattr(pii.Tagger, "best_scores", decoded)
+    tagger.spans(texts)
+    windows = sum(max(1, -(-(len(t) - pii.WINDOW) // pii.STRIDE) + 1) for t in texts)
+    assert seen["windows"] == windows and seen["decoded"] < windows / 5  # every window is read by the network
+
+
 def test_tagger_without_spans_adds_nothing():
     model = pii.train([])
     assert pii.find(["call +1 (523) 555-1055 at 10.0.0.1"], model)[0][0] == pii.find(["call +1 (523) 555-1055 at 10.0.0.1"], model)[0][1]
