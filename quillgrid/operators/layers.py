@@ -10,6 +10,9 @@ Demand goes through the whole graph first: each layer's windows are the union of
 and the requests ask for, less what the store has; then each layer is computed once, from the sources
 up.  Before tiles travel, the part that a window reads is cut out of them.  Cells come out of blocks without
 overlaps, in which tiles were summed as arrays, so no sum goes over single cells.
+
+Where a whole table is asked for once and nothing is to be kept, blocks of it take the sources' cells that they reach, and the
+same tile functions are called for their windows in memory (:func:`rows_of`, :func:`within`).
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,8 @@ from .windows import WindowSpec
 
 TILE = "seed long, wi long, wj long, data array<double>"
 WINDOW = ["seed", "wi", "wj"]
+#: Cells i0 to i1 and j0 to j1, ends exclusive.
+Rectangle = tuple[int, int, int, int]
 
 
 class Window(NamedTuple):
@@ -181,53 +187,147 @@ def ensure(store: TileStore, wanted: list[tuple[Layer, DataFrame]]) -> None:
             _compute(store, layer, missing[layer.id])
 
 
-def _compute(store: TileStore, layer: Layer, windows: DataFrame) -> None:
+def _dealt(store: TileStore, layer: Layer, windows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """What windows read, cut out of the store's tiles and dealt by window, the parts of a window one after the other."""
     none = {"read": F.lit(-1), **{n: F.lit(0).cast("long") for n in "rchw"}, "data": F.array().cast("array<double>")}
     parts = windows.select(*WINDOW, *[v.alias(k) for k, v in none.items()])
     for n, r in enumerate(layer.reads.values()):
         asks = windows.select(*WINDOW, *_rectangle(r))
         met = placed(asks, r.layer, store.tiles(r.layer), *r.channels)
         parts = parts.unionByName(met.select(*WINDOW, F.lit(n).alias("read"), *[F.col(c).cast("long").alias(c) for c in "rchw"], "data"))
-    dealt = parts.repartition(*WINDOW).sortWithinPartitions(*WINDOW, "read", "r", "c")
-    store.put(layer, dealt.mapInPandas(_assembler(layer), TILE))
+    return parts.repartition(*([tasks] if tasks else []), *WINDOW).sortWithinPartitions(*WINDOW, "read", "r", "c")
 
 
-def _assembler(layer: Layer):
-    """Puts the inputs of windows together as their parts come in, and calls the tile function for one or a batch of them."""
-    size, fn, name, batch = (layer.channels, layer.rows.size, layer.cols.size), layer.fn, layer.id, layer.batch
+def _compute(store: TileStore, layer: Layer, windows: DataFrame) -> None:
+    store.put(layer, _dealt(store, layer, windows).mapInPandas(_assembler(layer), TILE))
+
+
+def _outputs(layer: Layer, ready: list[tuple[Window, dict[str, np.ndarray]]]) -> list[np.ndarray]:
+    """The tiles of windows whose inputs are there: the tile function is called for one or a batch of them."""
+    at, size = [key for key, _ in ready], (layer.channels, layer.rows.size, layer.cols.size)
+    if layer.batch is None:
+        out = [np.asarray(layer.fn(key, **inputs), float) for key, inputs in ready]
+    else:
+        out = list(np.asarray(layer.fn(at, **{n: np.stack([inputs[n] for _, inputs in ready]) for n in layer.reads}), float))
+    if len(out) != len(at) or any(a.shape != size for a in out):
+        raise ValueError(f"layer {layer.id!r}: {len(at)} windows of {size} were asked for, {[a.shape for a in out][:3]} came")
+    return out
+
+
+def _gather(layer: Layer, most: int):
+    """Puts the inputs of windows together as their parts come in: lists of so many windows and inputs at most."""
     shapes = {n: (r.channels[1] - r.channels[0], r.rows.size, r.cols.size) for n, r in layer.reads.items()}
     names = list(shapes)
 
-    def call(ready: list) -> pd.DataFrame:
-        at = [key for key, _ in ready]
-        if batch is None:
-            out = [np.asarray(fn(key, **inputs), float) for key, inputs in ready]
-        else:
-            out = list(np.asarray(fn(at, **{n: np.stack([inputs[n] for _, inputs in ready]) for n in names}), float))
-        if len(out) != len(at) or any(a.shape != size for a in out):
-            raise ValueError(f"layer {name!r}: {len(at)} windows of {size} were asked for, {[a.shape for a in out][:3]} came")
-        columns = {n: [getattr(key, n) for key in at] for n in WINDOW}
-        return pd.DataFrame(columns | {"data": [a.ravel() for a in out]})
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[Window, dict[str, np.ndarray]]]]:
         ready: list = []
         for b in batches:
             for seed, wi, wj, read, r, c, h, w, data in zip(*[b[n] for n in (*WINDOW, "read", *"rchw", "data")], strict=True):
                 key = Window(int(seed), int(wi), int(wj))
                 if not ready or ready[-1][0] != key:
-                    if len(ready) == (batch or 16):
-                        yield call(ready)
+                    if len(ready) == most:
+                        yield ready
                         ready = []
                     ready.append((key, {n: np.zeros(s) for n, s in shapes.items()}))
                 if read >= 0:
                     n = names[read]
                     ready[-1][1][n][:, r : r + h, c : c + w] += np.asarray(data).reshape(shapes[n][0], h, w)
         if ready:
-            yield call(ready)
+            yield ready
 
     return each
 
 
+def _assembler(layer: Layer):
+    """Tiles of windows from their parts."""
+    gather = _gather(layer, layer.batch or 16)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ready in gather(batches):
+            columns = {n: [getattr(key, n) for key, _ in ready] for n in WINDOW}
+            yield pd.DataFrame(columns | {"data": [a.ravel() for a in _outputs(layer, ready)]})
+
+    return each
+
+
+def rows_of(store: TileStore, layer: Layer, windows: DataFrame, schema: str, tasks: int) -> DataFrame:
+    """Rows instead of tiles: the layer's function gives columns by name for each window, as they are read, and nothing of them is kept.
+
+    What the layer reads must be in the store.  One window at a time is in a task's memory.
+    """
+    gather, fn = _gather(layer, 1), layer.fn
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for [(key, inputs)] in gather(b.to_pandas() for b in batches):
+            columns = fn(key, **inputs)
+            n = len(next(iter(columns.values())))
+            for k in range(0, n, 16384):
+                yield pa.RecordBatch.from_pydict({c: pa.array(v[k : k + 16384]) for c, v in columns.items()})
+
+    return _dealt(store, layer, windows, tasks).mapInArrow(each, schema)
+
+
+def reach(wanted: list[tuple[Layer, Rectangle]]) -> tuple[dict[str, Rectangle], dict[str, tuple[range, range]]]:
+    """What rectangles of layers take of all layers below: a rectangle of cells of each, and of windows of those that are computed."""
+    cells: dict[str, Rectangle] = {}
+    windows: dict[str, tuple[range, range]] = {}
+
+    def ask(layer: Layer, at: Rectangle) -> None:
+        old = cells.get(layer.id, at)
+        cells[layer.id] = (min(old[0], at[0]), max(old[1], at[1]), min(old[2], at[2]), max(old[3], at[3]))
+
+    for layer, at in wanted:
+        ask(layer, at)
+    for layer in reversed(_order([layer for layer, _ in wanted])):
+        if layer.fn is None or layer.id not in cells:
+            continue
+        i0, i1, j0, j1 = cells[layer.id]
+        wi, wj = windows[layer.id] = layer.rows.meeting(i0, i1), layer.cols.meeting(j0, j1)
+        if wi and wj:
+            for r in layer.reads.values():
+                (a, b), (c, d) = ((w[0] * s.step + s.offset, w[-1] * s.step + s.offset + s.size) for w, s in ((wi, r.rows), (wj, r.cols)))
+                ask(r.layer, (a, b, c, d))
+    return cells, windows
+
+
+def within(wanted: list[tuple[Layer, Rectangle]], seed: int, given: dict[str, tuple[np.ndarray, int, int]]) -> list[np.ndarray]:
+    """Channels of rectangles of layers, overlaps summed, where a task has the sources' cells: arrays and their first cells by layer.
+
+    Every window that a rectangle takes is computed by its tile function, each once, as :func:`ensure` does, but in memory.
+    """
+    (cells, windows), held = reach(wanted), {}
+    for layer in _order([layer for layer, _ in wanted]):
+        if layer.fn is None:
+            held[layer.id] = given[layer.id]
+            continue
+        if layer.id not in windows:
+            continue
+        i0, i1, j0, j1 = cells[layer.id]
+        sums = np.zeros((layer.channels, i1 - i0, j1 - j0))
+        keys = [Window(seed, wi, wj) for wi in windows[layer.id][0] for wj in windows[layer.id][1]]
+        most = layer.batch or 1
+        for n in range(0, len(keys), most):
+            ready = [(key, {name: _cells(held[r.layer.id], *r.channels, *_under(r.rows, key.wi), *_under(r.cols, key.wj)) for name, r in layer.reads.items()}) for key in keys[n : n + most]]
+            for (key, _), tile in zip(ready, _outputs(layer, ready), strict=True):
+                (a, b), (c, d) = _under(layer.rows, key.wi), _under(layer.cols, key.wj)
+                top, bottom, left, right = max(a, i0), min(b, i1), max(c, j0), min(d, j1)
+                sums[:, top - i0 : bottom - i0, left - j0 : right - j0] += tile[:, top - a : bottom - a, left - c : right - c]
+        held[layer.id] = sums, i0, j0
+    return [_cells(held[layer.id], 0, layer.channels, *at) for layer, at in wanted]
+
+
+def _under(spec: WindowSpec, w: int) -> tuple[int, int]:
+    return w * spec.step + spec.offset, w * spec.step + spec.offset + spec.size
+
+
+def _cells(held: tuple[np.ndarray, int, int], low: int, high: int, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
+    """Channels of a rectangle of an array with its first cell; the array must have it."""
+    data, top, left = held
+    if i0 < top or j0 < left or i1 > top + data.shape[1] or j1 > left + data.shape[2]:
+        raise IndexError(f"cells {(i0, i1, j0, j1)} of an array from {(top, left)} with {data.shape[1:]}")
+    return data[low:high, i0 - top : i1 - top, j0 - left : j1 - left]
+
+
 def from_cells(layer: Layer, cells: DataFrame, values: list[str]) -> DataFrame:
     """Tiles of a layer without overlaps from distinct cells (seed, i, j and a column a channel); what is absent or null is 0."""
     h, w, channels = layer.rows.size, layer.cols.size, len(values)

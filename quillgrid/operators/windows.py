@@ -55,6 +55,10 @@ class WindowSpec:
         """The last window that begins before ``end`` (exclusive)."""
         return floor_div(_col(end) - (1 + self.offset), self.step)
 
+    def meeting(self, begin: int, end: int) -> range:
+        """All windows that meet ``[begin, end)``."""
+        return range(-((self.offset + self.size - 1 - begin) // self.step), (end - 1 - self.offset) // self.step + 1)
+
     def covering(self, begin: Column | int | str, end: Column | int | str) -> Column:
         """Array of all windows that meet ``[begin, end)``; empty where it lies in a gap."""
         lo, hi = self.lowest(begin), self.highest(end)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from ..operators import classify, diffusion, layers, raster, search, stats
+from ..operators import classify, diffusion, layers, parts, raster, search, stats
 from ..operators.layers import Layer, Read, TileStore
 from ..operators.shared import Shared
 from ..operators.windows import WindowSpec
@@ -269,15 +269,99 @@ def region(store: TileStore, graph: dict[str, Layer], seed: int, h: int, w: int)
     return climate_channels(coarse, (h + 2 * edge, w + 2 * edge), heights, unit)
 
 
+#: Native cells a coarse cell; latent cells that heights reach beyond the region, and coarse cells that its climate does.
+UNIT, PAD, EDGE = FINE * NATIVE, 6, 8
+#: Coarse cells on a side of the windows that the climate is fitted in, and of the blocks that a task computes at once.
+FIT, SIDE = 15, 64
+TAPS = raster.kernel_truncated(5.0)
+
+
+class _Axis:
+    """What a block's native cells of ``n`` coarse cells take along one axis, step by step from slopes back to the layers.
+
+    Heights and slopes are counted from the region's first cell; what is resized (``full``, ``smooth``, ``low``) from ``PAD`` latent cells before it.
+    """
+
+    def __init__(self, block: int, n: int, side: int) -> None:
+        self.n, self.low_n = n, FINE * n + 2 * PAD
+        self.full_n, self.fits = NATIVE * self.low_n, n + 2 * EDGE - FIT + 1
+        self.own = UNIT * side * block, min(UNIT * n, UNIT * side * (block + 1))
+        self.heights = parts.sobel_reads(self.own, UNIT * n)
+        self.full = tuple(k + NATIVE * PAD for k in self.heights)
+        self.smooth = parts.resize_reads(self.full, self.low_n, self.full_n)
+        self.down = parts.blur_reads(self.smooth, self.low_n, TAPS)
+        reads = parts.resize_reads(self.down, self.full_n, self.low_n)
+        self.whole = min(reads[0], self.full[0]), max(reads[1], self.full[1])
+        self.low = parts.enlarge_reads(self.whole, self.low_n, NATIVE)
+        self.points = (np.arange(*self.own) + 0.5) / UNIT + 0.5
+        self.base = parts.sample_reads(self.points, self.fits)
+        # In the layers' own cells.
+        self.decoder = tuple(k - NATIVE * PAD for k in self.whole)
+        self.latents = tuple(k - PAD for k in self.low)
+        self.coarse = self.base[0] - EDGE, self.base[1] + FIT - 1 - EDGE
+
+
+def _block_wants(graph: dict[str, Layer], y: _Axis, x: _Axis) -> list[tuple[Layer, layers.Rectangle]]:
+    return [(graph[k], (*getattr(y, k), *getattr(x, k))) for k in ("decoder", "latents", "coarse")]
+
+
+def block_tile(graph: dict[str, Layer], h: int, w: int, side: int, before: int):
+    """Function of a block: the map around it becomes its native cells, by the graph's windows and the steps of :func:`region`, and slopes."""
+
+    def heights(residual: np.ndarray, low: np.ndarray, y: _Axis, x: _Axis) -> np.ndarray:
+        def along(step, a: np.ndarray, source: str, target: str, *of) -> np.ndarray:
+            for axis, at in ((-1, x), (-2, y)):
+                a = step(a, axis, getattr(at, source)[0], getattr(at, target), *[getattr(at, n) if isinstance(n, str) else n for n in of])
+            return a
+
+        whole = residual + along(parts.enlarge, low, "low", "whole", "low_n", NATIVE)
+        smooth = along(parts.blur, along(parts.resize, whole, "whole", "down", "full_n", "low_n"), "down", "smooth", "low_n", TAPS)
+        rest = residual[y.full[0] - y.whole[0] : y.full[1] - y.whole[0], x.full[0] - x.whole[0] : x.full[1] - x.whole[0]]
+        v = rest + along(parts.resize, smooth, "smooth", "full", "low_n", "full_n")
+        return np.sign(v) * v * v
+
+    def compute(key: layers.Window, cells: np.ndarray) -> dict[str, np.ndarray]:
+        y, x = _Axis(key.wi, h, side), _Axis(key.wj, w, side)
+        given = {"map": (cells, key.wi * side - before, key.wj * side - before)}
+        decoded, latents, coarse = layers.within(_block_wants(graph, y, x), key.seed, given)
+        elev = heights(_over(decoded)[0] * RESIDUAL[1] + RESIDUAL[0], _over(latents)[4] * LOW_STD + LOW_MEAN, y, x)
+        slope = parts.sobel(elev, (y.heights[0], x.heights[0]), y.own, x.own, (UNIT * h, UNIT * w), 30.0)
+        elev = elev[y.own[0] - y.heights[0] :, x.own[0] - x.heights[0] :][: slope.shape[0], : slope.shape[1]]
+        root, _, t, *rest = _over(coarse)
+        beta, sea = parts.windowed_baseline(t, np.maximum(root, 0.0) ** 2, FIT)
+        middle = [v[FIT // 2 : FIT // 2 + beta.shape[0], FIT // 2 : FIT // 2 + beta.shape[1]] for v in rest]
+        beta, sea, season, precip, cv = (parts.sample(v, (y.base[0], x.base[0]), y.points, x.points, (y.fits, x.fits)) for v in (beta, sea, *middle))
+        i, j = np.meshgrid(np.arange(*y.own), np.arange(*x.own), indexing="ij")
+        found = {"i": i, "j": j, "elev": elev, "temp": sea + beta * np.maximum(elev, 0.0), "t_season": season, "precip": precip, "p_cv": cv, "beta": beta, "slope": slope}
+        return {k: np.ascontiguousarray(v).ravel() for k, v in found.items()}
+
+    return compute
+
+
+def region_blocks(store: TileStore, graph: dict[str, Layer], seed: int, h: int, w: int, side: int = SIDE) -> DataFrame:
+    """As :func:`region`, and slopes, for a region that is asked for once: nothing is kept of what lies between the map and the cells.
+
+    A block of native cells takes the map's cells that its windows reach, which is the one shuffle, and a task computes it
+    from end to end.  Layers, overlaps and steps are those of :func:`region`; what neighbouring blocks both reach is computed in both.
+    """
+    rows, cols = -(-h // side), -(-w // side)
+    asked = [(key, layers.reach(_block_wants(graph, _Axis(key[0], h, side), _Axis(key[1], w, side)))[0]["map"]) for key in np.ndindex(rows, cols)]
+    before = max(0, *[side * k - first for (wi, wj), (i0, _, j0, _) in asked for k, first in ((wi, i0), (wj, j0))])
+    after = max(0, *[last - side * (k + 1) for (wi, wj), (_, i1, _, j1) in asked for k, last in ((wi, i1), (wj, j1))])
+    whole, halo = WindowSpec(side), WindowSpec(side + before + after, side, -before)
+    block = Layer("block", 1, whole, whole, block_tile(graph, h, w, side, before), {"cells": Read(graph["map"], halo, halo)})
+    windows = layers.windows_of(_whole(store.spark, 0, h, 0, w, seed), whole, whole)
+    names = ["elev", "temp", "t_season", "precip", "p_cv", "beta", "slope"]
+    return layers.rows_of(store, block, windows, "i long, j long, " + ", ".join(f"{n} double" for n in names), min(rows * cols, 1024))
+
+
 def world_region(spark, d):
     """All rows of the table from end to end: map, coarse windows, vectors, latents, decoder, heights, climate, classes."""
     seed, store, h = 42, TileStore(spark), height_of(spark, d)
     graph = world(store)
     store.put(graph["map"], layers.from_cells(graph["map"], map_cells(spark, d, seed), ["root", "temp", "season", "rain", "spread"]))
-    cells = store.held(region(store, graph, seed, h, DAYS))
-    slope = raster.sobel(cells.select("i", "j", F.col("elev").alias("v"), *[c for c in cells.columns if c not in ("i", "j", "elev")]), 30.0).withColumnRenamed("v", "slope")
     still = {n: F.lit(0.0) for n in ("n_temp", "n_precip", "n_snow")}
-    out = classify.classify(cells.join(slope, ["i", "j"]).withColumns(still))
+    out = classify.classify(region_blocks(store, graph, seed, h, DAYS).withColumns(still))
     return out.select("i", "j", classify.to_int16(F.col("elev")).cast("int").alias("height_m"), F.col("class_id").cast("int").alias("class_id"))
 
 
