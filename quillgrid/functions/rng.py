@@ -23,10 +23,16 @@ def tile_seeds(base: int, ty: np.ndarray, tx: np.ndarray) -> np.ndarray:
     return h * np.uint64(GOLDEN) + u(tx)
 
 
+@lru_cache(maxsize=64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP^k and ADD * (STEP^(k-1) + ... + 1) of the first ``n`` states."""
+    powers = np.cumprod(np.full(n, STEP, np.uint64))
+    return powers, np.cumsum(np.concatenate([np.ones(1, np.uint64), powers[:-1]])) * np.uint64(ADD)
+
+
 def outputs(seed: int, n: int) -> np.ndarray:
     """The first ``n`` 32-bit outputs, all at once: the k-th state is seed * STEP^k + ADD * (STEP^(k-1) + ... + 1)."""
-    powers = np.cumprod(np.full(n, STEP, np.uint64))
-    sums = np.cumsum(np.concatenate([np.ones(1, np.uint64), powers[:-1]])) * np.uint64(ADD)
+    powers, sums = _powers(n)
     state = np.uint64(seed) * powers + sums
     x = (((state >> np.uint64(18)) ^ state) >> np.uint64(27)) & np.uint64(0xFFFFFFFF)
     rot = state >> np.uint64(59)
@@ -38,22 +44,23 @@ def normals(seed: int, n: int) -> np.ndarray:
     want = int(n * 0.7) + 32
     while True:
         u = outputs(seed, 2 * want).astype(float)
-        v = 2.0 * (u + 1.0) / 4294967296.0 - 1.0
-        a, b = v[0::2], v[1::2]
-        s = a * a + b * b
+        v = (2.0 * (u + 1.0) / 4294967296.0 - 1.0).reshape(-1, 2)
+        s = v[:, 0] * v[:, 0] + v[:, 1] * v[:, 1]
         ok = (s > 0) & (s < 1)
         if 2 * ok.sum() >= n:
             break
         want *= 2
-    a, b, s = a[ok], b[ok], s[ok]
+    at = np.flatnonzero(ok)[: (n + 1) // 2]
+    s = s[at]
     f = np.sqrt(-2.0 * np.log(s) / s)
-    return np.stack([a * f, b * f], axis=1).ravel()[:n].astype(np.float32)
+    return (v[at] * f[:, None]).ravel()[:n].astype(np.float32)
 
 
 @lru_cache(maxsize=512)
 def _tile(base: int, ty: int, tx: int, n: int) -> np.ndarray:
     """A tile's normals; neighbouring windows read the same ones."""
-    return normals(int(tile_seeds(base, np.array([ty]), np.array([tx]))[0]), n)
+    seed = ((base * GOLDEN + (ty & 0xFFFFFFFF)) * GOLDEN + (tx & 0xFFFFFFFF)) & (1 << 64) - 1
+    return normals(seed, n)
 
 
 def patch(base: int, i0: int, j0: int, h: int, w: int, channels: int, tile: tuple[int, int]) -> np.ndarray:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -285,8 +286,7 @@ def reach(wanted: list[tuple[Layer, Rectangle]]) -> tuple[dict[str, Rectangle],
         wi, wj = windows[layer.id] = layer.rows.meeting(i0, i1), layer.cols.meeting(j0, j1)
         if wi and wj:
             for r in layer.reads.values():
-                (a, b), (c, d) = ((w[0] * s.step + s.offset, w[-1] * s.step + s.offset + s.size) for w, s in ((wi, r.rows), (wj, r.cols)))
-                ask(r.layer, (a, b, c, d))
+                ask(r.layer, (r.rows.start_of(wi[0]), r.rows.start_of(wi[-1]) + r.rows.size, r.cols.start_of(wj[0]), r.cols.start_of(wj[-1]) + r.cols.size))
     return cells, windows
 
 
@@ -302,24 +302,28 @@ def within(wanted: list[tuple[Layer, Rectangle]], seed: int, given: dict[str, tu
             continue
         if layer.id not in windows:
             continue
-        i0, i1, j0, j1 = cells[layer.id]
-        sums = np.zeros((layer.channels, i1 - i0, j1 - j0))
-        keys = [Window(seed, wi, wj) for wi in windows[layer.id][0] for wj in windows[layer.id][1]]
-        most = layer.batch or 1
-        for n in range(0, len(keys), most):
-            ready = [(key, {name: _cells(held[r.layer.id], *r.channels, *_under(r.rows, key.wi), *_under(r.cols, key.wj)) for name, r in layer.reads.items()}) for key in keys[n : n + most]]
+        # Sums go over whole windows; what lies beyond the cells that are taken is cut off, as not all windows of it are there.
+        (wi, wj), (i0, i1, j0, j1) = windows[layer.id], cells[layer.id]
+        top, left = layer.rows.start_of(wi[0]) if wi else i0, layer.cols.start_of(wj[0]) if wj else j0
+        sums = np.zeros((layer.channels, max(i1 - top, len(wi) * layer.rows.step + layer.rows.size), max(j1 - left, len(wj) * layer.cols.step + layer.cols.size)))
+        sources = {}
+        for name, r in layer.reads.items():
+            if wi and wj:
+                at = r.rows.start_of(wi[0]), r.rows.start_of(wi[-1]) + r.rows.size, r.cols.start_of(wj[0]), r.cols.start_of(wj[-1]) + r.cols.size
+                sources[name] = _cells(held[r.layer.id], *r.channels, *at), r.rows, r.cols
+        keys = [Window(seed, a, b) for a in wi for b in wj]
+        for n in range(0, len(keys), layer.batch or 1):
+            ready = []
+            for key in keys[n : n + (layer.batch or 1)]:
+                a, b = key.wi - wi[0], key.wj - wj[0]
+                ready.append((key, {name: data[:, a * p.step : a * p.step + p.size, b * q.step : b * q.step + q.size] for name, (data, p, q) in sources.items()}))
             for (key, _), tile in zip(ready, _outputs(layer, ready), strict=True):
-                (a, b), (c, d) = _under(layer.rows, key.wi), _under(layer.cols, key.wj)
-                top, bottom, left, right = max(a, i0), min(b, i1), max(c, j0), min(d, j1)
-                sums[:, top - i0 : bottom - i0, left - j0 : right - j0] += tile[:, top - a : bottom - a, left - c : right - c]
-        held[layer.id] = sums, i0, j0
+                a, b = (key.wi - wi[0]) * layer.rows.step, (key.wj - wj[0]) * layer.cols.step
+                sums[:, a : a + layer.rows.size, b : b + layer.cols.size] += tile
+        held[layer.id] = sums[:, i0 - top : i1 - top, j0 - left : j1 - left], i0, j0
     return [_cells(held[layer.id], 0, layer.channels, *at) for layer, at in wanted]
 
 
-def _under(spec: WindowSpec, w: int) -> tuple[int, int]:
-    return w * spec.step + spec.offset, w * spec.step + spec.offset + spec.size
-
-
 def _cells(held: tuple[np.ndarray, int, int], low: int, high: int, i0: int, i1: int, j0: int, j1: int) -> np.ndarray:
     """Channels of a rectangle of an array with its first cell; the array must have it."""
     data, top, left = held
@@ -427,7 +431,12 @@ def ramp(size: int) -> np.ndarray:
     return 1 - 0.999 * np.minimum(1, np.abs(np.arange(size) - mid) / mid) if mid else np.ones(1)
 
 
+@lru_cache(maxsize=64)
+def _weights(h: int, w: int) -> np.ndarray:
+    return np.outer(ramp(h), ramp(w))
+
+
 def weighted(values: np.ndarray) -> np.ndarray:
     """A window's channels times its weights, and the weights as a last channel."""
-    w = np.outer(ramp(values.shape[-2]), ramp(values.shape[-1]))
+    w = _weights(*values.shape[-2:])
     return np.concatenate([values * w, np.broadcast_to(w, (*values.shape[:-3], 1, *w.shape))], axis=-3)

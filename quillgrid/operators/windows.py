@@ -55,6 +55,9 @@ class WindowSpec:
         """The last window that begins before ``end`` (exclusive)."""
         return floor_div(_col(end) - (1 + self.offset), self.step)
 
+    def start_of(self, w: int) -> int:
+        return w * self.step + self.offset
+
     def meeting(self, begin: int, end: int) -> range:
         """All windows that meet ``[begin, end)``."""
         return range(-((self.offset + self.size - 1 - begin) // self.step), (end - 1 - self.offset) // self.step + 1)

@@ -144,6 +144,8 @@ COND_MEANS, COND_STDS = (14.99, 11.65, 15.87, 619.26, 833.12, 69.40, 0.66), (21.
 LOW_MEAN, LOW_STD = -31.4, 38.6
 #: Lengths of the parts of a conditioning vector (fixed values), and the part that stands for a histogram.
 PARTS, HISTOGRAM = (16, 16, 4, 16, 5, 1), (0.0, 0.0, 0.0, 0.0, 0.0)
+_IMAGE_MEANS, _IMAGE_STDS = np.array(COND_MEANS)[:, None, None], np.array(COND_STDS)[:, None, None]
+_SCALE, _LENGTHS = math.sqrt(sum(PARTS) * len(PARTS)) / len(PARTS), np.repeat(np.sqrt(PARTS), PARTS)
 #: Signal to noise of the five conditioning channels, and the residual's mean and deviation: parameters of a model.
 SNR, RESIDUAL = (0.5, 0.5, 0.5, 0.5, 0.5), (0.0, 1.1678)
 #: Noise levels of the latent stages and the decoder, and what is added to the world's seed for each (fixed values).
@@ -170,8 +172,8 @@ def stub_decoder(x: np.ndarray, t: float, latents: np.ndarray) -> np.ndarray:
 
 def _over(a: np.ndarray) -> np.ndarray:
     """Channels over their weight, the last channel."""
-    w = a[..., -1:, :, :]
-    return np.where(w > 1e-6, a[..., :-1, :, :] / np.where(w > 1e-6, w, 1.0), 0.0)
+    v, w = a[..., :-1, :, :], a[..., -1:, :, :]
+    return np.divide(v, w, out=np.zeros(v.shape), where=w > 1e-6)
 
 
 def coarse_tile(model=stub_coarse, steps: int = 20, size: int = 8, step: int = 6):
@@ -195,11 +197,11 @@ def coarse_tile(model=stub_coarse, steps: int = 20, size: int = 8, step: int = 6
 
 def condition(key: layers.Window, coarse: np.ndarray) -> np.ndarray:
     """Tile function of single cells: the vector of 58 that a latent window is conditioned on, from the 4 x 4 coarse cells around it."""
-    means, stds = np.array(COND_MEANS)[:, None, None], np.array(COND_STDS)[:, None, None]
-    image = (np.concatenate([_over(coarse), np.ones((1, 4, 4))]) - means) / stds
-    parts = (image[0].ravel(), image[1].ravel(), image[2:6, 1:3, 1:3].mean((1, 2)), image[6].ravel(), np.array(HISTOGRAM), np.array([-0.5 * math.sqrt(12)]))
-    scale = math.sqrt(sum(PARTS) * len(PARTS)) / len(PARTS)
-    return np.concatenate([p * scale / math.sqrt(n) for p, n in zip(parts, PARTS, strict=True)])[:, None, None]
+    image = np.ones((7, 4, 4))
+    image[:6] = _over(coarse)
+    image = (image - _IMAGE_MEANS) / _IMAGE_STDS
+    parts = (image[0].ravel(), image[1].ravel(), image[2:6, 1:3, 1:3].sum((1, 2)) / 4, image[6].ravel(), HISTOGRAM, (-0.5 * math.sqrt(12),))
+    return (np.concatenate(parts) * _SCALE / _LENGTHS)[:, None, None]
 
 
 def latent_batch(t: float, add: int, model=stub_latent, size: int = 2 * FINE):
