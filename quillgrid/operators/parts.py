@@ -96,11 +96,12 @@ def sample(a: np.ndarray, first: Span, y: np.ndarray, x: np.ndarray, shape: tupl
 
 def windowed_baseline(t: np.ndarray, e: np.ndarray, size: int, threshold: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """``beta`` and ``t_sea`` of each size x size window that lies in the arrays, by corner: a regression over land cells."""
-    land = np.where(e > 0, 1.0, 0.0)
+    land = np.where(e <= 0, 0.0, 1.0)  # as in columns and SQL, NaN is above all numbers: land, and no slope
     sums = [sliding_window_view(sliding_window_view(v * land, size, 1).sum(-1), size, 0).sum(-1) for v in (t, e, e * e, e * t, np.ones_like(e))]
     w, pad = sums[4], (size - 1) // 2
     mt, me, mee, met = (s / (w + 1e-6) for s in sums[:4])
     var, cov = mee - me * me, met - me * mt
-    beta = np.clip(np.where((var < 1.0) | (w < threshold * size * size), -0.0065, cov / (var + 1e-6)), -0.012, 0.0)
+    beta = np.where((var < 1.0) | (w < threshold * size * size), -0.0065, cov / (var + 1e-6))
+    beta = np.fmax(np.fmin(beta, 0.0), -0.012)
     middle = np.s_[pad : pad + beta.shape[0], pad : pad + beta.shape[1]]
     return beta, t[middle] - beta * e[middle]

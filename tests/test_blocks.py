@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from quillgrid.operators import layers, parts, raster
+from quillgrid.operators import layers, parts, raster, stats
 from quillgrid.operators.layers import Layer, Read, TileStore
 from quillgrid.operators.windows import WindowSpec
 from quillgrid.plans import worlds
@@ -88,3 +88,14 @@ def test_layers_in_memory_are_those_of_the_store(spark):
     with pytest.raises(IndexError):
         layers.within([(two, at)], 0, {"source": (far[:, 1:], i0 + 1, j0)})
     store.release()
+
+
+def test_baseline_in_memory_is_that_of_columns(spark):
+    made = np.random.default_rng(8)
+    t, e = made.uniform(0, 30, (9, 8)), np.maximum(made.uniform(-40, 60, (9, 8)), 0.0)
+    e[0, 1] = np.nan
+    grid = spark.createDataFrame([(i, j, float(t[i, j]), float(e[i, j])) for i, j in np.ndindex(9, 8)], "i long, j long, t double, e double")
+    want = stats.windowed_baseline(grid, 5).toPandas()
+    beta, sea = parts.windowed_baseline(t, e, 5)
+    assert beta.shape == (5, 4) and len(want) == 20 and np.allclose(beta[want["i"], want["j"]], want["beta"]) and np.isfinite(beta).all()
+    assert np.allclose(sea[want["i"], want["j"]], want["t_sea"], equal_nan=True)
